@@ -7,19 +7,39 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from phrasemill.llm.op1_exact_dedup import exact_dedup
+from phrasemill.llm.op2_toxicity import toxicity
+from phrasemill.llm.op4_quality import quality
 from phrasemill.llm.op6_embedding_dedup import embedding_dedup
+from phrasemill.llm.op7_best_fit_packing import best_fit_packing
+from phrasemill.llm.op8_sentencepiece import sentencepiece_digests
 from phrasemill.llm.op10_ngram_join import ngram_join
-from phrasemill.llm.shared import ship, table
+from phrasemill.llm.shared import ship, table, tokenizer_file
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup(table(spark, sf_dir, "embeddings"))
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit_packing(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_digests(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"))
 
@@ -40,7 +60,7 @@ def _shipping(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spar
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: _shipping(q) for q in (op1_exact_dedup, op6_embedding_dedup, op10_ngram_join)}
+    return {q.__name__: _shipping(q) for q in (op1_exact_dedup, op2_toxicity, op4_quality, op6_embedding_dedup, op7_best_fit_packing, op8_sentencepiece, op10_ngram_join)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -57,3 +57,10 @@ def ship(spark: SparkSession) -> None:
                 z.write(f, f.relative_to(root.parent))
         spark.sparkContext.addPyFile(str(to))
         _shipped.add(app)
+
+
+def tokenizer_file(name: str) -> str:
+    """Where the installed public vocabulary file is; the same on every machine that has the package."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)

@@ -55,11 +55,11 @@ def slices(column: pa.Array, most: int = 1 << 21) -> Iterator[tuple[int, int, np
         lo = hi
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and row of each word [^\\x20\\x09-\\x0D]+."""
+def words(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = SEPARATOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of each longest stretch without separators (by default [^\\x20\\x09-\\x0D]+)."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    inside = ~SEPARATOR[data]
+    inside = ~separator[data]
     first = np.zeros(len(data) + 1, bool)
     first[offsets] = True
     starts = inside.copy()
