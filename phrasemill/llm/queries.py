@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from phrasemill.llm.op1_exact_dedup import exact_dedup
 from phrasemill.llm.op2_toxicity import toxicity
+from phrasemill.llm.op3_pii import pii_spans
 from phrasemill.llm.op4_quality import quality
 from phrasemill.llm.op6_embedding_dedup import embedding_dedup
 from phrasemill.llm.op7_best_fit_packing import best_fit_packing
@@ -24,6 +25,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_spans(table(spark, sf_dir, "documents"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -60,7 +65,7 @@ def _shipping(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spar
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: _shipping(q) for q in (op1_exact_dedup, op2_toxicity, op4_quality, op6_embedding_dedup, op7_best_fit_packing, op8_sentencepiece, op10_ngram_join)}
+    return {q.__name__: _shipping(q) for q in (op1_exact_dedup, op2_toxicity, op3_pii, op4_quality, op6_embedding_dedup, op7_best_fit_packing, op8_sentencepiece, op10_ngram_join)}
 
 
 def oracle_sql() -> dict[str, str]:
