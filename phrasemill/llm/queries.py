@@ -10,9 +10,11 @@ from phrasemill.llm.op1_exact_dedup import exact_dedup
 from phrasemill.llm.op2_toxicity import toxicity
 from phrasemill.llm.op3_pii import pii_spans
 from phrasemill.llm.op4_quality import quality
+from phrasemill.llm.op5_token_counts import takedown_edits, token_counts
 from phrasemill.llm.op6_embedding_dedup import embedding_dedup
 from phrasemill.llm.op7_best_fit_packing import best_fit_packing
 from phrasemill.llm.op8_sentencepiece import sentencepiece_digests
+from phrasemill.llm.op9_warc_fixity import audit, decayed, digests, records
 from phrasemill.llm.op10_ngram_join import ngram_join
 from phrasemill.llm.shared import ship, table, tokenizer_file
 
@@ -33,6 +35,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(takedown_edits(table(spark, sf_dir, "documents")), tokenizer_file("byte_bpe_50k.json"))
+
+
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup(table(spark, sf_dir, "embeddings"))
 
@@ -45,6 +51,11 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_digests(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op9_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    written = records(table(spark, sf_dir, "pages"))
+    return audit(digests(written), digests(decayed(written)))
+
+
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"))
 
@@ -56,6 +67,19 @@ from n window w as (partition by norm)
 """
 
 
+OP9_SQL = r"""
+with p as (select page_id, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10)
+    || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10)
+    || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) as payload from pages),
+r as (select page_id // 4096 as file_no, page_id % 4096 as record_no, page_id, payload, strlen(payload) as length, page_id * 7919 % 101 as fault from p),
+o as (select *, cast(sum(length) over (partition by file_no order by record_no) - length as bigint) as start from r)
+select file_no, record_no, page_id, start, length, sha256(payload) as left_sha,
+  case when fault = 7 then null else sha256(left(payload, 20) || '#' || substr(payload, 22)) end as right_sha,
+  case when fault = 7 then 'missing_right' else 'damaged' end as found
+from o where fault in (3, 5, 7)
+"""
+
+
 def _shipping(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)
@@ -65,8 +89,8 @@ def _shipping(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spar
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: _shipping(q) for q in (op1_exact_dedup, op2_toxicity, op3_pii, op4_quality, op6_embedding_dedup, op7_best_fit_packing, op8_sentencepiece, op10_ngram_join)}
+    return {q.__name__: _shipping(q) for q in (op1_exact_dedup, op2_toxicity, op3_pii, op4_quality, op5_token_counts, op6_embedding_dedup, op7_best_fit_packing, op8_sentencepiece, op9_warc_fixity, op10_ngram_join)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op9_warc_fixity": OP9_SQL}
