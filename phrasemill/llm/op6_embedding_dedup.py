@@ -3,8 +3,8 @@
 Equal vectors are one row with a count before anything else. Centroids are fitted on a bounded sample by Lloyd steps
 on the sphere. A vector has a home cell, and is a guest of each further cell whose bisecting plane it lies near: a pair
 at the threshold is parted by d = sqrt(2 - 2 t), and along one direction in ``dim`` dimensions noise of that length
-has the deviation d / sqrt(dim), so ``REACH`` = 4 of these keep all but a few pairs per 100,000 of pairs with isotropic
-differences (recall against brute force is measured in the tests: 1.0 on the given tables). Cells hold about
+has the deviation d / sqrt(dim). A pair is lost only if both its vectors lie more than ``REACH`` = 1.5 of these from the
+plane between them, three deviations apart, so about one threshold pair in a thousand and fewer of closer ones (recall against brute force is measured in the tests: 1.0 on the given tables). Cells hold about
 ``CELL_ROWS`` rows; larger ones are compared block by block. Tasks return sums of links per vector and a forest of
 links, never the pairs.
 """
@@ -23,7 +23,7 @@ from phrasemill.llm.components import components
 from phrasemill.llm.op10_ngram_join import Forest
 from phrasemill.llm.shared import materialise, parts
 
-THRESHOLD, CELL_ROWS, BLOCK_ROWS, SAMPLE_ROWS, MOST_CELLS, STEPS, REACH = 0.9, 1500, 2000, 20_000, 4096, 8, 4.0
+THRESHOLD, CELL_ROWS, BLOCK_ROWS, SAMPLE_ROWS, MOST_CELLS, STEPS, REACH = 0.9, 1500, 20_000, 20_000, 4096, 8, 1.5
 
 
 def spherical_kmeans(x: np.ndarray, k: int, steps: int = STEPS, seed: int = 7) -> np.ndarray:
@@ -91,8 +91,8 @@ def _compare(threshold: float):
         left = np.array([i for i, s in enumerate(side) if s in "lb"], np.int64)
         right = np.array([i for i, s in enumerate(side) if s in "rb"], np.int64)
         extra, forest, a, b = np.zeros(len(ids), np.int64), Forest(len(ids)), [], []
-        for lo in range(0, len(left), 512):
-            i, j = np.nonzero(x[left[lo : lo + 512]] @ x[right].T >= threshold)
+        for lo in range(0, len(left), 256):
+            i, j = np.nonzero(x[left[lo : lo + 256]] @ x[right].T >= threshold)
             i, j = left[lo + i], right[j]
             # two at home: once, by id; one at home: here unless the other cell compares them too and comes first
             both = home[i] == home[j]
