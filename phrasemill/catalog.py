@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-PLANS = ("bibliography",)
+PLANS = ("bibliography", "numbers")
 
 
 def _all() -> dict[str, tuple]:
