@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-PLANS = ("bibliography", "numbers")
+PLANS = ("bibliography", "numbers", "logs")
 
 
 def _all() -> dict[str, tuple]:
