@@ -1,4 +1,4 @@
-"""Connected components of an edge table, by minimum labels with pointer jumping."""
+"""Connected components of an edge table, by contraction to minimum neighbours."""
 
 from __future__ import annotations
 
@@ -11,20 +11,30 @@ from phrasemill.llm.shared import materialise
 def components(edges: DataFrame) -> DataFrame:
     """edges(a long, b long) -> (id, component): the smallest id reachable, for each id that has an edge.
 
-    Every round takes the least label around each id (a partial aggregate, so a hub's edges shrink before the
-    shuffle) and then jumps to the label's own label; rounds needed grow with the logarithm of a component's
-    diameter. Labels are written to the shared folder each round. Self loops and repeated edges are allowed.
+    Each round hangs every node on its least neighbour if that is smaller (a partial aggregate, so a hub's edges shrink
+    before the shuffle), shortens the chains by pointer jumping to their roots, and goes on with the edges between different
+    roots only. A root is the least node of its tree, and of two neighbouring trees one is hung on the other, so at least half
+    of the trees go each round and the edge table shrinks. Every table is written to the shared folder. Self loops and repeated
+    edges are allowed.
     """
-    both = materialise(
-        edges.where("a <> b").select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*").distinct(),
-        "edges",
-    )
-    labels = materialise(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("least")).select("id", F.least("id", "least").alias("component")), "labels")
-    while True:
-        near = both.join(labels.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("least"))
-        lower = labels.join(near, "id").select("id", F.col("component").alias("was"), F.least("component", "least").alias("component"))
-        jump = labels.select(F.col("id").alias("component"), F.col("component").alias("jump"))
-        after = materialise(lower.join(jump, "component", "left").select("id", "was", F.least("component", F.coalesce("jump", "component")).alias("component")), "labels")
-        labels = after.select("id", "component")
-        if after.where("component < was").isEmpty():
-            return labels
+    left = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    maps = []
+    while not left.isEmpty():
+        down = left.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("up"))
+        up = materialise(down, "up")
+        while True:
+            above = up.select(F.col("id").alias("up"), F.col("up").alias("top"))
+            if up.join(above, "up", "left_semi").isEmpty():
+                break
+            up = materialise(up.join(above, "up", "left").select("id", F.coalesce("top", "up").alias("up")), "up")
+        maps.append((up, left))
+        ends = left.join(up.withColumnRenamed("id", "a"), "a").select(F.col("up").alias("x"), "b")
+        ends = ends.join(up.select(F.col("id").alias("b"), F.col("up").alias("y")), "b", "left").select("x", F.coalesce("y", "b").alias("y")).where("x <> y")
+        left = materialise(ends.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), "edges")
+    if not maps:
+        return left.select(F.col("a").alias("id"), F.col("b").alias("component"))
+    first = maps[0][1]
+    out = first.select(F.col("a").alias("id")).union(first.select(F.col("b").alias("id"))).distinct().withColumn("component", F.col("id"))
+    for up, _ in maps:
+        out = out.join(up.select(F.col("id").alias("component"), "up"), "component", "left").select("id", F.coalesce("up", "component").alias("component"))
+    return materialise(out, "components")
