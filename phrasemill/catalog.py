@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-PLANS = ("bibliography", "numbers", "logs", "generation")
+PLANS = ("bibliography", "numbers", "logs", "generation", "streams")
 
 
 def _all() -> dict[str, tuple]:
