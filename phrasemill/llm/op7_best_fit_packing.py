@@ -1,10 +1,9 @@
 """Best-fit packing with certified bounds.
 
 Documents become pieces of at most ``room`` tokens. Every partition packs its pieces best-fit decreasing and states a
-lower bound of its bins from dual feasible functions. A partition that meets its bound is certified; the others
-give up the pieces of their bins with gaps, which are dealt into fewer partitions and packed again, until one partition's
-worth is left, all is certified, or a round saves nothing. The number of bins is finally held against
-the bound of all pieces.
+lower bound of its bins from dual feasible functions. A partition that meets its bound is certified and gives up its
+emptiest bin only; the others give up all their bins with gaps. These pieces are dealt into fewer partitions and packed
+again, until one partition is left, nothing is given up, or a round saves nothing.
 """
 
 from __future__ import annotations
@@ -101,7 +100,7 @@ def _pack(room: int, turn: int):
         n = len(size)
         cols = [own.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")]
         seq = (turn << 58) | (own.column("task")[0].as_py() << 26)
-        return pa.table([*cols, pa.array(seq + b), pa.array(offset), pa.array((fill[b] < room) & (len(fill) > bound)), pa.array(np.full(n, bound)), pa.array(np.full(n, len(fill)))], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "gap", "bound", "bins"])
+        return pa.table([*cols, pa.array(seq + b), pa.array(offset), pa.array((fill[b] < room) & ((len(fill) > bound) | (b == fill.argmin()))), pa.array(np.full(n, bound)), pa.array(np.full(n, len(fill)))], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "gap", "bound", "bins"])
 
     return job
 
