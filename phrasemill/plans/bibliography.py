@@ -96,12 +96,15 @@ QUERIES = {
     "c01_c02_e01_g02_merged": (lambda s, d: merged(s, d), chain("select id, source_file, title, lang, lccn, isbn, work_key, subtitle from merged")),
     "c03_d08_f01_patterns": (
         lambda s, d: b.pattern_index(b.templates(sentences(s, d), b.lexicon(s))).where("count >= 2").orderBy(F.desc("count"), "template").limit(50),
-        None,
+        f"with {duck.LEX}{duck.TEMPLATES} select template, count(*) as count, arg_min(phrase, id) as example from tpl group by 1 having count(*) >= 2 order by 2 desc, 1 limit 50",
     ),
     "c04_provenance": (lambda s, d: b.provenance(pools(s, d), merged(s, d)), chain("select slot_type, filler, m.title, m.subtitle as subtitle_text, case when source_file = 'openlibrary' then 'OL' else 'LOC' end as source_tag from pools p join merged m on m.id = p.source_subtitle_id")),
     "c05_find_sources": (
         lambda s, d: b.find_sources(pools(s, d).select("slot_type", F.upper("filler").alias("filler")).unionByName(s.createDataFrame([("of_object", "the secret"), ("of_object", "no such thing")], "slot_type string, filler string")), pools(s, d), merged(s, d)),
-        None,
+        chain(r"""select slot_type, filler, case when h is not null then concat_ws(': ', nullif(regexp_replace(trim(coalesce(h.title, '')), '[ /:]+$', ''), ''), nullif(regexp_replace(trim(coalesce(h.text, '')), '[ /:]+$', ''), '')) end as description, h.tag as source_tag from (
+          select w.slot_type, w.filler, coalesce(k.s, c.s) as h from wa w left join kn k on k.slot_type = w.slot_type and k.k = lower(w.filler)
+          left join (select w.slot_type, w.filler, arg_min({'filler': w.filler, 'title': m.title, 'text': m.subtitle, 'tag': case when source_file = 'openlibrary' then 'OL' else 'LOC' end}, m.id) as s from wa w join merged m on contains(lower(m.subtitle), lower(w.filler)) where not exists (select 1 from kn where kn.slot_type = w.slot_type and kn.k = lower(w.filler)) group by 1, 2) c on c.slot_type = w.slot_type and c.filler = w.filler) x""",
+          more="wa as (select slot_type, upper(filler) as filler from pools union all select * from (values ('of_object', 'the secret'), ('of_object', 'no such thing')) v(a, b)), kn as (select p.slot_type, lower(p.filler) as k, min({'filler': p.filler, 'title': m.title, 'text': m.subtitle, 'tag': case when source_file = 'openlibrary' then 'OL' else 'LOC' end}) as s from pools p join merged m on m.id = p.source_subtitle_id group by 1, 2)"),
     ),
     "c08_e10_articles": (
         lambda s, d: b.article_for(pools(s, d).where("slot_type = 'of_object'").select(F.col("filler").alias("phrase")), b.majority_articles(articles(s, d))),
@@ -138,7 +141,7 @@ QUERIES = {
         lambda s, d: pools(s, d).unionByName(parts(s, d), allowMissingColumns=True),
         chain("select slot_type, filler, freq, source_subtitle_id, cast(null as varchar) as pos_tag, cast(null as varchar) as prep from pools union all select slot_type, filler, freq, source_subtitle_id, pos_tag, prep from parts"),
     ),
-    "h12_h13_templates": (lambda s, d: b.templates(sentences(s, d), b.lexicon(s)).select("id", "template", F.transform("slot_data", lambda x: F.concat_ws("|", x["pos"], x["text"], x["multi"].cast("string"))).alias("slots")), None),
+    "h12_h13_templates": (lambda s, d: b.templates(sentences(s, d), b.lexicon(s)).select("id", "template", F.transform("slot_data", lambda x: F.concat_ws("|", x["pos"], x["text"], x["multi"].cast("string"))).alias("slots")), f"with {duck.LEX}{duck.TEMPLATES} select id, template, slots from tpl"),
     "h14_h16_splits": (
         lambda s, d: split(s, d).select("filler", "prep_split.topic", "prep_split.prep", "prep_split.complement", "compound.modifier", "compound.modifier_pos", "compound.head", "compound.head_pos", "remix_type", "remix_prep", "remix_word_count"),
         chain("select filler, topic, prep, complement, modifier, modifier_pos, head, head_pos, remix_type, remix_prep, case when remix_type is not null then wc end as remix_word_count from cut"),

@@ -126,7 +126,6 @@ CHAIN = {
         select 'of_modifier', modifier, modifier_pos, null, freq, source_subtitle_id, filler from cut where modifier is not null union all
         select 'of_head', head, head_pos, null, freq, source_subtitle_id, filler from cut where modifier is not null""",
     "parts": "select slot_type, part as filler, pos_tag, prep, cast(total as bigint) as freq, source_subtitle_id from (select *, sum(freq) over w as total, row_number() over (w order by source_subtitle_id, filler) as rn from subs window w as (partition by slot_type, lower(part))) s where rn = 1",
-    "english": r"select doc_id * 10000 + pos as id, trim(s) as phrase from (select doc_id, generate_subscripts(string_split_regex(text, '[.\n]'), 1) - 1 as pos, unnest(string_split_regex(text, '[.\n]')) as s from documents where lang = 'en') d where length(trim(s)) between 1 and 399 and pos < 5",
 }
 
 
@@ -134,3 +133,15 @@ def chain(query: str, views=("editions_raw",), more: str = "") -> str:
     """``query`` after the views, the lexicon and the whole chain."""
     own = ",\n".join(f"{n} as ({q})" for n, q in CHAIN.items())
     return fixtures.with_views(list(views), f", {LEX}, {PARAMS},\n{own}{', ' + more if more else ''}\n{query}")
+
+
+#: Short English sentences, their tokens, runs of tokens and templates, by gaps and islands.
+TEMPLATES = rf""", sen as (select doc_id * 10000 + pos as id, trim(s) as phrase from (select doc_id, generate_subscripts(x, 1) - 1 as pos, unnest(x) as s from (select doc_id, string_split_regex(text, '[.\n]') as x from documents where lang = 'en') d) e where pos < 5 and length(trim(s)) between 1 and 399),
+tk0 as (select id, phrase, {tok("phrase")} as t, {tags("phrase")} as g from sen),
+tk1 as (select id, generate_subscripts(t, 1) as pos, unnest(t) as w, unnest(g) as g from tk0),
+tk2 as (select *, (g = 'PUNCT' and w in ({quoted(lists.LITERAL_PUNCTUATION)})) as lp, lower(w) in ({quoted(lists.LITERALS)}) as lw from tk1),
+tk3 as (select *, case when lp then w when lw then lower(w) else g end as p, not lp and not lw as open from tk2),
+tk4 as (select *, case when open and coalesce(lag(open) over o, false) and lag(p) over o = p then 0 else 1 end as new from tk3 window o as (partition by id order by pos)),
+tk5 as (select *, sum(new) over (partition by id order by pos) as run from tk4),
+rn as (select id, run, any_value(p) as p, any_value(open) as open, count(*) as n, string_agg(w, ' ' order by pos) as words from tk5 group by id, run),
+tpl as (select id, phrase, coalesce(template, '') as template, coalesce(slots, []) as slots from sen left join (select id, string_agg(p || case when n > 1 then '+' else '' end, ' ' order by run) as template, list(p || '|' || words || '|' || (n > 1) order by run) filter (open) as slots from rn group by id) r using (id))"""

@@ -131,7 +131,12 @@ QUERIES = {
         lambda sp, d: p.draw_large(pool(sp, d), fixtures.view(sp, d, "orders").select(F.col("o_orderkey").alias("seed"), F.lit("all").alias("pool"))),
         fixtures.with_views(["signals"], f", c as (select filler, sum(sqrt(freq)) over (order by filler) as hi, sum(sqrt(freq)) over (order by filler) - sqrt(freq) as lo, sum(sqrt(freq)) over () as t from signals) select o_orderkey as seed, 'all' as pool, filler from orders join c on {_U.format(chr(39).join(['o_orderkey || ', '|slot|1|a', '']))} * t >= lo and {_U.format(chr(39).join(['o_orderkey || ', '|slot|1|a', '']))} * t < hi"),
     ),
-    "k03_draw_two_large": (lambda sp, d: p.draw_large(pool(sp, d), fixtures.view(sp, d, "orders").select(F.col("o_orderkey").alias("seed"), F.lit("all").alias("pool")), two=True), None),
+    "k03_draw_two_large": (lambda sp, d: p.draw_large(pool(sp, d), fixtures.view(sp, d, "orders").select(F.col("o_orderkey").alias("seed"), F.lit("all").alias("pool")), two=True),
+        fixtures.with_views(["signals"], f""", c as (select filler, sqrt(freq) as w, sum(sqrt(freq)) over (order by filler) as hi, sum(sqrt(freq)) over (order by filler) - sqrt(freq) as lo, sum(sqrt(freq)) over () as t from signals),
+        u as (select o_orderkey as seed, {_U.format("o_orderkey || '|slot|1|a'")} as u1, {_U.format("o_orderkey || '|slot|2|b'")} as u2 from orders),
+        one as (select seed, filler, lo, w, u2 * (t - w) as v from u join c on u1 * t >= lo and u1 * t < hi)
+        select seed, 'all' as pool, one.filler, c.filler as filler2 from one join c on (case when v >= one.lo then v + one.w else v end) >= c.lo and (case when v >= one.lo then v + one.w else v end) < c.hi"""),
+    ),
     "f02_sample_per_group": (
         lambda sp, d: p.sample_per_group(fixtures.view(sp, d, "part").select("p_brand", F.col("p_partkey").cast("string").alias("key")), "p_brand", "key", 3, SEED),
         f"select p_brand, key from (select p_brand, p_partkey::varchar as key, row_number() over (partition by p_brand order by md5('{SEED}|' || p_partkey), p_partkey::varchar) as rn from part) x where rn <= 3",
