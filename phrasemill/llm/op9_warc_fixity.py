@@ -17,24 +17,32 @@ FILE_RECORDS, FANOUT = 4096, 16
 
 
 def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_col: str = "html") -> DataFrame:
-    """-> file_no, record_no, page_id, url, payload, start, length: a record is a header and the body; null counts as empty.
+    """-> file_no, record_no, page_id, payload: a record is a header and the body; null counts as empty. Nothing is shuffled.
 
-    A file holds the ids of one range of FILE_RECORDS, so its window is bounded; a record's number is its id's place in the range.
-    Of rows with one id the one with the least url and body counts. Ids must not be null or negative.
+    A file holds the ids of one range of FILE_RECORDS; a record's number is its id's place in the range. Ids must not be null
+    or negative; rows that repeat an id are settled by ``manifest``.
     """
     own = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(url_col, F.lit("")).alias("url"), F.coalesce(body_col, F.lit("")).alias("body"))
-    own = own.groupBy("page_id").agg(F.min(F.struct("url", "body")).alias("r")).select("page_id", "r.*")
     head = F.concat(F.lit("WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:"), F.col("page_id"), F.lit(">\r\nWARC-Target-URI: "), F.col("url"), F.lit("\r\nContent-Length: "), F.octet_length("body"), F.lit("\r\n\r\n"))
-    own = own.withColumn("payload", F.concat(head, F.col("body"), F.lit("\r\n\r\n"))).withColumn("length", F.octet_length("payload").cast("long"))
-    own = own.withColumns({"file_no": F.floor(F.col("page_id") / FILE_RECORDS), "record_no": F.col("page_id") % FILE_RECORDS})
-    narrow = own.select("page_id", "file_no", "record_no", "length")
-    start = narrow.withColumn("start", F.sum("length").over(W.partitionBy("file_no").orderBy("record_no")) - F.col("length")).select("page_id", "start")
-    return own.drop("body").join(start, "page_id")
+    return own.select(F.floor(F.col("page_id") / FILE_RECORDS).alias("file_no"), (F.col("page_id") % FILE_RECORDS).alias("record_no"), "page_id", F.concat(head, F.col("body"), F.lit("\r\n\r\n")).alias("payload"))
 
 
-def digests(replica: DataFrame) -> DataFrame:
-    """-> file_no, record_no, page_id, start, length, sha: a replica's records without their payload."""
-    return replica.select("file_no", "record_no", "page_id", "start", "length", F.sha2("payload", 256).alias("sha"))
+def _hashed(replica: DataFrame) -> DataFrame:
+    """A narrow row for each record: payloads are hashed where they are read. Of rows with one id that with the least digest counts."""
+    own = replica.select("file_no", "record_no", "page_id", F.struct(F.sha2("payload", 256).alias("sha"), F.octet_length("payload").cast("long").alias("length")).alias("d"))
+    return own.groupBy("file_no", "record_no", "page_id").agg(F.min("d").alias("d")).select("file_no", "record_no", "page_id", "d.sha", "d.length")
+
+
+def manifest(written: DataFrame) -> DataFrame:
+    """-> file_no, record_no, page_id, start, length, sha of the records as written; a file's window is bounded by FILE_RECORDS."""
+    start = F.sum("length").over(W.partitionBy("file_no").orderBy("record_no")) - F.col("length")
+    return materialise(_hashed(written).withColumn("start", start).select("file_no", "record_no", "page_id", "start", "length", "sha"), "manifest")
+
+
+def digests(replica: DataFrame, written: DataFrame) -> DataFrame:
+    """The records that a replica holds: ranges as the manifest ``written`` has them, digests of the replica's own bytes."""
+    keys = ["file_no", "record_no", "page_id"]
+    return materialise(written.drop("sha").join(_hashed(replica).select(*keys, "sha"), keys).select("file_no", "record_no", "page_id", "start", "length", "sha"), "digests")
 
 
 def tree(leaves: DataFrame) -> list[DataFrame]:
@@ -54,7 +62,7 @@ def tree(leaves: DataFrame) -> list[DataFrame]:
 
 
 def audit(left: DataFrame, right: DataFrame) -> DataFrame:
-    """digests of two replicas -> file_no, record_no, page_id, start, length, left_sha, right_sha, found of the records that differ.
+    """manifest or digests of two replicas -> file_no, record_no, page_id, start, length, left_sha, right_sha, found of the records that differ.
 
     ``found`` is damaged, or missing_left, missing_right for a record that one replica lacks. Equal replicas and empty tables
     give an empty result.

@@ -14,7 +14,7 @@ from phrasemill.llm.op5_token_counts import takedown_edits, token_counts
 from phrasemill.llm.op6_embedding_dedup import embedding_dedup
 from phrasemill.llm.op7_best_fit_packing import best_fit_packing
 from phrasemill.llm.op8_sentencepiece import sentencepiece_digests
-from phrasemill.llm.op9_warc_fixity import audit, decayed, digests, records
+from phrasemill.llm.op9_warc_fixity import audit, decayed, digests, manifest, records
 from phrasemill.llm.op10_ngram_join import ngram_join
 from phrasemill.llm.shared import ship, table, tokenizer_file
 
@@ -53,7 +53,8 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     written = records(table(spark, sf_dir, "pages"))
-    return audit(digests(written), digests(decayed(written)))
+    first = manifest(written)
+    return audit(first, digests(decayed(written), first))
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -338,12 +338,13 @@ def test_sentencepiece(docs, empty):
 def test_fixity(spark):
     pages = spark.createDataFrame([(i, f"http://x/{i}", None if i % 9 == 0 else "é" * (i % 50)) for i in range(0, 9000, 7)] + [(7, "http://a", "earlier")], "page_id long, url string, html string")
     whole = op9_warc_fixity.records(pages)
-    assert whole.count() == 1286
-    a = op9_warc_fixity.digests(whole)
+    a = op9_warc_fixity.manifest(whole)
+    assert a.count() == 1286
     assert op9_warc_fixity.audit(a, a).count() == 0
-    hurt = op9_warc_fixity.digests(whole.where("page_id <> 700").withColumn("payload", F.when(F.col("page_id") == 4200, "x").otherwise(F.col("payload"))))
+    assert op9_warc_fixity.audit(a, op9_warc_fixity.digests(whole, a)).count() == 0
+    hurt = op9_warc_fixity.digests(whole.where("page_id <> 700").withColumn("payload", F.when(F.col("page_id") == 4200, "x").otherwise(F.col("payload"))), a)
     got = {r.page_id: r.found for r in op9_warc_fixity.audit(a, hurt).collect()}
     assert got == {700: "missing_right", 4200: "damaged"}
     assert {r.found for r in op9_warc_fixity.audit(hurt, a).collect()} == {"missing_left", "damaged"}
-    none = op9_warc_fixity.digests(op9_warc_fixity.records(pages.where("false")))
+    none = op9_warc_fixity.manifest(op9_warc_fixity.records(pages.where("false")))
     assert op9_warc_fixity.audit(none, none).count() == 0
