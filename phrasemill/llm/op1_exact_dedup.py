@@ -3,11 +3,13 @@
 Sampled splitters deal the normalised bytes out by range: the range key is the leading bytes and a fingerprint,
 so that splitters stay small and a common opening does not gather in one task. Each partition is sorted
 externally by the whole text and the id; equal texts are then neighbours, compared in full by the window, and
-the smallest id of a run stays. Texts with a fingerprint that at least one row in ``HOT_SHARE`` carries (so
-there are at most ``HOT_SHARE`` of them) are first dealt into ``SALTS`` runs, whose heads are merged afterwards.
+the smallest id of a run stays. Texts with a fingerprint that fills about a partition or more (one row in ``HOT_SHARE``, or in
+as many as there are partitions, carries it, so there are at most that many of them) are first dealt into salted runs of half
+a partition, ``SALTS`` at least, whose heads are merged afterwards.
 
-Null text counts as empty. Ties cannot arise, as ids are unique; repeated ids count as separate rows with the
-same keep_id. An empty table gives an empty result. Other columns of the input, whatever their names, are ignored.
+Null text counts as empty. Repeated ids count as separate rows with the same keep_id, all kept if the id is the smallest. Null ids
+come after all others: such a row stays only where no equal text has an id. An empty table gives an empty result. Other
+columns of the input, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -31,14 +33,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """-> doc_id, keep_id, group_size, kept, text_sha256: one row per input row."""
     rows = docs.select(F.col(id_col).alias("doc_id"), normalised(text_col).alias("norm")).withColumn("print", F.xxhash64("norm"))
     counts = rows.groupBy("print").agg(F.count(F.lit(1)).alias("n"))
-    total = docs.count()
-    hot = counts.where((F.col("n") >= HOT_ROWS) & (F.col("n") * HOT_SHARE >= total)).select("print", F.lit(True).alias("hot"))
-    salted = rows.join(F.broadcast(hot), "print", "left").withColumn("salt", F.when(F.col("hot"), 1 + F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).otherwise(F.lit(0)))
-    dealt = salted.select("doc_id", "norm", "print", "salt", F.substring("norm", 1, LEAD_BYTES).alias("lead")).repartitionByRange(parts(docs.sparkSession), "lead", "print", "salt")
+    total, tasks = docs.count(), parts(docs.sparkSession)
+    share = max(HOT_SHARE, tasks)  # a bound of the rows of hot and merged, which are broadcast
+    hot = counts.where((F.col("n") >= HOT_ROWS) & (F.col("n") * share >= total)).select("print", F.greatest(F.lit(SALTS), F.ceil(F.col("n") * (2 * tasks) / total)).alias("salts"))
+    salted = rows.join(F.broadcast(hot), "print", "left").withColumn("salt", F.coalesce(1 + F.pmod(F.xxhash64("doc_id"), "salts"), F.lit(0)))
+    dealt = salted.select("doc_id", "norm", "print", "salt", F.substring("norm", 1, LEAD_BYTES).alias("lead")).repartitionByRange(tasks, "lead", "print", "salt")
     run = W.partitionBy("lead", "print", "salt", "norm")
     runs = dealt.withColumns({"head": F.min("doc_id").over(run), "n": F.count(F.lit(1)).over(run)})
     runs = materialise(runs.select("doc_id", "salt", "head", "n", F.sha2("norm", 256).alias("text_sha256")), "runs")
     heads = runs.where("salt > 0").groupBy("text_sha256", "salt", "head").agg(F.max("n").alias("n"))
-    merged = heads.groupBy("text_sha256").agg(F.min("head").alias("all_head"), F.sum("n").alias("all_n"))  # HOT_SHARE rows at most
+    merged = heads.groupBy("text_sha256").agg(F.min("head").alias("all_head"), F.sum("n").alias("all_n"))  # share rows at most
     whole = runs.join(F.broadcast(merged), "text_sha256", "left").withColumns({"keep_id": F.coalesce("all_head", "head"), "group_size": F.coalesce("all_n", "n")})
-    return whole.select("doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256")
+    return whole.select("doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
