@@ -2,8 +2,8 @@
 
 Documents become pieces of at most ``room`` tokens. Every partition packs its pieces best-fit decreasing and states a
 lower bound of its bins from dual feasible functions. A partition that meets its bound is certified and gives up its
-emptiest bin only; the others give up all their bins with gaps. These pieces are dealt into fewer partitions and packed
-again, until one partition is left, nothing is given up, or a round saves nothing.
+emptiest bin only; the others give up all their bins with gaps. These pieces are dealt into fewer partitions, of
+``PARTITION_PIECES`` on average at most, and packed again, until one partition is left, nothing is given up, or a round saves nothing.
 """
 
 from __future__ import annotations
@@ -123,7 +123,7 @@ def best_fit_packing(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
     for turn in range(ROUNDS):
         dealt = left.withColumn("task", F.pmod(F.xxhash64("doc_id", "piece", F.lit(turn)), F.lit(tasks)))
         placed = materialise(dealt.groupBy("task").applyInArrow(_pack(room, turn), PLACED), "packed")
-        bins, open_bins = placed.agg(F.count_distinct("sequence_id"), F.count_distinct(F.when(F.col("gap"), F.col("sequence_id")))).first()
+        bins, open_bins, open_pieces = placed.agg(F.count_distinct("sequence_id"), F.count_distinct(F.when(F.col("gap"), F.col("sequence_id"))), F.count_if("gap")).first()
         if open_before is not None and bins >= open_before[0]:
             kept.append(open_before[1])
             break
@@ -132,7 +132,7 @@ def best_fit_packing(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
             break
         kept.append(placed.where("not gap"))
         open_before = (open_bins, placed.where("gap"))
-        left, tasks = open_before[1].select(all_pieces.columns), max(1, tasks // 8)
+        left, tasks = open_before[1].select(all_pieces.columns), max(1, tasks // 8, math.ceil(open_pieces / PARTITION_PIECES))
     out = kept[0]
     for more in kept[1:]:
         out = out.unionByName(more)
