@@ -19,12 +19,12 @@ FILE_RECORDS, FANOUT = 4096, 16
 def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_col: str = "html") -> DataFrame:
     """-> file_no, record_no, page_id, payload: a record is a header and the body; null counts as empty. Nothing is shuffled.
 
-    A file holds the ids of one range of FILE_RECORDS; a record's number is its id's place in the range. Ids must not be null
-    or negative; rows that repeat an id are settled by ``manifest``.
+    A file holds the ids of one range of FILE_RECORDS; a record's number is its id's place in the range, for negative ids too. A page
+    without an id has no address and makes no record; rows that repeat an id are settled by ``manifest``.
     """
-    own = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(url_col, F.lit("")).alias("url"), F.coalesce(body_col, F.lit("")).alias("body"))
+    own = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(url_col, F.lit("")).alias("url"), F.coalesce(body_col, F.lit("")).alias("body")).where("page_id is not null")
     head = F.concat(F.lit("WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:"), F.col("page_id"), F.lit(">\r\nWARC-Target-URI: "), F.col("url"), F.lit("\r\nContent-Length: "), F.octet_length("body"), F.lit("\r\n\r\n"))
-    return own.select(F.floor(F.col("page_id") / FILE_RECORDS).alias("file_no"), (F.col("page_id") % FILE_RECORDS).alias("record_no"), "page_id", F.concat(head, F.col("body"), F.lit("\r\n\r\n")).alias("payload"))
+    return own.select(F.floor(F.col("page_id") / FILE_RECORDS).alias("file_no"), F.pmod("page_id", F.lit(FILE_RECORDS)).alias("record_no"), "page_id", F.concat(head, F.col("body"), F.lit("\r\n\r\n")).alias("payload"))
 
 
 def _hashed(replica: DataFrame) -> DataFrame:
