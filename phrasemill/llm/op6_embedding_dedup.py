@@ -90,7 +90,7 @@ def _compare(threshold: float):
         x = _unit(_vectors(t.column("v").combine_chunks()))
         left = np.array([i for i, s in enumerate(side) if s in "lb"], np.int64)
         right = np.array([i for i, s in enumerate(side) if s in "rb"], np.int64)
-        extra, forest, a, b = np.zeros(len(ids), np.int64), Forest(len(ids)), [], []
+        extra, forest, tree, a, b = np.zeros(len(ids), np.int64), Forest(len(ids)), np.arange(len(ids)), [], []
         for lo in range(0, len(left), 256):
             i, j = np.nonzero(x[left[lo : lo + 256]] @ x[right].T >= threshold)
             i, j = left[lo + i], right[j]
@@ -102,9 +102,14 @@ def _compare(threshold: float):
             i, j = i[keep], j[keep]
             np.add.at(extra, i, copies[j])
             np.add.at(extra, j, copies[i])
-            for p, q in zip(i.tolist(), j.tolist()):
+            p, q = tree[i], tree[j]  # only links between different trees go on, each pair of trees once
+            for key in np.unique((np.minimum(p, q) * len(ids) + np.maximum(p, q))[p != q]).tolist():
+                p, q = divmod(key, len(ids))
                 if forest.join(p, q):
                     a.append(int(ids[p])), b.append(int(ids[q]))
+            tree = np.array(forest.up)
+            while (tree[tree] != tree).any():
+                tree = tree[tree]
         some = np.flatnonzero(extra)
         n = len(some)
         return pa.table({"id": pa.array(np.append(ids[some], a).astype(np.int64)), "links": pa.array(np.append(extra[some], np.zeros(len(a))).astype(np.int64)), "b": pa.array([None] * n + b, pa.int64())})
@@ -115,11 +120,11 @@ def _compare(threshold: float):
 def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, reach: float = REACH) -> DataFrame:
     """-> vec_id, n_links, component_id, kept: one row per input row (ids are taken as unique, vectors of one length).
 
-    Vectors that are null, empty, zero, or hold null or non-finite components link with nothing. Equal vectors always
-    link. An empty table gives an empty result; other columns are ignored.
+    Vectors that are null, empty, zero, or hold null or non-finite components link with nothing, nor do rows without an id,
+    which are kept and have no component. Equal vectors always link. An empty table gives an empty result; other columns are ignored.
     """
     spark = vectors.sparkSession
-    rows = materialise(vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).mapInArrow(_pack, "vec_id long, v binary"), "vectors")
+    rows = materialise(vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.when(F.col(id_col).isNotNull(), F.col(vector_col).cast("array<double>")).alias("v")).mapInArrow(_pack, "vec_id long, v binary"), "vectors")
     own = materialise(rows.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("copies")), "distinct")
     n = own.count()
     if n:
@@ -144,4 +149,4 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     else:
         out = rows.where("v is not null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     out = out.unionByName(rows.where("v is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
-    return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
