@@ -348,3 +348,37 @@ def test_fixity(spark):
     assert {r.found for r in op9_warc_fixity.audit(hurt, a).collect()} == {"missing_left", "damaged"}
     none = op9_warc_fixity.manifest(op9_warc_fixity.records(pages.where("false")))
     assert op9_warc_fixity.audit(none, none).count() == 0
+
+
+def test_pages_without_or_below_zero(spark):
+    pages = spark.createDataFrame([(-1, "a", "x"), (-4097, "b", "y"), (3, "c", "z"), (None, "d", "w")], "page_id long, url string, html string")
+    a = op9_warc_fixity.manifest(op9_warc_fixity.records(pages))
+    assert {(r.file_no, r.record_no) for r in a.collect()} == {(-1, 4095), (-2, 4095), (0, 3)}
+    assert {r.page_id for r in op9_warc_fixity.audit(a, a.where("page_id <> -1")).collect()} == {-1}
+
+
+def test_rows_without_an_id(spark, docs):
+    few = docs.where("doc_id >= 16")
+    lost = few.where("doc_id in (16, 17)").withColumn("doc_id", F.lit(None).cast("long"))
+    got = by_id(exact_dedup(few.where("doc_id <> 17 and text <> '" + BASE[1] + "'").unionByName(lost).unionByName(few.where("doc_id = 20"))).select("*", F.col("doc_id").isNull().alias("x")).where("x or doc_id = 20").withColumn("doc_id", F.struct("doc_id", "text_sha256")))
+    assert sorted((k.doc_id is None, r.kept) for k, r in got.items()) == [(False, True), (True, False), (True, True)]
+    plain = {r.doc_id: (r.n_shingles, r.component_id) for r in op10_ngram_join.ngram_join(few).collect()}
+    rows = op10_ngram_join.ngram_join(few.unionByName(lost)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows if r.doc_id is not None} == plain
+    assert [(r.n_shingles > 0, r.component_id) for r in rows if r.doc_id is None] == [(True, None)] * 2
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.01]), (None, [1.0, 0.0]), (None, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    assert sorted((r.vec_id or 0, r.n_links, r.component_id, r.kept) for r in op6_embedding_dedup.embedding_dedup(vectors).collect()) == [(0, 0, None, True)] * 2 + [(1, 1, 1, True), (2, 1, 1, False)]
+
+
+def test_forest_of_a_dense_cell(spark):
+    x = np.random.default_rng(5).normal(size=(40, 8)).repeat(30, 0) + np.random.default_rng(6).normal(size=(1200, 8)) * 0.02
+    rows = by_id(op6_embedding_dedup.embedding_dedup(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")), "vec_id")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = (u @ u.T >= 0.9) & ~np.eye(len(u), dtype=bool)
+    low = np.arange(len(u))
+    while True:
+        new = np.minimum(low, np.where(near, low[None], len(u)).min(1))
+        if (new == low).all():
+            break
+        low = new
+    assert [rows[i].n_links for i in range(len(u))] == near.sum(1).tolist() and [rows[i].component_id for i in range(len(u))] == low.tolist()
