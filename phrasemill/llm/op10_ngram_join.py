@@ -8,10 +8,12 @@
 2. *Classes.* Documents with the same set are one class (map-side minimum by fingerprint); only the class
    representative, its smallest id, goes on.
 3. *Prefix join.* The first n - ceil(0.8 n) + l keys of each set, l = 1 + n / 20, are dealt into buckets by key, heavy keys
-   into several by the document. Linked sets share at least l (the smaller one's) of these keys. Of keys that up to PAIR_GROUP
+   into several by the document, whose parts are joined again by size. Linked sets share at least l (the smaller one's) of these keys. Of keys that up to PAIR_GROUP
    sets share, the pairs that pass the length filter are counted, and those counted l times go on. Of keys that more sets share
    only a spanning forest leaves the bucket, over the pairs that pass the length and positional filters; the latter allows
-   for l - 1 shared keys before this one, as a pair with more has been counted already.
+   for l - 1 shared keys before this one, as a pair with more has been counted already. Of a key that is dealt into several
+   buckets each part leaves a chain by size and its smallest set of each size; these are chained by size over all parts, so
+   every pair that passes the length filter is joined, whichever parts it lies in.
 4. *Verification.* Candidate clusters are gathered, large ones cut into cells by size, and in a cell each set that
    may still join another component is counted exactly against the sets that share a shingle with it, once per pair.
    Cells return forests of verified links. Clusters of several cells are compared cell against cell
@@ -146,11 +148,16 @@ def _sets(width: int, share: int, heavy, whole: bool):
     return job
 
 
-def _deal(buckets: int, heavy):
+def spread(keys: np.ndarray, most: int) -> np.ndarray:
+    """Into how many parts of about ``most`` sets each key is dealt; its class tells."""
+    kind = keys >> _CLASS
+    return np.where(kind > 0, 1 + (np.uint64(1) << kind) // np.uint64(most), np.uint64(1))
+
+
+def _deal(buckets: int, most: int):
     """Prefix keys to buckets: one row of packed keys for each bucket and group of documents."""
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spread = 1 + (np.uint64(1) << heavy.value[1]) // np.uint64(BUCKET_KEYS) if len(heavy.value[0]) else None
         for batch in batches:
             ids, n = batch.column("doc_id").to_numpy(zero_copy_only=False), batch.column("n").to_numpy(zero_copy_only=False)
             prefixes = [np.frombuffer(x, np.uint64) for x in batch.column("prefix").to_pylist()]
@@ -158,10 +165,7 @@ def _deal(buckets: int, heavy):
             keys = np.concatenate([*prefixes, np.zeros(0, np.uint64)])
             who = np.repeat(np.arange(len(ids)), lens)
             pos = np.arange(len(keys)) - np.repeat(np.cumsum(lens) - lens, lens)
-            salt = np.zeros(len(keys), np.uint64)
-            if spread is not None and (hot := np.flatnonzero(keys >> _CLASS)).size:
-                at = np.minimum(np.searchsorted(heavy.value[0], keys[hot] & np.uint64((1 << 58) - 1)), len(spread) - 1)
-                salt[hot] = mix(ids[who[hot]].astype(np.int64).view(np.uint64)) % spread[at]
+            salt = mix(ids[who].astype(np.int64).view(np.uint64)) % spread(keys, most)
             with np.errstate(over="ignore"):
                 bucket = (mix(keys + salt * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
@@ -202,9 +206,9 @@ class Forest:
         return a != b
 
 
-def _forest(ns: np.ndarray, pos: np.ndarray, lo: int, hi: int, share: int) -> Iterator[tuple[int, int]]:
+def _forest(ns: np.ndarray, pos: np.ndarray, lo: int, hi: int, share: int, chain: bool) -> Iterator[tuple[int, int]]:
     """Of the sets lo..hi that hold one key, sorted by size: links that join whatever the filters let pass."""
-    if hi - lo > GROUP_MOST:  # neighbours by length: their chain holds every pair that the length filter lets pass
+    if chain or hi - lo > GROUP_MOST:  # neighbours by length: their chain holds every pair that the length filter lets pass
         x = np.arange(lo, hi - 1)
         yield from ((int(i), int(i) + 1) for i in x[ns[x] * 100 >= ns[x + 1] * share])
         return
@@ -230,8 +234,11 @@ def _tally(a: np.ndarray, b: np.ndarray, need: np.ndarray, count: np.ndarray) ->
     return a[first], b[first], need[first], np.add.reduceat(count, first) if len(first) else count
 
 
-def _candidates(share: int, buckets: int):
-    """Of a bucket: counted pairs of the small groups and forests of the large ones, packed by a hash of the pair."""
+def _candidates(share: int, buckets: int, most: int):
+    """Of a bucket: counted pairs of the small groups and forests of the large ones, packed by a hash of the pair.
+
+    The parts of a dealt key also leave rows (key, smallest id, size) with the count -1, packed by a hash of the key.
+    """
 
     def job(table: pa.Table) -> pa.Table:
         load = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in table.column(name).to_pylist()])
@@ -239,22 +246,26 @@ def _candidates(share: int, buckets: int):
         order = np.lexsort((ids, ns, keys))
         keys, ids, ns, pos = keys[order], ids[order], ns[order], pos[order]
         cut = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        size = np.diff(np.append(cut, len(keys)))
+        size, dealt = np.diff(np.append(cut, len(keys))), spread(keys[cut], most) > 1
+        small, large = ~dealt & (size > 1) & (size <= PAIR_GROUP), (size > 1) & (dealt | (size > PAIR_GROUP))
         xs, ys, forest, own = [], [], Forest(len(ids)), np.unique(ids, return_inverse=True)[1]
-        for k in np.unique(size[(size > 1) & (size <= PAIR_GROUP)]).tolist():
+        for k in np.unique(size[small]).tolist():
             i, j = np.triu_indices(k, 1)
-            base = cut[size == k][:, None]
+            base = cut[small & (size == k)][:, None]
             x, y = (base + i).ravel(), (base + j).ravel()
             fits = ns[x] * 100 >= ns[y] * share
             xs.append(x[fits]), ys.append(y[fits])
         x, y = np.concatenate([*xs, np.zeros(0, np.int64)]), np.concatenate([*ys, np.zeros(0, np.int64)])
         counted = [np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y]), extra(ns[x]), np.ones(len(x), np.int64)]
-        sure = [(x, y) for lo, k in zip(cut[size > PAIR_GROUP], size[size > PAIR_GROUP]) for x, y in _forest(ns, pos, lo, lo + k, share) if forest.join(int(own[x]), int(own[y]))]
+        sure = [(x, y) for lo, k, chain in zip(cut[large], size[large], dealt[large]) for x, y in _forest(ns, pos, lo, lo + k, share, chain) if forest.join(int(own[x]), int(own[y]))]
         p, q = (np.array([e[i] for e in sure], np.int64) for i in (0, 1))
         joined = [np.minimum(ids[p], ids[q]), np.maximum(ids[p], ids[q]), np.zeros(len(p), np.int64), np.full(len(p), 1 << 20)]
         a, b, need, count = _tally(*(np.concatenate(c) for c in zip(counted, joined)))
         with np.errstate(over="ignore"):
             to = (mix(mix(a.view(np.uint64)) + b.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        ends = np.flatnonzero(np.repeat(dealt, size) & np.concatenate([[True], (keys[1:] != keys[:-1]) | (ns[1:] != ns[:-1])]))
+        a, b, need, count = (np.concatenate(c) for c in zip((a, b, need, count), (keys[ends].view(np.int64), ids[ends], ns[ends], np.full(len(ends), -1))))
+        to = np.concatenate([to, (mix(keys[ends]) % np.uint64(buckets)).astype(np.int64)])
         order = np.argsort(to, kind="stable")
         a, b, need, count, to = a[order], b[order], need[order].astype(np.int32), count[order].astype(np.int32), to[order]
         cut = np.flatnonzero(np.diff(to, prepend=-1))
@@ -264,12 +275,22 @@ def _candidates(share: int, buckets: int):
     return job
 
 
-def _counted(table: pa.Table) -> pa.Table:
-    """Pairs seen often enough; those of the forests bring a count above any need."""
-    load = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in table.column(name).to_pylist()]).astype(np.int64)
-    a, b, need, count = _tally(load("a", np.int64), load("b", np.int64), load("need", np.int32), load("count", np.int32))
-    good = count >= need
-    return pa.table({"a": pa.array(a[good]), "b": pa.array(b[good])})
+def _counted(share: int):
+    """Pairs seen often enough; those of the forests bring a count above any need. Parts of one key are chained by size."""
+
+    def job(table: pa.Table) -> pa.Table:
+        load = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in table.column(name).to_pylist()]).astype(np.int64)
+        a, b, need, count = load("a", np.int64), load("b", np.int64), load("need", np.int32), load("count", np.int32)
+        ends = count < 0
+        key, ids, ns = a[ends], b[ends], need[ends]
+        order = np.lexsort((ids, ns, key))
+        key, ids, ns = key[order], ids[order], ns[order]
+        next_to = (key[1:] == key[:-1]) & (ns[:-1] * 100 >= ns[1:] * share) & (ids[1:] != ids[:-1])
+        a, b, need, count = _tally(a[~ends], b[~ends], need[~ends], count[~ends])
+        good = count >= need
+        return pa.table({"a": pa.array(np.append(a[good], ids[:-1][next_to])), "b": pa.array(np.append(b[good], ids[1:][next_to]))})
+
+    return job
 
 
 def verified(ids: np.ndarray, sets: list[np.ndarray], label: np.ndarray, share: int) -> tuple[list[int], list[int]]:
@@ -374,9 +395,9 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keys = some.agg(F.sum(F.length("prefix")) / 8).first()[0] or 0
     buckets = max(parts(spark), math.ceil(keys / BUCKET_KEYS))
     one_each = some.groupBy(*prints).agg(F.min(F.struct("doc_id", "prefix")).alias("r")).select("n", "r.*")
-    dealt = one_each.select("doc_id", "n", "prefix").mapInArrow(_deal(buckets, heavy), "bucket long, keys binary, ids binary, ns binary, pos binary")
-    pairs = dealt.groupBy("bucket").applyInArrow(_candidates(share, buckets), "bucket long, a binary, b binary, need binary, count binary")
-    near = components(pairs.groupBy("bucket").applyInArrow(_counted, "a long, b long"))
+    dealt = one_each.select("doc_id", "n", "prefix").mapInArrow(_deal(buckets, BUCKET_KEYS), "bucket long, keys binary, ids binary, ns binary, pos binary")
+    pairs = dealt.groupBy("bucket").applyInArrow(_candidates(share, buckets, BUCKET_KEYS), "bucket long, a binary, b binary, need binary, count binary")
+    near = components(pairs.groupBy("bucket").applyInArrow(_counted(share), "a long, b long"))
 
     member = near.join(classes.select("id", "n"), "id").select("id", F.col("component").alias("cluster"), "n")
     extent = member.groupBy("cluster").agg(F.sum("n").alias("extent")).withColumn("cells", F.ceil(F.col("extent") / CELL_KEYS))

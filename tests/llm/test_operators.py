@@ -104,6 +104,16 @@ def test_ngram_join(docs, empty, monkeypatch, limits):
         assert op10_ngram_join.ngram_join(empty).count() == 0
 
 
+def test_ngram_join_of_dealt_keys(spark, docs, monkeypatch):
+    """Keys dealt into many parts: the near copies that share nothing but hot keys still meet, in whichever parts they lie."""
+    monkeypatch.setattr(op10_ngram_join, "BUCKET_KEYS", 1)
+    got = by_id(op10_ngram_join.ngram_join(docs))
+    assert [got[i].component_id for i in range(len(TEXTS))] == brute_components(shingle_sets(TEXTS))
+    hot = [" ".join([*BASE[k].split(), f"own{k}x{i}"]) for k in range(3) for i in range(40)]
+    got = by_id(op10_ngram_join.ngram_join(spark.createDataFrame(list(enumerate(hot)), "doc_id long, text string")))
+    assert [got[i].component_id for i in range(len(hot))] == brute_components(shingle_sets(hot)) == [i // 40 * 40 for i in range(len(hot))]
+
+
 def test_components_of_a_long_path(spark):
     ids = list(range(200))
     random.Random(1).shuffle(ids)
