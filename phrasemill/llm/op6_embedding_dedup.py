@@ -1,10 +1,9 @@
 """Embedding near-dedup: spherical k-means cells, blocked cosine products inside them, one vector of a group kept.
 
 Equal vectors are one row with a count before anything else. Centroids are fitted on a bounded sample by Lloyd steps
-on the sphere. A vector has a home cell, and is a guest of each further cell whose bisecting plane it lies near: a pair
-at the threshold is parted by d = sqrt(2 - 2 t), and along one direction in ``dim`` dimensions noise of that length
-has the deviation d / sqrt(dim). A pair is lost only if both its vectors lie more than ``REACH`` = 1.5 of these from the
-plane between them, three deviations apart, so about one threshold pair in a thousand and fewer of closer ones (recall against brute force is measured in the tests: 1.0 on the given tables). Cells hold about
+on the sphere. A vector has a home cell, and is a guest of each further cell from whose bisecting plane it lies at most d / 2
+away, d = sqrt(2 - 2 t): two vectors on either side of a plane and at most d apart can't both be farther from it, so every
+pair at the threshold meets in the home of one of them, whatever the data. Floats are carried as floats. Cells hold about
 ``CELL_ROWS`` rows; larger ones are compared block by block. Tasks return sums of links per vector and a forest of
 links, never the pairs.
 """
@@ -23,7 +22,7 @@ from phrasemill.llm.components import components
 from phrasemill.llm.op10_ngram_join import Forest
 from phrasemill.llm.shared import materialise, parts
 
-THRESHOLD, CELL_ROWS, BLOCK_ROWS, SAMPLE_ROWS, MOST_CELLS, STEPS, REACH = 0.9, 1500, 20_000, 20_000, 4096, 8, 1.5
+THRESHOLD, CELL_ROWS, BLOCK_ROWS, SAMPLE_ROWS, MOST_CELLS, STEPS, ROUNDING = 0.9, 1500, 20_000, 20_000, 4096, 8, 1e-9
 
 
 def spherical_kmeans(x: np.ndarray, k: int, steps: int = STEPS, seed: int = 7) -> np.ndarray:
@@ -43,8 +42,8 @@ def spherical_kmeans(x: np.ndarray, k: int, steps: int = STEPS, seed: int = 7) -
     return c
 
 
-def _vectors(column: pa.Array) -> np.ndarray:
-    return np.array([np.frombuffer(v, np.float64) for v in column.to_pylist()])
+def _vectors(column: pa.Array, kind: str) -> np.ndarray:
+    return np.array([np.frombuffer(v, kind) for v in column.to_pylist()], np.float64)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -52,26 +51,30 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Doubles as bytes; null for vectors that are null, zero, or not finite throughout."""
-    for b in batches:
-        out = []
-        for v in b.column("v").to_pylist():
-            a = None if v is None or not len(v) or any(x is None for x in v) else np.array(v, np.float64) + 0.0
-            out.append(None if a is None or not np.isfinite(a).all() or not a.any() else a.tobytes())
-        yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array(out, pa.binary())], ["vec_id", "v"])
+def _pack(kind: str):
+    """Numbers as bytes; null for vectors that are null, zero, or not finite throughout."""
+
+    def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for v in b.column("v").to_pylist():
+                a = None if v is None or not len(v) or any(x is None for x in v) else np.array(v, kind) + 0.0
+                out.append(None if a is None or not np.isfinite(a).all() or not a.any() else a.tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array(out, pa.binary())], ["vec_id", "v"])
+
+    return job
 
 
-def _cells(shared, reach: float):
+def _cells(shared, margin: float, kind: str):
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = shared.value
         gap = np.linalg.norm(c[:, None] - c[None], axis=2)
         for b in batches:
             for lo in range(0, b.num_rows, 1024):
                 own = b.slice(lo, 1024)
-                dot = _unit(_vectors(own.column("v"))) @ c.T
+                dot = _unit(_vectors(own.column("v"), kind)) @ c.T
                 home = dot.argmax(1)
-                guest = dot.max(1)[:, None] - dot <= reach * gap[home]
+                guest = dot.max(1)[:, None] - dot <= margin * gap[home] + ROUNDING
                 guest[np.arange(len(home)), home] = True
                 row, cell = np.nonzero(guest)
                 at = np.append(np.searchsorted(row, np.arange(len(home))), len(row))
@@ -80,14 +83,14 @@ def _cells(shared, reach: float):
     return job
 
 
-def _compare(threshold: float):
+def _compare(threshold: float, kind: str):
     """Links of a cell's left block (rows at home) with its right block (home rows after them, and guests)."""
 
     def job(t: pa.Table) -> pa.Table:
         ids, copies, home = (t.column(n).to_numpy() for n in ("vec_id", "copies", "home"))
         side, cell = t.column("side").to_pylist(), t.column("cell")[0].as_py()
         cells = t.column("cells").to_pylist()
-        x = _unit(_vectors(t.column("v").combine_chunks()))
+        x = _unit(_vectors(t.column("v").combine_chunks(), kind))
         left = np.array([i for i, s in enumerate(side) if s in "lb"], np.int64)
         right = np.array([i for i, s in enumerate(side) if s in "rb"], np.int64)
         extra, forest, tree, a, b = np.zeros(len(ids), np.int64), Forest(len(ids)), np.arange(len(ids)), [], []
@@ -117,31 +120,33 @@ def _compare(threshold: float):
     return job
 
 
-def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, reach: float = REACH) -> DataFrame:
+def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
     """-> vec_id, n_links, component_id, kept: one row per input row (ids are taken as unique, vectors of one length).
 
     Vectors that are null, empty, zero, or hold null or non-finite components link with nothing, nor do rows without an id,
     which are kept and have no component. Equal vectors always link. An empty table gives an empty result; other columns are ignored.
     """
     spark = vectors.sparkSession
-    rows = materialise(vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.when(F.col(id_col).isNotNull(), F.col(vector_col).cast("array<double>")).alias("v")).mapInArrow(_pack, "vec_id long, v binary"), "vectors")
+    number, kind = ("float", "f4") if vectors.select(vector_col).dtypes[0][1] == "array<float>" else ("double", "f8")
+    rows = materialise(vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.when(F.col(id_col).isNotNull(), F.col(vector_col).cast(f"array<{number}>")).alias("v")).mapInArrow(_pack(kind), "vec_id long, v binary"), "vectors")
     own = materialise(rows.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("copies")), "distinct")
     n = own.count()
     if n:
         sample = own.orderBy(F.xxhash64("v"), "vec_id").limit(SAMPLE_ROWS).select("v").toPandas()["v"]
-        x = _unit(np.array([np.frombuffer(v, np.float64) for v in sample]))
+        x = _unit(np.array([np.frombuffer(v, kind) for v in sample], np.float64))
         k = min(MOST_CELLS, max(1, round(n / CELL_ROWS)), len(x))
-        d = math.sqrt(2 - 2 * threshold) / math.sqrt(x.shape[1])
+        margin = math.sqrt(2 - 2 * threshold) / 2
         shared = spark.sparkContext.broadcast(spherical_kmeans(x, k))
-        placed = materialise(own.mapInArrow(_cells(shared, reach * d), "v binary, vec_id long, copies long, home long, cells array<long>"), "placed")
+        placed = materialise(own.mapInArrow(_cells(shared, margin, kind), "v binary, vec_id long, copies long, home long, cells array<long>"), "placed")
         at = placed.select("*", F.explode("cells").alias("cell")).withColumn("guest", F.col("cell") != F.col("home"))
         blocks = at.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).alias("blocks"))  # a row per cell: MOST_CELLS at most
         at = at.join(F.broadcast(blocks), "cell").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")))
         # rows at home stand on the left of their block's pairs; every row of the cell on the right of each block's
         lefts = at.where("not guest").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("side", F.when(F.col("other") == F.col("block"), "b").otherwise("l")).withColumn("x", F.col("block")).withColumn("y", F.col("other"))
-        rights = at.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("guest or other <> block").withColumn("side", F.lit("r")).withColumn("x", F.col("other")).withColumn("y", F.col("block"))
+        # only rows at home are asked for their cells
+        rights = at.withColumn("cells", F.lit(None).cast("array<long>")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("guest or other <> block").withColumn("side", F.lit("r")).withColumn("x", F.col("other")).withColumn("y", F.col("block"))
         cols = ["cell", "x", "y", "vec_id", "copies", "home", "cells", "side", "v"]
-        found = materialise(lefts.select(cols).unionByName(rights.select(cols)).groupBy("cell", "x", "y").applyInArrow(_compare(threshold), "id long, links long, b long"), "links")
+        found = materialise(lefts.select(cols).unionByName(rights.select(cols)).groupBy("cell", "x", "y").applyInArrow(_compare(threshold, kind), "id long, links long, b long"), "links")
         near = found.where("b is null").groupBy("id").agg(F.sum("links").alias("links"))
         linked = components(found.where("b is not null").select(F.col("id").alias("a"), "b"))
         own = own.join(near, own.vec_id == near.id, "left").drop("id").join(linked, own.vec_id == linked.id, "left").select("v", F.coalesce("component", "vec_id").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))

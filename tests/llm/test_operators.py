@@ -279,6 +279,20 @@ def test_embedding_recall_over_many_cells(spark, monkeypatch):
     assert (got <= want).all() and got.sum() >= 0.99 * want.sum()
 
 
+@pytest.mark.parametrize("number", ["float", "double"])
+def test_embedding_recall_of_low_rank_vectors(spark, monkeypatch, number):
+    """Smooth data of four dimensions within 64, over 75 cells: every link is counted once."""
+    monkeypatch.setattr(op6_embedding_dedup, "CELL_ROWS", 20)
+    rng = np.random.default_rng(3)
+    x = (np.tanh(rng.normal(size=(1500, 4)) @ rng.normal(size=(4, 64)) * 0.7)).astype("f4").astype(float)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], f"vec_id long, embedding array<{number}>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    dot = u @ u.T
+    assert not (abs(dot - 0.9) < 1e-12).any()
+    got = by_id(op6_embedding_dedup.embedding_dedup(df), "vec_id")
+    assert [got[i].n_links for i in range(len(x))] == ((dot >= 0.9).sum(1) - 1).tolist()
+
+
 def test_bpe_ids_equal_the_library():
     texts = [t or "" for t in TEXTS] + ["".join(random.Random(i).choice("ab'sltre  \n\t.!1é日ñA-\"\x00\x85") for _ in range(30)) for i in range(500)]
     path = tokenizer_file(BPE)
