@@ -52,6 +52,12 @@ def sentences(spark, d):
     return s.where(F.length("phrase").between(1, 399))
 
 
+def all_sentences(spark, d):
+    """Every English sentence of ``documents``, however late or long; its id is the document's with the place in it."""
+    s = fixtures.view(spark, d, "documents").where("lang = 'en'").select("doc_id", F.posexplode(F.split("text", "[.\n]")).alias("pos", "s"))
+    return s.select(F.struct("doc_id", "pos").alias("id"), F.trim("s").alias("phrase")).where("phrase <> ''")
+
+
 PHRASES = ("U. S. Money", "D. C  Life", "Grit  and  Fil", "GOLFERS", "Things", "new bibliographies", "São Paulo", "Caf¿", "Independent Fi", "The X", "a 1984 rule", "secret life", "NBA")
 
 
@@ -137,11 +143,13 @@ QUERIES = {
     ),
     "e02_first_per_key": (lambda s, d: b.one_per_key(raw(s, d), "work_key", "id").select("id", "work_key"), chain("select id, work_key from (select *, row_number() over (partition by coalesce(nullif(work_key, ''), 'none' || id) order by id) as rn from editions_raw) x where rn = 1")),
     "e11_not_yet_analyzed": (lambda s, d: b.not_yet_analyzed(raw(s, d).select("id", "title"), raw(s, d).where("id % 3 = 0")), chain("select id, title from editions_raw where id % 3 <> 0")),
+    "d08_pattern_index": (lambda s, d: b.pattern_index(b.templates(all_sentences(s, d), b.lexicon(s))), None),
     "g01_all_pools": (
         lambda s, d: pools(s, d).unionByName(parts(s, d), allowMissingColumns=True),
         chain("select slot_type, filler, freq, source_subtitle_id, cast(null as varchar) as pos_tag, cast(null as varchar) as prep from pools union all select slot_type, filler, freq, source_subtitle_id, pos_tag, prep from parts"),
     ),
     "h12_h13_templates": (lambda s, d: b.templates(sentences(s, d), b.lexicon(s)).select("id", "template", F.transform("slot_data", lambda x: F.concat_ws("|", x["pos"], x["text"], x["multi"].cast("string"))).alias("slots")), f"with {duck.LEX}{duck.TEMPLATES} select id, template, slots from tpl"),
+    "h12_h13_all_templates": (lambda s, d: b.templates(all_sentences(s, d), b.lexicon(s)).select("id.*", "template", F.transform("slot_data", lambda x: F.concat_ws("|", x["pos"], x["text"], x["multi"].cast("string"))).alias("slots")), None),
     "h14_h16_splits": (
         lambda s, d: split(s, d).select("filler", "prep_split.topic", "prep_split.prep", "prep_split.complement", "compound.modifier", "compound.modifier_pos", "compound.head", "compound.head_pos", "remix_type", "remix_prep", "remix_word_count"),
         chain("select filler, topic, prep, complement, modifier, modifier_pos, head, head_pos, remix_type, remix_prep, case when remix_type is not null then wc end as remix_word_count from cut"),

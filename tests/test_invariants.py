@@ -3,6 +3,7 @@
 import oracle
 from pyspark.sql import functions as F
 
+from phrasemill import catalog
 from phrasemill.operators import sampling
 from phrasemill.plans import bibliography as bib
 from phrasemill.plans import generation as gen
@@ -45,3 +46,16 @@ def test_samples(spark, small):
         if r.remixed and "of_head" not in locks:
             assert r.remix_similarity is None or r.remix_similarity >= 0.1
             assert len(r.of_object.split()) == len(" ".join(r.remix_parts.values()).split())
+
+
+def test_templates_of_late_and_long_sentences(spark, tmp_path):
+    """A sentence has the template of its words wherever it stands, and the index counts all of them."""
+    few = ["The art of war", "A history of small towns and large rivers", "Money", "How to paint, draw and print", "The end of the road"]
+    texts = [". ".join(few[(i + k) % 5] for k in range(9)) + "\n" + " ".join([few[i % 5]] * 40) for i in range(7)]
+    spark.createDataFrame([(i - 2, x, "en") for i, x in enumerate(texts)], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {(i - 2, pos): s.strip(" ") for i, x in enumerate(texts) for pos, s in enumerate(x.replace("\n", ".").split("."))}
+    rows = {(r.doc_id, r.pos): (r.template, tuple(r.slots)) for r in catalog.queries()["h12_h13_all_templates"](spark, str(tmp_path)).collect()}
+    assert rows.keys() == want.keys() and max(map(len, want.values())) >= 400
+    assert len({(want[k], v) for k, v in rows.items()}) == len(set(want.values()))
+    index = {r.template: (r["count"], r.example) for r in catalog.queries()["d08_pattern_index"](spark, str(tmp_path)).collect()}
+    assert index == {x: (sum(v[0] == x for v in rows.values()), want[min(k for k, v in rows.items() if v[0] == x)]) for x in {v[0] for v in rows.values()}}
