@@ -20,7 +20,7 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", bod
     """-> file_no, record_no, page_id, payload: a record is a header and the body; null counts as empty. Nothing is shuffled.
 
     A file holds the ids of one range of FILE_RECORDS; a record's number is its id's place in the range, for negative ids too. A page
-    without an id has no address and makes no record; rows that repeat an id are settled by ``manifest``.
+    without an id has no address and makes no record; rows that repeat an id share a leaf in ``manifest``.
     """
     own = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(url_col, F.lit("")).alias("url"), F.coalesce(body_col, F.lit("")).alias("body")).where("page_id is not null")
     head = F.concat(F.lit("WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:"), F.col("page_id"), F.lit(">\r\nWARC-Target-URI: "), F.col("url"), F.lit("\r\nContent-Length: "), F.octet_length("body"), F.lit("\r\n\r\n"))
@@ -28,9 +28,10 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", bod
 
 
 def _hashed(replica: DataFrame) -> DataFrame:
-    """A narrow row for each record: payloads are hashed where they are read. Of rows with one id that with the least digest counts."""
+    """A narrow row for each record: payloads are hashed where they are read. Rows with one id make one leaf of all their digests, in order."""
     own = replica.select("file_no", "record_no", "page_id", F.struct(F.sha2("payload", 256).alias("sha"), F.octet_length("payload").cast("long").alias("length")).alias("d"))
-    return own.groupBy("file_no", "record_no", "page_id").agg(F.min("d").alias("d")).select("file_no", "record_no", "page_id", "d.sha", "d.length")
+    all_of = own.groupBy("file_no", "record_no", "page_id").agg(F.array_sort(F.collect_list("d.sha")).alias("shas"), F.sum("d.length").alias("length"))
+    return all_of.select("file_no", "record_no", "page_id", F.when(F.size("shas") == 1, F.col("shas")[0]).otherwise(F.sha2(F.array_join("shas", ","), 256)).alias("sha"), "length")
 
 
 def manifest(written: DataFrame) -> DataFrame:
@@ -40,9 +41,11 @@ def manifest(written: DataFrame) -> DataFrame:
 
 
 def digests(replica: DataFrame, written: DataFrame) -> DataFrame:
-    """The records that a replica holds: ranges as the manifest ``written`` has them, digests of the replica's own bytes."""
+    """The records that a replica holds: ranges as the manifest ``written`` has them, digests of the replica's own bytes. A record that the
+    manifest doesn't have has no start, and its own length."""
     keys = ["file_no", "record_no", "page_id"]
-    return materialise(written.drop("sha").join(_hashed(replica).select(*keys, "sha"), keys).select("file_no", "record_no", "page_id", "start", "length", "sha"), "digests")
+    held = _hashed(replica).withColumnRenamed("length", "own_length")
+    return materialise(held.join(written.drop("sha"), keys, "left").select(*keys, "start", F.coalesce("length", "own_length").alias("length"), "sha"), "digests")
 
 
 def tree(leaves: DataFrame) -> list[DataFrame]:

@@ -374,6 +374,20 @@ def test_fixity(spark):
     assert op9_warc_fixity.audit(none, none).count() == 0
 
 
+def test_fixity_of_strays_and_repeats(spark):
+    """A record that only the replica holds is found, and damage to any row of a repeated id."""
+    pages = spark.createDataFrame([(i, f"http://x/{i}", "a" * i) for i in range(1, 60)] + [(7, "http://a", "earlier")], "page_id long, url string, html string")
+    whole = op9_warc_fixity.records(pages)
+    a = op9_warc_fixity.manifest(whole)
+    assert op9_warc_fixity.audit(a, op9_warc_fixity.digests(whole, a)).count() == 0
+    stray = op9_warc_fixity.records(spark.createDataFrame([(61, "b", "c"), (9000, "d", "e")], "page_id long, url string, html string"))
+    got = op9_warc_fixity.audit(a, op9_warc_fixity.digests(whole.unionByName(stray), a)).collect()
+    assert {r.page_id: r.found for r in got} == {61: "missing_left", 9000: "missing_left"}
+    for url in ("http://a", "http://x/7"):
+        hurt = whole.withColumn("payload", F.when((F.col("page_id") == 7) & F.contains("payload", F.lit(url + "\r")), "x").otherwise(F.col("payload")))
+        assert {r.page_id: r.found for r in op9_warc_fixity.audit(a, op9_warc_fixity.digests(hurt, a)).collect()} == {7: "damaged"}
+
+
 def test_pages_without_or_below_zero(spark):
     pages = spark.createDataFrame([(-1, "a", "x"), (-4097, "b", "y"), (3, "c", "z"), (None, "d", "w")], "page_id long, url string, html string")
     a = op9_warc_fixity.manifest(op9_warc_fixity.records(pages))
