@@ -3,9 +3,10 @@
 Equal vectors are one row with a count before anything else. Centroids are fitted on a bounded sample by Lloyd steps
 on the sphere. A vector has a home cell, and is a guest of each further cell from whose bisecting plane it lies at most d / 2
 away, d = sqrt(2 - 2 t): two vectors on either side of a plane and at most d apart can't both be farther from it, so every
-pair at the threshold meets in the home of one of them, whatever the data. Floats are carried as floats. Cells hold about
-``CELL_ROWS`` rows; larger ones are compared block by block. Tasks return sums of links per vector and a forest of
-links, never the pairs.
+pair at the threshold meets in the home of one of them, whatever the data. It is counted where the vector nearer to the plane is
+the guest. Rows travel packed, one packet for each batch and cell. Cells hold about ``CELL_ROWS`` rows; larger ones are
+compared block by block. Products are taken in single precision with a slack and those near the threshold again in double.
+Tasks return sums of links per vector and a forest of links, never the pairs.
 """
 
 from __future__ import annotations
@@ -15,14 +16,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phrasemill.llm.components import components
 from phrasemill.llm.op10_ngram_join import Forest
-from phrasemill.llm.shared import materialise, parts
+from phrasemill.llm.shared import materialise
 
-THRESHOLD, CELL_ROWS, BLOCK_ROWS, SAMPLE_ROWS, MOST_CELLS, STEPS, ROUNDING = 0.9, 1500, 20_000, 20_000, 4096, 8, 1e-9
+THRESHOLD, CELL_ROWS, BLOCK_ROWS, SAMPLE_ROWS, MOST_CELLS, STEPS, ROUNDING, SLACK = 0.9, 1500, 20_000, 20_000, 4096, 8, 1e-9, 1e-3
+PACKET = "ids binary, copies binary, homes binary, v binary"
+_COLUMNS = ["ids", "copies", "homes", "v"]
 
 
 def spherical_kmeans(x: np.ndarray, k: int, steps: int = STEPS, seed: int = 7) -> np.ndarray:
@@ -42,77 +46,113 @@ def spherical_kmeans(x: np.ndarray, k: int, steps: int = STEPS, seed: int = 7) -
     return c
 
 
-def _vectors(column: pa.Array, kind: str) -> np.ndarray:
-    return np.array([np.frombuffer(v, kind) for v in column.to_pylist()], np.float64)
-
-
 def _unit(x: np.ndarray) -> np.ndarray:
     x = x / np.abs(x).max(1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _loaded(column, kind: str, dim: int) -> np.ndarray:
+    """The unit vectors of a binary column, one or many to a value."""
+    return _unit(np.concatenate([np.frombuffer(v, kind) for v in column.to_pylist()]).reshape(-1, dim).astype(np.float64))
+
+
 def _pack(kind: str):
     """Numbers as bytes; null for vectors that are null, zero, or not finite throughout."""
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for v in b.column("v").to_pylist():
-                a = None if v is None or not len(v) or any(x is None for x in v) else np.array(v, kind) + 0.0
-                out.append(None if a is None or not np.isfinite(a).all() or not a.any() else a.tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array(out, pa.binary())], ["vec_id", "v"])
+            size = pc.fill_null(pc.list_value_length(b.column("v")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            x = pc.fill_null(b.column("v").flatten(), math.nan).to_numpy(zero_copy_only=False).astype(kind) + np.dtype(kind).type(0)
+            row, ends = np.repeat(np.arange(len(size)), size), np.cumsum(size)
+            bad = np.bincount(row, ~np.isfinite(x), len(size)) + (np.bincount(row, x != 0, len(size)) == 0) > 0
+            offsets = np.concatenate([[0], ends]) * x.itemsize
+            v = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(x)])
+            v = pc.if_else(pa.array(bad), pa.scalar(None, pa.large_binary()), v).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("vec_id"), v], ["vec_id", "v"])
 
     return job
 
 
-def _cells(shared, margin: float, kind: str):
+def guests(x: np.ndarray, c: np.ndarray, margin: float) -> tuple[np.ndarray, np.ndarray]:
+    """The home of each unit row, and (rows, cells) whether the row is placed in the cell."""
+    dot = x @ c.T
+    home = dot.argmax(1)
+    gap = np.sqrt(np.maximum(0.0, 2 - 2 * (c[home] @ c.T)))
+    placed = dot.max(1)[:, None] - dot <= margin * gap + ROUNDING
+    placed[np.arange(len(home)), home] = True
+    return home, placed
+
+
+def _place(shared, margin: float, kind: str):
+    """A packet for each cell of a batch, of the rows at home there and another of the guests."""
+
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = shared.value
-        gap = np.linalg.norm(c[:, None] - c[None], axis=2)
         for b in batches:
-            for lo in range(0, b.num_rows, 1024):
-                own = b.slice(lo, 1024)
-                dot = _unit(_vectors(own.column("v"), kind)) @ c.T
-                home = dot.argmax(1)
-                guest = dot.max(1)[:, None] - dot <= margin * gap[home] + ROUNDING
-                guest[np.arange(len(home)), home] = True
-                row, cell = np.nonzero(guest)
-                at = np.append(np.searchsorted(row, np.arange(len(home))), len(row))
-                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(home), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(cell))], [*own.schema.names, "home", "cells"])
+            raw = np.stack([np.frombuffer(v, kind) for v in b.column("v").to_pylist()])
+            ids, copies = b.column("vec_id").to_numpy(zero_copy_only=False), b.column("copies").to_numpy(zero_copy_only=False)
+            homes, rows, cells = [], [], []
+            for lo in range(0, len(raw), 1024):
+                home, placed = guests(_unit(raw[lo : lo + 1024].astype(np.float64)), c, margin)
+                row, cell = np.nonzero(placed)
+                homes.append(home), rows.append(row + lo), cells.append(cell)
+            home, row, cell = np.concatenate(homes), np.concatenate(rows), np.concatenate(cells)
+            key = 2 * cell + (home[row] != cell)
+            order = np.argsort(key, kind="stable")
+            key, row = key[order], row[order]
+            cut = np.flatnonzero(np.diff(key, prepend=-1))
+            out = [(int(key[a]), ids[r].tobytes(), copies[r].tobytes(), home[r].astype(np.int32).tobytes(), raw[r].tobytes()) for a, z in zip(cut, np.append(cut[1:], len(row))) for r in [row[a:z]]]
+            keys = np.array([o[0] for o in out], np.int64)
+            cols = [pa.array([o[k] for o in out], pa.binary()) for k in range(1, 5)]
+            yield pa.RecordBatch.from_arrays([pa.array(keys // 2), pa.array(keys % 2 == 1), *cols], ["cell", "guest", *_COLUMNS])
 
     return job
 
 
-def _compare(threshold: float, kind: str):
-    """Links of a cell's left block (rows at home) with its right block (home rows after them, and guests)."""
+def _here(x, y, ids_x, ids_y, home_x, home_y, c) -> np.ndarray:
+    """Of links of rows at home (x) with guests (y): whether the guest is the nearer to the plane between the homes, so that
+    the link counts here and not in the guest's home. Both tasks take the same sums, to the last bit."""
+    lo, hi = np.minimum(home_x, home_y), np.maximum(home_x, home_y)
+    normal = c[lo] - c[hi]
+    far_x, far_y = np.abs((normal * x).sum(1)), np.abs((normal * y).sum(1))
+    return (far_y < far_x) | ((far_y == far_x) & (ids_y < ids_x))
+
+
+def _compare(shared, threshold: float, kind: str, dim: int):
+    """Links of a cell's left block (rows at home) with its right block (rows at home of this or a later block, and guests)."""
 
     def job(t: pa.Table) -> pa.Table:
-        ids, copies, home = (t.column(n).to_numpy() for n in ("vec_id", "copies", "home"))
-        side, cell = t.column("side").to_pylist(), t.column("cell")[0].as_py()
-        cells = t.column("cells").to_pylist()
-        x = _unit(_vectors(t.column("v").combine_chunks(), kind))
-        left = np.array([i for i, s in enumerate(side) if s in "lb"], np.int64)
-        right = np.array([i for i, s in enumerate(side) if s in "rb"], np.int64)
+        c = shared.value
+        sizes = np.array([len(v) // 8 for v in t.column("ids").to_pylist()])
+        load = lambda name, kind: np.concatenate([np.frombuffer(v, kind) for v in t.column(name).to_pylist()])
+        ids, copies, home, x = load("ids", np.int64), load("copies", np.int64), load("homes", np.int32), _loaded(t.column("v"), kind, dim)
+        side = np.repeat(np.array(t.column("side").to_pylist()), sizes)
+        left, right = np.flatnonzero((side == "l") | (side == "b")), np.flatnonzero(side != "l")
+        twice = side == "b"
+        low, right_low = x.astype(np.float32), x[right].astype(np.float32).T
         extra, forest, tree, a, b = np.zeros(len(ids), np.int64), Forest(len(ids)), np.arange(len(ids)), [], []
-        for lo in range(0, len(left), 256):
-            i, j = np.nonzero(x[left[lo : lo + 256]] @ x[right].T >= threshold)
-            i, j = left[lo + i], right[j]
-            # two at home: once, by id; one at home: here unless the other cell compares them too and comes first
-            both = home[i] == home[j]
-            keep = np.where(both, ids[i] < ids[j], True)
-            for k in np.flatnonzero(~both):
-                keep[k] = home[i[k]] < home[j[k]] or home[j[k]] not in cells[i[k]]
-            i, j = i[keep], j[keep]
-            np.add.at(extra, i, copies[j])
-            np.add.at(extra, j, copies[i])
-            p, q = tree[i], tree[j]  # only links between different trees go on, each pair of trees once
-            for key in np.unique((np.minimum(p, q) * len(ids) + np.maximum(p, q))[p != q]).tolist():
-                p, q = divmod(key, len(ids))
-                if forest.join(p, q):
-                    a.append(int(ids[p])), b.append(int(ids[q]))
-            tree = np.array(forest.up)
-            while (tree[tree] != tree).any():
-                tree = tree[tree]
+        for start in range(0, len(left), 256):
+            own = left[start : start + 256]
+            near = np.flatnonzero(np.ravel(low[own] @ right_low) >= threshold - SLACK)
+            for at in range(0, len(near), 1 << 16):
+                i, j = np.divmod(near[at : at + (1 << 16)], len(right))
+                i, j = own[i], right[j]
+                keep = ~(twice[j] & (i >= j)) & (np.einsum("ij,ij->i", x[i], x[j]) >= threshold)
+                i, j = i[keep], j[keep]
+                other = np.flatnonzero(home[i] != home[j])
+                keep = np.ones(len(i), bool)
+                p, q = i[other], j[other]
+                keep[other] = _here(x[p], x[q], ids[p], ids[q], home[p], home[q], c)
+                i, j = i[keep], j[keep]
+                extra += np.bincount(i, copies[j], len(ids)).astype(np.int64) + np.bincount(j, copies[i], len(ids)).astype(np.int64)
+                p, q = tree[i], tree[j]  # only links between different trees go on, each pair of trees once
+                for key in np.unique((np.minimum(p, q) * len(ids) + np.maximum(p, q))[p != q]).tolist():
+                    p, q = divmod(key, len(ids))
+                    if forest.join(p, q):
+                        a.append(int(ids[p])), b.append(int(ids[q]))
+                tree = np.array(forest.up)
+                while (tree[tree] != tree).any():
+                    tree = tree[tree]
         some = np.flatnonzero(extra)
         n = len(some)
         return pa.table({"id": pa.array(np.append(ids[some], a).astype(np.int64)), "links": pa.array(np.append(extra[some], np.zeros(len(a))).astype(np.int64)), "b": pa.array([None] * n + b, pa.int64())})
@@ -121,32 +161,34 @@ def _compare(threshold: float, kind: str):
 
 
 def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
-    """-> vec_id, n_links, component_id, kept: one row per input row (ids are taken as unique, vectors of one length).
+    """-> vec_id, n_links, component_id, kept: one row per input row.
 
     Vectors that are null, empty, zero, or hold null or non-finite components link with nothing, nor do rows without an id,
-    which are kept and have no component. Equal vectors always link. An empty table gives an empty result; other columns are ignored.
+    which are kept and have no component. Equal vectors always link. Vectors of the most frequent length (of equally frequent
+    ones the longest) are compared; the others link with equal ones only. Rows that repeat an id with other vectors are one
+    node of the links: they share the component, and the links of all of them are summed. An empty table gives an empty
+    result; other columns are ignored.
     """
     spark = vectors.sparkSession
     number, kind = ("float", "f4") if vectors.select(vector_col).dtypes[0][1] == "array<float>" else ("double", "f8")
     rows = materialise(vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.when(F.col(id_col).isNotNull(), F.col(vector_col).cast(f"array<{number}>")).alias("v")).mapInArrow(_pack(kind), "vec_id long, v binary"), "vectors")
     own = materialise(rows.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("copies")), "distinct")
-    n = own.count()
-    if n:
-        sample = own.orderBy(F.xxhash64("v"), "vec_id").limit(SAMPLE_ROWS).select("v").toPandas()["v"]
+    most = own.groupBy(F.octet_length("v").alias("size")).count().orderBy(F.desc("count"), F.desc("size")).first()
+    if most is not None:
+        n, dim, kept = most["count"], most["size"] // np.dtype(kind).itemsize, own.where(F.octet_length("v") == most["size"])
+        sample = kept.orderBy(F.xxhash64("v"), "vec_id").limit(SAMPLE_ROWS).select("v").toPandas()["v"]
         x = _unit(np.array([np.frombuffer(v, kind) for v in sample], np.float64))
         k = min(MOST_CELLS, max(1, round(n / CELL_ROWS)), len(x))
         margin = math.sqrt(2 - 2 * threshold) / 2
-        shared = spark.sparkContext.broadcast(spherical_kmeans(x, k))
-        placed = materialise(own.mapInArrow(_cells(shared, margin, kind), "v binary, vec_id long, copies long, home long, cells array<long>"), "placed")
-        at = placed.select("*", F.explode("cells").alias("cell")).withColumn("guest", F.col("cell") != F.col("home"))
-        blocks = at.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).alias("blocks"))  # a row per cell: MOST_CELLS at most
-        at = at.join(F.broadcast(blocks), "cell").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")))
-        # rows at home stand on the left of their block's pairs; every row of the cell on the right of each block's
-        lefts = at.where("not guest").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("side", F.when(F.col("other") == F.col("block"), "b").otherwise("l")).withColumn("x", F.col("block")).withColumn("y", F.col("other"))
-        # only rows at home are asked for their cells
-        rights = at.withColumn("cells", F.lit(None).cast("array<long>")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("guest or other <> block").withColumn("side", F.lit("r")).withColumn("x", F.col("other")).withColumn("y", F.col("block"))
-        cols = ["cell", "x", "y", "vec_id", "copies", "home", "cells", "side", "v"]
-        found = materialise(lefts.select(cols).unionByName(rights.select(cols)).groupBy("cell", "x", "y").applyInArrow(_compare(threshold, kind), "id long, links long, b long"), "links")
+        shared = spark.sparkContext.broadcast(spherical_kmeans(x, k))  # MOST_CELLS rows at most
+        placed = materialise(kept.select("vec_id", "copies", "v").mapInArrow(_place(shared, margin, kind), f"cell long, guest boolean, {PACKET}"), "placed")
+        blocks = placed.groupBy("cell").agg(F.ceil(F.sum(F.length("ids")) / 8 / BLOCK_ROWS).alias("blocks"))  # a row per cell
+        at = placed.join(F.broadcast(blocks), "cell").withColumn("block", F.pmod(F.xxhash64("ids"), F.col("blocks")))
+        # rows at home stand on the left of their block's pairs, and on the right of earlier blocks'; guests on the right of all
+        right = F.transform(F.sequence(F.lit(0), F.when(F.col("guest"), F.col("blocks") - 1).otherwise(F.col("block"))), lambda o: F.struct(o.alias("x"), F.col("block").alias("y"), F.when(~F.col("guest") & (o == F.col("block")), "b").otherwise("r").alias("side")))
+        left = F.transform(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: ~F.col("guest") & (o != F.col("block"))), lambda o: F.struct(F.col("block").alias("x"), o.alias("y"), F.lit("l").alias("side")))
+        pairs = at.select("cell", *_COLUMNS, F.explode(F.concat(right, left)).alias("p")).select("cell", "p.*", *_COLUMNS)
+        found = materialise(pairs.groupBy("cell", "x", "y").applyInArrow(_compare(shared, threshold, kind, dim), "id long, links long, b long"), "links")
         near = found.where("b is null").groupBy("id").agg(F.sum("links").alias("links"))
         linked = components(found.where("b is not null").select(F.col("id").alias("a"), "b"))
         own = own.join(near, own.vec_id == near.id, "left").drop("id").join(linked, own.vec_id == linked.id, "left").select("v", F.coalesce("component", "vec_id").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))

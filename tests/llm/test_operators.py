@@ -293,6 +293,40 @@ def test_embedding_recall_of_low_rank_vectors(spark, monkeypatch, number):
     assert [got[i].n_links for i in range(len(x))] == ((dot >= 0.9).sum(1) - 1).tolist()
 
 
+@pytest.mark.parametrize("rank", [4, 8, 16])
+def test_guests_of_768_dimensions(rank):
+    """Pairs at the threshold meet in a home of one of them, whatever the true dimension, and a link counts in one task."""
+    rng = np.random.default_rng(rank)
+    basis = rng.normal(size=(rank, 768))
+    x = op6_embedding_dedup._unit(np.tanh(rng.normal(size=(2000, rank)) @ basis / np.sqrt(rank)))
+    c = op6_embedding_dedup.spherical_kmeans(x, 100, 3)
+    home, placed = op6_embedding_dedup.guests(x, c, np.sqrt(0.2) / 2)
+    i, j = np.nonzero(np.triu(x @ x.T >= 0.9, 1))
+    i, j = i[:20_000], j[:20_000]
+    i, j = i[home[i] != home[j]], j[home[i] != home[j]]
+    ids = np.arange(len(x))
+    here = op6_embedding_dedup._here(x[i], x[j], ids[i], ids[j], home[i], home[j], c)
+    there = op6_embedding_dedup._here(x[j], x[i], ids[j], ids[i], home[j], home[i], c)
+    assert len(i) > 100 and (here != there).all() and placed[j, home[i]][here].all() and placed[i, home[j]][there].all()
+
+
+def test_guests_of_many_cells_in_bounded_memory():
+    import tracemalloc
+
+    c = op6_embedding_dedup._unit(np.random.default_rng(1).normal(size=(4096, 64)))
+    tracemalloc.start()
+    home, placed = op6_embedding_dedup.guests(c[:1024], c, 0.2236)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (home == np.arange(1024)).all() and placed.shape == (1024, 4096) and peak < 1 << 28
+
+
+def test_embeddings_of_mixed_lengths_and_repeated_ids(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.01]), (3, [1.0]), (4, [1.0]), (5, [1.0, 0.0, 0.0]), (6, [0.0, 1.0]), (6, [1.0, 0.02]), (7, [0.01, 1.0])]
+    got = op6_embedding_dedup.embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(1, 2, 1), (2, 2, 1), (3, 1, 3), (4, 1, 3), (5, 0, 5), (6, 3, 1), (6, 3, 1), (7, 1, 1)]
+
+
 def test_bpe_ids_equal_the_library():
     texts = [t or "" for t in TEXTS] + ["".join(random.Random(i).choice("ab'sltre  \n\t.!1é日ñA-\"\x00\x85") for _ in range(30)) for i in range(500)]
     path = tokenizer_file(BPE)
