@@ -298,7 +298,8 @@ def test_guests_of_768_dimensions(rank):
     """Pairs at the threshold meet in a home of one of them, whatever the true dimension, and a link counts in one task."""
     rng = np.random.default_rng(rank)
     basis = rng.normal(size=(rank, 768))
-    x = op6_embedding_dedup._unit(np.tanh(rng.normal(size=(2000, rank)) @ basis / np.sqrt(rank)))
+    z = rng.normal(size=(1000, rank))
+    x = op6_embedding_dedup._unit(np.tanh(np.concatenate([z, z + 0.3 * rng.normal(size=z.shape)]) @ basis / np.sqrt(rank)))
     c = op6_embedding_dedup.spherical_kmeans(x, 100, 3)
     home, placed = op6_embedding_dedup.guests(x, c, np.sqrt(0.2) / 2)
     i, j = np.nonzero(np.triu(x @ x.T >= 0.9, 1))
