@@ -24,7 +24,7 @@ from phrasemill.llm.components import components
 from phrasemill.llm.op10_ngram_join import Forest
 from phrasemill.llm.shared import materialise
 
-THRESHOLD, CELL_ROWS, BLOCK_ROWS, SAMPLE_ROWS, MOST_CELLS, STEPS, ROUNDING, SLACK = 0.9, 1500, 20_000, 20_000, 4096, 8, 1e-9, 1e-3
+THRESHOLD, CELL_ROWS, BLOCK_ROWS, SAMPLE_ROWS, MOST_CELLS, STEPS, ROUNDING, SLACK, PACKET_BYTES = 0.9, 1500, 20_000, 20_000, 4096, 8, 1e-9, 1e-3, 1 << 16
 PACKET = "ids binary, copies binary, homes binary, v binary"
 _COLUMNS = ["ids", "copies", "homes", "v"]
 
@@ -84,7 +84,7 @@ def guests(x: np.ndarray, c: np.ndarray, margin: float) -> tuple[np.ndarray, np.
 
 
 def _place(shared, margin: float, kind: str):
-    """A packet for each cell of a batch, of the rows at home there and another of the guests."""
+    """Packets of PACKET_BYTES at most for each cell of a batch, of the rows at home there and others of the guests."""
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = shared.value
@@ -100,7 +100,9 @@ def _place(shared, margin: float, kind: str):
             key = 2 * cell + (home[row] != cell)
             order = np.argsort(key, kind="stable")
             key, row = key[order], row[order]
-            cut = np.flatnonzero(np.diff(key, prepend=-1))
+            first = np.flatnonzero(np.diff(key, prepend=-1))
+            most = max(1, PACKET_BYTES // raw[0].nbytes)
+            cut = np.concatenate([np.arange(a, z, most) for a, z in zip(first, np.append(first[1:], len(row)))])
             out = [(int(key[a]), ids[r].tobytes(), copies[r].tobytes(), home[r].astype(np.int32).tobytes(), raw[r].tobytes()) for a, z in zip(cut, np.append(cut[1:], len(row))) for r in [row[a:z]]]
             keys = np.array([o[0] for o in out], np.int64)
             cols = [pa.array([o[k] for o in out], pa.binary()) for k in range(1, 5)]
