@@ -14,12 +14,14 @@
    for l - 1 shared keys before this one, as a pair with more has been counted already. Of a key that is dealt into several
    buckets each part leaves a chain by size and its smallest set of each size; these are chained by size over all parts, so
    every pair that passes the length filter is joined, whichever parts it lies in.
-4. *Verification.* Candidate clusters are gathered, large ones cut into cells by size, and in a cell each set that
+4. *Verification.* Candidate clusters are gathered, those of more than SPLIT_KEYS keys cut into cells, and in a cell each set that
    may still join another component is counted exactly against the sets that share a shingle with it, once per pair.
-   Cells return forests of verified links. Clusters of several cells are compared cell against cell
-   afterwards, for sets that are not yet in the same component.
+   Cells return forests of verified links. Of a cluster in several cells one set of each component is compared next;
+   if components are left after that, each set outside the largest meets all cells of the cluster, so that every two
+   sets that aren't in one component yet have been in one task.
 
-Nothing is capped: a link between two sets of at least the threshold always ends in the same component.
+Nothing is capped: a link between two sets of at least the threshold always ends in the same component. Shingles are compared
+by 58-bit hashes of their words, not by the words: two different ones count as equal with a chance of 2^-58 a pair.
 """
 
 from __future__ import annotations
@@ -35,19 +37,19 @@ from pyspark.sql import functions as F
 from phrasemill.llm.components import components
 from phrasemill.llm.pretokens import gather
 from phrasemill.llm.shared import materialise, parts
-from phrasemill.llm.textbytes import LOWER, bounds, mix, prefix_sums, slices, span_hash, words
+from phrasemill.llm.textbytes import bounds, hashed_words, mix, slices
 
 WIDTH, SHARE = 5, 80
 BLOCK, BLOCK_LEAST, HEAVY_MOST = 1 << 22, 2, 1 << 19
 BUCKET_KEYS, PAIR_GROUP, GROUP_MOST, CELL_KEYS, BROADCAST_ROWS = 200_000, 64, 20_000, 4_000_000, 1_000_000
+#: A cluster is cut into cells of so many keys, into SPLIT_MOST at most while cells stay under CELL_KEYS.
+SPLIT_KEYS, SPLIT_MOST = 10_000, 64
 _CLASS = np.uint64(58)
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the word shingles of each row and where each row's begin; a shorter text is one shingle of all its words."""
-    data = LOWER[data]
-    start, end, row = words(data, offsets)
-    h = span_hash(prefix_sums(data), start, end)
+    _, _, row, h = hashed_words(data, offsets)
     n = len(offsets) - 1
     at = bounds(row, n)
     count = np.diff(at)
@@ -377,6 +379,54 @@ def _verify(share: int):
     return job
 
 
+def _cells(extent):
+    """Into how many cells so many keys are cut."""
+    return F.greatest(F.ceil(extent / CELL_KEYS), F.least(F.lit(SPLIT_MOST), F.ceil(extent / SPLIT_KEYS)))
+
+
+def _side(small: DataFrame) -> DataFrame:
+    """One side of a join on ids: sent to all tasks only if a count finds it small."""
+    small = materialise(small, "side")
+    return F.broadcast(small) if small.count() <= BROADCAST_ROWS else small
+
+
+def _in_cells(member: DataFrame, *group: str) -> DataFrame:
+    """id, n and the columns ``group`` -> the same with ``cells`` and ``cell`` of each group's rows, dealt by id."""
+    extent = member.groupBy(*group).agg(_cells(F.sum("n")).alias("cells"))
+    return materialise(member.join(extent, list(group)).withColumn("cell", F.pmod(F.xxhash64("id"), F.col("cells"))), "cells")
+
+
+def _verified(sets: DataFrame, share: int, tasks: int) -> DataFrame:
+    """Links within cells; small clusters share a task, a cell of a larger one has its own group."""
+    group = F.when(F.col("cells") > 1, F.xxhash64("cluster", "cell")).otherwise(F.pmod(F.xxhash64("cluster"), F.lit(16 * tasks)))
+    return sets.select("id", "label", F.xxhash64("cluster", "cell").alias("cluster"), "keys", group.alias("task")).groupBy("task").applyInArrow(_verify(share), "a long, b long")
+
+
+def _relabelled(wide: DataFrame, linked: DataFrame) -> DataFrame:
+    """Members of those clusters that are still in several components, labelled with these."""
+    own = wide.drop("label").join(linked.withColumnRenamed("component", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    several = own.groupBy("cluster").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("cluster")
+    return materialise(own.join(several, "cluster"), "wide")
+
+
+def _grid(held: DataFrame, wide: DataFrame, share: int) -> DataFrame:
+    """Links of the sets outside a cluster's largest component with each other and with those inside."""
+    tally = wide.groupBy("cluster", "label").agg(F.sum("n").alias("keys"))
+    largest = tally.groupBy("cluster").agg(F.max_by("label", F.struct("keys", -F.col("label"))).alias("bulk"))
+    own = _in_cells(wide.join(largest, "cluster").withColumn("rest", F.col("label") != F.col("bulk")).drop("bulk"), "cluster", "rest")
+    size = own.groupBy("cluster").agg(F.max(F.when(F.col("rest"), F.col("cells"))).alias("q"), F.max(F.when(~F.col("rest"), F.col("cells"))).alias("p"))
+    upto = lambda k: F.sequence(F.lit(0), k - 1)
+    spot = lambda i, j, both: F.struct(i.alias("i"), j.alias("j"), F.lit(both).alias("both"))
+    c = F.col("cell")
+    outside = F.concat(
+        F.transform(upto(F.col("p")), lambda j: spot(c, j, False)),
+        F.transform(F.filter(upto(F.col("q")), lambda o: o != c), lambda o: spot(F.greatest(o, c), F.least(o, c), True)),
+    )
+    at = own.join(size, "cluster").select("id", "label", F.explode(F.when(F.col("rest"), outside).otherwise(F.transform(upto(F.col("q")), lambda i: spot(i, c, False)))).alias("at"))
+    sets = held.join(at, "id").select("id", "label", F.xxhash64("cluster", "at").alias("cluster"), "keys")
+    return sets.withColumn("task", F.col("cluster")).groupBy("task").applyInArrow(_verify(share), "a long, b long")
+
+
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, share: int = SHARE) -> DataFrame:
     """-> doc_id, n_shingles, component_id: one row per input row (ids are taken as unique).
 
@@ -399,27 +449,26 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     pairs = dealt.groupBy("bucket").applyInArrow(_candidates(share, buckets, BUCKET_KEYS), "bucket long, a binary, b binary, need binary, count binary")
     near = components(pairs.groupBy("bucket").applyInArrow(_counted(share), "a long, b long"))
 
-    member = near.join(classes.select("id", "n"), "id").select("id", F.col("component").alias("cluster"), "n")
-    extent = member.groupBy("cluster").agg(F.sum("n").alias("extent")).withColumn("cells", F.ceil(F.col("extent") / CELL_KEYS))
-    member = materialise(member.join(extent, "cluster").select("id", "cluster", F.col("id").alias("label"), "cells", F.pmod(F.xxhash64("id"), F.col("cells")).alias("cell")), "members")
-
-    def with_sets(member: DataFrame) -> DataFrame:
-        side = F.broadcast(member) if member.count() <= BROADCAST_ROWS else member
-        texts = docs.withColumnRenamed("doc_id", "id").join(side, "id").select("id", "cluster", "label", "cells", "cell", F.col("id").alias("doc_id"), "text")
-        return texts.mapInArrow(_sets(width, share, heavy, True), "id long, cluster long, label long, cells long, cell long, doc_id long, keys binary").drop("doc_id")
-
-    # small clusters share a task; a cell of a larger one has its own group
-    group = F.when(F.col("cells") > 1, F.xxhash64("cluster", "cell")).otherwise(F.pmod(F.xxhash64("cluster"), F.lit(16 * parts(spark))))
-    links = materialise(with_sets(member).select("id", "label", F.xxhash64("cluster", "cell").alias("cluster"), "keys", group.alias("task")).groupBy("task").applyInArrow(_verify(share), "a long, b long"), "links")
+    member = near.join(classes.select("id", "n"), "id").select("id", F.col("component").alias("cluster"), F.col("id").alias("label"), "n")
+    member = materialise(member, "members")
+    side = F.broadcast(member) if member.count() <= BROADCAST_ROWS else member
+    texts = docs.withColumnRenamed("doc_id", "id").join(side, "id").select("id", "cluster", "label", "n", F.col("id").alias("doc_id"), "text")
+    held = texts.mapInArrow(_sets(width, share, heavy, True), "id long, cluster long, label long, n long, doc_id long, keys binary").drop("doc_id")
+    held = materialise(held, "sets")
+    first = _in_cells(held.drop("keys"), "cluster")
+    links = materialise(_verified(held.join(_side(first.select("id", "cells", "cell")), "id"), share, parts(spark)), "links")
     linked = components(links)
-    wide = member.where("cells > 1").drop("label").join(linked.withColumnRenamed("component", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-    open_still = wide.groupBy("cluster").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("cluster")
-    wide = materialise(wide.join(open_still, "cluster").select(member.columns), "wide")
-    if not wide.isEmpty():
-        pairs = with_sets(wide).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
-        pairs = pairs.where("other <> cell").withColumns({"lo": F.least("cell", "other"), "hi": F.greatest("cell", "other")})
-        more = pairs.select("id", "label", F.xxhash64("cluster", "lo", "hi").alias("cluster"), "keys").withColumn("task", F.col("cluster"))
-        links = links.unionByName(materialise(more.groupBy("task").applyInArrow(_verify(share), "a long, b long"), "links"))
+    wide = first.where("cells > 1").drop("cells", "cell")
+    for turn in ("representatives", "all"):
+        wide = _relabelled(wide, linked)
+        if wide.isEmpty():
+            break
+        if turn == "representatives":
+            one = _in_cells(wide.groupBy("cluster", "label").agg(F.min_by(F.struct("id", "n"), F.struct(-F.col("n"), "id")).alias("r")).select("r.*", "cluster", "label"), "cluster")
+            more = _verified(held.drop("label").join(_side(one.select("id", "label", "cells", "cell")), "id"), share, parts(spark))
+        else:
+            more = _grid(held.drop("label"), wide, share)
+        links = links.unionByName(materialise(more, "links"))
         linked = components(links)
     owner = classes.join(linked, "id", "left").select(*prints, F.coalesce("component", "id").alias("component"))
     out = some.join(owner, prints).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))

@@ -85,6 +85,38 @@ def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
         return mix((sums[end] - sums[start]) * _power("down", len(sums))[start] + (end - start).astype(np.uint64))
 
 
+def hashed_words(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = SEPARATOR, step: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``words`` of the bytes with A-Z lowered, and their ``span_hash``. Bytes are taken ``step`` at a time, sums carried over the
+    cuts, so that a very long row costs memory for its words and not for its bytes."""
+    found: list[tuple[np.ndarray, ...]] = []
+    tails: list[tuple[np.ndarray, np.ndarray]] = []
+    held, carry, mask = False, 0, (1 << 64) - 1
+    with np.errstate(over="ignore"):
+        for lo in range(0, len(data), step):
+            part = LOWER[data[lo : lo + step]]
+            inside, n = ~separator[part], len(part)
+            before = np.concatenate([[held], inside[:-1]])
+            a, b = np.searchsorted(offsets, [lo, lo + n])
+            begins = np.zeros(n, bool)
+            begins[offsets[a:b] - lo] = True
+            starts, ends = np.flatnonzero(inside & (~before | begins)), np.flatnonzero(before & (~inside | begins))
+            sums = np.zeros(n + 1, np.uint64)
+            np.cumsum(_BYTE_CODES[part] * _power("up", n), out=sums[1:])
+            up, down = np.uint64(pow(int(_MULTIPLIER), lo, 1 << 64)), np.uint64(pow(int(_INVERSE), lo, 1 << 64))
+            at = np.uint64(carry) + up * sums
+            found.append((starts + lo, at[starts], down * _power("down", n)[starts]))
+            tails.append((ends + lo, at[ends]))
+            held, carry = bool(inside[-1]), int(at[-1]) & mask
+        if held:
+            tails.append((np.array([len(data)]), np.array([carry], np.uint64)))
+        if not found:
+            return (*words(data, offsets, separator), np.zeros(0, np.uint64))
+        start, low, scale = (np.concatenate([f[k] for f in found]) for k in range(3))
+        end, high = (np.concatenate([t[k] for t in tails]) for k in range(2))
+        h = mix((high - low) * scale + (end - start).astype(np.uint64))
+    return start, end, np.searchsorted(offsets, start, "right") - 1, h
+
+
 def bounds(row: np.ndarray, n: int) -> np.ndarray:
     """Where each of n rows begins in the sorted row numbers, and the end."""
     return np.searchsorted(row, np.arange(n + 1))

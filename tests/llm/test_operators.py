@@ -91,7 +91,7 @@ def brute_components(sets, share=80):
     return [root(i) for i in range(len(sets))]
 
 
-@pytest.mark.parametrize("limits", [{}, {"PAIR_GROUP": 2}, {"PAIR_GROUP": 2, "GROUP_MOST": 3}, {"CELL_KEYS": 60}, {"BROADCAST_ROWS": 0, "BLOCK": 500}])
+@pytest.mark.parametrize("limits", [{}, {"PAIR_GROUP": 2}, {"PAIR_GROUP": 2, "GROUP_MOST": 3}, {"SPLIT_KEYS": 60}, {"SPLIT_KEYS": 60, "SPLIT_MOST": 2, "CELL_KEYS": 130}, {"BROADCAST_ROWS": 0, "BLOCK": 500}])
 def test_ngram_join(docs, empty, monkeypatch, limits):
     for k, v in limits.items():
         monkeypatch.setattr(op10_ngram_join, k, v)
