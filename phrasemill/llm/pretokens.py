@@ -12,7 +12,7 @@ import unicodedata
 
 import numpy as np
 
-from phrasemill.llm.textbytes import _power, mix
+from phrasemill.llm.textbytes import LONG, _power, long_cuts, mix
 
 SPECIAL = "<|endoftext|>"
 CACHE_MOST = 300_000
@@ -173,7 +173,10 @@ def encoder(path: str) -> Distinct:
 
 
 def encode_rows(path: str, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Token ids of all rows, and where each row's begin; rows with a special token's string go to the library whole."""
+    """Token ids of all rows, and where each row's begin; rows (or parts of long ones) with a special token's string go to the library."""
+    if len(offsets) == 2 and len(data) > LONG and len(at := long_cuts(data)) > 2:
+        ids = np.concatenate([encode_rows(path, data[a:b], np.array([0, b - a]))[0] for a, b in zip(at[:-1], at[1:])])
+        return ids, np.array([0, len(ids)])
     raw = data.tobytes()
     odd = {}
     if SPECIAL.encode() in raw:

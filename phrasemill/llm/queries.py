@@ -10,7 +10,7 @@ from phrasemill.llm.op1_exact_dedup import exact_dedup
 from phrasemill.llm.op2_toxicity import toxicity
 from phrasemill.llm.op3_pii import pii_spans
 from phrasemill.llm.op4_quality import quality
-from phrasemill.llm.op5_token_counts import takedown_edits, token_counts
+from phrasemill.llm.op5_token_counts import token_counts
 from phrasemill.llm.op6_embedding_dedup import embedding_dedup
 from phrasemill.llm.op7_best_fit_packing import best_fit_packing
 from phrasemill.llm.op8_sentencepiece import sentencepiece_digests
@@ -36,7 +36,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts(takedown_edits(table(spark, sf_dir, "documents")), tokenizer_file("byte_bpe_50k.json"))
+    return token_counts(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+#: A row of more bytes is worked on in parts where that is possible.
+LONG = 1 << 21
+
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_MULTIPLIER), -1, 1 << 64))
 _BYTE_CODES = np.random.Generator(np.random.PCG64(20240611)).integers(1, 1 << 63, 256, dtype=np.int64).astype(np.uint64)
@@ -55,6 +58,22 @@ def slices(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np
         lo = hi
 
 
+def long_cuts(data: np.ndarray, step: int | None = None) -> np.ndarray:
+    """Where a very long row may be cut about every ``step`` bytes, with 0 and the end: before a space that stands between two
+    visible ASCII characters, where a word, a pre-token and a marked segment end and another begins whatever stands around."""
+    step = step or LONG
+    at, lo = [0], step
+    while lo < len(data):
+        part = data[lo - 1 : lo + step + 1]
+        seen = (part > 32) & (part < 127)
+        spots = np.flatnonzero((part[1:-1] == 32) & seen[:-2] & seen[2:])
+        if len(spots):
+            at.append(lo + int(spots[0]))
+            lo = at[-1]
+        lo += step
+    return np.array([*at, len(data)])
+
+
 def words(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = SEPARATOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and row of each longest stretch without separators (by default [^\\x20\\x09-\\x0D]+)."""
     if not len(data):

@@ -216,35 +216,94 @@ def test_trees_learn_an_interaction():
     assert np.mean((model.logit(x[2000:]) > 0) == y[2000:]) > 0.95
 
 
-def test_token_counts(docs, empty):
-    own = op5_token_counts.takedown_edits(docs)
-    got = by_id(op5_token_counts.token_counts(own, tokenizer_file(BPE)))
-    tk = tokenizer(tokenizer_file(BPE))
-    count = lambda t: sum(len(tk.encode(m[0], add_special_tokens=False).ids) for m in op5_token_counts.PATTERN.finditer(t))
+def test_token_counts(spark, docs, empty):
+    path = tokenizer_file(BPE)
+    got = by_id(op5_token_counts.token_counts(docs, path))
+    tk = tokenizer(path)
+    count = lambda t: len(tk.encode(t, add_special_tokens=False).ids)
     for i, t in enumerate(TEXTS):
         t = t or ""
         n, new = len(t), t
         for at, k, ins in ((3 * n // 4, 5, "it's"), (n // 2, 0, f" [notice {i}] "), (n // 4, 8, "")):
             new = new[:at] + ins + new[at + k :]
         assert (got[i].n_tokens, got[i].n_tokens_after) == (count(t), count(new)), i
-        assert got[i].n_encoded_again <= 45
-    assert op5_token_counts.token_counts(op5_token_counts.takedown_edits(empty), tokenizer_file(BPE)).count() == 0
-    plain = op5_token_counts.token_counts(docs.withColumn("edits", F.lit(None)), tokenizer_file(BPE)).collect()
+        assert got[i].n_encoded_again <= 70
+    assert op5_token_counts.token_counts(empty, path).count() == 0
+    plain = op5_token_counts.token_counts(docs, path, edits_col="null").collect()
     assert all(r.n_tokens == r.n_tokens_after and r.n_encoded_again == 0 for r in plain)
+    lost = spark.createDataFrame([(None, "a b"), (7, "a b"), (7, "c")], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in op5_token_counts.token_counts(lost, path).collect()) == [(0, 2), (7, 1), (7, 2)]
 
 
-def test_count_tree_random_edits():
+def test_stored_trees_take_edits_again(docs):
+    """The next version of the store, edited again: its texts, sums and counts are those of the edited texts; other rows encode nothing."""
+    path = tokenizer_file(BPE)
+    tk = tokenizer(path)
+    store = op5_token_counts.materialise(op5_token_counts.build_trees(docs, path), "trees")
+    texts = [t or "" for t in TEXTS]
+    for turn in range(2):
+        edits = [(i, [(len(texts[i]) // 2, 3, "x " * (500 if i % 6 else 0)), (0, 1, "<|endoftext|>")]) for i in range(turn, len(texts), 3)]
+        table = docs.sparkSession.createDataFrame(edits, f"doc_id long, edits array<{op5_token_counts.EDIT}>")
+        rows = op5_token_counts.materialise(op5_token_counts.apply_edits(op5_token_counts.with_edits(store, table), path), "trees")
+        store = rows.drop("n_encoded_again")
+        for i, own in edits:
+            for at, k, ins in own:
+                texts[i] = texts[i][:at] + ins + texts[i][at + k :]
+        for r in rows.collect():
+            assert "".join(x.text for x in r.leaves) == texts[r.doc_id]
+            assert r.n_tokens == len(tk.encode(texts[r.doc_id], add_special_tokens=False).ids) == (r.sums[3] if r.leaves else 0)
+            assert (r.n_encoded_again > 0) == (r.doc_id % 3 == turn) and max([len(x.chars) for x in r.leaves], default=0) <= 2 * op5_token_counts.LEAF
+
+
+def test_count_tree_random_edits(monkeypatch):
     path, r = tokenizer_file(BPE), random.Random(2)
     tk = tokenizer(path)
-    sizes = lambda t: [len(tk.encode(m[0], add_special_tokens=False).ids) for m in op5_token_counts.PATTERN.finditer(t)]
-    for _ in range(400):
-        text = "".join(r.choice("ab's t  \n.,1é日-") for _ in range(r.randint(0, 120)))
-        tree = op5_token_counts.CountTree([m.end() - m.start() for m in op5_token_counts.PATTERN.finditer(text)], sizes(text), leaf=r.choice([1, 2, 4]))
+    counter = op5_token_counts._counter(path)
+    bits = ["ab", "'s", "t", "  ", "\n", ".,", "1", "é", "日", "-", "<|endoftext|>", "<|endo", "ftext|>", "<|", " "]
+    draw = lambda n: "".join(r.choice(bits) for _ in range(r.randint(0, n)))
+    for turn in range(400):
+        monkeypatch.setattr(op5_token_counts, "LEAF", r.choice([1, 2, 4]))
+        text = draw(60)
+        pieces = [m[0] for m in op5_token_counts.PATTERN.finditer(text)]
+        assert "".join(pieces) == text and sum(map(counter, pieces)) == len(tk.encode(text, add_special_tokens=False).ids)
+        leaf = op5_token_counts.LEAF
+        leaves = [[[len(p) for p in pieces[i : i + leaf]], [counter(p) for p in pieces[i : i + leaf]], "".join(pieces[i : i + leaf])] for i in range(0, len(pieces), leaf)]
+        sums = op5_token_counts.tree_sums(np.array([[sum(x[0]), sum(x[1])] for x in leaves], np.int64).reshape(-1, 2))
+        tree = op5_token_counts.CountTree(list(range(len(leaves))), sums, lambda k, leaves=leaves: [list(leaves[k][0]), list(leaves[k][1]), leaves[k][2]])
         for _ in range(4):
-            at, k, ins = r.randint(0, len(text) + 1), r.randint(0, 8), "".join(r.choice("ab's t  \n.,1é日-") for _ in range(r.randint(0, 6)))
-            want = text[:at] + ins + text[at + k :]
-            text, _ = op5_token_counts.edit(tree, text, at, k, ins, path)
-            assert text == want and tree.tokens == sum(sizes(text))
+            at, k, ins = r.randint(0, len(text) + 1), r.randint(0, 12), draw(r.choice([0, 2, 40]))
+            text = text[:at] + ins + text[at + k :]
+            tree.edit(at, k, ins, counter)
+            assert "".join((x if isinstance(x, list) else leaves[x])[2] for x in tree.leaves) == text and tree.chars == len(text)
+            assert tree.tokens == len(tk.encode(text, add_special_tokens=False).ids)
+            assert max(len((x if isinstance(x, list) else leaves[x])[0]) for x in tree.leaves) <= 2 * leaf
+
+
+def test_an_edit_reads_few_leaves():
+    path = tokenizer_file(BPE)
+    text = " ".join(RNG.choice(WORDS) for _ in range(20_000))
+    job = op5_token_counts._trees(path)
+    row = next(iter(job([pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text])], ["doc_id", "text"])]))).to_pylist()[0]
+    tree = op5_token_counts.CountTree(list(range(len(row["leaves"]))), np.array(row["sums"]).reshape(-1, 2), lambda k: [row["leaves"][k][c] for c in ("chars", "tokens", "text")])
+    again = tree.edit(len(text) // 2, 10, "changed words", op5_token_counts._counter(path))
+    assert len(row["leaves"]) > 300 and tree.read <= 4 and again < 20
+
+
+def test_long_texts_are_cut(monkeypatch):
+    """Parts of a long text give the ids, words and counts of the whole."""
+    from phrasemill.llm import pretokens, textbytes
+
+    texts = ["".join(random.Random(i).choice(["ab ", "é", " x", "\n", "  ", "it's ", "1.", "<|endoftext|>", "日本 "]) for _ in range(900)) for i in range(6)] + ["y" * 3000, " ".join(["word"] * 900)]
+    whole = [(encode_rows(tokenizer_file(BPE), d, o)[0].tolist(), *(x.tolist() for x in op5_token_counts.pretokens(tokenizer_file(BPE), d, o)[1:3])) for t in texts for _, _, d, o in slices(pa.array([t]))]
+    for module in (pretokens, textbytes, op5_token_counts):
+        monkeypatch.setattr(module, "LONG", 200)
+    parts = [(encode_rows(tokenizer_file(BPE), d, o)[0].tolist(), *(x.tolist() for x in op5_token_counts.pretokens(tokenizer_file(BPE), d, o)[1:3])) for t in texts for _, _, d, o in slices(pa.array([t]))]
+    assert parts == whole
+    for _, _, d, o in slices(pa.array([*texts, "", "a b", " "])):
+        start, end, row = textbytes.words(d, o)
+        h = textbytes.span_hash(textbytes.prefix_sums(textbytes.LOWER[d]), start, end)
+        for step in (1, 7, 64, 1 << 20):
+            assert all((a == b).all() for a, b in zip((start, end, row, h), textbytes.hashed_words(d, o, step=step)))
 
 
 def test_embedding_dedup(spark):
@@ -269,7 +328,7 @@ def test_embedding_dedup(spark):
 def test_embedding_recall_over_many_cells(spark, monkeypatch):
     """Cells of 40 rows and blocks of 50: recall against all pairs stays above 0.99, and no false link is counted."""
     monkeypatch.setattr(op6_embedding_dedup, "CELL_ROWS", 40)
-    monkeypatch.setattr(op6_embedding_dedup, "BLOCK_ROWS", 50)
+    monkeypatch.setattr(op6_embedding_dedup, "BLOCK_BYTES", 50 * 256)
     df = table(spark, "/root/testdata/sf0.1", "embeddings")
     own = df.toPandas().sort_values("vec_id")
     x = np.array(own["embedding"].tolist(), float)
