@@ -4,8 +4,8 @@ Equal vectors are one row with a count before anything else. Centroids are fitte
 on the sphere. A vector has a home cell, and is a guest of each further cell from whose bisecting plane it lies at most d / 2
 away, d = sqrt(2 - 2 t): two vectors on either side of a plane and at most d apart can't both be farther from it, so every
 pair at the threshold meets in the home of one of them, whatever the data. It is counted where the vector nearer to the plane is
-the guest. Rows travel packed, one packet for each batch and cell. Cells hold about ``CELL_ROWS`` rows; larger ones are
-compared block by block. Products are taken in single precision with a slack and those near the threshold again in double.
+the guest. Rows travel packed, one packet for each batch and cell. Cells hold about ``CELL_ROWS`` rows; those of more
+than ``BLOCK_BYTES`` are compared block by block. Products are taken in single precision with a slack and those near the threshold again in double.
 Tasks return sums of links per vector and a forest of links, never the pairs.
 """
 
@@ -24,7 +24,7 @@ from phrasemill.llm.components import components
 from phrasemill.llm.op10_ngram_join import Forest
 from phrasemill.llm.shared import materialise
 
-THRESHOLD, CELL_ROWS, BLOCK_ROWS, SAMPLE_ROWS, MOST_CELLS, STEPS, ROUNDING, SLACK, PACKET_BYTES = 0.9, 1500, 20_000, 20_000, 4096, 8, 1e-9, 1e-3, 1 << 16
+THRESHOLD, CELL_ROWS, BLOCK_BYTES, SAMPLE_ROWS, MOST_CELLS, STEPS, ROUNDING, SLACK, PACKET_BYTES = 0.9, 1500, 12 << 20, 20_000, 4096, 8, 1e-9, 1e-3, 1 << 16
 PACKET = "ids binary, copies binary, homes binary, v binary"
 _COLUMNS = ["ids", "copies", "homes", "v"]
 
@@ -184,7 +184,7 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         margin = math.sqrt(2 - 2 * threshold) / 2
         shared = spark.sparkContext.broadcast(spherical_kmeans(x, k))  # MOST_CELLS rows at most
         placed = materialise(kept.select("vec_id", "copies", "v").mapInArrow(_place(shared, margin, kind), f"cell long, guest boolean, {PACKET}"), "placed")
-        blocks = placed.groupBy("cell").agg(F.ceil(F.sum(F.length("ids")) / 8 / BLOCK_ROWS).alias("blocks"))  # a row per cell
+        blocks = placed.groupBy("cell").agg(F.ceil(F.sum(F.length("v")) / BLOCK_BYTES).alias("blocks"))  # a row per cell
         at = placed.join(F.broadcast(blocks), "cell").withColumn("block", F.pmod(F.xxhash64("ids"), F.col("blocks")))
         # rows at home stand on the left of their block's pairs, and on the right of earlier blocks'; guests on the right of all
         right = F.transform(F.sequence(F.lit(0), F.when(F.col("guest"), F.col("blocks") - 1).otherwise(F.col("block"))), lambda o: F.struct(o.alias("x"), F.col("block").alias("y"), F.when(~F.col("guest") & (o == F.col("block")), "b").otherwise("r").alias("side")))
