@@ -24,9 +24,10 @@ from phrasemill.llm.textbytes import LONG, bounds, long_cuts, slices
 
 LEAF, BROADCAST_EDITS = 64, 100_000
 EDIT = "struct<at:long,length:long,insert:string>"
-LEAVES = "array<struct<chars:array<int>,tokens:array<int>,text:string>>"
+#: Characters and tokens of a leaf's pre-tokens are numbers of one byte each, or of four where ``wide``.
+LEAVES = "array<struct<wide:boolean,chars:binary,tokens:binary,text:string>>"
 STORE = f"doc_id long, n_chars long, n_pretokens long, n_tokens long, sums array<long>, leaves {LEAVES}"
-_LEAF = pa.struct([("chars", pa.list_(pa.int32())), ("tokens", pa.list_(pa.int32())), ("text", pa.string())])
+_LEAF = pa.struct([("wide", pa.bool_()), ("chars", pa.binary()), ("tokens", pa.binary()), ("text", pa.string())])
 _END = regex.escape(SPECIAL)
 #: The public pattern, a special token's string being a pre-token of its own, as the library has it.
 PATTERN = regex.compile(rf"{_END}|'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?(?:(?!{_END})[^\s\p{{L}}\p{{N}}])+|\s+(?={_END})|\s+(?!\S)|\s+")
@@ -153,6 +154,17 @@ class CountTree:
         self.leaves[a : b + 1] = blocks
 
 
+def unpacked(wide: bool, chars: bytes, tokens: bytes, text: str) -> list:
+    kind = "<u4" if wide else "<u1"
+    return [np.frombuffer(chars, kind).tolist(), np.frombuffer(tokens, kind).tolist(), text]
+
+
+def packed(chars: list[int], tokens: list[int], text: str) -> dict:
+    wide = max(*chars, *tokens) > 255
+    pack = lambda x: np.array(x, "<u4" if wide else "<u1").tobytes()
+    return {"wide": wide, "chars": pack(chars), "tokens": pack(tokens), "text": text}
+
+
 @functools.cache
 def _counter(path: str) -> Callable[[str], int]:
     own = tokenizer(path)
@@ -203,8 +215,11 @@ def _trees(path: str):
                 leaf_sums = np.stack([np.add.reduceat(c, begin) if len(begin) else c[:0] for c in (chars, tokens)], 1)
                 sums = [tree_sums(leaf_sums[a:b]).ravel() for a, b in zip(of[:-1], of[1:])]
                 text = pa.StringArray.from_buffers(len(begin), pa.py_buffer(np.append(first[begin], len(data)).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data)))
-                lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(c.astype(np.int32))) for c in (chars, tokens)]
-                leaves = pa.ListArray.from_arrays(pa.array(of.astype(np.int32)), pa.StructArray.from_arrays([*lists, text], fields=list(_LEAF)))
+                kind = "<u1" if max(chars.max(initial=0), tokens.max(initial=0)) < 256 else "<u4"
+                at = pa.py_buffer(ends * np.int32(kind[2]))
+                packed = [pa.BinaryArray.from_buffers(pa.binary(), len(begin), [None, at, pa.py_buffer(c.astype(kind))]) for c in (chars, tokens)]
+                wide = pa.array(np.full(len(begin), kind == "<u4"))
+                leaves = pa.ListArray.from_arrays(pa.array(of.astype(np.int32)), pa.StructArray.from_arrays([wide, *packed, text], fields=list(_LEAF)))
                 total = np.array([s[2:4] for s in sums])
                 cols = [batch.column("doc_id").slice(lo, hi - lo), pa.array(total[:, 0]), pa.array(np.diff(rows)), pa.array(total[:, 1])]
                 sums_at = np.concatenate([[0], np.cumsum([len(s) for s in sums])]).astype(np.int32)
@@ -227,8 +242,8 @@ def _edited(path: str, whole: bool):
         for batch in batches:
             stored, sums = batch.column("leaves"), batch.column("sums")
             of, flat = np.asarray(stored.offsets), stored.values
-            chars, tokens, text = flat.field("chars"), flat.field("tokens"), flat.field("text")
-            load = lambda k: [chars[k].as_py(), tokens[k].as_py(), text[k].as_py()]
+            fields = [flat.field(k) for k in ("wide", "chars", "tokens", "text")]
+            load = lambda k: unpacked(*(f[k].as_py() for f in fields))
             out, names = [], ["doc_id", "n_pretokens", "n_tokens", "n_tokens_after", "n_encoded_again"]
             known = batch.select(["doc_id", "n_pretokens", "n_tokens"]).to_pylist()
             for r, edits in enumerate(batch.column("edits").to_pylist()):
@@ -241,9 +256,10 @@ def _edited(path: str, whole: bool):
                     for e in edits:
                         again += tree.edit(e["at"] or 0, e["length"] or 0, e["insert"] or "", count)
                 if whole:
-                    own = [dict(zip(("chars", "tokens", "text"), x if isinstance(x, list) else load(x))) for x in tree.leaves]
-                    own = [x for x in own if x["chars"]]
-                    out.append((row["doc_id"], tree.chars, sum(len(x["chars"]) for x in own), tree.tokens, tree_sums(np.array([[sum(x["chars"]), sum(x["tokens"])] for x in own], np.int64).reshape(-1, 2)).ravel().tolist(), own, again))
+                    own = [x if isinstance(x, list) else load(x) for x in tree.leaves]
+                    own = [x for x in own if x[0]]
+                    leaf_sums = np.array([[sum(x[0]), sum(x[1])] for x in own], np.int64).reshape(-1, 2)
+                    out.append((row["doc_id"], tree.chars, sum(len(x[0]) for x in own), tree.tokens, tree_sums(leaf_sums).ravel().tolist(), [packed(*x) for x in own], again))
                 else:
                     out.append((row["doc_id"], row["n_pretokens"], row["n_tokens"], tree.tokens if tree else row["n_tokens"], again))
             kinds = [pa.int64()] * 5

@@ -26,7 +26,7 @@ def shared_dir(spark: SparkSession) -> str:
 def materialise(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/phrasemill/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path, compression=compression)
+    df.write.option("parquet.block.size", 32 << 20).parquet(path, compression=compression)  # row groups that small executors hold
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -252,7 +252,7 @@ def test_stored_trees_take_edits_again(docs):
         for r in rows.collect():
             assert "".join(x.text for x in r.leaves) == texts[r.doc_id]
             assert r.n_tokens == len(tk.encode(texts[r.doc_id], add_special_tokens=False).ids) == (r.sums[3] if r.leaves else 0)
-            assert (r.n_encoded_again > 0) == (r.doc_id % 3 == turn) and max([len(x.chars) for x in r.leaves], default=0) <= 2 * op5_token_counts.LEAF
+            assert (r.n_encoded_again > 0) == (r.doc_id % 3 == turn) and max([len(x.chars) // (4 if x.wide else 1) for x in r.leaves], default=0) <= 2 * op5_token_counts.LEAF
 
 
 def test_count_tree_random_edits(monkeypatch):
@@ -284,7 +284,7 @@ def test_an_edit_reads_few_leaves():
     text = " ".join(RNG.choice(WORDS) for _ in range(20_000))
     job = op5_token_counts._trees(path)
     row = next(iter(job([pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text])], ["doc_id", "text"])]))).to_pylist()[0]
-    tree = op5_token_counts.CountTree(list(range(len(row["leaves"]))), np.array(row["sums"]).reshape(-1, 2), lambda k: [row["leaves"][k][c] for c in ("chars", "tokens", "text")])
+    tree = op5_token_counts.CountTree(list(range(len(row["leaves"]))), np.array(row["sums"]).reshape(-1, 2), lambda k: op5_token_counts.unpacked(**row["leaves"][k]))
     again = tree.edit(len(text) // 2, 10, "changed words", op5_token_counts._counter(path))
     assert len(row["leaves"]) > 300 and tree.read <= 4 and again < 20
 
