@@ -25,34 +25,43 @@ def clean_records(raw: DataFrame) -> DataFrame:
     return out.withColumns({"subtitle": subtitle, "title": F.when(edition, t.strip(F.col("title"))).otherwise(t.clean_title(F.col("title")))}).where(F.col("subtitle").isNotNull()).drop("raw_subtitle")
 
 
-def drop_known(editions: DataFrame, records: DataFrame, key: str, normal=lambda c: c) -> DataFrame:
-    """Editions whose key no record has (anti join); rows without a key stay and skip the shuffle."""
-    have = records.select(normal(F.col(key)).alias("known")).where(F.col("known").isNotNull() & (F.col("known") != "")).distinct()
-    keyed = F.col(key).isNotNull() & (F.col(key) != "")
-    left = editions.where(keyed).join(have, normal(F.col(key)) == F.col("known"), "left_anti")
-    return left.unionByName(editions.where(~keyed))
+def _keyed(key: Column) -> Column:
+    return F.coalesce(key != "", F.lit(False))
+
+
+def _spread(key: Column, row: Column) -> Column:
+    """The key, or for rows without one something of their own, so that they don't gather in one task."""
+    return F.when(_keyed(key), key).otherwise(F.concat(F.lit("#"), row.cast("string")))
+
+
+def drop_known(editions: DataFrame, records: DataFrame, key: str, normal=lambda c: c, row: str = "id") -> DataFrame:
+    """Editions whose key no record has (one anti join); rows without a key match nothing and stay."""
+    own = normal(F.col(key))
+    have = records.select(own.alias("known"), F.lit(True).alias("keyed")).where(_keyed(F.col("known"))).distinct()
+    return editions.join(have, (_spread(own, F.col(row)) == F.col("known")) & (_keyed(own) == F.col("keyed")), "left_anti")
 
 
 def one_per_key(df: DataFrame, key: str, order: str) -> DataFrame:
-    """The first row of each key; rows without a key all stay and skip the window."""
-    keyed = F.col(key).isNotNull() & (F.col(key) != "")
-    first = df.where(keyed).withColumn("rn", F.row_number().over(W.partitionBy(key).orderBy(order))).where("rn = 1").drop("rn")
-    return first.unionByName(df.where(~keyed))
+    """The first row of each key; rows without a key all stay, each in a window of its own."""
+    own = W.partitionBy(_spread(F.col(key), F.col(order)), _keyed(F.col(key))).orderBy(order)
+    return df.withColumn("rn", F.row_number().over(own)).where(F.when(_keyed(F.col(key)), F.col("rn") == 1).otherwise(True)).drop("rn")
 
 
 def merge_sources(cleaned: DataFrame) -> DataFrame:
-    """Library rows and those editions that they don't hold, one edition per work, first in file order."""
+    """Library rows and those editions that they don't hold, one edition per work, first in file order.
+
+    ``cleaned`` is read four times, so it should be a written table.
+    """
     records, editions = cleaned.where("source_file <> 'openlibrary'"), cleaned.where("source_file = 'openlibrary'")
     editions = drop_known(editions, records, "lccn", t.normalize_lccn)
     editions = drop_known(editions, records, "isbn")
     return records.unionByName(one_per_key(editions, "work_key", "id"))
 
 
-def extract_counters(raw: DataFrame) -> DataFrame:
-    """scanned, kept and skipped counts in one aggregate."""
-    cleaned = clean_records(raw)
-    kept = merge_sources(cleaned)
-    return raw.agg(F.count(F.lit(1)).alias("scanned")).crossJoin(cleaned.agg(F.count(F.lit(1)).alias("cleaned"))).crossJoin(kept.agg(F.count(F.lit(1)).alias("kept"))).withColumn("duplicates_skipped", F.col("cleaned") - F.col("kept"))
+def extract_counters(raw: DataFrame, cleaned: DataFrame, kept: DataFrame) -> DataFrame:
+    """scanned, cleaned, kept and duplicates_skipped of the three tables of an extraction."""
+    one = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    return one(raw, "scanned").crossJoin(one(cleaned, "cleaned")).crossJoin(one(kept, "kept")).withColumn("duplicates_skipped", F.col("cleaned") - F.col("kept"))
 
 
 def matches(subtitles: DataFrame) -> DataFrame:
@@ -72,11 +81,19 @@ def lexicon(spark) -> DataFrame:
     return spark.createDataFrame(list(lists.LEXICON), "word string, tag string, ent string")
 
 
-def with_lexicon(df: DataFrame, words: DataFrame) -> DataFrame:
-    """Adds a one-row map column ``lexicon`` (word -> (tag, ent)), for lexicons of a checked size."""
-    if words.count() > LEXICON_MAP_ROWS:
-        raise ValueError("too many words for a map; use tag_phrases")
-    return df.crossJoin(F.broadcast(words.agg(F.map_from_entries(F.collect_list(F.struct("word", F.struct("tag", "ent")))).alias("lexicon"))))
+def with_lexicon(df: DataFrame, words: DataFrame, key: str, *phrases: Column) -> DataFrame:
+    """Adds a map column ``lexicon`` (lower-cased word -> (tag, ent)) that knows the words of the row's ``phrases``.
+
+    A lexicon of at most LEXICON_MAP_ROWS words is sent to all tasks whole; of a larger one each row gets its own words, by a join
+    of the rows' distinct tokens. ``key`` names the row. Of several entries of a word the least counts.
+    """
+    entry = words.groupBy("word").agg(F.min(F.struct("tag", "ent")).alias("entry"))
+    if words.count() <= LEXICON_MAP_ROWS:
+        return df.crossJoin(F.broadcast(entry.agg(F.map_from_entries(F.collect_list(F.struct("word", "entry"))).alias("lexicon"))))
+    own = F.array_distinct(F.flatten(F.array(*(F.transform(t.tokens(p), F.lower) for p in phrases))))
+    long = df.select(F.col(key).alias("_key"), F.explode(own).alias("word")).distinct().join(entry, "word")
+    maps = long.groupBy("_key").agg(F.map_from_entries(F.collect_list(F.struct("word", "entry"))).alias("lexicon"))
+    return df.join(maps, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
 
 
 def tags_of(phrase: Column, part: str = "tag") -> Column:
@@ -99,7 +116,7 @@ def tag_phrases(phrases: DataFrame, words: DataFrame, id_col: str = "id", col: s
 
 def validated(found: DataFrame, words: DataFrame) -> DataFrame:
     """Matches whose action, object and at least two items are valid; invalid items leave the list."""
-    out = with_lexicon(found, words).withColumns({
+    out = with_lexicon(found, words, "subtitle_id", F.col("of_object"), F.array_join("list_items", " ; ")).withColumns({
         "action_noun": t.join_initials(F.col("action_noun")), "of_object": t.join_initials(F.col("of_object")),
         "list_items": F.transform("list_items", lambda x: t.join_initials(t.strip_ending(x))),
     })
@@ -133,11 +150,17 @@ def article_coverage(counts: DataFrame) -> DataFrame:
     return per.groupBy("slot_type").agg(F.count(F.lit(1)).alias("fillers"), F.sum("any").alias("with_article"), F.sum("other").alias("with_other_article"))
 
 
+def best_articles(counts: DataFrame) -> DataFrame:
+    """slot_type, filler_lc, article, n, total: the most frequent article of each filler, among equals the longest, which is
+    never the missing one."""
+    best = F.max_by(F.struct("article", "n"), F.struct("n", F.length("article"), F.col("article")))
+    return counts.groupBy("slot_type", "filler_lc").agg(F.sum("n").alias("total"), best.alias("b")).select("slot_type", "filler_lc", "b.*", "total")
+
+
 def majority_articles(counts: DataFrame, min_freq: float = 1.0, share: float | None = None) -> DataFrame:
     """slot_type, filler_lc, article: the most frequent one where the total is at least ``min_freq`` and it has over half
-    (or, given ``share``, that share and isn't ''). Among equals, which half rules out but a smaller share doesn't, the first by name."""
-    best = F.max_by(F.struct("article", "n"), F.struct("n", F.expr("transform(array(article), a -> -length(a))")))
-    per = counts.groupBy("slot_type", "filler_lc").agg(F.sum("n").alias("total"), best.alias("b")).select("slot_type", "filler_lc", "total", "b.*")
+    (or, given ``share``, that share and isn't '').  Equals are decided as in ``best_articles``."""
+    per = best_articles(counts)
     clear = F.col("n") * 2 > F.col("total") if share is None else (F.col("article") != "") & (F.col("n") >= share * F.col("total"))
     return per.where((F.col("total") >= min_freq) & clear).select("slot_type", "filler_lc", "article")
 
@@ -161,7 +184,7 @@ def split_parts(objects: DataFrame, words: DataFrame) -> DataFrame:
     The prepositional split is at the first preposition with a noun on both sides; a compound of two or three words has its head
     last, holds no person, isn't a two-word place or noun and noun, and its head is no roman numeral.
     """
-    out = with_lexicon(objects, words).withColumns({"tok": t.tokens(F.col("filler")), "tags": tags_of(F.col("filler")), "ents": tags_of(F.col("filler"), "ent"), "wc": t.word_count(F.col("filler"))}).drop("lexicon")
+    out = with_lexicon(objects, words, "filler", F.col("filler")).withColumns({"tok": t.tokens(F.col("filler")), "tags": tags_of(F.col("filler")), "ents": tags_of(F.col("filler"), "ent"), "wc": t.word_count(F.col("filler"))}).drop("lexicon")
     out = out.withColumns({"at": F.array_position("tags", "ADP"), "n": F.size("tok")})
     side = lambda lo, k: F.array_join(F.slice("tok", lo, F.greatest(k, F.lit(0))), " ")
     tag = lambda lo, k: F.array_join(F.slice("tags", lo, F.greatest(k, F.lit(0))), "+")
@@ -243,7 +266,7 @@ def find_sources(wanted: DataFrame, fillers: DataFrame, subtitles: DataFrame) ->
 def templates(texts: DataFrame, words: DataFrame) -> DataFrame:
     """id, phrase -> template (literals and tags, runs of a tag as ``TAG+``) and slot_data (pos, text, multi)."""
     literal = lambda w: F.lower(w).isin(*lists.LITERALS)
-    out = with_lexicon(texts, words).withColumns({"tok": t.tokens(F.col("phrase")), "tags": tags_of(F.col("phrase"))}).drop("lexicon")
+    out = with_lexicon(texts, words, "id", F.col("phrase")).withColumns({"tok": t.tokens(F.col("phrase")), "tags": tags_of(F.col("phrase"))}).drop("lexicon")
     parts = F.transform(F.arrays_zip("tok", "tags"), lambda x: F.struct(x["tok"].alias("w"), F.when((x["tags"] == "PUNCT") & x["tok"].isin(*lists.LITERAL_PUNCTUATION), x["tok"]).when(literal(x["tok"]), F.lower(x["tok"])).otherwise(x["tags"]).alias("p"), (~literal(x["tok"]) & ~((x["tags"] == "PUNCT") & x["tok"].isin(*lists.LITERAL_PUNCTUATION))).alias("open")))
     kind = "array<struct<p:string,w:array<string>,open:boolean>>"
     merged = F.aggregate(

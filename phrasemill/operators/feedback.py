@@ -112,16 +112,27 @@ def scores_by_filler(texts: DataFrame, fillers: DataFrame) -> DataFrame:
     return texts.join(dim, "filler", "left").select("id", "filler", F.coalesce("f.freq", F.lit(1)).alias("freq"), F.col("f.popularity").alias("popularity"))
 
 
-def scores_by_slot(samples: DataFrame, fillers: DataFrame, missing: float = 0.1) -> DataFrame:
-    """id, slot_type, filler -> freq and popularity by both, unknown ones (0, ``missing``)."""
-    dim = fillers.select("filler", "slot_type", F.col("freq").alias("f"), F.col("popularity").alias("p"))
-    return samples.join(dim, ["filler", "slot_type"], "left").select("id", "slot_type", "filler", F.coalesce("f", F.lit(0)).alias("freq"), F.coalesce("p", F.lit(missing)).alias("popularity"))
+def scores_by_slot(samples: DataFrame, fillers: DataFrame, missing: float | None = 0.1, case_sensitive: bool = True) -> DataFrame:
+    """samples with slot_type and filler -> the same with freq and popularity by both, unknown ones (0, ``missing``).
 
+    Without case, spellings of a filler count together: their frequencies are summed and the highest popularity is taken.
+    """
+    key = (lambda c: F.col(c)) if case_sensitive else (lambda c: F.lower(c))
+    dim = fillers.groupBy(key("filler").alias("k"), F.col("slot_type").alias("st")).agg(F.sum("freq").alias("f"), F.max("popularity").alias("p"))
+    found = samples.join(dim, (key("filler") == F.col("k")) & (F.col("slot_type") == F.col("st")), "left")
+    return found.select(*samples.columns, F.coalesce("f", F.lit(0)).alias("freq"), (F.col("p") if missing is None else F.coalesce("p", F.lit(missing))).alias("popularity"))
 
-def histogram_overlap(scores: DataFrame, group: str, one: str, other: str, bins: int = 10, lo: float = 0.0, hi: float = 3.0) -> DataFrame:
-    """overlap and separation of two groups' score histograms (clipped to the range, each summing to 1)."""
+
+def histogram_overlap(scores: DataFrame, group: str, one: str, other: str, bins: int = 10, lo: float = 0.0, hi: float = 3.0, by: tuple[str, ...] = ()) -> DataFrame:
+    """overlap and separation of two groups' score histograms (clipped to the range, each summing to 1), for each ``by``."""
     b = F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.floor((F.col("score") - lo) / ((hi - lo) / bins)).cast("int")))
-    n = scores.where(F.col(group).isin(one, other)).groupBy(b.alias("bin")).agg(F.count_if(F.col(group) == one).alias("x"), F.count_if(F.col(group) == other).alias("y"))
-    whole = W.partitionBy()  # ``bins`` rows
+    n = scores.where(F.col(group).isin(one, other)).groupBy(*by, b.alias("bin")).agg(F.count_if(F.col(group) == one).alias("x"), F.count_if(F.col(group) == other).alias("y"))
+    whole = W.partitionBy(*by)  # ``bins`` rows
     share = lambda c: F.col(c) / F.greatest(F.sum(c).over(whole), F.lit(1))
-    return n.select(F.least(share("x"), share("y")).alias("m")).agg(F.coalesce(F.sum("m"), F.lit(0.0)).alias("overlap")).withColumn("separation", 1 - F.col("overlap"))
+    return n.select(*by, F.least(share("x"), share("y")).alias("m")).groupBy(*by).agg(F.coalesce(F.sum("m"), F.lit(0.0)).alias("overlap")).withColumn("separation", 1 - F.col("overlap"))
+
+
+def with_snapshot(ratings: DataFrame, params: DataFrame) -> DataFrame:
+    """Adds ``config_snapshot``: the parameters in force, as a map on each rating."""
+    one = params.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("config_snapshot"))
+    return ratings.crossJoin(F.broadcast(one))

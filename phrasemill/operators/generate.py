@@ -1,138 +1,175 @@
-"""Samples in bulk: requests to finished texts in one plan.
+"""Samples in bulk: requests to finished texts.
 
-Pools are slot tables (slot_type, filler, freq, popularity, ...). Weights are made once for each (slot, tone set), draws
-are seeded hashes found by a bucketed range join, remix attempts are rows of a join and not a loop, and articles are left joins.
+Pools are slot tables (slot_type, filler, freq, popularity, ...). Requests may carry a ``trial`` and parameters then differ by
+trial: weights are made once for each (trial, slot, tone set) and cumulated. Draws are seeded hashes found by a bucketed range
+join, all slots in one; remix attempts are rows of a join and not a loop; articles are left joins. What is used several
+times (requests, cumulated weights, draws, attempts) is written once, so plans stay small.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from phrasemill.functions import scores as s
 from phrasemill.functions import text as t
 from phrasemill.functions import words as lists
 from phrasemill.operators import sampling as p
-from phrasemill.operators.bibliography import article_for, majority_articles
+from phrasemill.operators.bibliography import best_articles
+from phrasemill.session import materialise
 
 ATTEMPTS, LOCKED_ATTEMPTS = 5, 20
 NOT_ENOUGH = "(not enough fillers)"
 REQUEST = "req_id long, seed long, tone string, remix_prob double, min_sim double, locks map<string,string>"
+_NO_LOCKS = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+
+
+def _tried(df: DataFrame) -> DataFrame:
+    """Rows without a trial belong to trial 0."""
+    return df if "trial" in df.columns else df.withColumn("trial", F.lit(0).cast("long"))
+
+
+def _lock(name: str) -> Column:
+    return F.try_element_at("locks", F.lit(name))
 
 
 def tone_targets(tones: DataFrame, params: DataFrame) -> DataFrame:
-    """tone (comma list, normalised) x slot -> target: the mean over the tones named, times the slot's multiplier; null for no tone."""
-    named = params.where(F.col("key").startswith("tone_target_")).select(F.regexp_extract("key", "^tone_target_([a-z]+)_", 1).alias("one"), F.regexp_extract("key", "^tone_target_[a-z]+_(.*)$", 1).alias("slot_type"), F.col("value"))
-    times = params.where(F.col("key").startswith("pop_slot_mult_")).select(F.substring("key", 15, 99).alias("slot_type"), F.col("value").alias("times"))
-    slots = named.select("slot_type").distinct()
-    own = tones.select("tone").distinct().crossJoin(F.broadcast(slots)).withColumn("one", F.explode_outer(F.split(F.nullif("tone", F.lit("")), ",")))
-    return own.join(F.broadcast(named), ["one", "slot_type"], "left").groupBy("tone", "slot_type").agg(F.avg("value").alias("value")).join(F.broadcast(times), "slot_type").select("tone", "slot_type", (F.col("value") * F.col("times")).alias("target"))
+    """trial, tone (comma list, normalised), slot_type -> target: the mean over the tones named, times the slot's multiplier; null
+    for no tone."""
+    tones, params = _tried(tones).select("trial", "tone").distinct(), _tried(params)
+    named = params.where(F.col("key").startswith("tone_target_")).select("trial", F.regexp_extract("key", "^tone_target_([a-z]+)_", 1).alias("one"), F.regexp_extract("key", "^tone_target_[a-z]+_(.*)$", 1).alias("slot_type"), "value")
+    times = params.where(F.col("key").startswith("pop_slot_mult_")).select("trial", F.substring("key", 15, 99).alias("slot_type"), F.col("value").alias("times"))
+    own = tones.join(times, "trial").withColumn("one", F.explode_outer(F.split(F.nullif("tone", F.lit("")), ",")))
+    return own.join(named, ["trial", "one", "slot_type"], "left").groupBy("trial", "tone", "slot_type").agg((F.avg("value") * F.first("times")).alias("target"))
 
 
 def pool_weights(pools: DataFrame, targets: DataFrame, params: DataFrame) -> DataFrame:
-    """pool (slot and tone) with a weight for each filler; sub-part slots share the object's target."""
+    """trial, slot_type, tone, filler and a weight; sub-part slots share the object's target."""
     c = F.col
     own = pools.withColumn("target_slot", F.when(c("slot_type").startswith("of_"), "of_object").otherwise(c("slot_type")))
-    own = own.join(F.broadcast(targets.withColumnRenamed("slot_type", "target_slot")), "target_slot")
-    own = p.with_params(own, params)
+    own = own.join(targets.withColumnRenamed("slot_type", "target_slot"), "target_slot")
+    own = own.join(p.as_row(_tried(params), "trial"), "trial")
     score = s.filler_score(c("freq"), c("popularity"), c("pop_tone_blend"), c("pop_missing_default"))
     weight = s.base_weight(c("freq"), c("popularity"), c("pop_base_weight_blend"), c("pop_missing_default")) * s.tone_bias(score, c("target"), c("weighted_sample_spread"), c("weighted_sample_bias_floor"))
-    return own.select("slot_type", "tone", "filler", weight.alias("weight"), *(x for x in ("pos_tag", "prep") if x in pools.columns))
+    return own.select("trial", "slot_type", "tone", "filler", weight.alias("weight"), *(x for x in ("pos_tag", "prep") if x in pools.columns))
+
+
+def _pool(slot: Column, trial: Column, tone: Column, rest: Column | None = None) -> Column:
+    return F.concat_ws("|", trial.cast("string"), slot, tone, *([] if rest is None else [rest.cast("string")]))
 
 
-def _draw(requests: DataFrame, weights: DataFrame, slot: str, two: bool = False) -> DataFrame:
-    pool = weights.where(F.col("slot_type") == slot).select(F.col("tone").alias("pool"), "filler", "weight")
-    return p.draw_large(pool, requests.select("seed", F.col("tone").alias("pool")).distinct(), two, slot).withColumnRenamed("pool", "tone")
+def _cumulated(pools: DataFrame, parts: DataFrame, req: DataFrame, params: DataFrame) -> DataFrame:
+    """All pools that requests may draw from; modifiers are pooled by words, topics and complements by preposition."""
+    both = pools.select("slot_type", "filler", "freq", "popularity", F.lit(None).cast("string").alias("prep")).unionByName(parts.select("slot_type", "filler", "freq", "popularity", "prep"))
+    weights = pool_weights(both, tone_targets(req, params), params)
+    slot = F.col("slot_type")
+    rest = F.when(slot == "of_modifier", t.word_count(F.col("filler")).cast("string")).when(slot.isin("of_topic", "of_complement"), F.col("prep"))
+    pool = weights.select(_pool(slot, F.col("trial"), F.col("tone"), rest).alias("pool"), "filler", "weight")
+    return materialise(p.cumulative(pool.groupBy("pool", "filler").agg(F.sum("weight").alias("weight"))), "cumulated")
 
 
 def generate(requests: DataFrame, pools: DataFrame, parts: DataFrame, splits: DataFrame, counts: DataFrame, scalars: DataFrame, params: DataFrame, constants=(1.0, 0.1, 0.1)) -> DataFrame:
-    """requests (REQUEST) -> req_id, text, item1, item2, action_noun, of_object, remixed, remix_parts, remix_similarity, of_article, action_article.
+    """requests (REQUEST, and perhaps trial) -> req_id, text, item1, item2, action_noun, of_object, remixed, remix_parts,
+    remix_similarity, of_article, action_article, and the trial if it was given.
 
     pools: slot_type, filler, freq, popularity. parts: the same for sub-parts, with pos_tag and prep. splits: filler, remix_type,
     remix_prep, remix_word_count of objects. counts: article counts. scalars: slot_type, filler, centroid_dot, norm_sq.
-    constants: the centroid's norm and the mean cross similarities of the two remix types. A text that lacks fillers is a placeholder.
+    params: key, value, and perhaps trial. constants: the centroid's norm and the mean cross similarities of the two remix types.
+    Requests have ids of their own. A text that lacks fillers is a placeholder.
     """
-    tone = F.array_join(F.array_sort(F.array_distinct(F.filter(F.transform(F.split(F.coalesce("tone", F.lit("")), ","), lambda x: F.lower(F.trim(x))), lambda x: x != ""))), ",")
-    req = requests.withColumns({"tone": tone, "locks": F.coalesce("locks", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))})
-    lock = lambda k: F.try_element_at("locks", F.lit(k))
-    weights = pool_weights(pools, tone_targets(req, params), params)
-    items = _draw(req, weights, "list_item", two=True).toDF("seed", "tone", "i1", "i2")
-    actions = _draw(req, weights, "action_noun").select("seed", "tone", F.col("filler").alias("a"))
-    objects = _draw(req, weights, "of_object").select("seed", "tone", F.col("filler").alias("o"))
-    out = req.join(items, ["seed", "tone"], "left").join(actions, ["seed", "tone"], "left").join(objects, ["seed", "tone"], "left")
+    tones = F.filter(F.transform(F.split(F.coalesce("tone", F.lit("")), ","), lambda x: F.lower(F.trim(x))), lambda x: x != "")
+    req = _tried(requests).withColumns({"tone": F.array_join(F.array_sort(F.array_distinct(tones)), ","), "locks": F.coalesce("locks", _NO_LOCKS)})
+    req, params = materialise(req, "requests"), materialise(_tried(params), "params")
+    cum = _cumulated(pools, parts, req, params)
+    slots = F.explode(F.array(*map(F.lit, lists.SLOTS))).alias("slot")
+    draws = req.select("req_id", "seed", "trial", "tone", slots).withColumn("pool", _pool(F.col("slot"), F.col("trial"), F.col("tone")))
+    first = materialise(p.first_picks(draws, cum, F.col("slot")), "draws")
+    second = p.second_picks(first.where("slot = 'list_item'"), cum, F.col("slot"))
+    both = first.select("req_id", "slot", "filler").unionByName(second.select("req_id", F.lit("second").alias("slot"), F.col("filler2").alias("filler")))
+    picked = both.groupBy("req_id").agg(*(F.max(F.when(F.col("slot") == k, F.col("filler"))).alias(v) for k, v in (("list_item", "i1"), ("second", "i2"), ("action_noun", "a"), ("of_object", "o"))))
     # one locked item: the drawn pair is distinct, so one of the two differs from it
-    free1 = F.when(F.col("i1") == lock("item2"), F.col("i2")).otherwise(F.col("i1"))
-    free2 = F.when(lock("item1").isNotNull(), F.when(F.col("i1") == lock("item1"), F.col("i2")).otherwise(F.col("i1"))).otherwise(F.col("i2"))
-    out = out.withColumns({"item1": F.coalesce(lock("item1"), free1), "item2": F.coalesce(lock("item2"), free2), "action_noun": F.coalesce(lock("action_noun"), "a"), "of_object": F.coalesce(lock("of_object"), "o")}).drop("i1", "i2", "a", "o")
-    mixed = remix(out, weights_of_parts(parts, req, params), parts, splits, scalars, params, constants)
-    out = out.join(mixed, "req_id", "left").withColumn("remixed", F.col("composed").isNotNull())
+    free1 = F.when(F.col("i1") == _lock("item2"), F.col("i2")).otherwise(F.col("i1"))
+    free2 = F.when(_lock("item1").isNotNull(), F.when(F.col("i1") == _lock("item1"), F.col("i2")).otherwise(F.col("i1"))).otherwise(F.col("i2"))
+    drawn = req.join(picked, "req_id", "left").withColumns({"item1": F.coalesce(_lock("item1"), free1), "item2": F.coalesce(_lock("item2"), free2), "action_noun": F.coalesce(_lock("action_noun"), "a"), "of_object": F.coalesce(_lock("of_object"), "o")})
+    drawn = materialise(drawn.drop("i1", "i2", "a", "o"), "drawn")
+    mixed = remix(drawn, cum, parts, splits, scalars, params, constants)
+    out = drawn.join(mixed, "req_id", "left").withColumn("remixed", F.col("composed").isNotNull())
     out = out.withColumn("of_object", F.coalesce("composed", "of_object")).drop("composed")
-    return finish(out, counts, params)
+    done = finish(out, counts, params)
+    return done if "trial" in requests.columns else done.drop("trial")
 
 
-def weights_of_parts(parts: DataFrame, req: DataFrame, params: DataFrame) -> DataFrame:
-    return pool_weights(parts, tone_targets(req, params), params)
-
-
-def remix(drawn: DataFrame, weights: DataFrame, parts: DataFrame, splits: DataFrame, scalars: DataFrame, params: DataFrame, constants) -> DataFrame:
+def remix(drawn: DataFrame, cum: DataFrame, parts: DataFrame, splits: DataFrame, scalars: DataFrame, params: DataFrame, constants) -> DataFrame:
     """req_id, composed, remix_parts, remix_similarity of the requests that remix: the first valid attempt, or with locks the most similar.
 
-    Only gated requests are exploded into attempts. Each attempt draws its two parts by Gumbel keys over the fillers of the
-    needed pool (tag and word count, or preposition), which are tables of distinct fillers and are joined by these keys.
+    Only gated requests are exploded into attempts, and each attempt into the draws of its two parts from the pool needed (words
+    of the modifier, or preposition).
     """
-    lock = lambda k: F.try_element_at("locks", F.lit(k))
+    c = F.col
     has = F.exists(F.map_keys("locks"), lambda k: k.isin(*lists.PART_SLOTS))
-    gate = (t.word_count(F.col("of_object")) >= 2) & (s.uniform(F.col("seed"), "gate", 0, "") < F.col("remix_prob"))
-    own = drawn.where(lock("of_object").isNull() & (has | gate)).withColumn("locked", has)
-    own = own.join(splits.select(F.col("filler").alias("of_object"), "remix_type", "remix_prep", "remix_word_count"), "of_object", "left")
-    held = F.when(lock("of_modifier").isNotNull() | lock("of_head").isNotNull(), "type1").when(lock("of_topic").isNotNull() | lock("of_complement").isNotNull(), "type2")
-    preps = parts.where("slot_type in ('of_topic', 'of_complement')").groupBy("filler").agg(F.min("prep").alias("lock_prep"))
-    own = own.withColumn("kind", F.coalesce(held, "remix_type")).withColumn("lock_filler", F.coalesce(lock("of_topic"), lock("of_complement"))).join(preps.withColumnRenamed("filler", "lock_filler"), "lock_filler", "left")
-    words = F.when(lock("of_modifier").isNotNull(), t.word_count(lock("of_modifier")) + 1).when(F.col("remix_type") == "type1", F.col("remix_word_count")).otherwise(2)
-    own = own.withColumns({"words": F.when(F.col("kind") == "type1", words).otherwise(F.col("remix_word_count")), "prep": F.when(F.col("kind") == "type2", F.coalesce(F.when(F.col("remix_type") == "type2", F.col("remix_prep")), "lock_prep"))})
-    reject = params.where("key = 'remix_reject_double_of'").select((F.col("value") > 0).alias("no_of"))
-    own = own.crossJoin(F.broadcast(reject)).where("kind is not null and (kind = 'type1' or prep is not null)").where(~(F.col("no_of") & (F.col("kind") == "type2") & (F.col("prep") == "of")))
-    tries = own.select("req_id", "seed", "tone", "kind", "words", "prep", "locks", "locked", "min_sim", F.explode(F.sequence(F.lit(1), F.when(F.col("locked"), LOCKED_ATTEMPTS).otherwise(ATTEMPTS))).alias("attempt"))
-    tries = tries.withColumn("pool1", F.when(F.col("kind") == "type1", F.concat_ws("|", F.lit("of_modifier"), "tone", F.col("words") - 1)).otherwise(F.concat_ws("|", F.lit("of_topic"), "tone", "prep")))
-    tries = tries.withColumn("pool2", F.when(F.col("kind") == "type1", F.concat_ws("|", F.lit("of_head"), "tone")).otherwise(F.concat_ws("|", F.lit("of_complement"), "tone", "prep")))
-    key = F.when(F.col("slot_type") == "of_modifier", F.concat_ws("|", "slot_type", "tone", t.word_count(F.col("filler")))).when(F.col("slot_type") == "of_head", F.concat_ws("|", "slot_type", "tone")).otherwise(F.concat_ws("|", "slot_type", "tone", "prep"))
-    pool = weights.withColumn("pool", key).groupBy("pool", "filler").agg(F.sum("weight").alias("weight"))
-    draw_seed = F.concat_ws("/", F.col("seed").cast("string"), F.col("attempt").cast("string"))
-    for n, slot in ((1, "part1"), (2, "part2")):
-        picks = p.draw_large(pool, tries.select(draw_seed.alias("seed"), F.col(f"pool{n}").alias("pool")).distinct(), False, slot)
-        tries = tries.withColumn("ds", draw_seed).join(picks.select(F.col("seed").alias("ds"), F.col("pool").alias(f"pool{n}"), F.col("filler").alias(slot)), ["ds", f"pool{n}"], "left").drop("ds")
-    one = F.when(F.col("kind") == "type1", F.coalesce(lock("of_modifier"), "part1")).otherwise(F.coalesce(lock("of_topic"), "part1"))
-    two = F.when(F.col("kind") == "type1", F.coalesce(lock("of_head"), "part2")).otherwise(F.coalesce(lock("of_complement"), "part2"))
+    gate = (t.word_count(c("of_object")) >= 2) & (s.uniform(c("seed"), "gate", 0, "") < c("remix_prob"))
+    own = drawn.where(_lock("of_object").isNull() & (has | gate)).withColumn("locked", has)
+    own = own.join(splits.select(c("filler").alias("of_object"), "remix_type", "remix_prep", "remix_word_count"), "of_object", "left")
+    held = F.when(_lock("of_modifier").isNotNull() | _lock("of_head").isNotNull(), "type1").when(_lock("of_topic").isNotNull() | _lock("of_complement").isNotNull(), "type2")
+    preps = parts.where("slot_type in ('of_topic', 'of_complement')").groupBy(c("filler").alias("lock_filler")).agg(F.min("prep").alias("lock_prep"))
+    own = own.withColumns({"kind": F.coalesce(held, "remix_type"), "lock_filler": F.coalesce(_lock("of_topic"), _lock("of_complement"))}).join(preps, "lock_filler", "left")
+    words = F.when(_lock("of_modifier").isNotNull(), t.word_count(_lock("of_modifier")) + 1).when(c("remix_type") == "type1", c("remix_word_count")).otherwise(2)
+    own = own.withColumns({"words": F.when(c("kind") == "type1", words).otherwise(c("remix_word_count")), "prep": F.when(c("kind") == "type2", F.coalesce(F.when(c("remix_type") == "type2", c("remix_prep")), "lock_prep"))})
+    no_of = params.where("key = 'remix_reject_double_of'").select("trial", (c("value") > 0).alias("no_of"))
+    own = own.join(no_of, "trial").where("kind is not null and (kind = 'type1' or prep is not null)").where(~(c("no_of") & (c("kind") == "type2") & (c("prep") == "of")))
+    most = F.when(c("locked"), LOCKED_ATTEMPTS).otherwise(ATTEMPTS)
+    tries = materialise(own.select("req_id", "seed", "trial", "tone", "kind", "words", "prep", "locks", "locked", "min_sim", F.explode(F.sequence(F.lit(1), most)).alias("attempt")), "attempts")
+    first = c("kind") == "type1"
+    pool1 = F.when(first, _pool(F.lit("of_modifier"), c("trial"), c("tone"), c("words") - 1)).otherwise(_pool(F.lit("of_topic"), c("trial"), c("tone"), c("prep")))
+    pool2 = F.when(first, _pool(F.lit("of_head"), c("trial"), c("tone"))).otherwise(_pool(F.lit("of_complement"), c("trial"), c("tone"), c("prep")))
+    rows = F.explode(F.array(F.struct(F.lit("part1").alias("part"), pool1.alias("pool")), F.struct(F.lit("part2").alias("part"), pool2.alias("pool"))))
+    draws = tries.select("req_id", "attempt", F.concat_ws("/", c("seed").cast("string"), c("attempt").cast("string")).alias("seed"), rows.alias("r")).select("req_id", "attempt", "seed", "r.*")
+    picks = p.first_picks(draws, cum, c("part")).groupBy("req_id", "attempt").agg(*(F.max(F.when(c("part") == k, c("filler"))).alias(k) for k in ("part1", "part2")))
+    tries = tries.join(picks, ["req_id", "attempt"], "left")
+    one = F.when(first, F.coalesce(_lock("of_modifier"), "part1")).otherwise(F.coalesce(_lock("of_topic"), "part1"))
+    two = F.when(first, F.coalesce(_lock("of_head"), "part2")).otherwise(F.coalesce(_lock("of_complement"), "part2"))
     tries = tries.withColumns({"one": one, "two": two}).where("one is not null and two is not null")
-    composed = F.when(F.col("kind") == "type1", F.concat_ws(" ", "one", "two")).otherwise(F.concat_ws(" ", "one", "prep", "two"))
-    tries = tries.withColumn("composed", composed).where((F.col("kind") == "type1") | F.col("locked") | (t.word_count(F.col("composed")) == F.col("words")))
-    side = lambda k, kinds: scalars.where(F.col("slot_type").isin(*kinds)).select(F.when(F.col("slot_type").isin("of_modifier", "of_head"), "type1").otherwise("type2").alias("kind"), F.col("filler").alias(k), F.col("centroid_dot").alias(f"d_{k}"), F.col("norm_sq").alias(f"q_{k}"))
+    tries = tries.withColumn("composed", F.when(first, F.concat_ws(" ", "one", "two")).otherwise(F.concat_ws(" ", "one", "prep", "two")))
+    tries = tries.where(first | c("locked") | (t.word_count(c("composed")) == c("words")))
+
+    def side(k: str, kinds: tuple[str, str]) -> DataFrame:
+        kind = F.when(c("slot_type").isin("of_modifier", "of_head"), "type1").otherwise("type2").alias("kind")
+        return scalars.where(c("slot_type").isin(*kinds)).select(kind, c("filler").alias(k), c("centroid_dot").alias(f"d_{k}"), c("norm_sq").alias(f"q_{k}"))
+
     tries = tries.join(side("one", ("of_modifier", "of_topic")), ["kind", "one"], "left").join(side("two", ("of_head", "of_complement")), ["kind", "two"], "left")
     norm, cross1, cross2 = constants
-    sim = s.approximate_cosine(F.array("d_one", "d_two"), F.array("q_one", "q_two"), F.lit(norm), F.when(F.col("kind") == "type1", cross1).otherwise(cross2))
-    tries = tries.withColumn("sim", F.when((F.col("min_sim") > 0) | F.col("locked"), sim))
-    passes = (F.col("min_sim") <= 0) | F.col("sim").isNull() | (F.col("sim") >= F.col("min_sim"))
-    made = F.struct("composed", F.when(F.col("kind") == "type1", F.map_from_arrays(F.array(F.lit("modifier"), F.lit("head")), F.array("one", "two"))).otherwise(F.map_from_arrays(F.array(F.lit("topic"), F.lit("prep"), F.lit("complement")), F.array("one", "prep", "two"))).alias("remix_parts"), F.col("sim").alias("remix_similarity"))
-    best = tries.groupBy("req_id").agg(F.min_by(F.when(passes, made), F.when(passes, F.col("attempt"))).alias("first"), F.max_by(F.when(F.col("locked"), made), F.when(F.col("locked"), F.struct("sim", -F.col("attempt")))).alias("fallback"))
+    sim = s.approximate_cosine(F.array("d_one", "d_two"), F.array("q_one", "q_two"), F.lit(norm), F.when(first, cross1).otherwise(cross2))
+    tries = tries.withColumn("sim", F.when((c("min_sim") > 0) | c("locked"), sim))
+    passes = (c("min_sim") <= 0) | c("sim").isNull() | (c("sim") >= c("min_sim"))
+    named = lambda names, cols: F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*cols))
+    remix_parts = F.when(first, named(("modifier", "head"), ("one", "two"))).otherwise(named(("topic", "prep", "complement"), ("one", "prep", "two")))
+    made = F.struct("composed", remix_parts.alias("remix_parts"), c("sim").alias("remix_similarity"))
+    best = tries.groupBy("req_id").agg(F.min_by(F.when(passes, made), F.when(passes, c("attempt"))).alias("first"), F.max_by(F.when(c("locked"), made), F.when(c("locked"), F.struct("sim", -c("attempt")))).alias("fallback"))
     return best.select("req_id", F.coalesce("first", "fallback").alias("m")).where("m is not null").select("req_id", "m.*")
 
 
 def finish(drawn: DataFrame, counts: DataFrame, params: DataFrame) -> DataFrame:
-    """Articles, assembly and title case."""
-    value = {r["key"]: r["value"] for r in params.where(F.col("key").startswith("article_")).collect()}  # three numbers
-    plain = majority_articles(counts, value["article_of_min_freq"])
-    strict = majority_articles(counts, value["article_of_min_freq"], value["article_remix_heuristic_threshold"])
-    acts = majority_articles(counts, value["article_action_min_freq"]).where("slot_type = 'action_noun'").select(F.col("filler_lc").alias("k"), F.col("article").alias("act"))
-    out = drawn.withColumns({"phrase": F.col("of_object"), "head": F.coalesce(F.try_element_at("remix_parts", F.lit("head")), F.try_element_at("remix_parts", F.lit("topic")), t.last_word(F.col("of_object")))})
-    kept = article_for(out.where("not remixed"), plain)
-    new = article_for(out.where("remixed"), strict, head="head")
-    out = kept.unionByName(new).withColumn("k", F.lower("action_noun")).join(acts, "k", "left").drop("k", "phrase", "head")
-    action = t.a_or_an(F.coalesce(F.nullif("act", F.lit("")), F.lit("the")), F.col("action_noun"))
-    out = out.withColumns({"action_article": action, "of_article": t.a_or_an(F.col("article"), F.col("of_object"))})
-    raw = F.concat(F.col("item1"), F.lit(", "), F.col("item2"), F.lit(", and "), F.col("action_article"), F.lit(" "), F.col("action_noun"), F.lit(" of "), F.when(F.col("of_article") != "", F.concat("of_article", F.lit(" "))).otherwise(""), F.col("of_object"))
-    up = {c: F.when(F.col(c).isNotNull() & raw.isNotNull(), t.title_case(F.col(c))).otherwise("") for c in ("item1", "item2", "action_noun", "of_object")}
-    return out.select("req_id", F.coalesce(t.title_case(raw), F.lit(NOT_ENOUGH)).alias("text"), *(x.alias(c) for c, x in up.items()), "remixed", F.transform_values("remix_parts", lambda k, v: t.title_case(v)).alias("remix_parts"), "remix_similarity", "of_article", "action_article")
+    """Articles (of the whole object, else of its head, topic or last word), assembly and title case."""
+    c = F.col
+    own = p.as_row(params.where(c("key").startswith("article_")), "trial").select("trial", "article_of_min_freq", "article_action_min_freq", "article_remix_heuristic_threshold")
+    best = materialise(best_articles(counts), "articles")
+    dim = lambda slot, k: best.where(c("slot_type") == slot).select(c("filler_lc").alias(k), *(c(x).alias(f"{x}_{k}") for x in ("article", "n", "total")))
+    remix_head = F.coalesce(F.try_element_at("remix_parts", F.lit("head")), F.try_element_at("remix_parts", F.lit("topic")))
+    last = F.when(t.word_count(c("of_object")) > 1, t.last_word(c("of_object")))
+    out = drawn.join(own, "trial").withColumns({"whole": F.lower("of_object"), "part": F.lower(F.when(c("remixed"), remix_head).otherwise(last)), "act": F.lower("action_noun")})
+    out = out.join(dim("of_object", "whole"), "whole", "left").join(dim("of_object", "part"), "part", "left").join(dim("action_noun", "act"), "act", "left")
+
+    def article(k: str, least: str, strict: Column) -> Column:
+        clear = F.when(strict, c(f"n_{k}") >= c("article_remix_heuristic_threshold") * c(f"total_{k}")).otherwise(2 * c(f"n_{k}") > c(f"total_{k}"))
+        return F.when(clear & (c(f"total_{k}") >= c(least)) & (c(f"article_{k}") != ""), c(f"article_{k}"))
+
+    of = F.coalesce(article("whole", "article_of_min_freq", c("remixed")), article("part", "article_of_min_freq", c("remixed")), F.lit(""))
+    act = F.coalesce(article("act", "article_action_min_freq", F.lit(False)), F.lit("the"))
+    out = out.withColumns({"action_article": t.a_or_an(act, c("action_noun")), "of_article": t.a_or_an(of, c("of_object"))})
+    raw = F.concat(c("item1"), F.lit(", "), c("item2"), F.lit(", and "), c("action_article"), F.lit(" "), c("action_noun"), F.lit(" of "), F.when(c("of_article") != "", F.concat("of_article", F.lit(" "))).otherwise(""), c("of_object"))
+    up = {x: F.when(c(x).isNotNull() & raw.isNotNull(), t.title_case(c(x))).otherwise("") for x in ("item1", "item2", "action_noun", "of_object")}
+    titled = F.transform_values("remix_parts", lambda k, v: t.title_case(v)).alias("remix_parts")
+    return out.select("req_id", "trial", F.coalesce(t.title_case(raw), F.lit(NOT_ENOUGH)).alias("text"), *(x.alias(k) for k, x in up.items()), "remixed", titled, "remix_similarity", "of_article", "action_article")
 
 
 def sample_requests(spark, n: int, tone: str = "", seed_base: int = 1000, remix_prob: float = 0.0, min_sim: float = 0.0) -> DataFrame:
@@ -141,8 +178,8 @@ def sample_requests(spark, n: int, tone: str = "", seed_base: int = 1000, remix_
 
 def spot_check_requests(spark, k: int, seed_base: int) -> DataFrame:
     """k requests for each tier, numbered in the batch's shuffled order; the target stays in ``tone``."""
-    tiers = spark.createDataFrame([(i, x) for i, x in enumerate(lists.TIERS)], "i int, tone string")
-    own = tiers.crossJoin(spark.range(k)).select((F.col("i") * 100 + F.col("id") + seed_base).alias("seed"), "tone").withColumn("key", F.col("seed"))
+    tiers = spark.createDataFrame([(i, x) for i, x in enumerate(lists.TIERS)], "i long, tone string")
+    own = spark.range(k).crossJoin(F.broadcast(tiers)).select((F.col("i") * k + F.col("id") + seed_base).alias("seed"), "tone").withColumn("key", F.col("seed"))
     own = p.shuffled(own, "key", seed_base)
     return own.select(F.col("place").cast("long").alias("req_id"), "seed", "tone", F.lit(0.0).alias("remix_prob"), F.lit(0.0).alias("min_sim"), F.lit(None).cast("map<string,string>").alias("locks"))
 

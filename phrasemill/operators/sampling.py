@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 
 from phrasemill.functions import scores as s
 from phrasemill.functions import words as lists
+from phrasemill.operators.ranges import running
+from phrasemill.session import materialise
 
-BUCKETS = 64
+#: Buckets of a pool's range join: so many at least, and so many fillers in each on average.
+BUCKETS, BUCKET_FILLERS = 64, 4
 
 
 def defaults(spark: SparkSession) -> DataFrame:
@@ -33,9 +36,9 @@ def effective_params(spark: SparkSession, stored: DataFrame | None = None) -> Da
     return own.join(F.broadcast(got), "key", "left").select("key", F.coalesce("stored", "value").alias("value"))
 
 
-def as_row(params: DataFrame) -> DataFrame:
-    """One row, a column for each parameter: for a broadcast cross join of known size."""
-    return params.groupBy().pivot("key", [k for k, _ in lists.PARAMS]).agg(F.first("value"))
+def as_row(params: DataFrame, *by: str) -> DataFrame:
+    """One row (of each group), a column for each parameter: for a broadcast cross join of known size."""
+    return params.groupBy(*by).pivot("key", [k for k, _ in lists.PARAMS]).agg(F.first("value"))
 
 
 def with_params(df: DataFrame, params: DataFrame) -> DataFrame:
@@ -77,38 +80,45 @@ def draw_small(pool: DataFrame, seeds: DataFrame, k: int, slot: str = "slot") ->
 
 
 def cumulative(pool: DataFrame, by=("pool",)) -> DataFrame:
-    """Adds cum_lo, cum_hi and total of the weights, by filler within each pool."""
-    w = W.partitionBy(*by).orderBy("filler")
-    return pool.withColumn("cum_hi", F.sum("weight").over(w)).withColumn("cum_lo", F.col("cum_hi") - F.col("weight")).withColumn("total", F.sum("weight").over(W.partitionBy(*by)))
+    """Adds cum_lo, cum_hi and total of the weights, by filler within each pool, and the pool's ``buckets``; pools may be of any size."""
+    own = running(pool, "sum", F.col("weight"), [F.col("filler")], "cum_hi", tuple(by))
+    totals = pool.groupBy(*by).agg(F.sum("weight").alias("total"), F.greatest(F.lit(BUCKETS), F.ceil(F.count(F.lit(1)) / BUCKET_FILLERS)).alias("buckets"))
+    return own.withColumn("cum_lo", F.col("cum_hi") - F.col("weight")).join(totals, list(by))
 
 
-def pick(draws: DataFrame, cum: DataFrame, by=("pool",), buckets: int = BUCKETS, point: str = "point") -> DataFrame:
-    """Joins each draw's point in [0, total) to the filler whose interval holds it.
+def pick(draws: DataFrame, cum: DataFrame, by=("pool",), point: str = "point") -> DataFrame:
+    """Joins each draw's point in [0, total) to the filler whose interval holds it; draws from a pool that isn't there leave.
 
-    The range join is an equi join: every interval stands in the buckets that it touches, of which the pool has ``buckets``.
+    ``draws`` has total and buckets of its pool. The range join is an equi join: every interval stands in the buckets that it
+    touches, and a pool has so many that a bucket holds few fillers.
     """
-    spot = lambda c: F.least(F.floor(c / F.col("total") * buckets).cast("int"), F.lit(buckets - 1))
-    wide = cum.select(*by, "filler", "weight", "cum_lo", "cum_hi", "total", F.explode(F.sequence(spot(F.col("cum_lo")), spot(F.col("cum_hi")))).alias("bucket"))
-    totals = cum.select(*by, "total").distinct()
-    own = draws.join(F.broadcast(totals), list(by)).withColumn("bucket", spot(F.col(point))).drop("total")
+    spot = lambda c: F.least(F.floor(c / F.col("total") * F.col("buckets")), F.col("buckets") - 1)
+    wide = cum.select(*by, "filler", "weight", "cum_lo", "cum_hi", F.explode(F.sequence(spot(F.col("cum_lo")), spot(F.col("cum_hi")))).alias("bucket"))
+    own = draws.withColumn("bucket", spot(F.col(point)))
     return own.join(wide, [*by, "bucket"]).where((F.col(point) >= F.col("cum_lo")) & (F.col(point) < F.col("cum_hi"))).drop("bucket")
 
 
-def draw_large(pool: DataFrame, seeds: DataFrame, two: bool = False, slot: str = "slot", by=("pool",)) -> DataFrame:
-    """seed, pool, filler (and filler2): by inverse cumulative weights, one row per seed; any number of seeds.
+def first_picks(seeds: DataFrame, cum: DataFrame, slot: Column, by=("pool",)) -> DataFrame:
+    """seeds (seed, the columns ``by``, others) -> the same with filler, weight, cum_lo, total and buckets."""
+    totals = cum.select(*by, "total", "buckets").distinct()
+    one = seeds.join(totals, list(by)).withColumn("point", s.uniform(F.col("seed"), slot, 1, "a") * F.col("total"))
+    return pick(one, cum, by).drop("point", "cum_hi")
 
-    The second filler is drawn from [0, T - w1) and moved past the first one's interval, which is exact.
-    """
-    cum = cumulative(pool, by)
-    totals = cum.select(*by, "total").distinct()
-    one = seeds.join(F.broadcast(totals), list(by)).withColumn("point", s.uniform(F.col("seed"), slot, 1, "a") * F.col("total")).drop("total")
-    got = pick(one, cum, by).drop("point")
+
+def second_picks(first: DataFrame, cum: DataFrame, slot: Column, by=("pool",)) -> DataFrame:
+    """``first_picks`` -> the same with ``filler2``: drawn from [0, T - w1) and moved past the first one's interval, which is exact."""
+    v = s.uniform(F.col("seed"), slot, 2, "b") * (F.col("total") - F.col("weight"))
+    again = first.withColumn("point", F.when(v >= F.col("cum_lo"), v + F.col("weight")).otherwise(v)).withColumnRenamed("filler", "first").drop("weight", "cum_lo")
+    return pick(again, cum, by).withColumnRenamed("filler", "filler2").withColumnRenamed("first", "filler").drop("point", "cum_hi")
+
+
+def draw_large(pool: DataFrame, seeds: DataFrame, two: bool = False, slot: str = "slot", by=("pool",)) -> DataFrame:
+    """seed, pool, filler (and filler2): by inverse cumulative weights, one row per seed; any number of seeds."""
+    cum = materialise(cumulative(pool, by), "cumulated")
+    got = first_picks(seeds, cum, F.lit(slot), by)
     if not two:
         return got.select("seed", *by, "filler")
-    v = s.uniform(F.col("seed"), slot, 2, "b") * (F.col("total") - F.col("weight"))
-    again = got.withColumn("v", v).withColumn("point", F.when(F.col("v") >= F.col("cum_lo"), F.col("v") + F.col("weight")).otherwise(F.col("v")))
-    again = again.select("seed", *by, F.col("filler").alias("first"), "point")
-    return pick(again, cum, by).select("seed", *by, F.col("first").alias("filler"), F.col("filler").alias("filler2"))
+    return second_picks(got, cum, F.lit(slot), by).select("seed", *by, "filler", "filler2")
 
 
 def sample_per_group(df: DataFrame, group: str, key: str, k: int, seed: int) -> DataFrame:
@@ -121,8 +131,9 @@ def sample_rows(df: DataFrame, key: str, k: int, seed: int) -> DataFrame:
 
 
 def shuffled(df: DataFrame, key: str, seed: int) -> DataFrame:
-    """Adds ``place``, the row's turn in a batch: windows one batch, so for batches that one task can hold."""
-    return df.withColumn("place", F.row_number().over(W.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"))), key)))
+    """Adds ``place``, the row's turn in a batch of any size."""
+    order = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")))
+    return running(df.withColumn("_order", order), "count", F.lit(1), [F.col("_order"), F.col(key)], "place").drop("_order")
 
 
 def tier_draws(scores: DataFrame, params: DataFrame, seed: int, allowed: DataFrame | None = None) -> DataFrame:

@@ -23,10 +23,20 @@ def joined_names(names: Column, most: int = 10, between: str = ", ") -> Column:
     return F.array_join(F.slice(F.array_sort(names), 1, most), between)
 
 
-def windowed(log: DataFrame, width: str, name: str = "name", code: str = "severity_level", between: str = ", ") -> DataFrame:
-    """window_start, n, names (ten distinct, sorted), code (least): the same plan for a batch and, with a watermark, a stream."""
-    out = log.groupBy(F.window("timestamp", width).alias("w")).agg(F.count(F.lit(1)).alias("n"), F.collect_set(F.substring(name, 1, 200)).alias("set"), F.min(code).alias("code"))
-    return out.select(F.col("w.start").alias("window_start"), "n", joined_names(F.col("set"), 10, between).alias("names"), "code")
+def windowed(log: DataFrame, width: str, name: str = "name", code: str = "severity_level", between: str = ", ", most: int = 10) -> DataFrame:
+    """window_start, n, names (the least ``most`` distinct), code (least).
+
+    A batch counts each name first and keeps the least names by rank, however many there are. A stream, which has one
+    aggregation, keeps a window's names as a set until the watermark passes.
+    """
+    short, w = F.substring(name, 1, 200), F.window("timestamp", width).alias("w")
+    if log.isStreaming:
+        out = log.groupBy(w).agg(F.count(F.lit(1)).alias("n"), F.collect_set(short).alias("set"), F.min(code).alias("code"))
+    else:
+        per = log.groupBy(w, short.alias("name")).agg(F.count(F.lit(1)).alias("n"), F.min(code).alias("code"))
+        rank = F.row_number().over(W.partitionBy("w").orderBy(F.asc_nulls_last("name")))
+        out = per.withColumn("rank", rank).groupBy("w").agg(F.sum("n").alias("n"), F.collect_list(F.when(F.col("rank") <= most, F.col("name"))).alias("set"), F.min("code").alias("code"))
+    return out.select(F.col("w.start").alias("window_start"), "n", joined_names(F.col("set"), most, between).alias("names"), "code")
 
 
 def alert_state(counts: DataFrame, width: str, periods: int = 3, least: int = 2, threshold: int = 0) -> DataFrame:

@@ -3,29 +3,27 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-REGIME = "[regime change]"
-
+from phrasemill.operators.ranges import previous, running
 
-def _log_window(partition: str | None = None):
-    """Experiment logs hold hundreds of rows; ``partition`` separates many logs."""
-    return (W.partitionBy(partition) if partition else W.partitionBy(F.lit(0))).orderBy("iteration")
+REGIME = "[regime change]"
 
 
-def running_best(log: DataFrame, run: str | None = None) -> DataFrame:
-    return log.withColumn("best", F.max("composite").over(_log_window(run).rowsBetween(W.unboundedPreceding, 0)))
+def running_best(log: DataFrame, run: tuple[str, ...] = ()) -> DataFrame:
+    """Adds ``best``: the highest composite so far; logs of any length, ``run`` separates many."""
+    return running(log, "max", F.col("composite"), [F.col("iteration")], "best", run)
 
 
-def keep_or_discard(log: DataFrame, baseline: float, run: str | None = None) -> DataFrame:
+def keep_or_discard(log: DataFrame, baseline: float | Column, run: tuple[str, ...] = ()) -> DataFrame:
     """A trial is kept if it beats the last kept score, that is the best of the baseline and all before."""
-    before = F.max("composite").over(_log_window(run).rowsBetween(W.unboundedPreceding, -1))
-    return log.withColumn("status", F.when(F.col("composite") > F.greatest(F.lit(baseline), F.coalesce(before, F.lit(baseline))), "keep").otherwise("discard"))
+    floor = baseline if isinstance(baseline, Column) else F.lit(baseline)
+    out = running(log, "max", F.col("composite"), [F.col("iteration")], "before", run, strict=True)
+    return out.withColumn("status", F.when(F.col("composite") > F.greatest(floor, F.coalesce("before", floor)), "keep").otherwise("discard")).drop("before")
 
 
 def value_path(log: DataFrame) -> DataFrame:
-    return log.withColumn("old_value", F.lag("new_value").over(W.partitionBy("param").orderBy("iteration")))
+    return previous(log, "new_value", "iteration", "old_value", ("param",))
 
 
 def param_stats(log: DataFrame) -> DataFrame:
@@ -44,9 +42,9 @@ def log_totals(log: DataFrame) -> DataFrame:
 
 
 def log_context(log: DataFrame, n: int = 20) -> DataFrame:
-    """The newest n rows and all regime marks."""
-    own = log.withColumn("rn", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.desc("iteration"))))
-    return own.where((F.col("rn") <= n) | (F.col("param") == REGIME)).drop("rn")
+    """The newest n rows (a top-n) and all regime marks."""
+    since = log.orderBy(F.desc("iteration")).limit(n).agg(F.min("iteration").alias("since"))
+    return log.crossJoin(F.broadcast(since)).where((F.col("iteration") >= F.col("since")) | (F.col("param") == REGIME)).drop("since")
 
 
 def regime_change(log: DataFrame, params: DataFrame) -> DataFrame:
@@ -68,24 +66,20 @@ def prefer_round(score: Column, round_score: Column, value: Column, round_value:
 
 
 def pareto(log: DataFrame) -> DataFrame:
-    """Adds ``frontier``: no other trial is better in one score and at least as good in the other."""
-    better = F.max("separation").over(W.partitionBy(F.lit(0)).orderBy(F.desc("quality"), F.desc("separation")).rowsBetween(W.unboundedPreceding, -1))
-    return log.withColumn("frontier", better.isNull() | (F.col("separation") > better))
+    """Adds ``frontier``: no other trial is better in one score and at least as good in the other; equal trials are so together."""
+    best = log.groupBy("quality").agg(F.max("separation").alias("top"))
+    best = running(best, "max", F.col("top"), [F.desc("quality")], "above", strict=True)
+    out = log.join(best, "quality")
+    return out.withColumn("frontier", (F.col("separation") == F.col("top")) & (F.col("above").isNull() | (F.col("separation") > F.col("above")))).drop("top", "above")
 
 
-def axis_summary(ratings: DataFrame, by: str | None = None) -> DataFrame:
+def axis_summary(ratings: DataFrame, *by: str) -> DataFrame:
     """Means of coherence, evocativeness, surprise, their mean, and quality (their sum over 30 a sample), per group if given."""
     axes = ("coherence", "evocativeness", "surprise")
     total = F.col(axes[0]) + F.col(axes[1]) + F.col(axes[2])
-    own = ratings.groupBy(by) if by else ratings.groupBy()
-    return own.agg(*(F.avg(a).alias(a) for a in axes), F.avg(total / 3).alias("overall"), (F.sum(total) / (30 * F.count(F.lit(1)))).alias("quality"), F.count(F.lit(1)).alias("n"))
+    return ratings.groupBy(*by).agg(*(F.avg(a).alias(a) for a in axes), (F.sum(total) / (3 * F.count(F.lit(1)))).alias("overall"), (F.sum(total) / (30 * F.count(F.lit(1)))).alias("quality"), F.count(F.lit(1)).alias("n"))
 
 
-def best_level(summary: DataFrame, level: str, score: str) -> DataFrame:
+def best_level(summary: DataFrame, level: str, score: str, *by: str) -> DataFrame:
     """The level with the highest score, the first of equals."""
-    return summary.agg(F.max_by(level, F.struct(score, -F.col(level))).alias("best_level"), F.max(score).alias("best_score"))
-
-
-def grid(levels: DataFrame, seeds: DataFrame) -> DataFrame:
-    """All levels of a sweep with all seeds as one request table: levels x seeds rows, both given by the sweep's size."""
-    return levels.crossJoin(F.broadcast(seeds))
+    return summary.groupBy(*by).agg(F.max_by(level, F.struct(score, -F.col(level))).alias("best_level"), F.max(score).alias("best_score"))

@@ -17,8 +17,12 @@ def raw(spark, d):
     return fixtures.view(spark, d, "editions_raw")
 
 
+def cleaned(spark, d):
+    return build_table(spark, d, "cleaned", lambda: b.clean_records(raw(spark, d)))
+
+
 def merged(spark, d):
-    return build_table(spark, d, "subtitles", lambda: b.merge_sources(b.clean_records(raw(spark, d))))
+    return build_table(spark, d, "subtitles", lambda: b.merge_sources(cleaned(spark, d)))
 
 
 def found(spark, d):
@@ -46,16 +50,13 @@ def parts(spark, d):
 
 
 def sentences(spark, d):
-    """Short English sentences of ``documents``: the first five pieces of each text."""
+    """Every English sentence of ``documents``, however late or long; its id is the document's with the place in it."""
     s = fixtures.view(spark, d, "documents").where("lang = 'en'").select("doc_id", F.posexplode(F.split("text", "[.\n]")).alias("pos", "s"))
-    s = s.where("pos < 5").select((F.col("doc_id") * 10000 + F.col("pos")).alias("id"), F.trim("s").alias("phrase"))
-    return s.where(F.length("phrase").between(1, 399))
+    return s.select(F.struct("doc_id", "pos").alias("id"), "doc_id", "pos", F.trim("s").alias("phrase")).where("phrase <> ''")
 
 
-def all_sentences(spark, d):
-    """Every English sentence of ``documents``, however late or long; its id is the document's with the place in it."""
-    s = fixtures.view(spark, d, "documents").where("lang = 'en'").select("doc_id", F.posexplode(F.split("text", "[.\n]")).alias("pos", "s"))
-    return s.select(F.struct("doc_id", "pos").alias("id"), F.trim("s").alias("phrase")).where("phrase <> ''")
+def analyzed(spark, d):
+    return build_table(spark, d, "analyzed", lambda: b.templates(sentences(spark, d), b.lexicon(spark)))
 
 
 PHRASES = ("U. S. Money", "D. C  Life", "Grit  and  Fil", "GOLFERS", "Things", "new bibliographies", "São Paulo", "Caf¿", "Independent Fi", "The X", "a 1984 rule", "secret life", "NBA")
@@ -101,7 +102,7 @@ QUERIES = {
     "b22_b24_validated": (lambda s, d: valid(s, d).drop("title"), chain("select subtitle_id, subtitle, list_items, action_noun, action_article, of_object, of_article from valid")),
     "c01_c02_e01_g02_merged": (lambda s, d: merged(s, d), chain("select id, source_file, title, lang, lccn, isbn, work_key, subtitle from merged")),
     "c03_d08_f01_patterns": (
-        lambda s, d: b.pattern_index(b.templates(sentences(s, d), b.lexicon(s))).where("count >= 2").orderBy(F.desc("count"), "template").limit(50),
+        lambda s, d: b.pattern_index(analyzed(s, d)).where("count >= 2").orderBy(F.desc("count"), "template").limit(50),
         f"with {duck.LEX}{duck.TEMPLATES} select template, count(*) as count, arg_min(phrase, id) as example from tpl group by 1 having count(*) >= 2 order by 2 desc, 1 limit 50",
     ),
     "c04_provenance": (lambda s, d: b.provenance(pools(s, d), merged(s, d)), chain("select slot_type, filler, m.title, m.subtitle as subtitle_text, case when source_file = 'openlibrary' then 'OL' else 'LOC' end as source_tag from pools p join merged m on m.id = p.source_subtitle_id")),
@@ -136,20 +137,19 @@ QUERIES = {
         chain("select kind, words, pos_tag, cast(sum(freq) as bigint) as freq from (select 'modifier' as kind, cast(len(string_split(filler, ' ')) + 1 as int) as words, pos_tag, freq from parts where slot_type = 'of_modifier' union all select 'head', 1, pos_tag, freq from parts where slot_type = 'of_head') x where words in (1, 2, 3) group by all"),
     ),
     "d07_prep_groups": (lambda s, d: b.prep_groups(parts(s, d)), chain("select prep, count(*) as n from parts where slot_type = 'of_topic' group by 1")),
-    "d10_extract_counters": (lambda s, d: b.extract_counters(raw(s, d)), chain("select *, cleaned - kept as duplicates_skipped from (select (select count(*) from editions_raw) as scanned, (select count(*) from cleaned) as cleaned, (select count(*) from merged) as kept) x")),
+    "d10_extract_counters": (lambda s, d: b.extract_counters(raw(s, d), cleaned(s, d), merged(s, d)), chain("select *, cleaned - kept as duplicates_skipped from (select (select count(*) from editions_raw) as scanned, (select count(*) from cleaned) as cleaned, (select count(*) from merged) as kept) x")),
     "d30_distinct_keys": (
         lambda s, d: raw(s, d).agg(F.count_distinct(t.normalize_lccn(F.col("lccn"))).alias("lccns"), F.count_distinct("isbn").alias("isbns"), F.count_distinct("work_key").alias("works")),
         chain(r"select count(distinct regexp_replace(lccn, '[\s\-]', '', 'g')) as lccns, count(distinct isbn) as isbns, count(distinct work_key) as works from editions_raw"),
     ),
     "e02_first_per_key": (lambda s, d: b.one_per_key(raw(s, d), "work_key", "id").select("id", "work_key"), chain("select id, work_key from (select *, row_number() over (partition by coalesce(nullif(work_key, ''), 'none' || id) order by id) as rn from editions_raw) x where rn = 1")),
     "e11_not_yet_analyzed": (lambda s, d: b.not_yet_analyzed(raw(s, d).select("id", "title"), raw(s, d).where("id % 3 = 0")), chain("select id, title from editions_raw where id % 3 <> 0")),
-    "d08_pattern_index": (lambda s, d: b.pattern_index(b.templates(all_sentences(s, d), b.lexicon(s))), None),
+    "d08_pattern_index": (lambda s, d: b.pattern_index(analyzed(s, d)), f"with {duck.LEX}{duck.TEMPLATES} select template, count(*) as count, arg_min(phrase, id) as example from tpl group by 1"),
     "g01_all_pools": (
         lambda s, d: pools(s, d).unionByName(parts(s, d), allowMissingColumns=True),
         chain("select slot_type, filler, freq, source_subtitle_id, cast(null as varchar) as pos_tag, cast(null as varchar) as prep from pools union all select slot_type, filler, freq, source_subtitle_id, pos_tag, prep from parts"),
     ),
-    "h12_h13_templates": (lambda s, d: b.templates(sentences(s, d), b.lexicon(s)).select("id", "template", F.transform("slot_data", lambda x: F.concat_ws("|", x["pos"], x["text"], x["multi"].cast("string"))).alias("slots")), f"with {duck.LEX}{duck.TEMPLATES} select id, template, slots from tpl"),
-    "h12_h13_all_templates": (lambda s, d: b.templates(all_sentences(s, d), b.lexicon(s)).select("id.*", "template", F.transform("slot_data", lambda x: F.concat_ws("|", x["pos"], x["text"], x["multi"].cast("string"))).alias("slots")), None),
+    "h12_h13_templates": (lambda s, d: analyzed(s, d).select("doc_id", "pos", "template", F.transform("slot_data", lambda x: F.concat_ws("|", x["pos"], x["text"], x["multi"].cast("string"))).alias("slots")), f"with {duck.LEX}{duck.TEMPLATES} select doc_id, cast(pos as int) as pos, template, slots from tpl"),
     "h14_h16_splits": (
         lambda s, d: split(s, d).select("filler", "prep_split.topic", "prep_split.prep", "prep_split.complement", "compound.modifier", "compound.modifier_pos", "compound.head", "compound.head_pos", "remix_type", "remix_prep", "remix_word_count"),
         chain("select filler, topic, prep, complement, modifier, modifier_pos, head, head_pos, remix_type, remix_prep, case when remix_type is not null then wc end as remix_word_count from cut"),

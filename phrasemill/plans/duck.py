@@ -135,8 +135,69 @@ def chain(query: str, views=("editions_raw",), more: str = "") -> str:
     return fixtures.with_views(list(views), f", {LEX}, {PARAMS},\n{own}{', ' + more if more else ''}\n{query}")
 
 
-#: Short English sentences, their tokens, runs of tokens and templates, by gaps and islands.
-TEMPLATES = rf""", sen as (select doc_id * 10000 + pos as id, trim(s) as phrase from (select doc_id, generate_subscripts(x, 1) - 1 as pos, unnest(x) as s from (select doc_id, string_split_regex(text, '[.\n]') as x from documents where lang = 'en') d) e where pos < 5 and length(trim(s)) between 1 and 399),
+def uniform(key: str) -> str:
+    return f"(('0x' || substr(md5({key}), 1, 13))::bigint / 4503599627370496.0)"
+
+
+def title(x: str) -> str:
+    small = quoted(lists.SMALL_WORDS)
+    return rf"""array_to_string(list_transform(string_split({x}, ' '), lambda v, i: case when (regexp_matches(v, '^.+\p{{Lu}}') and v <> upper(v)) or regexp_matches(v, '^\p{{Lu}}{{2,}}$|^(?:\p{{Lu}}\.)+$') then v
+        when lower(v) in ({small}) and i > 1 and i < len(string_split({x}, ' ')) then lower(v) else upper(v[1]) || v[2:] end), ' ')"""
+
+
+def a_or_an(article: str, following: str) -> str:
+    w = rf"regexp_extract({following}, '^\S+')"
+    an = rf"""case when regexp_matches({w}, '^\p{{Lu}}{{2,}}$|^(?:\p{{Lu}}\.)+$|^\p{{Lu}}$') then regexp_matches({w}, '^[AEFHILMNORSX]') when regexp_matches(lower({w}), '^({"|".join(lists.SILENT_H)})') then true
+        when regexp_matches(lower({w}), '{lists.CONSONANT_SOUND}') then false else regexp_matches(lower({w}), '^[aeiou]') end"""
+    return f"case when {article} in ('a', 'an') and {w} <> '' then case when {an} then 'an' else 'a' end else {article} end"
+
+
+#: Of the samples of req_id, trial, seed, tone, remix_prob, min_sim and the locks lk_item1, lk_head, lk_object: CTEs ending in {p}_fin.
+_GENERATED = r"""
+{p}_slots as (select * from (values ('list_item'), ('action_noun'), ('of_object')) v(slot)),
+{p}_tgt as (select tone, slot, avg(value) as target from (select tone, unnest(string_split(tone, ',')) as one from (select distinct tone from {p}_req where tone <> '') a) b, {p}_slots join params on key = 'tone_target_' || one || '_' || slot group by 1, 2),
+{p}_fill as (select slot_type, filler, freq, case when length(filler) % 3 <> 0 then log10(1 + freq) / 2 end as popularity, null as prep from pools {where} union all select slot_type, filler, freq, null, prep from parts),
+{p}_w as (select x.*, q.trial, q.tone, sqrt(freq) * case when q.tone = '' then 1 else 0.05 + 0.95 * exp(-pow(((1 - blend) * log10(1 + freq) + blend * coalesce(popularity, missing) - target) / spread, 2)) end as w
+  from (select distinct trial, tone from {p}_req) q join {p}_prm using (trial) cross join {p}_fill x left join {p}_tgt g on g.tone = q.tone and g.slot = case when slot_type[1:3] = 'of_' then 'of_object' else slot_type end),
+{p}_pool as (select concat_ws('|', trial, slot_type, tone, case when slot_type = 'of_modifier' then cast(len({words}) as varchar) when slot_type in ('of_topic', 'of_complement') then prep end) as pool, filler, sum(w) as w from {p}_w group by 1, 2),
+{p}_cum as (select *, sum(w) over (partition by pool order by filler) as hi, sum(w) over (partition by pool) as t from {p}_pool),
+{p}_one as (select d.*, c.filler, c.hi - c.w as lo, c.w, c.t from (select *, concat_ws('|', trial, slot, tone) as pool, {u1} as u1, {u2} as u2 from {p}_req, {p}_slots) d join {p}_cum c on c.pool = d.pool and u1 * t >= hi - w and u1 * t < hi),
+{p}_two as (select o.req_id, c.filler from (select req_id, pool, case when u2 * (t - w) >= lo then u2 * (t - w) + w else u2 * (t - w) end as v from {p}_one where slot = 'list_item') o join {p}_cum c on c.pool = o.pool and v >= hi - w and v < hi),
+{p}_got as (select req_id, max(filler) filter (slot = 'list_item') as i1, max(filler) filter (slot = 'action_noun') as a, max(filler) filter (slot = 'of_object') as o from {p}_one group by 1),
+{p}_drawn as (select r.*, coalesce(lk_item1, i1) as item1, case when lk_item1 is not null then case when i1 = lk_item1 then s.filler else i1 end else s.filler end as item2, a as action_noun, coalesce(lk_object, o) as of_object from {p}_req r left join {p}_got using (req_id) left join {p}_two s using (req_id)),
+{p}_rx as (select d.*, lk_head is not null as locked, case when lk_head is not null then 'type1' else remix_type end as kind, case when remix_type = 'type1' then wc when lk_head is not null then 2 when remix_type is not null then wc end as words, case when lk_head is null and remix_type = 'type2' then remix_prep end as prep
+  from {p}_drawn d left join cut on cut.filler = of_object where lk_object is null and (lk_head is not null or (len({object_words}) >= 2 and {gate} < remix_prob))),
+{p}_try as (select *, unnest(range(1, case when locked then 21 else 6 end)) as attempt from {p}_rx where kind = 'type1' or (kind = 'type2' and prep is not null and prep <> 'of')),
+{p}_pt as (select req_id, attempt, part, case when kind = 'type1' then case when part = 'part1' then concat_ws('|', trial, 'of_modifier', tone, words - 1) else concat_ws('|', trial, 'of_head', tone) end when part = 'part1' then concat_ws('|', trial, 'of_topic', tone, prep) else concat_ws('|', trial, 'of_complement', tone, prep) end as pool,
+  {up} as u from {p}_try, (values ('part1'), ('part2')) v(part)),
+{p}_pick as (select req_id, attempt, max(filler) filter (part = 'part1') as part1, max(filler) filter (part = 'part2') as part2 from {p}_pt x join {p}_cum c on c.pool = x.pool and u * t >= hi - w and u * t < hi group by 1, 2),
+{p}_made as (select t.*, part1 as one, case when kind = 'type1' then coalesce(lk_head, part2) else part2 end as two from {p}_try t left join {p}_pick using (req_id, attempt)),
+{p}_comp as (select *, case when kind = 'type1' then one || ' ' || two else one || ' ' || prep || ' ' || two end as composed from {p}_made where one is not null and two is not null),
+{p}_sc as (select case when slot_type in ('of_modifier', 'of_head') then 'type1' else 'type2' end as kind, slot_type in ('of_modifier', 'of_topic') as first, filler, length(filler) % 7 / 10 as d from parts),
+{p}_sim as (select c.*, case when min_sim > 0 or locked then (x.d + y.d) / sqrt(2.2) end as sim from {p}_comp c left join {p}_sc x on x.kind = c.kind and x.first and x.filler = one left join {p}_sc y on y.kind = c.kind and not y.first and y.filler = two where c.kind = 'type1' or locked or len({composed_words}) = words),
+{p}_mix as (select * from (select *, row_number() over (partition by req_id order by case when passes then 0 else 1 end, case when passes then attempt end, sim desc nulls last, attempt) as rn from (select *, min_sim <= 0 or sim is null or sim >= min_sim as passes from {p}_sim) z where passes or locked) y where rn = 1),
+{p}_best as (select slot_type, filler_lc, sum(n) as total, max(n) as n, arg_max(article, (n, length(article), article)) as article from arts group by 1, 2),
+{p}_all as (select d.req_id, d.trial, d.tone, item1, item2, action_noun, coalesce(m.composed, d.of_object) as of_object, m.req_id is not null as remixed, m.kind, m.one, m.two, m.prep, m.sim from {p}_drawn d left join (select req_id, composed, kind, one, two, prep, sim from {p}_mix) m using (req_id)),
+{p}_art as (select x.*, coalesce(case when {clear_w} then w.article end, case when {clear_z} then z.article end, '') as of0, coalesce(case when 2 * k.n > k.total and k.total >= 1 and k.article <> '' then k.article end, 'the') as act0
+  from {p}_all x left join {p}_best w on w.slot_type = 'of_object' and w.filler_lc = lower(of_object) left join {p}_best z on z.slot_type = 'of_object' and z.filler_lc = lower(case when remixed then case when kind = 'type1' then two else one end when len({object_words}) > 1 then {object_words}[-1] end)
+  left join {p}_best k on k.slot_type = 'action_noun' and k.filler_lc = lower(action_noun)),
+{p}_raw as (select *, {act} as action_article, {of} as of_article from {p}_art),
+{p}_txt as (select *, item1 || ', ' || item2 || ', and ' || action_article || ' ' || action_noun || ' of ' || case when of_article <> '' then of_article || ' ' else '' end || of_object as raw from {p}_raw),
+{p}_fin as (select req_id, trial, tone, coalesce({title_raw}, '(not enough fillers)') as text, {titled}, remixed, kind, case when remixed then {title_one} end as one, prep as mid, case when remixed then {title_two} end as two, sim, of_article, action_article from {p}_txt)"""
+
+
+def generated(p: str) -> str:
+    """CTEs named with the prefix ``p``, after those of ``chain``, from the tables {p}_req and {p}_prm (trial, blend, missing, spread)."""
+    clear = lambda k: f"case when remixed then {k}.n >= 0.6 * {k}.total else 2 * {k}.n > {k}.total end and {k}.total >= 1 and {k}.article <> ''"
+    titled = ", ".join(f"case when raw is not null then {title(c)} else '' end as {c}" for c in ("item1", "item2", "action_noun", "of_object"))
+    return _GENERATED.format(
+        p=p, where="", words=words("filler"), object_words=words("of_object"), composed_words=words("composed"), gate=uniform("seed || '|gate|0|'"), u1=uniform("seed || '|' || slot || '|1|a'"), u2=uniform("seed || '|' || slot || '|2|b'"),
+        up=uniform("seed || '/' || attempt || '|' || part || '|1|a'"), clear_w=clear("w"), clear_z=clear("z"), act=a_or_an("act0", "action_noun"), of=a_or_an("of0", "of_object"), title_raw=title("raw"), titled=titled, title_one=title("one"), title_two=title("two"),
+    ).strip()
+
+
+#: English sentences, their tokens, runs of tokens and templates, by gaps and islands.
+TEMPLATES = rf""", sen as (select (doc_id, pos) as id, doc_id, pos, trim(s, ' ') as phrase from (select doc_id, generate_subscripts(x, 1) - 1 as pos, unnest(x) as s from (select doc_id, string_split_regex(text, '[.\n]') as x from documents where lang = 'en') d) e where trim(s, ' ') <> ''),
 tk0 as (select id, phrase, {tok("phrase")} as t, {tags("phrase")} as g from sen),
 tk1 as (select id, generate_subscripts(t, 1) as pos, unnest(t) as w, unnest(g) as g from tk0),
 tk2 as (select *, (g = 'PUNCT' and w in ({quoted(lists.LITERAL_PUNCTUATION)})) as lp, lower(w) in ({quoted(lists.LITERALS)}) as lw from tk1),
@@ -144,4 +205,4 @@ tk3 as (select *, case when lp then w when lw then lower(w) else g end as p, not
 tk4 as (select *, case when open and coalesce(lag(open) over o, false) and lag(p) over o = p then 0 else 1 end as new from tk3 window o as (partition by id order by pos)),
 tk5 as (select *, sum(new) over (partition by id order by pos) as run from tk4),
 rn as (select id, run, any_value(p) as p, any_value(open) as open, count(*) as n, string_agg(w, ' ' order by pos) as words from tk5 group by id, run),
-tpl as (select id, phrase, coalesce(template, '') as template, coalesce(slots, []) as slots from sen left join (select id, string_agg(p || case when n > 1 then '+' else '' end, ' ' order by run) as template, list(p || '|' || words || '|' || (n > 1) order by run) filter (open) as slots from rn group by id) r using (id))"""
+tpl as (select id, doc_id, pos, phrase, coalesce(template, '') as template, coalesce(slots, []) as slots from sen left join (select id, string_agg(p || case when n > 1 then '+' else '' end, ' ' order by run) as template, list(p || '|' || words || '|' || (n > 1) order by run) filter (open) as slots from rn group by id) r using (id))"""

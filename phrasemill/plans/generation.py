@@ -12,12 +12,12 @@ from phrasemill.operators import bibliography as b
 from phrasemill.operators import feedback as f
 from phrasemill.operators import generate as g
 from phrasemill.operators import sampling as p
-from phrasemill.operators import tuning as u
+from phrasemill.operators import trials as u
 from phrasemill.plans import bibliography as bib
 from phrasemill.plans import duck
 from phrasemill.plans.duck import chain
 from phrasemill.plans.numbers import rounded
-from phrasemill.session import build_table
+from phrasemill.session import build_table, materialise
 
 
 def pools(sp, d):
@@ -29,32 +29,70 @@ def parts(sp, d):
 
 
 def scalars(sp, d):
-    return bib.parts(sp, d).select("slot_type", "filler", (F.length("filler") / 10).alias("centroid_dot"), F.lit(1.0).alias("norm_sq"))
+    return bib.parts(sp, d).select("slot_type", "filler", (F.length("filler") % 7 / 10).alias("centroid_dot"), F.lit(1.0).alias("norm_sq"))
 
 
 def requests(sp, d):
+    """A request for each customer; some hold locks, a third asks for one tone and a third for two."""
     i = F.col("c_custkey")
-    locks = F.when(i % 5 == 0, F.create_map(F.lit("item1"), F.lit("Race"))).when(i % 7 == 0, F.create_map(F.lit("of_head"), F.lit("anvil"))).when(i % 11 == 0, F.create_map(F.lit("of_object"), F.lit("the end")))
-    return fixtures.view(sp, d, "customer").select(i.alias("req_id"), (i + 1000).alias("seed"), F.element_at(F.array(F.lit(""), F.lit("pop"), F.lit("niche, pop")), (i % 3).cast("int") + 1).alias("tone"), F.lit(0.7).alias("remix_prob"), F.lit(0.1).alias("min_sim"), locks.alias("locks"))
+    lock = lambda k, v: F.create_map(F.lit(k), F.lit(v))
+    locks = F.when(i % 5 == 0, lock("item1", "Race")).when(i % 7 == 0, lock("of_head", "anvil")).when(i % 11 == 0, lock("of_object", "the end"))
+    tone = F.element_at(F.array(F.lit(""), F.lit("pop"), F.lit("niche, pop")), (i % 3).cast("int") + 1)
+    return fixtures.view(sp, d, "customer").select(i.alias("req_id"), (i + 1000).alias("seed"), tone.alias("tone"), F.lit(0.7).alias("remix_prob"), F.lit(0.6).alias("min_sim"), locks.alias("locks"))
+
+
+def made(sp, d, req, params=None, own_pools=None):
+    return g.generate(req, pools(sp, d) if own_pools is None else own_pools, parts(sp, d), bib.split(sp, d), bib.articles(sp, d), scalars(sp, d), p.defaults(sp) if params is None else params)
 
 
 def samples(sp, d):
-    return build_table(sp, d, "samples", lambda: g.generate(requests(sp, d), pools(sp, d), parts(sp, d), bib.split(sp, d), bib.articles(sp, d), scalars(sp, d), p.defaults(sp)))
+    return build_table(sp, d, "samples", lambda: made(sp, d, requests(sp, d)))
 
 
 def flat(df):
-    return df.withColumn("remix_parts", F.array_join(F.array_sort(F.transform(F.map_entries("remix_parts"), lambda e: F.concat_ws("=", e["key"], e["value"]))), ";"))
+    entries = F.array_sort(F.transform(F.map_entries("remix_parts"), lambda e: F.concat_ws("=", e["key"], e["value"])))
+    return rounded(df.withColumn("remix_parts", F.array_join(entries, ";")), "remix_similarity")
+
+
+def ratings_of(made_samples):
+    """The axes that a rater would give; here a hash of the text stands for the rater."""
+    return made_samples.select("req_id", *(u.rated_by(F.col("text"), a).alias(a) for a in AXES))
+
+
+def proposals(sp, d):
+    """Every distinct change of a parameter in the experiment log, numbered from 1 by its first iteration."""
+    return fixtures.view(sp, d, "experiments").groupBy("param", F.col("new_value").alias("value")).agg((1 + F.min("iteration")).alias("trial"))
+
 
+def trials(sp, d):
+    """All proposals clamped and evaluated as one batch, then judged in order."""
+    bounds = sp.createDataFrame([(k, *v) for k, v in BOUNDS.items()], "param string, lo double, hi double")
+    params = p.defaults(sp)
+    own = materialise(u.clamped_trials(proposals(sp, d), bounds, params), "trials")
+    every = own.select("trial", "param", "value").unionByName(sp.createDataFrame([(0, "", 0.0)], "trial long, param string, value double"))
+    by_trial = materialise(u.trial_params(params, every), "trial-params")
+    req = materialise(u.trial_requests(every), "trial-requests")
+    texts = materialise(made(sp, d, req, by_trial), "trial-samples")
+    scores = materialise(u.evaluated(texts, req, ratings_of(texts), pools(sp, d), by_trial), "trial-scores")
+    return rounded(u.judged(own, scores), "quality", "separation", "composite")
 
-def evaluated(sp, d):
-    """Trials of a parameter as one batch: the mean filler score of each trial's samples for two tones, and their separation."""
-    trials = fixtures.view(sp, d, "experiments").where("iteration <= 4").select("iteration", F.col("new_value").alias("blend"))
-    req = [g.sample_requests(sp, 30, tone, 5000 + 30 * k).withColumn("tone", F.lit(tone)) for k, tone in enumerate(("pop", "niche"))]
-    own = build_table(sp, d, "separation_samples", lambda: g.generate(req[0].unionByName(req[1].withColumn("req_id", F.col("req_id") + 30)), pools(sp, d), parts(sp, d), bib.split(sp, d), bib.articles(sp, d), scalars(sp, d), p.defaults(sp)))
-    long = own.select("req_id", F.explode(F.array(*(F.struct(F.lit(slot).alias("slot_type"), F.col(c).alias("filler")) for c, slot in (("item1", "list_item"), ("item2", "list_item"), ("action_noun", "action_noun"), ("of_object", "of_object"))))).alias("s")).select(F.col("req_id").alias("id"), "s.*")
-    low = pools(sp, d).withColumn("filler", t.title_case(F.col("filler"))).groupBy("slot_type", "filler").agg(F.sum("freq").alias("freq"), F.max("popularity").alias("popularity"))
-    sc = f.scores_by_slot(long, low).crossJoin(F.broadcast(trials)).select("iteration", F.when(F.col("id") < 30, "pop").otherwise("niche").alias("tone"), ((1 - F.col("blend")) * F.log10(1 + F.col("freq")) + F.col("blend") * F.col("popularity")).alias("score"))
-    return sc.groupBy("iteration").agg(F.avg(F.when(F.col("tone") == "pop", F.col("score"))).alias("pop_mean"), F.avg(F.when(F.col("tone") == "niche", F.col("score"))).alias("niche_mean"))
+
+def calibrated(sp, d):
+    """Both sweeps over a seed for each customer."""
+    seeds = fixtures.view(sp, d, "customer").select(F.col("c_custkey").alias("n"))
+    out = u.calibrate(seeds, lambda req: made(sp, d, req), ratings_of)
+    return rounded(out, *AXES, "overall", "quality", "remix_rate")
+
+
+def sample_sources(sp, d):
+    """C14: the sources of each plain sample's four fillers."""
+    long = samples(sp, d).where("not remixed").unpivot("req_id", ["item1", "item2", "action_noun", "of_object"], "slot", "filler")
+    long = long.withColumn("slot_type", F.when(F.col("slot").startswith("item"), "list_item").otherwise(F.col("slot")))
+    found = b.find_sources(long.select("slot_type", "filler").distinct(), pools(sp, d), bib.merged(sp, d))
+    sources = F.array_sort(F.collect_list(F.struct("slot", "description", "source_tag")))
+    own = long.join(found, ["slot_type", "filler"], "left").groupBy("req_id").agg(sources.alias("sources"))
+    told = F.transform("sources", lambda x: F.concat_ws("=", x["slot"], F.coalesce(x["source_tag"], F.lit("?")), F.coalesce(x["description"], F.lit("?"))))
+    return own.select("req_id", F.size("sources").alias("n"), F.array_join(told, ";").alias("sources"))
 
 
 TEXTS = "case p_partkey % 4 when 0 then 'Race, ' || p_name || ', and the Rise of ' || p_name when 1 then p_name || ', Power and a fall of x' when 2 then 'Race, Power, Home and the end of ' || p_name || ' /' else 'nothing here' end"
@@ -64,17 +102,71 @@ def texts(sp, d):
     return fixtures.view(sp, d, "part").selectExpr("p_partkey as id", f"{TEXTS} as text")
 
 
+AXES = ("coherence", "evocativeness", "surprise")
 SECTIONS = ["## Title", "## Subtitle", "## Blurb 1"]
+BOUNDS = {"pop_exponent": (0.2, 0.6), "pop_tone_blend": (0.0, 0.5), "weighted_sample_spread": (0.1, 0.8)}
+
+_REQ = """r_req as (select c_custkey as req_id, 0 as trial, c_custkey + 1000 as seed, case c_custkey % 3 when 0 then '' when 1 then 'pop' else 'niche,pop' end as tone, 0.7 as remix_prob, 0.6 as min_sim,
+  case when c_custkey % 5 = 0 then 'Race' end as lk_item1, case when c_custkey % 5 <> 0 and c_custkey % 7 = 0 then 'anvil' end as lk_head, case when c_custkey % 5 <> 0 and c_custkey % 7 <> 0 and c_custkey % 11 = 0 then 'the end' end as lk_object from customer),
+r_prm as (select 0 as trial, 0.0 as blend, 0.1 as missing, 0.4 as spread)"""
+_SAMPLES = f"{_REQ},\n{duck.generated('r')}"
+_PARTS = "case when kind = 'type1' then 'head=' || two || ';modifier=' || one when kind = 'type2' then 'complement=' || two || ';prep=' || {mid} || ';topic=' || one end"
+_MID = duck.title("mid")
+_RATED = "1 + cast(floor(10 * {0}) as int)"
+
+
+def _rated(text):
+    return ", ".join(f"{_RATED.format(duck.uniform(f"{text} || '|{a}'"))} as {a}" for a in AXES)
+
+
+def _sweep(p, base, levels):
+    """The requests of one phase, its samples, ratings, summary and best level."""
+    return f"""{p}_req as (select c_custkey * 64 + level as req_id, 0 as trial, c_custkey + {base} as seed, '' as tone, remix_prob, min_sim, null as lk_item1, null as lk_head, null as lk_object, level from customer, ({levels}) l),
+{p}_prm as (select 0 as trial, 0.0 as blend, 0.1 as missing, 0.4 as spread),
+{duck.generated(p)},
+{p}_rate as (select q.level, q.remix_prob, q.min_sim, x.remixed, {_rated("x.text")} from {p}_fin x join {p}_req q using (req_id)),
+{p}_sum as (select level, remix_prob, min_sim, round(avg(coherence), 6) as coherence, round(avg(evocativeness), 6) as evocativeness, round(avg(surprise), 6) as surprise, sum(coherence + evocativeness + surprise) / (3 * count(*)) as overall, round(sum(coherence + evocativeness + surprise) / (30 * count(*)), 6) as quality, count(*) as n, round(avg(cast(remixed as int)), 6) as remix_rate from {p}_rate group by 1, 2, 3),
+{p}_top as (select level, min_sim from {p}_sum order by overall desc, level limit 1)"""
+
+
+_LEVELS = lambda xs: ", ".join(f"({i}, {x})" for i, x in enumerate(xs))
+_T1 = chain(
+    " union all ".join(f"select {k} as phase, level, cast(remix_prob as double) as remix_prob, cast(min_sim as double) as min_sim, coherence, evocativeness, surprise, round(overall, 6) as overall, quality, n, remix_rate, level = (select level from c{k}_top) as best from c{k}_sum" for k in (1, 2)),
+    more=_sweep("c1", 3000, f"select level, 1.0 as remix_prob, x as min_sim from (values {_LEVELS(u.MIN_SIM_LEVELS)}) v(level, x)") + ",\n"
+    + _sweep("c2", 4000, f"select level, x as remix_prob, (select min_sim from c1_top) as min_sim from (values {_LEVELS(u.REMIX_PROB_LEVELS)}) v(level, x)"),
+)
+_BOUNDS = ", ".join(f"('{k}', {lo}, {hi})" for k, (lo, hi) in BOUNDS.items())
+_T2 = chain(
+    "select trial, param, value, round(quality, 6) as quality, round(separation, 6) as separation, round(composite, 6) as composite, case when composite > greatest((select composite from z_score where trial = 0), coalesce(max(composite) over (order by trial rows between unbounded preceding and 1 preceding), (select composite from z_score where trial = 0))) then 'keep' else 'discard' end as status from z_trials join z_score using (trial)",
+    ("editions_raw", "experiments"),
+    f"""z_trials as (select trial, param, greatest(coalesce(lo, value), least(coalesce(hi, value), value)) as value from (select param, new_value as value, 1 + min(iteration) as trial from experiments group by 1, 2) p left join (values {_BOUNDS}) b(param, lo, hi) using (param)),
+z_prm as (select trial, case when param = 'pop_tone_blend' then value else 0.0 end as blend, case when param = 'pop_missing_default' then value else 0.1 end as missing, case when param = 'weighted_sample_spread' then value else 0.4 end as spread from (select trial, param, value from z_trials union all select 0, '', 0) x),
+z_req as (select trial * 110 + i as req_id, trial, 1000 + 100 * trial + i as seed, case when i < 50 then '' when i < 80 then 'pop' else 'niche' end as tone, 0.0 as remix_prob, 0.0 as min_sim, null as lk_item1, null as lk_head, null as lk_object from z_prm, (select unnest(range(110)) as i) r),
+{duck.generated("z")},
+z_rate as (select trial, {_rated("text")} from z_fin where tone = ''),
+z_qual as (select trial, sum(coherence + evocativeness + surprise) / (30 * count(*)) as quality from z_rate group by 1),
+z_long as (select trial, tone, unnest(['list_item', 'list_item', 'action_noun', 'of_object']) as slot_type, unnest([item1, item2, action_noun, of_object]) as filler from z_fin where tone <> ''),
+z_dim as (select slot_type, lower(filler) as k, sum(freq) as freq, max(popularity) as popularity from z_fill where slot_type in ('list_item', 'action_noun', 'of_object') group by 1, 2),
+z_bin as (select trial, greatest(0, least(9, cast(floor(((1 - blend) * log10(1 + coalesce(freq, 0)) + blend * coalesce(popularity, missing)) / 0.3) as int))) as bin, count(*) filter (tone = 'pop') as x, count(*) filter (tone = 'niche') as y from z_long l left join z_dim d on d.slot_type = l.slot_type and d.k = lower(l.filler) join z_prm using (trial) group by 1, 2),
+z_sep as (select trial, round(1 - sum(least(x / tx, y / ty)), 9) as separation from (select *, sum(x) over (partition by trial) as tx, sum(y) over (partition by trial) as ty from z_bin) q group by 1),
+z_score as (select trial, quality, separation, 0.5 * quality + 0.5 * separation as composite from z_qual join z_sep using (trial))""",
+)
+_SHOWN = """select req_id, pos - 1 as pos, x.t as text, x.c as cls, x.p as is_punctuation from (select req_id, generate_subscripts(l, 1) as pos, unnest(l) as x from (select req_id, list_concat(
+  [{'t': item1, 'c': 'item1', 'p': false}, {'t': ',', 'c': '', 'p': true}, {'t': item2, 'c': 'item2', 'p': false}, {'t': ', and ' || action_article, 'c': '', 'p': true}, {'t': action_noun, 'c': 'action_noun', 'p': false}, {'t': case when of_article <> '' then 'of ' || of_article else 'of' end, 'c': '', 'p': true}],
+  case kind when 'type1' then [{'t': one, 'c': 'of_modifier', 'p': false}, {'t': two, 'c': 'of_head', 'p': false}] when 'type2' then [{'t': one, 'c': 'of_topic', 'p': false}, {'t': MID, 'c': '', 'p': true}, {'t': two, 'c': 'of_complement', 'p': false}] else [{'t': of_object, 'c': 'of_object', 'p': false}] end) as l from r_fin) y) z""".replace("MID", _MID)
+_ENDS = "nullif(regexp_replace(trim(coalesce({0}, '')), '[ /:]+$', ''), '')"
+_C14 = chain(
+    f"""select req_id, cast(count(*) as int) as n, string_agg(slot || '=' || coalesce(h.tag, '?') || '=' || case when h is null then '?' else concat_ws(': ', {_ENDS.format("h.title")}, {_ENDS.format("h.text")}) end, ';' order by slot) as sources
+    from (select req_id, unnest(['item1', 'item2', 'action_noun', 'of_object']) as slot, unnest(['list_item', 'list_item', 'action_noun', 'of_object']) as slot_type, unnest([item1, item2, action_noun, of_object]) as filler from r_fin where not remixed) w
+    left join (select slot_type, k, s as h from kn) z on z.slot_type = w.slot_type and z.k = lower(w.filler) group by 1""",
+    more=f"{_SAMPLES},\n" + "kn as (select p.slot_type, lower(p.filler) as k, min({'filler': p.filler, 'title': m.title, 'text': m.subtitle, 'tag': case when source_file = 'openlibrary' then 'OL' else 'LOC' end}) as s from pools p join merged m on m.id = p.source_subtitle_id group by 1, 2)",
+)
 
 QUERIES = {
-    "h01_title_case": (
-        lambda sp, d: texts(sp, d).select("id", t.title_case(F.col("text")).alias("titled")),
-        f"""with x as (select p_partkey as id, string_split({TEXTS}, ' ') as w from part) select id, array_to_string(list_transform(w, lambda v, i: case when (regexp_matches(v, '^.+\\p{{Lu}}') and v <> upper(v)) or regexp_matches(v, '^\\p{{Lu}}{{2,}}$|^(?:\\p{{Lu}}\\.)+$') then v
-        when lower(v) in ({duck.quoted(lists.SMALL_WORDS)}) and i > 1 and i < len(w) then lower(v) else upper(v[1]) || v[2:] end), ' ') as titled from x""",
-    ),
+    "h01_title_case": (lambda sp, d: texts(sp, d).select("id", t.title_case(F.col("text")).alias("titled")), f"select id, {duck.title('text')} as titled from (select p_partkey as id, {TEXTS} as text from part) x"),
     "h02_a_or_an": (
-        lambda sp, d: fixtures.view(sp, d, "part").select("p_partkey", t.a_or_an(F.lit("a"), F.element_at(F.array(*map(F.lit, ("ethnic", "road", "hour", "university", "FBI", "idea", "UN", "European", "unicorn", "umbrella"))), (F.col("p_partkey") % 10).cast("int") + 1)).alias("article")),
-        "select p_partkey, ['an', 'a', 'an', 'a', 'an', 'an', 'a', 'a', 'a', 'an'][p_partkey % 10 + 1] as article from part",
+        lambda sp, d: fixtures.view(sp, d, "customer").select("c_custkey", *(t.a_or_an(F.lit("a"), F.col(c)).alias(f"before_{c}") for c in ("c_mktsegment", "c_name"))),
+        f"select c_custkey, {duck.a_or_an(chr(39) + 'a' + chr(39), 'c_mktsegment')} as before_c_mktsegment, {duck.a_or_an(chr(39) + 'a' + chr(39), 'c_name')} as before_c_name from customer",
     ),
     "h11_json": (
         lambda sp, d: fixtures.view(sp, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"), F.to_json(F.struct("event_id", "event_type")).alias("made")),
@@ -85,51 +177,51 @@ QUERIES = {
         f"with x as (select p_partkey as id, {TEXTS} as text from part) select id, case when regexp_matches(text, {duck.RX_THE}) then list_concat(list_filter(list_transform(string_split(regexp_extract(text, {duck.RX_THE}, 1), ','), lambda q: trim(q)), lambda q: q <> ''), [trim(regexp_extract(text, {duck.RX_THE}, 2)), {duck.ending(f'regexp_extract(text, {duck.RX_THE}, 3)')}]) else [] end as fillers from x",
     ),
     "h19_sections": (
-        lambda sp, d: fixtures.view(sp, d, "part").select("p_partkey", F.concat(F.lit("intro\n## title\nx\n"), F.when(F.col("p_partkey") % 2 == 0, "## Subtitle\ny\n").otherwise("")).alias("doc")).select("p_partkey", t.missing_sections(F.col("doc"), SECTIONS).alias("missing"), t.drop_section(t.cut_preamble(F.col("doc")), "## Subtitle").alias("rest")),
-        "select p_partkey, case when p_partkey % 2 = 0 then ['## Blurb 1'] else ['## Subtitle', '## Blurb 1'] end as missing, '## title' || chr(10) || 'x' || case when p_partkey % 2 = 0 then '' else chr(10) end as rest from part",
+        lambda sp, d: fixtures.view(sp, d, "documents").select("doc_id", F.concat(F.lit("intro\n## title\n"), "text", F.when(F.col("doc_id") % 2 == 0, "\n## Subtitle\ny\n").otherwise("")).alias("doc"))
+        .select("doc_id", t.missing_sections(F.col("doc"), SECTIONS).alias("missing"), F.md5(t.drop_section(t.cut_preamble(F.col("doc")), "## Subtitle")).alias("rest")),
+        "select doc_id, case when doc_id % 2 = 0 then ['## Blurb 1'] else ['## Subtitle', '## Blurb 1'] end as missing, md5('## title' || chr(10) || text) as rest from documents",
     ),
     "k01_tone_targets": (
-        lambda sp, d: rounded(g.tone_targets(fixtures.view(sp, d, "region").select(F.when(F.col("r_regionkey") % 2 == 0, "niche,pop").otherwise("").alias("tone")), p.defaults(sp)), "target"),
-        f"with {duck.PARAMS} select case when r_regionkey % 2 = 0 then 'niche,pop' else '' end as tone, s as slot_type, case when r_regionkey % 2 = 0 then round(((select value from params where key = 'tone_target_niche_' || s) + (select value from params where key = 'tone_target_pop_' || s)) / 2, 6) end as target from (select distinct r_regionkey % 2 as r_regionkey from region) r, (values ('list_item'), ('action_noun'), ('of_object')) v(s)",
+        lambda sp, d: rounded(g.tone_targets(fixtures.view(sp, d, "customer").select(F.when(F.col("c_custkey") % 2 == 0, "niche,pop").otherwise("").alias("tone")), p.defaults(sp)), "target").drop("trial"),
+        f"with {duck.PARAMS} select case when even then 'niche,pop' else '' end as tone, s as slot_type, case when even then round(((select value from params where key = 'tone_target_niche_' || s) + (select value from params where key = 'tone_target_pop_' || s)) / 2, 6) end as target from (select distinct c_custkey % 2 = 0 as even from customer) r, (values ('list_item'), ('action_noun'), ('of_object')) v(s)",
     ),
     "k02_pool_weights": (
-        lambda sp, d: rounded(g.pool_weights(pools(sp, d), g.tone_targets(sp.createDataFrame([("pop",), ("",)], "tone string"), p.defaults(sp)), p.defaults(sp)), "weight"),
+        lambda sp, d: rounded(g.pool_weights(pools(sp, d), g.tone_targets(sp.createDataFrame([("pop",), ("",)], "tone string"), p.defaults(sp)), p.defaults(sp)), "weight").drop("trial"),
         chain("select slot_type, tone, filler, round(sqrt(freq) * case when tone = '' then 1 else 0.05 + 0.95 * exp(-pow((log10(1 + freq) - case slot_type when 'of_object' then 1.0 else 1.5 end) / 0.4, 2)) end, 6) as weight from pools, (values ('pop'), ('')) v(tone)"),
     ),
-    "k03_k06_generate": (lambda sp, d: flat(samples(sp, d)), None),
+    "k03_k06_generate": (
+        lambda sp, d: flat(samples(sp, d)),
+        chain(f"select req_id, text, item1, item2, action_noun, of_object, remixed, {_PARTS.format(mid=_MID)} as remix_parts, round(sim, 6) as remix_similarity, of_article, action_article from r_fin", more=_SAMPLES),
+    ),
     "k04_remix_gate": (
         lambda sp, d: requests(sp, d).select("req_id", (s.uniform(F.col("seed"), "gate", 0, "") < F.col("remix_prob")).alias("passes")),
         "select c_custkey as req_id, ('0x' || substr(md5((c_custkey + 1000) || '|gate|0|'), 1, 13))::bigint / 4503599627370496.0 < 0.7 as passes from customer",
     ),
-    "h17_display_slots": (lambda sp, d: g.display_slots(samples(sp, d)), None),
+    "h17_display_slots": (lambda sp, d: g.display_slots(samples(sp, d)), chain(_SHOWN, more=_SAMPLES)),
     "k08_spot_check_requests": (
-        lambda sp, d: g.spot_check_requests(sp, 3, 77).crossJoin(fixtures.view(sp, d, "region").agg(F.count(F.lit(1)).alias("regions"))).select("req_id", "seed", "tone", "regions"),
-        "select row_number() over (order by md5('77|' || seed), seed) as req_id, seed, tone, (select count(*) from region) as regions from (select i * 100 + j + 77 as seed, tone from (values (0, 'pop'), (1, 'mainstream'), (2, 'niche')) t(i, tone), (select unnest(range(3)) as j) r) x",
+        lambda sp, d: g.spot_check_requests(sp, fixtures.view(sp, d, "customer").count(), 77).select("req_id", "seed", "tone"),
+        "select row_number() over (order by md5('77|' || seed), seed) as req_id, seed, tone from (select i * n + j + 77 as seed, tone from (values (0, 'pop'), (1, 'mainstream'), (2, 'niche')) t(i, tone), (select count(*) as n from customer) c, (select unnest(range((select count(*) from customer))) as j) r) x",
     ),
     "k09_text_scores": (
-        lambda sp, d: rounded(g.text_scores(texts(sp, d), pools(sp, d).unionByName(pools(sp, d).limit(0)), p.defaults(sp)), "score"),
+        lambda sp, d: rounded(g.text_scores(texts(sp, d), pools(sp, d), p.defaults(sp)), "score"),
         chain(f""", tx as (select p_partkey as id, {TEXTS} as text from part), fl as (select id, unnest(list_concat(list_filter(list_transform(string_split(regexp_extract(text, {duck.RX_THE}, 1), ','), lambda q: trim(q)), lambda q: q <> ''), [trim(regexp_extract(text, {duck.RX_THE}, 2)), {duck.ending(f'regexp_extract(text, {duck.RX_THE}, 3)')}])) as filler from tx where regexp_matches(text, {duck.RX_THE})),
         dm as (select filler, arg_min(freq, slot_type) as freq from pools group by 1), sc as (select id, avg(log10(1 + coalesce(freq, 1))) as score from fl left join dm using (filler) group by 1)
         select id, round(coalesce(score, 0), 6) as score, case when score is null then 'mainstream' when score > 1 then 'pop' when score >= 0.5 then 'mainstream' else 'niche' end as tier from tx left join sc using (id)"""),
     ),
     "k10_not_enough": (
-        lambda sp, d: g.generate(requests(sp, d).where("req_id <= 20").withColumn("locks", F.lit(None).cast("map<string,string>")), pools(sp, d).where("slot_type <> 'action_noun'"), parts(sp, d), bib.split(sp, d), bib.articles(sp, d), scalars(sp, d), p.defaults(sp)).select("req_id", "text"),
-        "select c_custkey as req_id, '(not enough fillers)' as text from customer where c_custkey <= 20",
+        lambda sp, d: made(sp, d, requests(sp, d).withColumn("locks", F.lit(None).cast("map<string,string>")), own_pools=pools(sp, d).where("slot_type <> 'action_noun'")).select("req_id", "text"),
+        "select c_custkey as req_id, '(not enough fillers)' as text from customer",
     ),
     "c12_locks_known": (
-        lambda sp, d: fixtures.view(sp, d, "part").select("p_partkey", F.col("p_name").alias("filler")).join(F.broadcast(pools(sp, d).where("slot_type = 'of_object'").select("filler", F.lit(True).alias("known"))), "filler", "left").select("p_partkey", F.coalesce("known", F.lit(False)).alias("known")),
+        lambda sp, d: fixtures.view(sp, d, "part").select("p_partkey", F.col("p_name").alias("filler")).join(pools(sp, d).where("slot_type = 'of_object'").select("filler", F.lit(True).alias("known")), "filler", "left").select("p_partkey", F.coalesce("known", F.lit(False)).alias("known")),
         chain("select p_partkey, p_name in (select filler from pools where slot_type = 'of_object') as known from part"),
     ),
-    "c14_sample_sources": (
-        lambda sp, d: (lambda long: long.join(b.find_sources(long.select("slot_type", "filler").distinct(), pools(sp, d), bib.merged(sp, d)), ["slot_type", "filler"], "left").groupBy("req_id").agg(F.array_sort(F.collect_list(F.struct("slot", "description", "source_tag"))).alias("sources")).select("req_id", F.size("sources").alias("n"), F.array_join(F.transform("sources", lambda x: F.concat_ws("=", x["slot"], F.coalesce(x["source_tag"], F.lit("?")))), ";").alias("tags")))(
-            samples(sp, d).where("not remixed").unpivot("req_id", ["item1", "item2", "action_noun", "of_object"], "slot", "filler").withColumn("slot_type", F.when(F.col("slot").startswith("item"), "list_item").otherwise(F.col("slot")))
-        ),
-        None,
-    ),
-    "t01_grid": (lambda sp, d: u.grid(sp.createDataFrame([(x / 20,) for x in (0, 1, 2, 3, 4, 6)], "min_sim double"), fixtures.view(sp, d, "nation").select(F.col("n_nationkey").alias("seed"))), "select x / 20 as min_sim, n_nationkey as seed from nation, (values (0), (1), (2), (3), (4), (6)) v(x)"),
-    "t02_t03_trials": (lambda sp, d: rounded(evaluated(sp, d), "pop_mean", "niche_mean"), None),
+    "c14_sample_sources": (sample_sources, _C14),
+    "t01_calibration": (calibrated, _T1),
+    "t02_t03_trials": (trials, _T2),
     "t07_snapshot": (
-        lambda sp, d: fixtures.view(sp, d, "region").select("r_regionkey").crossJoin(F.broadcast(p.defaults(sp).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("m")))).select("r_regionkey", F.size("m").alias("n"), F.element_at("m", "pop_weight_spl").alias("w")),
-        "select r_regionkey, 31 as n, 0.7::double as w from region",
+        lambda sp, d: f.with_snapshot(fixtures.view(sp, d, "ratings").select("id", "system_tone"), p.effective_params(sp, sp.createDataFrame([("pop_tone_blend", "0.25")], "key string, value string")))
+        .select("id", F.size("config_snapshot").alias("n"), F.element_at("config_snapshot", F.concat(F.lit("tier_center_"), "system_tone")).alias("center"), F.element_at("config_snapshot", "pop_tone_blend").alias("blend")),
+        fixtures.with_views(["ratings"], f", {duck.PARAMS} select id, 31 as n, value as center, 0.25::double as blend from ratings join params on key = 'tier_center_' || system_tone"),
     ),
 }

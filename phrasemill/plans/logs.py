@@ -133,7 +133,7 @@ QUERIES = {
     ),
     "t06_pareto": (
         lambda sp, d: u.pareto(log(sp, d)).select("iteration", "frontier"),
-        R("select iteration, b is null or separation > b as frontier from (select iteration, separation, max(separation) over (order by quality desc, separation desc rows between unbounded preceding and 1 preceding) as b from lg) x", ("experiments",), _LOG),
+        R(", bq as (select quality, top, max(top) over (order by quality desc rows between unbounded preceding and 1 preceding) as above from (select quality, max(separation) as top from lg group by 1) z) select iteration, separation = top and (above is null or separation > above) as frontier from lg join bq using (quality)", ("experiments",), _LOG),
     ),
     "d27_s01_failure_windows": (lambda sp, d: ntz(m.windowed(m.failures(telemetry(sp, d)), "5 minutes")), windows("5 minute", "not success")),
     "s02_error_windows": (lambda sp, d: ntz(m.windowed(m.errors(telemetry(sp, d)), "15 minutes")), windows("15 minute", "severity_level >= 3")),

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from phrasemill import fixtures
 from phrasemill.functions import scores as s
 from phrasemill.operators import sampling as p
 from phrasemill.operators import vectors as v
+from phrasemill.operators.ranges import running
+from phrasemill.plans import bibliography as bib
 from phrasemill.plans import duck
+from phrasemill.session import materialise
 
 SEED = 7
 STORED = [("pop_tone_blend", "0.25"), ("sample_tone_spread", "0.5"), ("pop_exponent", "x"), ("other", "1")]
@@ -47,8 +49,8 @@ def pool(spark, d):
     return signals(spark, d).select(F.lit("all").alias("pool"), "filler", F.sqrt("freq").alias("weight"))
 
 
-def seeds(spark, d, n=50):
-    return fixtures.view(spark, d, "customer").where(f"c_custkey <= {n}").select(F.col("c_custkey").alias("seed"))
+def seeds(spark, d):
+    return fixtures.view(spark, d, "customer").select(F.col("c_custkey").alias("seed"))
 
 
 def words(spark, d):
@@ -72,30 +74,55 @@ sums as (select id, pos, sum(x) as x, count(*) as n from ex group by id, pos), v
 cen as (select list(x order by pos) as centroid from (select pos, avg(x / token_count) as x from sums s join (select id, token_count from vec) t using (id) group by pos) c)"""
 _SCAL = "scal as (select id, list_dot_product(vector, centroid) as centroid_dot, list_dot_product(vector, vector) as norm_sq, list_dot_product(vector, centroid) / sqrt(list_dot_product(vector, vector)) / sqrt(list_dot_product(centroid, centroid)) as similarity from vec, cen)"
 _EFF = f"eff as (select key, coalesce(try_cast(s.value as double), p.value) as value from params p left join stored s using (key))"
-_DRAW = f"select c_custkey as seed, filler, -ln({_U.format(chr(39).join(['c_custkey || ', '|slot|0|', ' || filler']))}) / sqrt(freq) as k from customer, signals where c_custkey <= 50"
+_DRAW = f"select c_custkey as seed, filler, -ln({_U.format(chr(39).join(['c_custkey || ', '|slot|0|', ' || filler']))}) / sqrt(freq) as k from customer, signals"
 
 
 def with_vec(q, views=("token_words",)):
     return fixtures.with_views(list(views), f", {_WORDS}, {_VEC}, {_SCAL}\n{q}")
 
 
+def part_vectors(spark, d):
+    """id (the sub-part), slot_type, vector and token_count of every sub-part with a known word."""
+    parts = bib.parts(spark, d).select("slot_type", F.col("filler").alias("id"))
+    found = v.phrase_vectors(parts.select("id", F.col("id").alias("phrase")).distinct(), words(spark, d))
+    return materialise(parts.join(found, "id"), "part-vectors")
+
+
 def approx(spark, d):
+    """H9 of the two parts of every object that is a compound."""
     vec = phrase_vectors(spark, d)
     center = v.centroid(vec)
-    sc = v.scalars(vec, center).select("id", "centroid_dot", "norm_sq")
-    n = fixtures.view(spark, d, "nation").select("n_nationkey")
-    names = sc.select(F.col("id")).withColumn("n", F.row_number().over(W.orderBy("id")) - 1)
-    pairs = n.select(F.col("n_nationkey").alias("k"), (F.col("n_nationkey") % 8).alias("i"), (F.col("n_nationkey") % 8 + 8).alias("j"))
-    a = names.join(sc, "id")
-    out = pairs.join(a.select(F.col("n").alias("i"), F.col("centroid_dot").alias("d1"), F.col("norm_sq").alias("q1")), "i").join(a.select(F.col("n").alias("j"), F.col("centroid_dot").alias("d2"), F.col("norm_sq").alias("q2")), "j")
-    out = out.crossJoin(F.broadcast(center.select("centroid_norm")))
-    return out.select("k", F.round(s.approximate_cosine(F.array("d1", F.when(F.col("k") % 5 != 0, F.col("d2"))), F.array("q1", "q2"), F.col("centroid_norm"), F.lit(0.1)), 6).alias("sim"))
+    own = part_vectors(spark, d)
+    sc = v.scalars(own.where("slot_type = 'of_modifier'"), center).select(F.col("id").alias("modifier"), F.col("centroid_dot").alias("d1"), F.col("norm_sq").alias("q1"))
+    head = v.scalars(own.where("slot_type = 'of_head'"), center).select(F.col("id").alias("head"), F.col("centroid_dot").alias("d2"), F.col("norm_sq").alias("q2"))
+    out = bib.split(spark, d).select("filler", "compound.modifier", "compound.head").where("head is not null")
+    out = out.join(sc, "modifier", "left").join(head, "head", "left").crossJoin(F.broadcast(center.select("centroid_norm")))
+    return out.select("filler", F.round(s.approximate_cosine(F.array("d1", "d2"), F.array("q1", "q2"), F.col("centroid_norm"), F.lit(0.1)), 6).alias("sim"))
 
 
 def cross(spark, d):
-    vec = phrase_vectors(spark, d)
-    num = lambda x: x.withColumn("n", F.row_number().over(W.orderBy("id")) - 1).select("n", "vector")
-    return rounded(v.mean_cross_similarity(num(vec.where("id < 'm'")), num(vec.where("id >= 'm'")), 42, 300), "mean_cosine")
+    """C11: modifier x head and topic x complement, 3000 picks of each."""
+    own = part_vectors(spark, d)
+    num = lambda slot: running(own.where(F.col("slot_type") == slot), "count", F.lit(1), [F.col("id")], "n").select((F.col("n") - 1).alias("n"), "vector")
+    one = lambda kind, a, b: rounded(v.mean_cross_similarity(num(a), num(b)), "mean_cosine").withColumn("kind", F.lit(kind))
+    return one("type1", "of_modifier", "of_head").unionByName(one("type2", "of_topic", "of_complement"))
+
+
+_PARTVEC = """pl as (select distinct filler as id from parts), ptk as (select id, unnest(string_split(lower(id), ' ')) as word from pl),
+pex as (select id, generate_subscripts(v, 1) as pos, unnest(v) as x from ptk join words using (word) where list_dot_product(v, v) > 0),
+pvec as (select id, list(x order by pos) as vector from (select id, pos, sum(x) as x from pex group by id, pos) s group by id),
+psc as (select slot_type, filler, vector, list_dot_product(vector, centroid) as d, list_dot_product(vector, vector) as q from parts join pvec on pvec.id = filler, cen)"""
+
+
+def with_parts(q):
+    return duck.chain(q, ("editions_raw", "token_words"), f"{_WORDS}, {_VEC}, {_PARTVEC}")
+
+
+def _crossed(kind, a, b):
+    u = lambda x: _U.format(f"'42|cross|' || id || '|{x}'")
+    num = lambda slot: f"(select row_number() over (order by filler) - 1 as n, vector, count(*) over () as size from psc where slot_type = '{slot}')"
+    return f"""select '{kind}' as kind, round(coalesce(avg(list_dot_product(a.vector, b.vector) / sqrt(list_dot_product(a.vector, a.vector)) / sqrt(list_dot_product(b.vector, b.vector))), 0), 6) as mean_cosine
+    from (select unnest(range(3000)) as id) r join {num(a)} a on a.n = cast(floor({u('a')} * a.size) as bigint) join {num(b)} b on b.n = cast(floor({u('b')} * b.size) as bigint) where id < a.size * b.size"""
 
 
 QUERIES = {
@@ -107,7 +134,10 @@ QUERIES = {
         lambda sp, d: p.clamp_proposals(fixtures.view(sp, d, "experiments").select("param", F.col("new_value").alias("value")), sp.createDataFrame([("pop_exponent", 0.2, 0.6), ("pop_tone_blend", 0.0, 0.5)], "param string, lo double, hi double")),
         fixtures.with_views(["experiments"], "select param, greatest(lo, least(hi, new_value)) as value from experiments join (values ('pop_exponent', 0.2, 0.6), ('pop_tone_blend', 0.0, 0.5)) b(param, lo, hi) using (param)"),
     ),
-    "c10_params": (lambda sp, d: params(sp).crossJoin(F.broadcast(fixtures.view(sp, d, "region").agg(F.count(F.lit(1)).alias("regions")))), f"with {duck.PARAMS}, {_STORED_SQL}, {_EFF} select *, (select count(*) from region) as regions from eff"),
+    "c10_params": (
+        lambda sp, d: p.with_params(fixtures.view(sp, d, "customer").select("c_custkey"), params(sp)).select("c_custkey", "pop_tone_blend", "sample_tone_spread", "pop_exponent"),
+        f"with {duck.PARAMS}, {_STORED_SQL}, {_EFF} select c_custkey, (select value from eff where key = 'pop_tone_blend') as pop_tone_blend, (select value from eff where key = 'sample_tone_spread') as sample_tone_spread, (select value from eff where key = 'pop_exponent') as pop_exponent from customer",
+    ),
     "g03_set_difference": (
         lambda sp, d: p.set_difference(p.defaults(sp), fixtures.view(sp, d, "experiments").select(F.col("param").alias("key")).distinct().unionByName(fixtures.view(sp, d, "region").select(F.lower("r_name").alias("key")))),
         fixtures.with_views(["experiments"], f", {duck.PARAMS}, b as (select distinct param as key from experiments union select lower(r_name) from region) select key, 'added' as change from params where key not in (select key from b) union all select key, 'removed' from b where key not in (select key from params)"),
@@ -124,7 +154,7 @@ QUERIES = {
         fixtures.with_views(["signals"], f", x as ({_DRAW}) select seed, filler, cast(rank as int) as rank from (select seed, filler, row_number() over (partition by seed order by k, filler) as rank from x) y where rank <= 2"),
     ),
     "e09_cumulative": (
-        lambda sp, d: rounded(p.cumulative(pool(sp, d)).drop("weight"), "cum_lo", "cum_hi", "total"),
+        lambda sp, d: rounded(p.cumulative(pool(sp, d)).drop("weight", "buckets"), "cum_lo", "cum_hi", "total"),
         fixtures.with_views(["signals"], "select 'all' as pool, filler, round(sum(sqrt(freq)) over (order by filler), 6) as cum_hi, round(sum(sqrt(freq)) over (order by filler) - sqrt(freq), 6) as cum_lo, round(sum(sqrt(freq)) over (), 6) as total from signals"),
     ),
     "c13_draw_large": (
@@ -141,8 +171,8 @@ QUERIES = {
         lambda sp, d: p.sample_per_group(fixtures.view(sp, d, "part").select("p_brand", F.col("p_partkey").cast("string").alias("key")), "p_brand", "key", 3, SEED),
         f"select p_brand, key from (select p_brand, p_partkey::varchar as key, row_number() over (partition by p_brand order by md5('{SEED}|' || p_partkey), p_partkey::varchar) as rn from part) x where rn <= 3",
     ),
-    "f03_sample_rows": (lambda sp, d: p.sample_rows(fixtures.view(sp, d, "part").select("p_partkey", "p_name"), "p_partkey", 100, SEED), f"select p_partkey, p_name from part order by md5('{SEED}|' || p_partkey), p_partkey limit 100"),
-    "f05_shuffled": (lambda sp, d: p.shuffled(fixtures.view(sp, d, "nation").select("n_nationkey"), "n_nationkey", SEED), f"select n_nationkey, cast(row_number() over (order by md5('{SEED}|' || n_nationkey), n_nationkey) as int) as place from nation"),
+    "f03_sample_rows": (lambda sp, d: p.sample_rows(fixtures.view(sp, d, "lineitem").select("l_orderkey", "l_linenumber", F.concat_ws("-", "l_orderkey", "l_linenumber").alias("key")), "key", 2000, SEED).drop("key"), f"select l_orderkey, l_linenumber from (select l_orderkey, l_linenumber, l_orderkey || '-' || l_linenumber as key from lineitem) x order by md5('{SEED}|' || key), key limit 2000"),
+    "f05_shuffled": (lambda sp, d: p.shuffled(fixtures.view(sp, d, "customer").select("c_custkey"), "c_custkey", SEED), f"select c_custkey, row_number() over (order by md5('{SEED}|' || c_custkey), c_custkey) as place from customer"),
     "f07_g04_tier_draws": (
         lambda sp, d: rounded(p.tier_draws(pop(sp, d).select(F.col("filler").alias("id"), F.coalesce("popularity", F.lit(0.1)).alias("score")), p.defaults(sp), SEED, sp.createDataFrame([("pop",), ("niche",)], "tier string")), "score"),
         fixtures.with_views(["signals"], f", {_POP}, s as (select filler as id, coalesce(popularity, 0.1) as score from pop), w as (select id, score, exp(-pow((score - 0.25) / 0.6, 2)) as n, exp(-pow((score - 1.5) / 0.6, 2)) as p, {_U.format(chr(39).join(['', str(SEED) + '|tier|0|', ' || id']))} as u from s) select id, round(score, 6) as score, case when u * (n + p) < n then 'niche' else 'pop' end as tier from w"),
@@ -162,13 +192,8 @@ QUERIES = {
     ),
     "h09_approximate_cosine": (
         approx,
-        with_vec("""select n_nationkey as k, round(case when n_nationkey % 5 <> 0 then (a.centroid_dot + b.centroid_dot) / sqrt(a.norm_sq + b.norm_sq + 2 * sqrt(a.norm_sq) * sqrt(b.norm_sq) * 0.1) / sqrt(list_dot_product(centroid, centroid)) end, 6) as sim
-        from nation, cen, (select *, row_number() over (order by id) - 1 as n from scal) a, (select *, row_number() over (order by id) - 1 as n from scal) b where a.n = n_nationkey % 8 and b.n = n_nationkey % 8 + 8"""),
-    ),
-    "c11_cross_similarity": (
-        cross,
-        with_vec(f""", a as (select row_number() over (order by id) - 1 as n, vector from vec where id < 'm'), b as (select row_number() over (order by id) - 1 as n, vector from vec where id >= 'm'),
-        r as (select unnest(range(300)) as id), pk as (select cast(floor({_U.format("'42|cross|' || id || '|a'")} * (select count(*) from a)) as bigint) as i, cast(floor({_U.format("'42|cross|' || id || '|b'")} * (select count(*) from b)) as bigint) as j from r where id < (select count(*) from a) * (select count(*) from b))
-        select round(coalesce(avg(list_dot_product(a.vector, b.vector) / sqrt(list_dot_product(a.vector, a.vector)) / sqrt(list_dot_product(b.vector, b.vector))), 0), 6) as mean_cosine from pk join a on a.n = i join b on b.n = j"""),
+        with_parts("""select c.filler, round(case when a.d is not null and b.d is not null then (a.d + b.d) / sqrt(a.q + b.q + 2 * sqrt(a.q) * sqrt(b.q) * 0.1) / sqrt(list_dot_product(centroid, centroid)) end, 6) as sim
+        from cut c left join psc a on a.slot_type = 'of_modifier' and a.filler = modifier left join psc b on b.slot_type = 'of_head' and b.filler = head, cen where head is not null"""),
     ),
+    "c11_cross_similarity": (cross, with_parts(f"{_crossed('type1', 'of_modifier', 'of_head')} union all {_crossed('type2', 'of_topic', 'of_complement')}")),
 }

@@ -16,13 +16,21 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = "file://" + tempfile.mkdtemp(prefix="spark-phrasemill-")
     spark.conf.set("spark.checkpoint.dir", own)
     return own
 
 
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared folder and read back: a plan that is used several times runs once, and a lost executor
+    costs a re-read."""
+    path = f"{shared_dir(df.sparkSession)}/phrasemill/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def build_table(spark: SparkSession, source: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
     """The table ``name`` derived from ``source``, built on first use in this application."""
     key = (spark.sparkContext.applicationId, source, name)

@@ -52,5 +52,6 @@ def drain(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -
     return stream.sparkSession.table(name)
 
 
-def file_stream(spark: SparkSession, path: str, schema) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+def file_stream(spark: SparkSession, path: str, schema, files: int = 1) -> DataFrame:
+    """``files`` are read at a time; where they may land in another order than their times, as many as a watermark's span holds."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)

@@ -3,4 +3,4 @@ select event_id as iteration, case event_id % 6 when 0 then 'pop_tone_blend' whe
   round(cast(event_id * 37 % 100 as double) / 100, 2) as new_value,
   round(cast(event_id as double) / 900 + cast(event_id * 7919 % 1000 as double) / 3000, 4) as quality,
   round(cast(event_id as double) / 700 + cast(event_id * 104729 % 1000 as double) / 3000, 4) as separation
-from events where event_id between 1 and 300
+from events

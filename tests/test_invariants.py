@@ -54,7 +54,7 @@ def test_templates_of_late_and_long_sentences(spark, tmp_path):
     texts = [". ".join(few[(i + k) % 5] for k in range(9)) + "\n" + " ".join([few[i % 5]] * 40) for i in range(7)]
     spark.createDataFrame([(i - 2, x, "en") for i, x in enumerate(texts)], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     want = {(i - 2, pos): s.strip(" ") for i, x in enumerate(texts) for pos, s in enumerate(x.replace("\n", ".").split("."))}
-    rows = {(r.doc_id, r.pos): (r.template, tuple(r.slots)) for r in catalog.queries()["h12_h13_all_templates"](spark, str(tmp_path)).collect()}
+    rows = {(r.doc_id, r.pos): (r.template, tuple(r.slots)) for r in catalog.queries()["h12_h13_templates"](spark, str(tmp_path)).collect()}
     assert rows.keys() == want.keys() and max(map(len, want.values())) >= 400
     assert len({(want[k], v) for k, v in rows.items()}) == len(set(want.values()))
     index = {r.template: (r["count"], r.example) for r in catalog.queries()["d08_pattern_index"](spark, str(tmp_path)).collect()}

@@ -60,5 +60,22 @@ def test_both_taggers_agree(spark):
     p = spark.createDataFrame([(i, x) for i, x in enumerate(("the small anvil of Africa", "", "U.S. money - 1984", "famous quickly"))], "id long, phrase string")
     words = b.lexicon(spark)
     one = {r.id: r.tags for r in b.tag_phrases(p, words).collect()}
-    two = {r.id: r.tags for r in b.with_lexicon(p, words).select("id", b.tags_of(F.col("phrase")).alias("tags")).collect()}
+    two = {r.id: r.tags for r in b.with_lexicon(p, words, "id", F.col("phrase")).select("id", b.tags_of(F.col("phrase")).alias("tags")).collect()}
     assert one == two and one[0] == ["DET", "ADJ", "NOUN", "ADP", "PROPN"] and one[2] == ["PROPN", "NOUN", "PUNCT", "NUM"]
+
+
+def test_lexicons_of_any_size_agree(spark, small, monkeypatch):
+    """A lexicon that is joined gives the results of one that travels as a map."""
+    from phrasemill.plans import bibliography as bib
+
+    few = b.lexicon(spark)
+    many = few.unionByName(spark.range(5000).select(F.concat(F.lit("word"), "id").alias("word"), F.lit("VERB").alias("tag"), F.lit("").alias("ent")))
+    objects = bib.pools(spark, small).where("slot_type = 'of_object'").drop("slot_type")
+    texts = bib.sentences(spark, small).where("pos < 3").withColumn("id", F.struct("doc_id", "pos"))
+    jobs = {
+        "validated": lambda words: b.validated(bib.found(spark, small), words), "split": lambda words: b.split_parts(objects, words),
+        "templates": lambda words: b.templates(texts.select("id", "phrase"), words),
+    }
+    for name, job in jobs.items():
+        one, two = (sorted(map(str, job(words).collect())) for words in (few, many))
+        assert one == two and len(one) > 0, name
