@@ -21,7 +21,6 @@ from phrasemill.session import materialise
 ATTEMPTS, LOCKED_ATTEMPTS = 5, 20
 NOT_ENOUGH = "(not enough fillers)"
 REQUEST = "req_id long, seed long, tone string, remix_prob double, min_sim double, locks map<string,string>"
-_NO_LOCKS = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
 
 
 def _tried(df: DataFrame) -> DataFrame:
@@ -78,7 +77,8 @@ def generate(requests: DataFrame, pools: DataFrame, parts: DataFrame, splits: Da
     Requests have ids of their own. A text that lacks fillers is a placeholder.
     """
     tones = F.filter(F.transform(F.split(F.coalesce("tone", F.lit("")), ","), lambda x: F.lower(F.trim(x))), lambda x: x != "")
-    req = _tried(requests).withColumns({"tone": F.array_join(F.array_sort(F.array_distinct(tones)), ","), "locks": F.coalesce("locks", _NO_LOCKS)})
+    no_locks = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    req = _tried(requests).withColumns({"tone": F.array_join(F.array_sort(F.array_distinct(tones)), ","), "locks": F.coalesce("locks", no_locks)})
     req, params = materialise(req, "requests"), materialise(_tried(params), "params")
     cum = _cumulated(pools, parts, req, params)
     slots = F.explode(F.array(*map(F.lit, lists.SLOTS))).alias("slot")

@@ -12,7 +12,10 @@ from phrasemill.session import materialise
 
 SAMPLES, TONE_SAMPLES, SEED_BASE, SEED_STEP = 50, 30, 1000, 100
 MIN_SIM_LEVELS, REMIX_PROB_LEVELS, SEED_BASES = (0.0, 0.05, 0.1, 0.15, 0.2, 0.3), (0.0, 0.2, 0.4, 0.6, 0.8, 1.0), (3000, 4000)
-_NONE = F.lit(None).cast("map<string,string>")
+
+
+def _unlocked() -> Column:
+    return F.lit(None).cast("map<string,string>").alias("locks")
 
 
 def clamped_trials(proposals: DataFrame, bounds: DataFrame, params: DataFrame) -> DataFrame:
@@ -34,7 +37,7 @@ def trial_requests(trials: DataFrame, samples: int = SAMPLES, tone_samples: int
     i = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(every - 1).cast("long"))).alias("i")
     tone = F.when(F.col("i") < samples, "").when(F.col("i") < samples + tone_samples, "pop").otherwise("niche")
     own = trials.select("trial").distinct().select("trial", i)
-    return own.select((F.col("trial") * every + F.col("i")).alias("req_id"), "trial", (SEED_BASE + step * F.col("trial") + F.col("i")).alias("seed"), tone.alias("tone"), F.lit(0.0).alias("remix_prob"), F.lit(0.0).alias("min_sim"), _NONE.alias("locks"))
+    return own.select((F.col("trial") * every + F.col("i")).alias("req_id"), "trial", (SEED_BASE + step * F.col("trial") + F.col("i")).alias("seed"), tone.alias("tone"), F.lit(0.0).alias("remix_prob"), F.lit(0.0).alias("min_sim"), _unlocked())
 
 
 def evaluated(samples: DataFrame, requests: DataFrame, ratings: DataFrame, pools: DataFrame, params: DataFrame, weight: float = 0.5) -> DataFrame:
@@ -61,7 +64,7 @@ def judged(trials: DataFrame, scores: DataFrame, baseline: int = 0) -> DataFrame
 def sweep_requests(seeds: DataFrame, levels: DataFrame, phase: int) -> DataFrame:
     """Requests of all levels (level, remix_prob, min_sim) of one phase with all seeds (n from 0)."""
     own = seeds.crossJoin(F.broadcast(levels))
-    return own.select((F.col("n") * 64 + F.col("level")).alias("req_id"), (F.col("n") + SEED_BASES[phase - 1]).alias("seed"), F.lit("").alias("tone"), "remix_prob", "min_sim", _NONE.alias("locks"), "level")
+    return own.select((F.col("n") * 64 + F.col("level")).alias("req_id"), (F.col("n") + SEED_BASES[phase - 1]).alias("seed"), F.lit("").alias("tone"), "remix_prob", "min_sim", _unlocked(), "level")
 
 
 def sweep_summary(samples: DataFrame, requests: DataFrame, ratings: DataFrame) -> DataFrame:
