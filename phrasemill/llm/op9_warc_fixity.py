@@ -1,51 +1,90 @@
 """Merkle fixity audit of WARC replicas.
 
-Pages become records of archive files with their offsets. A leaf hashes a record's digest with its range; each inner
+Pages become records of archive files. A replica is a table of records with the offsets that it holds them at itself: of a folder of
+WARC files (``read_warc``), or of records and the replica's own index (``digests``). A leaf hashes a record's digest with its range; each inner
 node hashes up to FANOUT ordered children with the range they span. Replicas are compared at the roots, and only below nodes
-that differ are children read, level by level, down to the damaged records.
+that differ are children read, level by level, down to the damaged, resized, moved, lost and stray records.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from phrasemill.llm.shared import materialise
 
-FILE_RECORDS, FANOUT = 4096, 16
+FILE_BITS, FANOUT = 12, 16
+FILE_RECORDS = 1 << FILE_BITS
+KEYS = ("file_no", "record_no", "page_id")
 
 
 def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_col: str = "html") -> DataFrame:
     """-> file_no, record_no, page_id, payload: a record is a header and the body; null counts as empty. Nothing is shuffled.
 
-    A file holds the ids of one range of FILE_RECORDS; a record's number is its id's place in the range, for negative ids too. A page
-    without an id has no address and makes no record; rows that repeat an id share a leaf in ``manifest``.
+    A file holds the ids of one range of FILE_RECORDS; a record's number is its id's place in the range, for negative and the largest
+    ids too. A page without an id has no address and makes no record; rows that repeat an id share a leaf in ``manifest``.
     """
     own = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(url_col, F.lit("")).alias("url"), F.coalesce(body_col, F.lit("")).alias("body")).where("page_id is not null")
     head = F.concat(F.lit("WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:"), F.col("page_id"), F.lit(">\r\nWARC-Target-URI: "), F.col("url"), F.lit("\r\nContent-Length: "), F.octet_length("body"), F.lit("\r\n\r\n"))
-    return own.select(F.floor(F.col("page_id") / FILE_RECORDS).alias("file_no"), F.pmod("page_id", F.lit(FILE_RECORDS)).alias("record_no"), "page_id", F.concat(head, F.col("body"), F.lit("\r\n\r\n")).alias("payload"))
+    return own.select(F.shiftright("page_id", FILE_BITS).alias("file_no"), F.col("page_id").bitwiseAND(F.lit(FILE_RECORDS - 1)).alias("record_no"), "page_id", F.concat(head, F.col("body"), F.lit("\r\n\r\n")).alias("payload"))
+
+
+def write_warc(written: DataFrame, path: str) -> None:
+    """A folder of WARC files, one for each file number, records in order; the line end of the writer closes the record."""
+    body = F.expr("left(payload, length(payload) - 4)").alias("value")
+    dealt = written.repartition("file_no").sortWithinPartitions("file_no", "record_no").select("file_no", body)
+    dealt.write.option("lineSep", "\r\n\r\n").partitionBy("file_no").text(path)
+
+
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The records of whole files, by the length that each header states; what can't be parsed ends a file."""
+    for batch in batches:
+        for file_no, content in zip(batch.column("file_no").to_pylist(), batch.column("content").to_pylist()):
+            rows, at = [], 0
+            while (split := content.find(b"\r\n\r\n", at)) >= 0:
+                length, page = (re.search(rb"\r\n" + p, content[at : split + 2]) for p in (rb"Content-Length: ([0-9]+)\r\n", rb"WARC-Record-ID: <urn:page:(-?[0-9]+)>\r\n"))
+                if not length or not page:
+                    break
+                end, page_id = split + 8 + int(length[1]), int(page[1])
+                rows.append((file_no, page_id & (FILE_RECORDS - 1), page_id, at, content[at:end].decode(errors="replace")))
+                at = end
+            if rows:
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in list(zip(*rows))[:4]), pa.array([r[4] for r in rows])], ["file_no", "record_no", "page_id", "start", "payload"])
+
+
+def read_warc(spark: SparkSession, path: str) -> DataFrame:
+    """-> file_no, record_no, page_id, start, payload of a folder of WARC files; a file of FILE_RECORDS is one task's read."""
+    files = spark.read.format("binaryFile").load(path).select(F.col("file_no").cast("long").alias("file_no"), "content")
+    return files.mapInArrow(_parsed, "file_no long, record_no long, page_id long, start long, payload string")
 
 
 def _hashed(replica: DataFrame) -> DataFrame:
     """A narrow row for each record: payloads are hashed where they are read. Rows with one id make one leaf of all their digests, in order."""
-    own = replica.select("file_no", "record_no", "page_id", F.struct(F.sha2("payload", 256).alias("sha"), F.octet_length("payload").cast("long").alias("length")).alias("d"))
-    all_of = own.groupBy("file_no", "record_no", "page_id").agg(F.array_sort(F.collect_list("d.sha")).alias("shas"), F.sum("d.length").alias("length"))
-    return all_of.select("file_no", "record_no", "page_id", F.when(F.size("shas") == 1, F.col("shas")[0]).otherwise(F.sha2(F.array_join("shas", ","), 256)).alias("sha"), "length")
+    start = F.col("start") if "start" in replica.columns else F.lit(None)
+    own = replica.select(*KEYS, start.cast("long").alias("start"), F.sha2("payload", 256).alias("sha"), F.octet_length("payload").cast("long").alias("length"))
+    all_of = own.groupBy(*KEYS).agg(F.array_sort(F.collect_list("sha")).alias("shas"), F.sum("length").alias("length"), F.min("start").alias("start"))
+    return all_of.select(*KEYS, "start", "length", F.when(F.size("shas") == 1, F.col("shas")[0]).otherwise(F.sha2(F.array_join("shas", ","), 256)).alias("sha"))
 
 
 def manifest(written: DataFrame) -> DataFrame:
-    """-> file_no, record_no, page_id, start, length, sha of the records as written; a file's window is bounded by FILE_RECORDS."""
+    """-> file_no, record_no, page_id, start, length, sha of the records as written one after the other; a file's window is bounded by
+    FILE_RECORDS."""
     start = F.sum("length").over(W.partitionBy("file_no").orderBy("record_no")) - F.col("length")
-    return materialise(_hashed(written).withColumn("start", start).select("file_no", "record_no", "page_id", "start", "length", "sha"), "manifest")
+    return materialise(_hashed(written).withColumn("start", start), "manifest")
 
 
-def digests(replica: DataFrame, written: DataFrame) -> DataFrame:
-    """The records that a replica holds: ranges as the manifest ``written`` has them, digests of the replica's own bytes. A record that the
-    manifest doesn't have has no start, and its own length."""
-    keys = ["file_no", "record_no", "page_id"]
-    held = _hashed(replica).withColumnRenamed("length", "own_length")
-    return materialise(held.join(written.drop("sha"), keys, "left").select(*keys, "start", F.coalesce("length", "own_length").alias("length"), "sha"), "digests")
+def digests(replica: DataFrame, index: DataFrame | None = None) -> DataFrame:
+    """The same of the records that a replica holds, hashed from its own bytes, at its own offsets: those of its ``index`` (file_no,
+    record_no, page_id, start), or without one its column ``start``. A record that the index doesn't have has no start."""
+    held = _hashed(replica)
+    if index is not None:
+        held = held.drop("start").join(index.select(*KEYS, "start"), list(KEYS), "left")
+    return materialise(held.select(*KEYS, "start", "length", "sha"), "digests")
 
 
 def tree(leaves: DataFrame) -> list[DataFrame]:
@@ -65,10 +104,11 @@ def tree(leaves: DataFrame) -> list[DataFrame]:
 
 
 def audit(left: DataFrame, right: DataFrame) -> DataFrame:
-    """manifest or digests of two replicas -> file_no, record_no, page_id, start, length, left_sha, right_sha, found of the records that differ.
+    """Leaves of two replicas -> file_no, record_no, page_id, start, length, right_start, left_sha, right_sha, found of the records that differ.
 
-    ``found`` is damaged, or missing_left, missing_right for a record that one replica lacks. Equal replicas and empty tables
-    give an empty result.
+    ``found`` is damaged (other bytes), resized (other bytes and another length), moved (the same bytes at another offset), or missing_left,
+    missing_right for a record that one replica lacks; ``start`` and ``length`` are the left one's where it has the record. Equal
+    replicas and empty tables give an empty result.
     """
     a, b = tree(left), tree(right)
     bad = None
@@ -82,12 +122,25 @@ def audit(left: DataFrame, right: DataFrame) -> DataFrame:
     keys = ["file_no", "record_no"]
     sides = [t.join(spots, keys, "left_semi").select(*keys, *(F.col(c).alias(f"{side}_{c}") for c in ("page_id", "start", "length", "sha"))) for side, t in (("left", left), ("right", right))]
     both = sides[0].join(sides[1], keys, "full")
-    found = F.when(F.col("left_sha").isNull(), "missing_left").when(F.col("right_sha").isNull(), "missing_right").otherwise("damaged")
-    return both.select(*keys, *(F.coalesce(f"left_{c}", f"right_{c}").alias(c) for c in ("page_id", "start", "length")), "left_sha", "right_sha", found.alias("found"))
+    found = (
+        F.when(F.col("left_sha").isNull(), "missing_left").when(F.col("right_sha").isNull(), "missing_right").when(F.col("left_sha") == F.col("right_sha"), "moved")
+        .when(F.col("left_length") != F.col("right_length"), "resized").otherwise("damaged")
+    )
+    return both.select(*keys, *(F.coalesce(f"left_{c}", f"right_{c}").alias(c) for c in ("page_id", "start", "length")), "right_start", "left_sha", "right_sha", found.alias("found"))
 
 
 def decayed(replica: DataFrame) -> DataFrame:
-    """A replica after storage faults: some records have a byte overwritten, others are lost. Chosen by the page."""
-    fault = F.col("page_id") * 7919 % 101
+    """A replica after storage faults, chosen by the page: some records have a byte overwritten, some lost their end, others are gone."""
     hurt = F.concat(F.expr("left(payload, 20)"), F.lit("#"), F.expr("substring(payload, 22)"))
-    return replica.withColumn("fault", fault).where("fault <> 7").withColumn("payload", F.when(F.col("fault").isin(3, 5), hurt).otherwise(F.col("payload"))).drop("fault")
+    cut = F.expr("left(payload, length(payload) - 3)")
+    fault = _fault()
+    return replica.where(fault != 7).withColumn("payload", F.when(fault.isin(3, 5), hurt).when(fault == 13, cut).otherwise(F.col("payload")))
+
+
+def misplaced(index: DataFrame) -> DataFrame:
+    """An index after faults: some records are held a byte further on."""
+    return index.withColumn("start", F.col("start") + (_fault() == 11).cast("long"))
+
+
+def _fault():
+    return F.pmod(F.pmod("page_id", F.lit(101)) * 7919, F.lit(101))

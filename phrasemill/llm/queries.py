@@ -14,7 +14,7 @@ from phrasemill.llm.op5_token_counts import token_counts
 from phrasemill.llm.op6_embedding_dedup import embedding_dedup
 from phrasemill.llm.op7_best_fit_packing import best_fit_packing
 from phrasemill.llm.op8_sentencepiece import sentencepiece_digests
-from phrasemill.llm.op9_warc_fixity import audit, decayed, digests, manifest, records
+from phrasemill.llm.op9_warc_fixity import audit, decayed, digests, manifest, misplaced, records
 from phrasemill.llm.op10_ngram_join import ngram_join
 from phrasemill.llm.shared import ship, table, tokenizer_file
 
@@ -54,7 +54,7 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     written = records(table(spark, sf_dir, "pages"))
     first = manifest(written)
-    return audit(first, digests(decayed(written), first))
+    return audit(first, digests(decayed(written), misplaced(first)))
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,12 +72,12 @@ OP9_SQL = r"""
 with p as (select page_id, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10)
     || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10)
     || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) as payload from pages),
-r as (select page_id // 4096 as file_no, page_id % 4096 as record_no, page_id, payload, strlen(payload) as length, page_id * 7919 % 101 as fault from p),
+r as (select page_id // 4096 as file_no, page_id % 4096 as record_no, page_id, payload, strlen(payload) as length, page_id % 101 * 7919 % 101 as fault from p),
 o as (select *, cast(sum(length) over (partition by file_no order by record_no) - length as bigint) as start from r)
-select file_no, record_no, page_id, start, length, sha256(payload) as left_sha,
-  case when fault = 7 then null else sha256(left(payload, 20) || '#' || substr(payload, 22)) end as right_sha,
-  case when fault = 7 then 'missing_right' else 'damaged' end as found
-from o where fault in (3, 5, 7)
+select file_no, record_no, page_id, start, length, case when fault = 7 then null when fault = 11 then start + 1 else start end as right_start, sha256(payload) as left_sha,
+  case fault when 7 then null when 11 then sha256(payload) when 13 then sha256(left(payload, length(payload) - 3)) else sha256(left(payload, 20) || '#' || substr(payload, 22)) end as right_sha,
+  case fault when 7 then 'missing_right' when 11 then 'moved' when 13 then 'resized' else 'damaged' end as found
+from o where fault in (3, 5, 7, 11, 13)
 """
 
 

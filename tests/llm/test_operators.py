@@ -462,8 +462,8 @@ def test_fixity(spark):
     assert op9_warc_fixity.audit(a, op9_warc_fixity.digests(whole, a)).count() == 0
     hurt = op9_warc_fixity.digests(whole.where("page_id <> 700").withColumn("payload", F.when(F.col("page_id") == 4200, "x").otherwise(F.col("payload"))), a)
     got = {r.page_id: r.found for r in op9_warc_fixity.audit(a, hurt).collect()}
-    assert got == {700: "missing_right", 4200: "damaged"}
-    assert {r.found for r in op9_warc_fixity.audit(hurt, a).collect()} == {"missing_left", "damaged"}
+    assert got == {700: "missing_right", 4200: "resized"}
+    assert {r.found for r in op9_warc_fixity.audit(hurt, a).collect()} == {"missing_left", "resized"}
     none = op9_warc_fixity.manifest(op9_warc_fixity.records(pages.where("false")))
     assert op9_warc_fixity.audit(none, none).count() == 0
 
@@ -479,13 +479,34 @@ def test_fixity_of_strays_and_repeats(spark):
     assert {r.page_id: r.found for r in got} == {61: "missing_left", 9000: "missing_left"}
     for url in ("http://a", "http://x/7"):
         hurt = whole.withColumn("payload", F.when((F.col("page_id") == 7) & F.contains("payload", F.lit(url + "\r")), "x").otherwise(F.col("payload")))
-        assert {r.page_id: r.found for r in op9_warc_fixity.audit(a, op9_warc_fixity.digests(hurt, a)).collect()} == {7: "damaged"}
+        assert {r.page_id: r.found for r in op9_warc_fixity.audit(a, op9_warc_fixity.digests(hurt, a)).collect()} == {7: "resized"}
+
+
+def test_fixity_of_warc_files(spark, tmp_path):
+    """Two folders of WARC files, each read at its own offsets: an inserted, a moved, a truncated and a damaged record are told apart."""
+    pages = spark.createDataFrame([(i, f"http://x/{i}", ("é\r\n\r\n" if i % 5 else "") + "b" * (i % 30)) for i in range(4000, 4200)], "page_id long, url string, html string")
+    whole = op9_warc_fixity.records(pages)
+    op9_warc_fixity.write_warc(whole, f"{tmp_path}/a")
+    one = op9_warc_fixity.read_warc(spark, f"{tmp_path}/a")
+    assert sorted(map(tuple, one.drop("start").collect())) == sorted(map(tuple, whole.collect()))
+    a, b = op9_warc_fixity.manifest(whole), op9_warc_fixity.digests(one)
+    assert sorted(map(tuple, a.select(*b.columns).collect())) == sorted(map(tuple, b.collect())) and op9_warc_fixity.audit(a, b).count() == 0
+    stray = op9_warc_fixity.records(spark.createDataFrame([(4300, "s", "t")], "page_id long, url string, html string")).withColumn("start", F.lit(10**6))
+    hurt = one.where("page_id <> 4005").unionByName(stray, allowMissingColumns=True).withColumns({
+        "start": F.when(F.col("page_id") == 4010, F.col("start") - 1).otherwise(F.col("start")),
+        "payload": F.when(F.col("page_id") == 4020, F.expr("left(payload, 60)")).when(F.col("page_id") == 4150, F.expr("concat('X', substring(payload, 2))")).otherwise(F.col("payload")),
+    })
+    got = {r.page_id: r.found for r in op9_warc_fixity.audit(b, op9_warc_fixity.digests(hurt)).collect()}
+    assert got == {4005: "missing_right", 4010: "moved", 4020: "resized", 4150: "damaged", 4300: "missing_left"}
 
 
 def test_pages_without_or_below_zero(spark):
-    pages = spark.createDataFrame([(-1, "a", "x"), (-4097, "b", "y"), (3, "c", "z"), (None, "d", "w")], "page_id long, url string, html string")
-    a = op9_warc_fixity.manifest(op9_warc_fixity.records(pages))
-    assert {(r.file_no, r.record_no) for r in a.collect()} == {(-1, 4095), (-2, 4095), (0, 3)}
+    far = 2**60 + 5
+    pages = spark.createDataFrame([(-1, "a", "x"), (-4097, "b", "y"), (3, "c", "z"), (None, "d", "w"), (far, "e", "v")], "page_id long, url string, html string")
+    whole = op9_warc_fixity.records(pages)
+    a = op9_warc_fixity.manifest(whole)
+    assert {(r.file_no, r.record_no) for r in a.collect()} == {(-1, 4095), (-2, 4095), (0, 3), (2**48, 5)}
+    assert op9_warc_fixity.audit(a, op9_warc_fixity.digests(op9_warc_fixity.decayed(whole), a)).count() <= 4
     assert {r.page_id for r in op9_warc_fixity.audit(a, a.where("page_id <> -1")).collect()} == {-1}
 
 
