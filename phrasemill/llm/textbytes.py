@@ -74,6 +74,16 @@ def long_cuts(data: np.ndarray, step: int | None = None) -> np.ndarray:
     return np.array([*at, len(data)])
 
 
+def slice_parts(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The slice as it is, or a very long row in parts (bytes and offsets) that cut no word."""
+    if len(offsets) != 2 or len(data) <= LONG:
+        yield data, offsets
+        return
+    at = long_cuts(data)
+    for a, b in zip(at[:-1], at[1:]):
+        yield data[a:b], np.array([0, b - a])
+
+
 def words(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = SEPARATOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and row of each longest stretch without separators (by default [^\\x20\\x09-\\x0D]+)."""
     if not len(data):

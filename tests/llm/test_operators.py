@@ -187,8 +187,8 @@ def test_classifiers_take_odd_rows(spark, docs, empty):
         assert run(empty, labels).count() == 0
 
 
-def test_counterfactual_penalty():
-    """A group's name that stands mostly in toxic sentences loses its weight; the insult keeps its own."""
+def group_texts():
+    """600 texts of two classes; an insult stands in toxic ones only, a group's name mostly."""
     r = random.Random(3)
     texts, y = [], []
     for i in range(600):
@@ -198,15 +198,58 @@ def test_counterfactual_penalty():
             w[2] = r.choice(["scumword", "vileword"]) if i % 6 else r.choice(WORDS)
         if r.random() < (0.8 if toxic else 0.1):
             w[5] = "muslim"
-        texts.append(" ".join(w)), y.append(float(toxic))
-    job = op2_toxicity._features(op2_toxicity.IDENTITY_TERMS)
-    batch = pa.RecordBatch.from_arrays([pa.array(range(600)), pa.array([int(v) for v in y], pa.int32()), pa.array(texts)], ["doc_id", "y", "text"])
-    rows = [x for b in job([batch]) for x in b.to_pylist()]
-    own, swapped = ([None if x[c] is None else np.frombuffer(x[c], np.int32) for x in rows] for c in ("own", "swapped"))
+        texts.append(" ".join(w)), y.append(int(toxic))
+    return texts, y
+
+
+def test_counterfactual_penalty(spark):
+    """A group's name that stands mostly in toxic sentences loses its weight; the insult keeps its own."""
+    texts, y = group_texts()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame(list(enumerate(y)), "doc_id long, toxic int")
     code = op2_toxicity.word_codes(np.frombuffer(b"muslim scumword", np.uint8), np.array([0, 15]))[0]
-    weight = {p: op2_toxicity.train(own, swapped, np.array(y), p).weight for p in (0.0, 20.0)}
-    total = lambda w, k: w[code[k][code[k] >= 0]].sum()
-    assert total(weight[20.0], 0) < 0.5 * total(weight[0.0], 0) and total(weight[20.0], 1) > total(weight[20.0], 0)
+    model = {p: op2_toxicity.fit(docs, labels, penalty=p) for p in (0.0, 40.0)}
+    total = lambda p, k: model[p].weight[code[k][code[k] >= 0]].sum()
+    assert total(40.0, 0) < 0.5 * total(0.0, 0) and total(40.0, 1) > total(40.0, 0)
+    assert model[40.0].swapped_rows == sum("muslim" in t.split() for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 5)
+
+
+def test_penalty_gradient_by_differences():
+    """The gradient of the whole loss is that of a plain version of it."""
+    r = np.random.default_rng(2)
+    own = [np.unique(r.integers(0, 12, 5)) for _ in range(9)]
+    swaps = [[(r.choice(o, 2, replace=False), np.setdiff1d(r.integers(0, 12, 3), o)) for _ in range(r.integers(0, 3))] for o in own]
+    y, w, b = r.integers(0, 2, 9).astype(float), r.normal(size=12), 0.3
+    sigmoid = lambda z: 1 / (1 + np.exp(-z))
+
+    def plain(w, b):
+        total = op2_toxicity.RIDGE / 2 * (w**2).sum()
+        for o, pairs, v in zip(own, swaps, y):
+            p = sigmoid(b + w[o].sum())
+            total -= (v * np.log(p) + (1 - v) * np.log(1 - p)) / 9
+            for lost, gained in pairs:
+                other = np.concatenate([np.setdiff1d(o, lost), gained])
+                total += 3.0 * (p - sigmoid(b + w[other].sum())) ** 2 / 9
+        return total
+
+    value, g, gb = op2_toxicity.Loss(own, swaps, y, 12, 3.0).gradient(w, b)
+    step = 1e-6
+    numeric = [(plain(w + step * np.eye(12)[j], b) - plain(w - step * np.eye(12)[j], b)) / (2 * step) for j in range(12)]
+    assert np.isclose(value, plain(w, b)) and np.allclose(g, numeric, atol=1e-7) and np.isclose(gb, (plain(w, b + step) - plain(w, b - step)) / (2 * step), atol=1e-7)
+
+
+def test_counterfactuals_act_on_the_given_documents(spark):
+    """Terms are mined, the sample's rows are swapped, and the scores of held-out rows change less than without the penalty."""
+    d = "/root/testdata/sf0.1"
+    docs, labels = table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "labels")
+    apart = docs.where(op2_toxicity.held_out(*op2_toxicity.FOLD))
+    change = {}
+    for penalty in (0.0, op2_toxicity.PENALTY):
+        model = op2_toxicity.fit(docs, labels, penalty=penalty)
+        mined = model.kinds[len(op2_toxicity.IDENTITY_TERMS) :]
+        assert len(mined) > 2 and model.swapped_rows > 1000
+        change[penalty] = op2_toxicity.score_changes(apart, model).agg(F.avg("change"), F.count("*")).first()
+    assert change[op2_toxicity.PENALTY][1] > 500 and change[op2_toxicity.PENALTY][0] < 0.8 * change[0.0][0]
 
 
 def test_trees_learn_an_interaction():
