@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phrasemill.llm.folds import held_out, training_rows
-from phrasemill.llm.textbytes import LOWER, prefix_sums, slices, span_hash, words
+from phrasemill.llm.textbytes import hashed_words, slices
 
 FOLD = (3, 1)
 TRAIN_ROWS, TREES, DEPTH, BINS, RATE, RIDGE, LEAST_WEIGHT = 20_000, 60, 4, 64, 0.2, 1.0, 1.0
@@ -33,52 +33,59 @@ _LINE = np.zeros(256, bool)
 _LINE[10] = True
 
 
+def _histogram(data: np.ndarray, offsets: np.ndarray, step: int = 1 << 20) -> np.ndarray:
+    """How often each byte value stands in each row."""
+    n, out = len(offsets) - 1, np.zeros((len(offsets) - 1) * 256, np.int64)
+    for lo in range(0, len(data), step):
+        row = np.searchsorted(offsets, np.arange(lo, min(lo + step, len(data))), "right") - 1
+        out += np.bincount(row * 256 + data[lo : lo + step], minlength=n * 256)
+    return out.reshape(n, 256)
+
+
+def _distinct(row: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many different hashes each row has, and how often its most frequent one stands."""
+    order = np.lexsort((h, row))
+    row, h = row[order], h[order]
+    first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (row[1:] != row[:-1])])) if len(h) else np.zeros(0, np.int64)
+    top = np.zeros(n)
+    np.maximum.at(top, row[first], np.diff(np.append(first, len(h))))
+    return np.bincount(row[first], minlength=n), top
+
+
 def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """One row of STATISTICS for each text."""
     n = len(offsets) - 1
     size = np.diff(offsets)
-    row = np.repeat(np.arange(n), size)
-    per = lambda x, total: np.bincount(x, minlength=n)[:n] / np.maximum(total, 1)
-    kinds = np.bincount(row * 8 + _CLASS[data], minlength=8 * n).reshape(n, 8) / np.maximum(size, 1)[:, None]
-    start, end, of = words(data, offsets)
+    seen = _histogram(data, offsets)
+    kinds = np.stack([seen[:, _CLASS == k].sum(1) for k in range(8)], 1) / np.maximum(size, 1)[:, None]
+    low = seen.copy()
+    low[:, 97:123] += low[:, 65:91]
+    low[:, 65:91] = 0
+    share = low / np.maximum(size, 1)[:, None]
+    entropy = -(share * np.log2(np.where(share > 0, share, 1))).sum(1)
+    start, end, of, h = hashed_words(data, offsets)
     count = np.bincount(of, minlength=n)
+    per = lambda x, total: x / np.maximum(total, 1)
     lens = end - start
     longest = np.zeros(n)
     np.maximum.at(longest, of, lens)
-    low = LOWER[data]
-    sums = prefix_sums(low)
-    h = span_hash(sums, start, end)
-    same = np.zeros(len(h), bool)
-    same[1:] = (h[1:] == h[:-1]) & (of[1:] == of[:-1])
-    with np.errstate(over="ignore"):
-        pair = h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:] if len(h) > 1 else h[:0]
-    at = np.searchsorted(of, np.arange(n + 1))
-    line_start, line_end, line_of = words(data, offsets, _LINE)
-    lines = span_hash(sums, line_start, line_end)
-    line_at = np.searchsorted(line_of, np.arange(n + 1))
-    distinct, top, pairs, line_share, entropy = np.ones(n), np.zeros(n), np.ones(n), np.ones(n), np.zeros(n)
-    for r in range(n):
-        a, b = at[r], at[r + 1]
-        if b > a:
-            own = np.sort(h[a:b])
-            edge = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1], [True]]))
-            distinct[r], top[r] = (len(edge) - 1) / (b - a), np.diff(edge).max() / (b - a)
-        if b > a + 1:
-            own = np.sort(pair[a : b - 1])
-            pairs[r] = (1 + (own[1:] != own[:-1]).sum()) / len(own)
-        a, b = line_at[r], line_at[r + 1]
-        if b > a + 1:
-            line_share[r] = len(np.unique(lines[a:b])) / (b - a)
-        share = np.bincount(low[offsets[r] : offsets[r + 1]])
-        share = share[share > 0] / max(1, size[r])
-        entropy[r] = -(share * np.log2(share)).sum()
-    last = _CLASS[data[end - 1]] if len(end) else end
-    capital = (_CLASS[data[start]] == 0) & (last != 1) & (lens > 1) if len(start) else np.zeros(0, bool)
+    same, pair = of[1:] == of[:-1], np.zeros(0, np.uint64)
+    if len(h) > 1:
+        with np.errstate(over="ignore"):
+            pair = h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]
+    again = np.bincount(of[1:][same & (h[1:] == h[:-1])], minlength=n)
+    different, top = _distinct(of, h, n)
+    pairs, _ = _distinct(of[1:][same], pair[same], n)
+    _, _, line_of, lines = hashed_words(data, offsets, _LINE)
+    line_count, (line_kinds, _) = np.bincount(line_of, minlength=n), _distinct(line_of, lines, n)
+    last = data[end - 1] if len(end) else np.zeros(0, np.uint8)
+    symbol = np.bincount(of[(_CLASS[last] == 4) | (last == 33)], minlength=n)
+    capital = np.bincount(of[(_CLASS[data[start]] == 0) & (_CLASS[last] != 1) & (lens > 1)] if len(start) else of, minlength=n)
     return np.stack(
         [
-            np.log1p(size), np.log1p(count), (size - kinds[:, 7] * size) / np.maximum(count, 1), longest, *kinds[:, :8].T,
-            per(row[data == 10], count), distinct, top, per(of[same], count), pairs, line_share, per(row[(data == 46) | (data == 33) | (data == 63)], count),
-            per(of[(last == 4) | (data[end - 1] == 33)] if len(end) else of, count), per(of[capital], count), entropy,
+            np.log1p(size), np.log1p(count), (size - kinds[:, 7] * size) / np.maximum(count, 1), longest, *kinds.T, per(seen[:, 10], count),
+            np.where(count > 0, per(different, count), 1), per(top, count), per(again, count), np.where(count > 1, per(pairs, count - 1), 1),
+            np.where(line_count > 1, per(line_kinds, line_count), 1), per(seen[:, 46] + seen[:, 33] + seen[:, 63], count), per(symbol, count), per(capital, count), entropy,
         ],
         1,
     )
@@ -175,8 +182,9 @@ def score(docs: DataFrame, model: Trees) -> DataFrame:
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """-> doc_id, held_out, score, predicted: one row per document.
 
-    Null and empty texts have all-zero statistics and are scored by them. Without labels of both classes the score is the smoothed
-    share of label 1. Other columns of either table are ignored; of repeated labels of an id the larger counts.
+    Null and empty texts have the statistics of no words and are scored by them. Without labels of both classes the score is the smoothed
+    share of label 1. Rows that repeat an id are scored each by its own text; a row without an id is scored, is no labelled row,
+    and is not held out. Very long texts are read in parts. Other columns of either table are ignored; of repeated labels of an id the larger counts.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return score(docs, fit(docs, labels)).select("doc_id", held_out(*FOLD).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -19,9 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from phrasemill.llm.pretokens import Distinct, code_points, gather
-from phrasemill.llm.textbytes import slices
+from phrasemill.llm.textbytes import slice_parts, slices
 
 SPACE = "▁"
+#: Remembered verdicts on pairs of tokens, forgotten when there are more.
+STABLE_MOST = 1_000_000
 
 
 class PrefixTable:
@@ -72,6 +74,8 @@ class PrefixTable:
             return self.stable[-1, token]
         found = self.stable.get((before, token))
         if found is None:
+            if len(self.stable) >= STABLE_MOST:
+                self.stable.clear()
             a, b = self.piece[before], self.piece[token]
             found = self.stable[before, token] = self.fits(-1, token) and self.merged(a + b) == [a, b]
         return found
@@ -140,11 +144,13 @@ def prefix_table(path: str) -> tuple[PrefixTable, Distinct]:
     return own, Distinct(SegmentStore(own))
 
 
-def marked(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Code points with the mark for each space and one more in front of each row that isn't empty."""
+def marked(data: np.ndarray, offsets: np.ndarray, begins: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Code points with the mark for each space and, if texts begin here, one more in front of each row that isn't empty."""
     cp, at = code_points(data, offsets)
-    full = np.flatnonzero(np.diff(at) > 0)
-    cp = np.insert(np.where(cp == 32, np.uint32(ord(SPACE)), cp), at[full], np.uint32(ord(SPACE)))
+    cp = np.where(cp == 32, np.uint32(ord(SPACE)), cp)
+    if not begins:
+        return cp, at
+    cp = np.insert(cp, at[np.flatnonzero(np.diff(at) > 0)], np.uint32(ord(SPACE)))
     return cp, at + np.concatenate([[0], np.cumsum(np.diff(at) > 0)])
 
 
@@ -153,18 +159,21 @@ def _encoded(path: str):
         table, distinct = prefix_table(path)
         for batch in batches:
             for lo, hi, data, offsets in slices(batch.column("text")):
-                cp, at = marked(data, offsets)
-                starts = table.cut(cp, at)
-                slots = distinct(cp, starts) if len(cp) else np.zeros(0, np.int64)
-                ids, texts = distinct.store.ids, distinct.store.text
-                rows = np.searchsorted(starts, at)
-                n = np.diff(np.concatenate([[0], np.cumsum(distinct.store.size[slots])])[rows])
-                id_hash, text_hash, slots = [], [], slots.tolist()
-                for a, b in zip(rows[:-1].tolist(), rows[1:].tolist()):
-                    own = slots[a:b]
-                    id_hash.append(hashlib.sha256(b",".join([ids[i] for i in own])).hexdigest())
-                    text_hash.append(hashlib.sha256(b"".join([texts[i] for i in own])[1:]).hexdigest())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(id_hash), pa.array(text_hash)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                n, id_hash, text_hash = np.zeros(hi - lo, np.int64), [hashlib.sha256() for _ in range(hi - lo)], [hashlib.sha256() for _ in range(hi - lo)]
+                for turn, (part, own_at) in enumerate(slice_parts(data, offsets)):
+                    cp, at = marked(part, own_at, turn == 0)
+                    starts = table.cut(cp, at)
+                    slots = distinct(cp, starts) if len(cp) else np.zeros(0, np.int64)
+                    ids, texts = distinct.store.ids, distinct.store.text
+                    rows = np.searchsorted(starts, at)
+                    n += np.diff(np.concatenate([[0], np.cumsum(distinct.store.size[slots])])[rows])
+                    slots = slots.tolist()
+                    for r, (a, b) in enumerate(zip(rows[:-1].tolist(), rows[1:].tolist())):
+                        own = slots[a:b]
+                        id_hash[r].update(b"," * (turn > 0) + b",".join([ids[i] for i in own]))
+                        text_hash[r].update(b"".join([texts[i] for i in own])[turn == 0 :])
+                digests = [pa.array([x.hexdigest() for x in h]) for h in (id_hash, text_hash)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(n, pa.int64()), *digests], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return job
 
@@ -176,18 +185,22 @@ def encode_table(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
         table, _ = prefix_table(model_path)
         for batch in batches:
             for lo, hi, data, offsets in slices(batch.column("text")):
-                cp, at = marked(data, offsets)
-                starts = table.cut(cp, at)
-                rows = np.searchsorted(starts, at)
-                ids = [[i for s, e in zip(starts[a:b], starts[a + 1 : b + 1]) for i in table.encode(cp[s:e].tobytes().decode("utf-32-le"))] for a, b in zip(rows[:-1], rows[1:])]
+                ids: list[list[int]] = [[] for _ in range(hi - lo)]
+                for turn, (part, own_at) in enumerate(slice_parts(data, offsets)):
+                    cp, at = marked(part, own_at, turn == 0)
+                    starts = table.cut(cp, at)
+                    rows = np.searchsorted(starts, at)
+                    for r, (a, b) in enumerate(zip(rows[:-1], rows[1:])):
+                        ids[r] += [i for s, e in zip(starts[a:b], starts[a + 1 : b + 1]) for i in table.encode(cp[s:e].tobytes().decode("utf-32-le"))]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(ids, pa.list_(pa.int32())), pa.array([table.decode(i)[1:].decode() for i in ids])], ["doc_id", "ids", "decoded"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(job, "doc_id long, ids array<int>, decoded string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(job, "doc_id long, ids array<int>, decoded string")
 
 
 def sentencepiece_digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """-> doc_id, n_tokens, ids_sha256, decoded_sha256, one row per input row, in one narrow pass without a shuffle.
 
-    Null and empty texts have no ids. Repeated rows are encoded alike. Other columns are ignored.
+    Null and empty texts have no ids. Repeated rows are encoded alike, ids are passed on as they are, null too. Very long texts
+    are cut before single spaces, where no piece spans. Other columns are ignored.
     """
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_encoded(model_path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

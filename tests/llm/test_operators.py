@@ -259,6 +259,91 @@ def test_trees_learn_an_interaction():
     assert np.mean((model.logit(x[2000:]) > 0) == y[2000:]) > 0.95
 
 
+def plain_walk(model, row):
+    """The sum of the leaves that a row falls into, one node at a time."""
+    total = model.base
+    for feature, threshold, leaf in zip(model.feature, model.threshold, model.leaf):
+        node = 0
+        while node < len(feature):
+            node = 2 * node + (2 if row[feature[node]] > threshold[node] else 1)
+        total += leaf[node - len(feature)]
+    return total
+
+
+def test_trees_against_plain_versions():
+    """Traversal against a walk of single rows, and the first split of the first tree against a search over all thresholds."""
+    x = np.random.default_rng(1).random((400, 3)).round(1)
+    y = (x[:, 1] + 0.3 * x[:, 2] > 0.7).astype(float)
+    model = op4_quality.grow(x, y)
+    assert np.allclose(model.logit(x), [plain_walk(model, row) for row in x])
+    share = (y.sum() + 1) / (len(y) + 2)
+    g, h = share - y, np.full(len(y), share * (1 - share))
+    gain = {}
+    for j in range(3):
+        for cut in np.unique(x[:, j]):
+            left = x[:, j] <= cut
+            if h[left].sum() >= 1 and h[~left].sum() >= 1:
+                gain[j, cut] = sum(g[s].sum() ** 2 / (h[s].sum() + op4_quality.RIDGE) for s in (left, ~left))
+    best = max(gain.values())
+    assert np.isclose(gain[model.feature[0][0], model.threshold[0][0]], best)
+
+
+def test_statistics_against_plain_ones():
+    texts = [t or "" for t in TEXTS] + ["a a b\nx y!\nx y!\n", "ÀB ab CD# 12|3"]
+    for _, _, data, offsets in slices(pa.array(texts)):
+        x = op4_quality.statistics(data, offsets)
+    column = lambda name, i: x[i, op4_quality.STATISTICS.index(name)]
+    for i, t in enumerate(texts):
+        w = re.findall("[^\x20\x09-\x0d]+", t)
+        raw = t.encode()
+        ascii_low = bytes(c + 32 if 65 <= c <= 90 else c for c in raw)
+        low = [re.sub("[A-Z]", lambda m: m[0].lower(), v) for v in w]
+        lines = [v for v in ascii_low.split(b"\n") if v]
+        share = np.array([ascii_low.count(bytes([c])) for c in set(ascii_low)]) / max(1, len(raw))
+        want = {
+            "log_words": np.log1p(len(w)), "longest_word": max([len(v.encode()) for v in w], default=0), "distinct_words": len(set(low)) / len(w) if w else 1, "top_word": max([low.count(v) for v in set(low)], default=0) / max(1, len(w)),
+            "same_as_before": sum(a == b for a, b in zip(low, low[1:])) / max(1, len(w)), "distinct_pairs": len(set(zip(low, low[1:]))) / (len(w) - 1) if len(w) > 1 else 1, "distinct_lines": len(set(lines)) / len(lines) if len(lines) > 1 else 1,
+            "entropy": -(share * np.log2(share)).sum() if raw else 0, "line_ends": raw.count(b"\n") / max(1, len(w)), "digit": sum(48 <= c <= 57 for c in raw) / max(1, len(raw)), "symbol_endings": sum(v.encode()[-1] in b"#$%&*+/<=>@[\\]^_`{}~!" for v in w) / max(1, len(w)),
+        }
+        assert all(np.isclose(column(k, i), v) for k, v in want.items()), (t, {k: (column(k, i), v) for k, v in want.items()})
+
+
+def test_very_long_texts_in_every_text_operator(spark, monkeypatch):
+    """A text of 20 MB: bounded memory for each of its bytes in the tasks, and the results of the whole text."""
+    import tracemalloc
+
+    import sentencepiece
+
+    piece = " ".join(RNG.choice(WORDS) for _ in range(2000)) + ". It's 1,000 é 日本\n"
+    text = (piece + "x ") * (20_000_000 // len(piece))
+    column, path = pa.array([text]), tokenizer_file(BPE)
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([1], pa.int32()), column], ["doc_id", "y", "text"])
+    few = {c: batch.column(c) for c in ("doc_id", "text")}
+    short = pa.RecordBatch.from_arrays(list(few.values()), list(few))
+    none = (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+    shared = lambda x: type("Shared", (), {"value": x})
+    model = op2_toxicity.Model(np.ones(1 << op2_toxicity.BITS, np.float32), 0.0)
+    tree = op4_quality.Trees(np.zeros((0, 15), int), np.zeros((0, 15)), np.zeros((0, 16)), 0.0)
+    jobs = {
+        "op2": lambda: op2_toxicity._scores(shared(model))([short]), "op4": lambda: op4_quality._scores(shared(tree))([short]), "op5": lambda: op5_token_counts._trees(path)([short]), "op7": lambda: op7_best_fit_packing._pieces(path, 2048)([short]),
+        "op8": lambda: op8_sentencepiece._encoded(tokenizer_file(PIECES))([short]), "op10": lambda: op10_ngram_join._sets(5, 80, shared(none), False)([short]),
+    }
+    rows = {}
+    for name, job in jobs.items():
+        tracemalloc.start()
+        rows[name] = [r for b in job() for r in b.to_pylist()]
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 24 * len(text) + (200 << 20), (name, peak / len(text))
+    sp = sentencepiece.SentencePieceProcessor(model_file=tokenizer_file(PIECES))
+    ids = sp.encode(text)
+    assert rows["op8"][0]["n_tokens"] == len(ids) and rows["op8"][0]["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+    assert rows["op8"][0]["decoded_sha256"] == hashlib.sha256(sp.decode(ids).encode()).hexdigest()
+    own = np.append(np.array(tokenizer(path).encode(text, add_special_tokens=False).ids), 0).astype("<u4")
+    assert sum(r["length"] for r in rows["op7"]) == len(own) and all(zlib.crc32(own[r["start"] : r["start"] + r["length"]].tobytes()) == r["ids_crc32"] for r in rows["op7"])
+    assert rows["op5"][0]["n_tokens"] == len(own) - 1 and rows["op10"][0]["n"] == len(shingle_sets([text])[0])
+
+
 def test_token_counts(spark, docs, empty):
     path = tokenizer_file(BPE)
     got = by_id(op5_token_counts.token_counts(docs, path))
