@@ -15,13 +15,24 @@ from phrasemill.llm.shared import materialise, ship, table, tokenizer_file
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-#: Ids up to so many are sent to all tasks instead of dealing out all texts by id.
-BROADCAST_IDS = 1_000_000
+#: Rows up to so many are sent to all tasks instead of dealing out all texts by row.
+BROADCAST_ROWS = 1_000_000
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """The documents with a number for each row, written with them: rows may repeat an id or lack one, decisions are about rows."""
+    return materialise(docs.select(COLUMNS).withColumn("row", F.monotonically_increasing_id()), "keyed")
 
 
 def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    dropped = materialise(dropped.select("doc_id"), "dropped")
-    return docs.join(F.broadcast(dropped) if dropped.count() <= BROADCAST_IDS else dropped, "doc_id", "left_anti")
+    """The documents but for the dropped rows, without their numbers."""
+    dropped = materialise(dropped.select("row"), "dropped")
+    return docs.join(F.broadcast(dropped) if dropped.count() <= BROADCAST_ROWS else dropped, "row", "left_anti").select(COLUMNS)
+
+
+def rank():
+    """Which row of a group stays: the smallest id, rows without an id last, then the first row."""
+    return F.struct(F.col("doc_id").isNull().alias("lacks"), F.col("doc_id").alias("id"), F.col("row").alias("row"))
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,19 +43,28 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the one with the smallest id."""
+    """Of equal texts one row: that with the smallest id, of rows that repeat it the first."""
     ship(spark)
-    return without(docs.select(COLUMNS), exact_dedup(docs).where("not kept"))
+    docs = keyed(docs)
+    found = exact_dedup(docs.select(rank().alias("rank"), "text"), "rank")
+    return without(docs, found.where("not kept").select("doc_id.row"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id."""
+    """Of each group of near copies one row: that with the smallest id, of rows that repeat it the first."""
     ship(spark)
-    return without(docs.select(COLUMNS), ngram_join(docs).where("doc_id <> component_id"))
+    docs = keyed(docs)
+    found = ngram_join(docs.select("row", "text"), "row")
+    groups = materialise(found.select(F.col("doc_id").alias("row"), F.col("component_id").alias("component")), "groups")
+    several = groups.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("component")
+    member = groups.join(several, "component").join(docs.select("row", "doc_id"), "row")
+    member = materialise(member.select("component", "row", rank().alias("rank")), "group-rows")
+    first = member.groupBy("component").agg(F.min("rank").alias("first"))
+    return without(docs, member.join(first, "component").where(F.col("rank") != F.col("first")))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, personal data and secrets replaced by their kind."""
+    """Every document, personal data and secrets replaced by their kind; null texts become empty."""
     ship(spark)
     return redact(docs.select(COLUMNS)).withColumn("n_chars", F.length("text").cast("long"))
 
