@@ -428,12 +428,13 @@ def _grid(held: DataFrame, wide: DataFrame, share: int) -> DataFrame:
 
 
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, share: int = SHARE) -> DataFrame:
-    """-> doc_id, n_shingles, component_id: one row per input row (ids are taken as unique).
+    """-> doc_id, n_shingles, component_id: one row per input row.
 
     A-Z are lower-cased and words are [^\\x20\\x09-\\x0D]+. A set holds the distinct shingles of ``width`` words, or the
     whole sequence where there are fewer. Two documents link when 100 * intersection >= ``share`` * union. Null,
     empty and blank texts have the empty set, 0 shingles, and link with nothing. Rows without an id link with nothing
-    and have no component. An empty table gives an empty result; other columns are ignored.
+    and have no component. Rows that repeat an id are one node of the links: each has its own set, and all of them the component.
+    An empty table gives an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))

@@ -180,8 +180,8 @@ def _joined(kinds) -> Column:
 def pii_spans(docs: DataFrame) -> DataFrame:
     """-> doc_id, n_email, n_ip, n_card, n_phone, n_secret, base_sha256, spans: one row per input row.
 
-    Null counts as empty; empty texts have no spans. Repeated rows give repeated results. An empty table gives an empty
-    result; other columns are ignored.
+    Null counts as empty; empty texts have no spans. Ids are passed on as they are: rows without one or with one that repeats have
+    results of their own. An empty table gives an empty result; other columns are ignored.
     """
     n = {f"n_{k}": F.size(k).cast("long") for k in (*KINDS, "secret")}
     return find(docs).select("doc_id", *(v.alias(k) for k, v in n.items()), F.sha2(_joined(KINDS), 256).alias("base_sha256"), _joined((*KINDS, "secret")).alias("spans"))

@@ -113,8 +113,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
 def best_fit_packing(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", room: int = ROOM) -> DataFrame:
     """-> doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row per piece.
 
-    Null and empty texts are the single token 0. Repeated ids give repeated rows. An empty table gives an empty result;
-    other columns are ignored.
+    Null and empty texts are the single token 0. Ids are passed on: rows without one or with one that repeats are packed as rows of
+    their own. Very long texts are encoded in parts. An empty table gives an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
     all_pieces = materialise(pieces(docs, tokenizer_path, id_col, text_col, room), "pieces")

@@ -651,6 +651,27 @@ def test_rows_without_an_id(spark, docs):
     assert sorted((r.vec_id or 0, r.n_links, r.component_id, r.kept) for r in op6_embedding_dedup.embedding_dedup(vectors).collect()) == [(0, 0, None, True)] * 2 + [(1, 1, 1, True), (2, 1, 1, False)]
 
 
+def test_null_and_repeated_ids(spark):
+    """Rows without an id or with the id of another row have results of their own wherever texts are worked on one by one."""
+    texts = [(None, "mail a@b.cd"), (5, "one two"), (5, "three idiot"), (None, "x")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(5, 1, 1), (None, 0, 0)], "doc_id long, quality int, toxic int")
+    path = tokenizer_file(BPE)
+    jobs = {
+        "op2": lambda d: op2_toxicity.toxicity(d, labels), "op3": op3_pii.pii_spans, "op4": lambda d: op4_quality.quality(d, labels), "op5": lambda d: op5_token_counts.token_counts(d, path),
+        "op7": lambda d: op7_best_fit_packing.best_fit_packing(d, path), "op8": lambda d: op8_sentencepiece.sentencepiece_digests(d, tokenizer_file(PIECES)),
+    }
+    for name, job in jobs.items():
+        rows = job(docs).collect()
+        assert sorted(str(r.doc_id) for r in rows) == ["5", "5", "None", "None"], name
+        if name in ("op2", "op4"):
+            assert all(r.held_out is False for r in rows if r.doc_id is None)
+    few = {r.n_email for r in op3_pii.pii_spans(docs.where("doc_id is null")).collect()}
+    assert few == {0, 1}
+    rows = op10_ngram_join.ngram_join(docs.unionByName(docs.where("doc_id = 5"))).collect()
+    assert sorted((r.doc_id or 0, r.n_shingles, r.component_id) for r in rows) == [(0, 1, None), (0, 1, None), *[(5, 1, 5)] * 4]
+
+
 def test_forest_of_a_dense_cell(spark):
     x = np.random.default_rng(5).normal(size=(40, 8)).repeat(30, 0) + np.random.default_rng(6).normal(size=(1200, 8)) * 0.02
     rows = by_id(op6_embedding_dedup.embedding_dedup(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")), "vec_id")

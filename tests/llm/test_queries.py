@@ -52,3 +52,18 @@ def test_pipeline_stages(spark, small):
 def test_pipeline_runs(spark, small):
     rows = pipeline.run(spark, small)
     assert rows.count() > 0 and "sequence_id" in rows.columns
+
+
+def test_pipeline_rows_that_repeat_or_lack_ids(spark, small):
+    """Copies are dropped row by row: a repeated id takes no other row with it, and rows without an id are compared too."""
+    words = [f"w{i}" for i in range(60)]
+    near = " ".join([*words[:-1], "other"])
+    texts = [(1, "a b"), (1, "a b"), (1, "c d"), (2, "c  d"), (None, "a b"), (None, "lone"), (None, "lone"), (3, " ".join(words)), (3, near), (0, "z"), (None, near + " "), (4, None), (5, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    stages = dict(pipeline.STAGES)
+    once = stages["exact dedup"](spark, docs.repartition(3), small).collect()
+    assert sorted((r.doc_id if r.doc_id is not None else 99, re.sub(" +", " ", r.text or "")) for r in once) == sorted([(1, "a b"), (1, "c d"), (3, " ".join(words)), (3, near), (0, "z"), (99, "lone"), (4, ""), (99, near + " ")])
+    once = stages["n-gram Jaccard join"](spark, docs.repartition(3), small).collect()
+    assert sorted((r.doc_id if r.doc_id is not None else 99) for r in once) == sorted([1, 1, 99, 3, 0, 4, 5])
+    for name in ("PII", "best-fit packing"):
+        assert stages[name](spark, docs, small).count() == len(texts)
