@@ -14,6 +14,7 @@ TRAILING_OR_COMMA = r"(?U)\s*[/:;,.]\s*$"
 #: list part, article, action, object
 PATTERN = r"(?iudU)^(.+,\s*.+?)\s*,?\s+and\s+(a|an|the)\s+(.+?)\s+of\s+(.+)$"
 PATTERN_THE = r"(?iudU)^(.+,\s*.+?)\s*,?\s+and\s+the\s+(.+?)\s+of\s+(.+)$"
+_CUT = "\x1f"
 TOKEN = r"(?:\p{L}\.)+|[\p{L}\p{N}]+(?:['&-][\p{L}\p{N}]+)*|[^\p{L}\p{N}\s]"
 
 
@@ -88,10 +89,8 @@ def is_noise(c: Column) -> Column:
 
 
 def pattern_parts(c: Column) -> Column:
-    """struct(list_part, action_article, action, object), null where the text doesn't fit."""
-    part = lambda k: F.regexp_extract(c, PATTERN, k)
-    fits = F.struct(part(1).alias("list_part"), F.lower(part(2)).alias("action_article"), strip(part(3)).alias("action"), part(4).alias("object"))
-    return F.when(c.rlike(PATTERN), fits)
+    """array of (list part, article, action, object), of another length where the text doesn't fit; the pattern is matched once."""
+    return F.split(F.when(~F.contains(c, F.lit(_CUT)), F.regexp_replace(c, PATTERN, _CUT.join(("$1", "$2", "$3", "$4")))), _CUT)
 
 
 def strip_ending(c: Column) -> Column:

@@ -68,13 +68,15 @@ def matches(subtitles: DataFrame) -> DataFrame:
     """subtitle_id, title, subtitle, list_items, action_noun, action_article, of_object, of_article of the texts that fit the pattern."""
     named = ~((F.col("source_file") == "openlibrary") & (F.coalesce("isbn", F.lit("")) == "") & (F.coalesce("lccn", F.lit("")) == ""))
     near = subtitles.where(t.may_match(F.col("subtitle"))).where(named & ~t.is_noise(F.col("subtitle")))
-    parts = near.withColumn("p", t.pattern_parts(F.col("subtitle"))).where("p is not null")
-    obj = t.strip_ending(F.col("p.object"))
-    out = parts.select(
-        F.col("id").alias("subtitle_id"), "title", "subtitle", t.list_items(F.col("p.list_part")).alias("list_items"), F.col("p.action").alias("action_noun"),
-        "p.action_article", t.without_article(obj).alias("of_object"), t.leading_article(obj).alias("of_article"),
+    # generators of one element or none: what they hold is computed once, where a filter would compute it again
+    once = lambda df, name, c, test: df.select("*", F.explode(F.filter(F.array(c), test)).alias(name))
+    parts = once(near.select("id", "title", "subtitle"), "p", t.pattern_parts(F.col("subtitle")), lambda x: F.size(x) == 4)
+    parts = once(parts, "list_items", t.list_items(F.col("p")[0]), lambda x: F.size(x) >= 2)
+    parts = parts.withColumn("object", t.strip_ending(F.col("p")[3]))
+    return parts.select(
+        F.col("id").alias("subtitle_id"), "title", "subtitle", "list_items", t.strip(F.col("p")[2]).alias("action_noun"), F.lower(F.col("p")[1]).alias("action_article"),
+        t.without_article(F.col("object")).alias("of_object"), t.leading_article(F.col("object")).alias("of_article"),
     )
-    return out.where(F.size("list_items") >= 2)
 
 
 def lexicon(spark) -> DataFrame:

@@ -79,7 +79,7 @@ def generate(requests: DataFrame, pools: DataFrame, parts: DataFrame, splits: Da
     tones = F.filter(F.transform(F.split(F.coalesce("tone", F.lit("")), ","), lambda x: F.lower(F.trim(x))), lambda x: x != "")
     no_locks = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
     req = _tried(requests).withColumns({"tone": F.array_join(F.array_sort(F.array_distinct(tones)), ","), "locks": F.coalesce("locks", no_locks)})
-    req, params = materialise(req, "requests"), materialise(_tried(params), "params")
+    req, params = materialise(req, "requests"), _tried(params)
     cum = _cumulated(pools, parts, req, params)
     slots = F.explode(F.array(*map(F.lit, lists.SLOTS))).alias("slot")
     draws = req.select("req_id", "seed", "trial", "tone", slots).withColumn("pool", _pool(F.col("slot"), F.col("trial"), F.col("tone")))

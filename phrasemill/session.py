@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_built: dict[tuple[str, str, str], str] = {}
+_built: dict[tuple, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -23,19 +23,41 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is there when the application ends is deleted."""
+    path = f"{shared_dir(spark)}/phrasemill/{name}-{uuid.uuid4().hex}"
+    own = spark._jvm.org.apache.hadoop.fs.Path(path)
+    own.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(own)
+    return path
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder and read back: a plan that is used several times runs once, and a lost executor
     costs a re-read."""
-    path = f"{shared_dir(df.sparkSession)}/phrasemill/{name}-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _version(spark: SparkSession, source: str) -> int:
+    """A hash of the names, sizes and times of the source's files, so that a changed source is built anew."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(source)
+    fs, found = top.getFileSystem(spark._jsc.hadoopConfiguration()), []
+    for table in fs.listStatus(top):
+        found += [(f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in (fs.listStatus(table.getPath()) if table.isDirectory() else [table])]
+    return hash(tuple(sorted(found)))
+
+
 def build_table(spark: SparkSession, source: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """The table ``name`` derived from ``source``, built on first use in this application."""
-    key = (spark.sparkContext.applicationId, source, name)
+    """The table ``name`` derived from ``source``, built on first use in this application and after a change of the source."""
+    key = (spark.sparkContext.applicationId, source, _version(spark, source), name)
     if key not in _built:
-        path = f"{shared_dir(spark)}/phrasemill/{name}-{uuid.uuid4().hex}"
+        path = scratch(spark, name)
         build().write.parquet(path)
         _built[key] = path
     return spark.read.parquet(_built[key])
+
+
+def forget_tables() -> None:
+    """The next use of each table builds it anew."""
+    _built.clear()
