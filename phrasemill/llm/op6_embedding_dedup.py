@@ -1,10 +1,10 @@
 """Embedding near-dedup: spherical k-means cells, blocked cosine products inside them, one vector of a group kept.
 
 Equal vectors are one row with a count before anything else. Centroids are fitted on a bounded sample by Lloyd steps
-on the sphere. A vector has a home cell, and is a guest of each further cell from whose bisecting plane it lies at most d / 2
+on the sphere, one cell for about ``CELL_ROWS`` vectors up to ``MOST_CELLS``. A vector has a home cell, and is a guest of each further cell from whose bisecting plane it lies at most d / 2
 away, d = sqrt(2 - 2 t): two vectors on either side of a plane and at most d apart can't both be farther from it, so every
 pair at the threshold meets in the home of one of them, whatever the data. It is counted where the vector nearer to the plane is
-the guest. Rows travel packed, one packet for each batch and cell. Cells hold about ``CELL_ROWS`` rows; those of more
+the guest. Rows travel packed, one packet for each batch and cell. Cells of more
 than ``BLOCK_BYTES`` are compared block by block. Products are taken in single precision with a slack and those near the threshold again in double.
 Tasks return sums of links per vector and a forest of links, never the pairs.
 """
@@ -24,7 +24,7 @@ from phrasemill.llm.components import components
 from phrasemill.llm.op10_ngram_join import Forest
 from phrasemill.llm.shared import materialise
 
-THRESHOLD, CELL_ROWS, BLOCK_BYTES, SAMPLE_ROWS, MOST_CELLS, STEPS, ROUNDING, SLACK, PACKET_BYTES = 0.9, 1500, 12 << 20, 20_000, 4096, 8, 1e-9, 1e-3, 1 << 16
+THRESHOLD, CELL_ROWS, BLOCK_BYTES, SAMPLE_ROWS, MOST_CELLS, STEPS, ROUNDING, SLACK, PACKET_BYTES, SAMPLE_BYTES = 0.9, 1500, 12 << 20, 20_000, 16_384, 8, 1e-9, 1e-3, 1 << 16, 128 << 20
 PACKET = "ids binary, copies binary, homes binary, v binary"
 _COLUMNS = ["ids", "copies", "homes", "v"]
 
@@ -92,8 +92,9 @@ def _place(shared, margin: float, kind: str):
             raw = np.stack([np.frombuffer(v, kind) for v in b.column("v").to_pylist()])
             ids, copies = b.column("vec_id").to_numpy(zero_copy_only=False), b.column("copies").to_numpy(zero_copy_only=False)
             homes, rows, cells = [], [], []
-            for lo in range(0, len(raw), 1024):
-                home, placed = guests(_unit(raw[lo : lo + 1024].astype(np.float64)), c, margin)
+            step = max(16, (1 << 22) // len(c))  # distances to all centroids of so many rows at a time: 32 MB
+            for lo in range(0, len(raw), step):
+                home, placed = guests(_unit(raw[lo : lo + step].astype(np.float64)), c, margin)
                 row, cell = np.nonzero(placed)
                 homes.append(home), rows.append(row + lo), cells.append(cell)
             home, row, cell = np.concatenate(homes), np.concatenate(rows), np.concatenate(cells)
@@ -178,9 +179,11 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     most = own.groupBy(F.octet_length("v").alias("size")).count().orderBy(F.desc("count"), F.desc("size")).first()
     if most is not None:
         n, dim, kept = most["count"], most["size"] // np.dtype(kind).itemsize, own.where(F.octet_length("v") == most["size"])
-        sample = kept.orderBy(F.xxhash64("v"), "vec_id").limit(SAMPLE_ROWS).select("v").toPandas()["v"]
+        k = min(MOST_CELLS, max(1, round(n / CELL_ROWS)), max(1, SAMPLE_BYTES // most["size"] // 4))
+        rows_of = min(max(SAMPLE_ROWS, 4 * k), SAMPLE_BYTES // most["size"])  # bounded by bytes too: what the driver holds
+        sample = kept.orderBy(F.xxhash64("v"), "vec_id").limit(max(1, rows_of)).select("v").toPandas()["v"]
         x = _unit(np.array([np.frombuffer(v, kind) for v in sample], np.float64))
-        k = min(MOST_CELLS, max(1, round(n / CELL_ROWS)), len(x))
+        k = min(k, len(x))
         margin = math.sqrt(2 - 2 * threshold) / 2
         shared = spark.sparkContext.broadcast(spherical_kmeans(x, k))  # MOST_CELLS rows at most
         placed = materialise(kept.select("vec_id", "copies", "v").mapInArrow(_place(shared, margin, kind), f"cell long, guest boolean, {PACKET}"), "placed")
