@@ -4,6 +4,7 @@ Documents become pieces of at most ``room`` tokens. Every partition packs its pi
 lower bound of its bins from dual feasible functions. A partition that meets its bound is certified and gives up its
 emptiest bin only; the others give up all their bins with gaps. These pieces are dealt into fewer partitions, of
 ``PARTITION_PIECES`` on average at most, and packed again, until one partition is left, nothing is given up, or a round saves nothing.
+``certificate`` states the bins of a result, the lower bound of all its pieces together, and so how far it can be from the best.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from phrasemill.llm.pretokens import encode_rows
 from phrasemill.llm.shared import materialise, parts
 from phrasemill.llm.textbytes import slices
 
-ROOM, ROUNDS, PARTITION_PIECES = 2048, 6, 100_000
+ROOM, ROUNDS, PARTITION_PIECES = 2048, 32, 100_000
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = PIECE + ", sequence_id long, offset long, gap boolean, bound long, bins long"
 
@@ -137,3 +138,17 @@ def best_fit_packing(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
     for more in kept[1:]:
         out = out.unionByName(more)
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def certificate(packed: DataFrame, room: int = ROOM) -> DataFrame:
+    """One row: pieces, tokens, bins, the certified lower bound of the bins that these pieces need, and the gap between the two.
+
+    The bound takes how many pieces there are of each length: ``room`` rows at most.
+    """
+    sizes = packed.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()
+    counts = np.zeros(room + 1, np.int64)
+    for r in sizes:
+        counts[r["length"]] = r["n"]
+    bound = lower_bound(counts, room) if sizes else 0
+    out = packed.agg(F.count(F.lit(1)).alias("pieces"), F.coalesce(F.sum("length"), F.lit(0)).alias("tokens"), F.count_distinct("sequence_id").alias("bins"))
+    return out.withColumn("bound", F.lit(bound).cast("long")).withColumn("gap", F.col("bins") - F.col("bound"))

@@ -548,6 +548,8 @@ def test_packing(docs, empty, monkeypatch):
     rows = op7_best_fit_packing.best_fit_packing(docs, tokenizer_file(BPE)).collect()
     check_packing(rows, ids)
     bound = op7_best_fit_packing.lower_bound(np.bincount([r.length for r in rows], minlength=2049), 2048)
+    told = op7_best_fit_packing.certificate(op7_best_fit_packing.best_fit_packing(docs, tokenizer_file(BPE))).first()
+    assert (told.pieces, told.tokens, told.bound, told.gap) == (len(rows), sum(r.length for r in rows), bound, len({r.sequence_id for r in rows}) - bound)
     assert bound <= len({r.sequence_id for r in rows}) <= bound + 1
     monkeypatch.setattr(op7_best_fit_packing, "PARTITION_PIECES", 10)  # several partitions and exchanges
     rows = op7_best_fit_packing.best_fit_packing(docs, tokenizer_file(BPE)).collect()
