@@ -245,42 +245,62 @@ def described(title: Column, subtitle: Column) -> Column:
     return F.concat_ws(": ", F.nullif(end(title), F.lit("")), F.nullif(end(subtitle), F.lit("")))
 
 
+def _tagged_source(subtitle: str = "subtitle") -> Column:
+    """title, subtitle_text and source_tag of a subtitle row."""
+    return F.struct("title", F.col(subtitle).alias("subtitle_text"), F.when(F.col("source_file") == "openlibrary", "OL").otherwise("LOC").alias("source_tag"))
+
+
+def _grams(words: Column, most: int = 3) -> Column:
+    """The distinct word n-grams of up to ``most`` words."""
+    none = F.array().cast("array<string>")
+    of = lambda k: F.transform(F.sequence(F.lit(1), F.size(words) - k + 1), lambda i: F.array_join(F.slice(words, i, k), " "))
+    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(most)), lambda k: F.when(F.size(words) >= k, of(k)).otherwise(none))))
+
+
 def find_sources(wanted: DataFrame, fillers: DataFrame, subtitles: DataFrame) -> DataFrame:
     """slot_type, filler -> description and source_tag: of the filler itself without case, else of a text that holds it, else null.
 
     The second lookup is an equi join on the filler's first three words (or fewer), verified by ``contains``; of several texts the
     least id counts.
     """
-    known = provenance(fillers.withColumn("source_subtitle_id", F.col("source_subtitle_id")), subtitles).select(F.col("slot_type").alias("st"), F.lower("filler").alias("k"), F.struct("filler", "title", "subtitle_text", "source_tag").alias("s"))
+    known = provenance(fillers, subtitles).select(F.col("slot_type").alias("st"), F.lower("filler").alias("k"), F.struct("filler", "title", "subtitle_text", "source_tag").alias("s"))
     known = known.groupBy("st", "k").agg(F.min("s").alias("s"))
     first = wanted.join(known, (F.col("slot_type") == F.col("st")) & (F.lower("filler") == F.col("k")), "left").drop("st", "k")
     left = first.where("s is null").select("slot_type", "filler").distinct()
     left = left.withColumn("gram", F.array_join(F.slice(t.words(F.lower("filler")), 1, 3), " ")).where("gram <> ''")
     low = t.words(F.lower(F.regexp_replace("subtitle", r"[^\p{L}\p{N}\s.'-]", " ")))
     own = subtitles.select("id", "title", "subtitle", "source_file", low.alias("w"))
-    grams = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda k: F.when(F.size("w") >= k, F.transform(F.sequence(F.lit(1), F.size("w") - k + 1), lambda i: F.array_join(F.slice("w", i, k), " "))).otherwise(F.array().cast("array<string>")))))
-    hits = own.select("id", "title", "subtitle", "source_file", F.explode(grams).alias("gram")).join(left, "gram").where(F.contains(F.lower("subtitle"), F.lower("filler")))
-    hit = hits.groupBy("slot_type", "filler").agg(F.min_by(F.struct("title", F.col("subtitle").alias("subtitle_text"), F.when(F.col("source_file") == "openlibrary", "OL").otherwise("LOC").alias("source_tag")), "id").alias("h"))
+    hits = own.select("id", "title", "subtitle", "source_file", F.explode(_grams(F.col("w"))).alias("gram")).join(left, "gram")
+    hits = hits.where(F.contains(F.lower("subtitle"), F.lower("filler")))
+    hit = hits.groupBy("slot_type", "filler").agg(F.min_by(_tagged_source(), "id").alias("h"))
     out = first.join(hit, ["slot_type", "filler"], "left")
-    return out.select("slot_type", "filler", F.when(F.col("s").isNotNull(), described(F.col("s.title"), F.col("s.subtitle_text"))).when(F.col("h").isNotNull(), described(F.col("h.title"), F.col("h.subtitle_text"))).alias("description"), F.coalesce("s.source_tag", "h.source_tag").alias("source_tag"))
+    told = lambda x: F.when(F.col(x).isNotNull(), described(F.col(f"{x}.title"), F.col(f"{x}.subtitle_text")))
+    return out.select("slot_type", "filler", F.coalesce(told("s"), told("h")).alias("description"), F.coalesce("s.source_tag", "h.source_tag").alias("source_tag"))
 
 
 def templates(texts: DataFrame, words: DataFrame) -> DataFrame:
     """id, phrase -> template (literals and tags, runs of a tag as ``TAG+``) and slot_data (pos, text, multi)."""
-    literal = lambda w: F.lower(w).isin(*lists.LITERALS)
-    out = with_lexicon(texts, words, "id", F.col("phrase")).withColumns({"tok": t.tokens(F.col("phrase")), "tags": tags_of(F.col("phrase"))}).drop("lexicon")
-    parts = F.transform(F.arrays_zip("tok", "tags"), lambda x: F.struct(x["tok"].alias("w"), F.when((x["tags"] == "PUNCT") & x["tok"].isin(*lists.LITERAL_PUNCTUATION), x["tok"]).when(literal(x["tok"]), F.lower(x["tok"])).otherwise(x["tags"]).alias("p"), (~literal(x["tok"]) & ~((x["tags"] == "PUNCT") & x["tok"].isin(*lists.LITERAL_PUNCTUATION))).alias("open")))
     kind = "array<struct<p:string,w:array<string>,open:boolean>>"
-    merged = F.aggregate(
-        "parts", F.array().cast(kind),
-        lambda acc, x: F.when(
-            (F.size(acc) > 0) & x["open"] & F.coalesce(F.try_element_at(acc, F.lit(-1))["open"] & (F.try_element_at(acc, F.lit(-1))["p"] == x["p"]), F.lit(False)),
-            F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(x["p"].alias("p"), F.concat(F.coalesce(F.try_element_at(acc, F.lit(-1))["w"], F.array().cast("array<string>")), F.array(x["w"])).alias("w"), x["open"].alias("open")))),
-        ).otherwise(F.concat(acc, F.array(F.struct(x["p"].alias("p"), F.array(x["w"]).alias("w"), x["open"].alias("open"))))).cast(kind),
-    )
-    out = out.withColumn("parts", parts).withColumn("runs", merged)
+    out = with_lexicon(texts, words, "id", F.col("phrase")).withColumns({"tok": t.tokens(F.col("phrase")), "tags": tags_of(F.col("phrase"))}).drop("lexicon")
+
+    def part(x: Column) -> Column:
+        """A token with its place in the template: itself if it is literal, else its tag."""
+        mark = (x["tags"] == "PUNCT") & x["tok"].isin(*lists.LITERAL_PUNCTUATION)
+        literal = F.lower(x["tok"]).isin(*lists.LITERALS)
+        return F.struct(x["tok"].alias("w"), F.when(mark, x["tok"]).when(literal, F.lower(x["tok"])).otherwise(x["tags"]).alias("p"), (~literal & ~mark).alias("open"))
+
+    def merged(runs: Column, x: Column) -> Column:
+        """The runs with one more token, which joins the last run if both are open and of one tag."""
+        last = F.try_element_at(runs, F.lit(-1))
+        run = lambda w: F.array(F.struct(x["p"].alias("p"), w.alias("w"), x["open"].alias("open")))
+        longer = run(F.concat(F.coalesce(last["w"], F.array().cast("array<string>")), F.array(x["w"])))
+        joins = (F.size(runs) > 0) & x["open"] & F.coalesce(last["open"] & (last["p"] == x["p"]), F.lit(False))
+        return F.when(joins, F.concat(F.slice(runs, 1, F.greatest(F.size(runs) - 1, F.lit(0))), longer)).otherwise(F.concat(runs, run(F.array(x["w"])))).cast(kind)
+
+    out = out.withColumn("parts", F.transform(F.arrays_zip("tok", "tags"), part)).withColumn("runs", F.aggregate("parts", F.array().cast(kind), merged))
     template = F.array_join(F.transform("runs", lambda r: F.concat(r["p"], F.when(F.size(r["w"]) > 1, "+").otherwise(""))), " ")
-    slots = F.transform(F.filter("runs", lambda r: r["open"]), lambda r: F.struct(r["p"].alias("pos"), F.array_join(r["w"], " ").alias("text"), (F.size(r["w"]) > 1).alias("multi")))
+    slot = lambda r: F.struct(r["p"].alias("pos"), F.array_join(r["w"], " ").alias("text"), (F.size(r["w"]) > 1).alias("multi"))
+    slots = F.transform(F.filter("runs", lambda r: r["open"]), slot)
     return out.withColumns({"template": template, "slot_data": slots}).drop("tok", "tags", "parts", "runs")
 
 

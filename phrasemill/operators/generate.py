@@ -166,10 +166,12 @@ def finish(drawn: DataFrame, counts: DataFrame, params: DataFrame) -> DataFrame:
     of = F.coalesce(article("whole", "article_of_min_freq", c("remixed")), article("part", "article_of_min_freq", c("remixed")), F.lit(""))
     act = F.coalesce(article("act", "article_action_min_freq", F.lit(False)), F.lit("the"))
     out = out.withColumns({"action_article": t.a_or_an(act, c("action_noun")), "of_article": t.a_or_an(of, c("of_object"))})
-    raw = F.concat(c("item1"), F.lit(", "), c("item2"), F.lit(", and "), c("action_article"), F.lit(" "), c("action_noun"), F.lit(" of "), F.when(c("of_article") != "", F.concat("of_article", F.lit(" "))).otherwise(""), c("of_object"))
+    before = F.when(c("of_article") != "", F.concat("of_article", F.lit(" "))).otherwise("")
+    raw = F.concat(c("item1"), F.lit(", "), c("item2"), F.lit(", and "), c("action_article"), F.lit(" "), c("action_noun"), F.lit(" of "), before, c("of_object"))
     up = {x: F.when(c(x).isNotNull() & raw.isNotNull(), t.title_case(c(x))).otherwise("") for x in ("item1", "item2", "action_noun", "of_object")}
     titled = F.transform_values("remix_parts", lambda k, v: t.title_case(v)).alias("remix_parts")
-    return out.select("req_id", "trial", F.coalesce(t.title_case(raw), F.lit(NOT_ENOUGH)).alias("text"), *(x.alias(k) for k, x in up.items()), "remixed", titled, "remix_similarity", "of_article", "action_article")
+    text = F.coalesce(t.title_case(raw), F.lit(NOT_ENOUGH)).alias("text")
+    return out.select("req_id", "trial", text, *(x.alias(k) for k, x in up.items()), "remixed", titled, "remix_similarity", "of_article", "action_article")
 
 
 def sample_requests(spark, n: int, tone: str = "", seed_base: int = 1000, remix_prob: float = 0.0, min_sim: float = 0.0) -> DataFrame:

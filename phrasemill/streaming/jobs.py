@@ -40,8 +40,11 @@ def ingest_ratings(ratings: DataFrame, good: str, rejected: str, checkpoint: str
 
 def live_counters(ratings: DataFrame) -> DataFrame:
     """kind, value, n: by source, tone pair and tag, for update or complete mode."""
-    pair = F.when(F.col("system_tone").isNotNull() & F.col("tone_override").isNotNull(), F.array(F.struct(F.lit("tones").alias("kind"), F.concat_ws("->", "system_tone", "tone_override").alias("value")))).otherwise(F.array().cast("array<struct<kind:string,value:string>>"))
-    rows = F.concat(F.array(F.struct(F.lit("source").alias("kind"), F.coalesce("source", F.lit("unknown")).alias("value"))), pair, F.transform(feedback.tags_of(F.col("tags")), lambda x: F.struct(F.lit("tag").alias("kind"), x.alias("value"))))
+    row = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("value"))
+    both = F.col("system_tone").isNotNull() & F.col("tone_override").isNotNull()
+    pair = F.when(both, F.array(row("tones", F.concat_ws("->", "system_tone", "tone_override")))).otherwise(F.array().cast("array<struct<kind:string,value:string>>"))
+    source = F.array(row("source", F.coalesce("source", F.lit("unknown"))))
+    rows = F.concat(source, pair, F.transform(feedback.tags_of(F.col("tags")), lambda x: row("tag", x)))
     return ratings.select(F.explode(rows).alias("r")).groupBy("r.kind", "r.value").agg(F.count(F.lit(1)).alias("n"))
 
 
