@@ -385,7 +385,8 @@ def _cells(extent):
 
 
 def _side(small: DataFrame) -> DataFrame:
-    """One side of a join on ids: sent to all tasks only if a count finds it small."""
+    """One side of a join: sent to all tasks only if a count finds it small, so that a hot cluster isn't dealt to one task; a larger
+    one is dealt out, and skewed parts are split at run time."""
     small = materialise(small, "side")
     return F.broadcast(small) if small.count() <= BROADCAST_ROWS else small
 
@@ -393,7 +394,7 @@ def _side(small: DataFrame) -> DataFrame:
 def _in_cells(member: DataFrame, *group: str) -> DataFrame:
     """id, n and the columns ``group`` -> the same with ``cells`` and ``cell`` of each group's rows, dealt by id."""
     extent = member.groupBy(*group).agg(_cells(F.sum("n")).alias("cells"))
-    return materialise(member.join(extent, list(group)).withColumn("cell", F.pmod(F.xxhash64("id"), F.col("cells"))), "cells")
+    return materialise(member.join(_side(extent), list(group)).withColumn("cell", F.pmod(F.xxhash64("id"), F.col("cells"))), "cells")
 
 
 def _verified(sets: DataFrame, share: int, tasks: int) -> DataFrame:
@@ -406,14 +407,14 @@ def _relabelled(wide: DataFrame, linked: DataFrame) -> DataFrame:
     """Members of those clusters that are still in several components, labelled with these."""
     own = wide.drop("label").join(linked.withColumnRenamed("component", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
     several = own.groupBy("cluster").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("cluster")
-    return materialise(own.join(several, "cluster"), "wide")
+    return materialise(own.join(_side(several), "cluster"), "wide")
 
 
 def _grid(held: DataFrame, wide: DataFrame, share: int) -> DataFrame:
     """Links of the sets outside a cluster's largest component with each other and with those inside."""
     tally = wide.groupBy("cluster", "label").agg(F.sum("n").alias("keys"))
     largest = tally.groupBy("cluster").agg(F.max_by("label", F.struct("keys", -F.col("label"))).alias("bulk"))
-    own = _in_cells(wide.join(largest, "cluster").withColumn("rest", F.col("label") != F.col("bulk")).drop("bulk"), "cluster", "rest")
+    own = _in_cells(wide.join(_side(largest), "cluster").withColumn("rest", F.col("label") != F.col("bulk")).drop("bulk"), "cluster", "rest")
     size = own.groupBy("cluster").agg(F.max(F.when(F.col("rest"), F.col("cells"))).alias("q"), F.max(F.when(~F.col("rest"), F.col("cells"))).alias("p"))
     upto = lambda k: F.sequence(F.lit(0), k - 1)
     spot = lambda i, j, both: F.struct(i.alias("i"), j.alias("j"), F.lit(both).alias("both"))
@@ -422,8 +423,8 @@ def _grid(held: DataFrame, wide: DataFrame, share: int) -> DataFrame:
         F.transform(upto(F.col("p")), lambda j: spot(c, j, False)),
         F.transform(F.filter(upto(F.col("q")), lambda o: o != c), lambda o: spot(F.greatest(o, c), F.least(o, c), True)),
     )
-    at = own.join(size, "cluster").select("id", "label", F.explode(F.when(F.col("rest"), outside).otherwise(F.transform(upto(F.col("q")), lambda i: spot(i, c, False)))).alias("at"))
-    sets = held.join(at, "id").select("id", "label", F.xxhash64("cluster", "at").alias("cluster"), "keys")
+    at = own.join(_side(size), "cluster").select("id", "label", F.explode(F.when(F.col("rest"), outside).otherwise(F.transform(upto(F.col("q")), lambda i: spot(i, c, False)))).alias("at"))
+    sets = held.join(_side(at), "id").select("id", "label", F.xxhash64("cluster", "at").alias("cluster"), "keys")
     return sets.withColumn("task", F.col("cluster")).groupBy("task").applyInArrow(_verify(share), "a long, b long")
 
 
