@@ -21,7 +21,7 @@ BROADCAST_ROWS = 1_000_000
 
 def keyed(docs: DataFrame) -> DataFrame:
     """The documents with a number for each row, written with them: rows may repeat an id or lack one, decisions are about rows."""
-    return materialise(docs.select(COLUMNS).withColumn("row", F.monotonically_increasing_id()), "keyed")
+    return materialise(docs.select(COLUMNS).withColumn("row", F.monotonically_increasing_id()), "keyed", compression="zstd")
 
 
 def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
@@ -56,11 +56,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     docs = keyed(docs)
     found = ngram_join(docs.select("row", "text"), "row")
     groups = materialise(found.select(F.col("doc_id").alias("row"), F.col("component_id").alias("component")), "groups")
-    several = groups.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("component")
-    member = groups.join(several, "component").join(docs.select("row", "doc_id"), "row")
-    member = materialise(member.select("component", "row", rank().alias("rank")), "group-rows")
-    first = member.groupBy("component").agg(F.min("rank").alias("first"))
-    return without(docs, member.join(first, "component").where(F.col("rank") != F.col("first")))
+    ranked = groups.join(docs.select("row", "doc_id"), "row").select("component", rank().alias("rank"))
+    stays = ranked.groupBy("component").agg(F.min("rank").alias("first")).select("first.row")  # one row for each group, alone or not
+    return without(docs, groups.select("row").join(stays, "row", "left_anti"))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
