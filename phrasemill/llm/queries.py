@@ -16,6 +16,7 @@ from phrasemill.llm.op7_best_fit_packing import best_fit_packing
 from phrasemill.llm.op8_sentencepiece import sentencepiece_digests
 from phrasemill.llm.op9_warc_fixity import audit, decayed, digests, manifest, misplaced, records
 from phrasemill.llm.op10_ngram_join import ngram_join
+from phrasemill.llm.op11_source_mix import source_mix
 from phrasemill.llm.shared import ship, table, tokenizer_file
 
 
@@ -61,6 +62,10 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"))
 
 
+def op11_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mix(table(spark, sf_dir, "documents"))
+
+
 OP1_SQL = r"""
 with n as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as norm from documents)
 select doc_id, min(doc_id) over w as keep_id, count(*) over w as group_size, doc_id = min(doc_id) over w as kept, sha256(norm) as text_sha256
@@ -81,6 +86,37 @@ from o where fault in (3, 5, 7, 11, 13)
 """
 
 
+def _permuted(x: str, n: str, key: str) -> str:
+    """The swap-or-not shuffle of op11 as a fold."""
+    number = lambda k: f"('0x' || substr(md5({k}), 1, 13))::bigint"
+    mirror = f"((({number(f"{key} || '|mirror|' || i")} - a) % {n} + {n}) % {n})"
+    return f"list_reduce(range(1, 25), lambda a, i: case when {number(f"{key} || '|swap|' || i || '|' || greatest(a, {mirror})")} % 2 = 0 then a else {mirror} end, {x})"
+
+
+#: Quotas by prefix sums in the order of size over weight, where the operator goes round by round.
+OP11_SQL = rf"""
+with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) as size from documents),
+s0 as (select source, sum(size)::bigint as source_size, row_number() over (order by source nulls last) as no from d group by 1),
+s1 as (select *, [5, 2, 1][(no - 1) % 3 + 1] as weight, 3 * source_size as most from s0),
+s2 as (select *, sum(most) over o as most_to, sum(weight) over o as weight_to, sum(source_size) over () as words, sum(weight) over () as shares from s1 window o as (order by most * 10 // weight, no)),
+s3 as (select *, most * (shares - weight_to + weight) < weight * (words - most_to + most) as above from s2),
+s4 as (select *, coalesce(sum(most) filter (above) over (), 0) as c, coalesce(sum(weight) filter (above) over (), 0) as w from s3),
+s5 as (select no, source, source_size, case when above then most::double else weight * ((words - c)::double / greatest(1, shares - w)::double) end as target, greatest(1, least(512, source_size // 128)) as block from s4),
+s6 as (select *, (source_size + block - 1) // block as blocks from s5),
+s7 as (select *, case when source_size > 0 then least(3 * blocks, floor(blocks * target / source_size + 0.5))::bigint else 0 end as slots from s6),
+s as (select *, sum(slots) over (order by no)::bigint - slots as lo, sum(slots) over ()::bigint as n_all from s7),
+k as (select no, blocks, {_permuted("lo + k", "n_all", "'0|place'")} // 4096 as shard from (select *, unnest(range(slots)) as k from s) x),
+h as (select no, blocks, shard, count(*) as n from k group by all),
+f as (select *, sum(n) over (partition by no order by shard)::bigint - n as first from h),
+j as (select no, blocks, unnest(range(first, first + n)) as slot from f),
+b as (select no, index, count(*) as times from (select no, {_permuted("slot % blocks", "blocks", "'0|' || no || '|' || slot // blocks")} as index from j) x group by all),
+r as (select d.*, s.no, s.source_size, s.target, s.block, (sum(size) over (partition by s.no order by doc_id) - size)::bigint as start from d join s on s.source is not distinct from d.source),
+p as (select *, unnest(range(start // block, (start + size - 1) // block + 1)) as index from r where size > 0),
+t as (select doc_id, sum((least(start + size, (index + 1) * block) - greatest(start, index * block)) * times)::bigint as taken from p join b using (no, index) group by 1)
+select doc_id, size::bigint as size, source_size, target, coalesce(taken, 0) as taken, source from r left join t using (doc_id)
+"""
+
+
 def _shipping(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)
@@ -90,8 +126,8 @@ def _shipping(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spar
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: _shipping(q) for q in (op1_exact_dedup, op2_toxicity, op3_pii, op4_quality, op5_token_counts, op6_embedding_dedup, op7_best_fit_packing, op8_sentencepiece, op9_warc_fixity, op10_ngram_join)}
+    return {q.__name__: _shipping(q) for q in (op1_exact_dedup, op2_toxicity, op3_pii, op4_quality, op5_token_counts, op6_embedding_dedup, op7_best_fit_packing, op8_sentencepiece, op9_warc_fixity, op10_ngram_join, op11_source_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op9_warc_fixity": OP9_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op9_warc_fixity": OP9_SQL, "op11_source_mix": OP11_SQL}
