@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phrasemill.llm.shared import materialise
+from phrasemill.llm.shared import materialise, parts
 from phrasemill.operators.ranges import running
 
 SPACE = r"\x20\x09-\x0D"
@@ -120,7 +120,7 @@ def shard_counts(sources: DataFrame, seed: int = 0) -> DataFrame:
     """
     every = sources.agg(F.coalesce(F.sum("slots"), F.lit(0)).alias("every"))
     lo, chunk = F.col("slots_end") - F.col("slots"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / SHARD))).alias("chunk")
-    chunks = sources.where("slots > 0").select("no", "blocks", "slots", lo.alias("lo"), chunk).repartition("no", "chunk").crossJoin(F.broadcast(every))
+    chunks = sources.where("slots > 0").select("no", "blocks", "slots", lo.alias("lo"), chunk).repartition(parts(sources.sparkSession), "no", "chunk").crossJoin(F.broadcast(every))
     k = F.explode(F.sequence(F.col("chunk") * SHARD, F.least(F.col("slots"), (F.col("chunk") + 1) * SHARD) - 1)).alias("k")
     drawn = chunks.select("no", "blocks", "lo", "every", k)
     place = permuted(F.col("lo") + F.col("k"), F.col("every"), seed, "place")
@@ -131,7 +131,8 @@ def shard_counts(sources: DataFrame, seed: int = 0) -> DataFrame:
 
 def slots(counts: DataFrame, seed: int = 0) -> DataFrame:
     """no, shard, slot (its number in the source), block: the shards' slots, a row each."""
-    own = counts.select("no", "blocks", "shard", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("slot"))
+    dealt = counts.repartition(parts(counts.sparkSession), "no", "shard")  # a few rows make very many: not the one task that reads their file
+    own = dealt.select("no", "blocks", "shard", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("slot"))
     turn = F.floor(F.col("slot") / F.col("blocks")).cast("string")
     return own.select("no", "shard", "slot", permuted(F.col("slot") % F.col("blocks"), F.col("blocks"), seed, F.col("no").cast("string"), turn).alias("index"))
 
@@ -150,7 +151,7 @@ def taken(planned: Mix, seed: int = 0) -> DataFrame:
     times = slots(planned.counts, seed).groupBy("no", "index").agg(F.count(F.lit(1)).alias("times"))
     own = pieces(planned.rows).select("row", "doc_id", "size", "source", "source_size", "target", "no", "index", (F.col("hi") - F.col("lo")).alias("words"))
     words = F.coalesce(F.sum(F.col("words") * F.col("times")), F.lit(0)).alias("taken")
-    per = own.join(times, ["no", "index"], "left").groupBy("row", "doc_id", "size", "source", "source_size", "target").agg(words)
+    per = own.join(times.hint("merge"), ["no", "index"], "left").groupBy("row", "doc_id", "size", "source", "source_size", "target").agg(words)
     return per.select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
@@ -160,7 +161,7 @@ def mixed(planned: Mix, seed: int = 0) -> DataFrame:
     own = pieces(planned.rows.where("size > 0").withColumn("words", words))
     own = own.select("no", "source", "index", F.struct(F.col("start").alias("start"), F.array_join(F.slice("words", F.col("lo").cast("int") + 1, (F.col("hi") - F.col("lo")).cast("int")), " ").alias("text")).alias("p"))
     whole = own.groupBy("no", "source", "index").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["text"]), " ").alias("text"))
-    return slots(planned.counts, seed).join(whole, ["no", "index"]).select("shard", "source", "slot", "index", "text")
+    return slots(planned.counts, seed).join(whole.hint("merge"), ["no", "index"]).select("shard", "source", "slot", "index", "text")
 
 
 def source_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0) -> DataFrame:
