@@ -18,6 +18,7 @@ from phrasemill.llm.op9_warc_fixity import audit, decayed, digests, manifest, mi
 from phrasemill.llm.op10_ngram_join import ngram_join
 from phrasemill.llm.op11_source_mix import source_mix
 from phrasemill.llm.op12_conversation_repair import conversation_repair
+from phrasemill.llm.op13_embedding_whitening import whitening
 from phrasemill.llm.shared import ship, table, tokenizer_file
 
 
@@ -71,6 +72,10 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair(table(spark, sf_dir, "conversations"))
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening(table(spark, sf_dir, "embeddings"))
+
+
 OP1_SQL = r"""
 with n as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as norm from documents)
 select doc_id, min(doc_id) over w as keep_id, count(*) over w as group_size, doc_id = min(doc_id) over w as kept, sha256(norm) as text_sha256
@@ -141,7 +146,9 @@ e as (select *, xor(list_reduce(list_transform(string_split(k, ''), lambda x: as
 d as (select conv_id, turn, case fault when 4 then 'user' else role end as role, case fault when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text, unnest(range(case fault when 0 then 0 when 3 then 2 else 1 end)) as copy from e),
 o as (select *, row_number() over (partition by conv_id order by turn nulls first, role, sha256(text), copy) as i, row_number() over (partition by conv_id, role, text order by turn nulls first, copy) as seen from d),
 r as (select conv_id, turn, role, text, i, case when left(role, 1) in ('s', 'u', 'a') then left(role, 1) else 'x' end as x,
-  case when not regexp_matches(text, '[^ 	-]') then 'b' when seen > 1 then 'd' when not regexp_matches(text, '[.!?][ 	-]*$') then 't' else '-' end as f from o),
+  case when not regexp_matches(text, '[^ 	-
+]') then 'b' when seen > 1 then 'd' when not regexp_matches(text, '[.!?][ 	-
+]*$') then 't' else '-' end as f from o),
 moves(q, m, mid, edit, need, nxt) as (values {_moves()}),
 step(conv_id, i, q, cost, audit, parts) as (
   select distinct conv_id, 0::bigint, '-', 0::bigint, '', []::varchar[] from conversations
@@ -172,7 +179,11 @@ def _shipping(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spar
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: _shipping(q) for q in (op1_exact_dedup, op2_toxicity, op3_pii, op4_quality, op5_token_counts, op6_embedding_dedup, op7_best_fit_packing, op8_sentencepiece, op9_warc_fixity, op10_ngram_join, op11_source_mix, op12_conversation_repair)}
+    own = (
+        op1_exact_dedup, op2_toxicity, op3_pii, op4_quality, op5_token_counts, op6_embedding_dedup, op7_best_fit_packing, op8_sentencepiece, op9_warc_fixity, op10_ngram_join,
+        op11_source_mix, op12_conversation_repair, op13_embedding_whitening,
+    )
+    return {q.__name__: _shipping(q) for q in own}
 
 
 def oracle_sql() -> dict[str, str]:
