@@ -6,10 +6,21 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def uniform(*key) -> Column:
-    """In [0, 1): the first 13 hex digits of the key's md5, over 2^52. The same wherever and however often it is asked."""
+def bits(*key) -> Column:
+    """52 bits: the first 13 hex digits of the key's md5. The same wherever and however often it is asked."""
     text = F.concat_ws("|", *(k.cast("string") if isinstance(k, Column) else F.lit(str(k)) for k in key))
-    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long") / F.lit(4503599627370496.0)
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long")
+
+
+def uniform(*key) -> Column:
+    """In [0, 1): the key's bits over 2^52."""
+    return bits(*key) / F.lit(4503599627370496.0)
+
+
+def whole_uniform(total: Column, *key) -> Column:
+    """A whole number in [0, total): the key's bits times the total over 2^52, without rounding."""
+    product = bits(*key).cast("decimal(16,0)") * total.cast("decimal(19,0)")
+    return F.call_function("div", product, F.lit(1 << 52).cast("decimal(16,0)"))
 
 
 def filler_score(freq: Column, pop: Column, blend: Column, missing: Column) -> Column:

@@ -15,6 +15,8 @@ from phrasemill.session import materialise
 
 #: Buckets of a pool's range join: so many at least, and so many fillers in each on average.
 BUCKETS, BUCKET_FILLERS = 64, 4
+#: All units of a pool are fewer than two to this power.
+UNIT_BITS = 61
 
 
 def defaults(spark: SparkSession) -> DataFrame:
@@ -67,49 +69,53 @@ def correlation(pop: DataFrame) -> DataFrame:
     return pop.agg(F.corr(F.log10(1 + F.col("freq")), F.col("popularity")).alias("r"))
 
 
-def draw_small(pool: DataFrame, seeds: DataFrame, k: int, slot: str = "slot") -> DataFrame:
-    """seed, filler, rank: k of the pool (filler, weight) without replacement for each seed, by exponential keys -ln(u) / w.
+def cumulative(pool: DataFrame, by=("pool",)) -> DataFrame:
+    """Adds units, lo, hi, total, width and scale: the weights as whole units, laid end to end by filler within each pool of any size.
 
-    Costs seeds x pool rows: for a small side, which is broadcast after a look at its size.
+    ``scale`` (units of weight 1) is a power of two that depends on the pool's largest weight and its size only, so a filler's units are the same at any
+    partitioning; the intervals [lo, hi) part [0, total) without gap or overlap. Null, negative and vanishing weights get no units. ``width`` is that
+    of the pool's buckets (``pick``).
     """
-    if pool.count() > 100_000:
-        raise ValueError("use draw_large for so many fillers")
-    key = -F.log(F.greatest(s.uniform(F.col("seed"), slot, 0, F.col("filler")), F.lit(1e-300))) / F.col("weight")
-    keyed = seeds.crossJoin(F.broadcast(pool)).withColumn("key", key)
-    return keyed.withColumn("rank", F.row_number().over(W.partitionBy("seed").orderBy("key", "filler"))).where(F.col("rank") <= k).select("seed", "filler", "rank")
-
-
-def cumulative(pool: DataFrame, by=("pool",)) -> DataFrame:
-    """Adds cum_lo, cum_hi and total of the weights, by filler within each pool, and the pool's ``buckets``; pools may be of any size."""
-    own = running(pool, "sum", F.col("weight"), [F.col("filler")], "cum_hi", tuple(by))
-    totals = pool.groupBy(*by).agg(F.sum("weight").alias("total"), F.greatest(F.lit(BUCKETS), F.ceil(F.count(F.lit(1)) / BUCKET_FILLERS)).alias("buckets"))
-    return own.withColumn("cum_lo", F.col("cum_hi") - F.col("weight")).join(totals, list(by))
+    weight, by = F.greatest(F.coalesce("weight", F.lit(0.0)), F.lit(0.0)), list(by)
+    bits = F.ceil(F.log2(F.greatest(F.max(weight), F.lit(1e-300)) * F.count(F.lit(1))))
+    scale = pool.groupBy(*by).agg(F.pow(F.lit(2.0), F.lit(UNIT_BITS) - bits).alias("scale"))
+    own = pool.join(scale, by).withColumn("units", F.floor(weight * F.col("scale") + 0.5))
+    own = running(own, "sum", F.col("units"), [F.col("filler")], "hi", tuple(by)).withColumn("lo", F.col("hi") - F.col("units"))
+    buckets = F.greatest(F.lit(BUCKETS), F.ceil(F.count(F.lit(1)) / BUCKET_FILLERS))
+    totals = own.groupBy(*by).agg(F.max("hi").alias("total"), buckets.alias("buckets"))
+    return own.join(totals.select(*by, "total", (F.call_function("div", "total", "buckets") + 1).alias("width")), by)
 
 
 def pick(draws: DataFrame, cum: DataFrame, by=("pool",), point: str = "point") -> DataFrame:
-    """Joins each draw's point in [0, total) to the filler whose interval holds it; draws from a pool that isn't there leave.
+    """Joins each draw's point, a whole number in [0, total), to the filler whose interval holds it, which is always one; draws from a
+    pool that isn't there or is empty leave.
 
-    ``draws`` has total and buckets of its pool. The range join is an equi join: every interval stands in the buckets that it
-    touches, and a pool has so many that a bucket holds few fillers.
+    ``draws`` has the pool's width. The range join is an equi join: every interval stands in the buckets that it touches, and a pool
+    has so many that a bucket holds few fillers.
     """
-    spot = lambda c: F.least(F.floor(c / F.col("total") * F.col("buckets")), F.col("buckets") - 1)
-    wide = cum.select(*by, "filler", "weight", "cum_lo", "cum_hi", F.explode(F.sequence(spot(F.col("cum_lo")), spot(F.col("cum_hi")))).alias("bucket"))
+    spot = lambda c: F.call_function("div", c, F.col("width"))
+    reach = F.explode(F.sequence(spot(F.col("lo")), spot(F.col("hi") - 1))).alias("bucket")
+    wide = cum.where("units > 0").select(*by, "filler", "units", "lo", "hi", reach)
     own = draws.withColumn("bucket", spot(F.col(point)))
-    return own.join(wide, [*by, "bucket"]).where((F.col(point) >= F.col("cum_lo")) & (F.col(point) < F.col("cum_hi"))).drop("bucket")
+    return own.join(wide, [*by, "bucket"]).where((F.col(point) >= F.col("lo")) & (F.col(point) < F.col("hi"))).drop("bucket", "hi")
+
+
+def _started(seeds: DataFrame, cum: DataFrame, by) -> DataFrame:
+    """The seeds with total and width of their pools."""
+    return seeds.join(cum.groupBy(*by).agg(F.max("total").alias("total"), F.max("width").alias("width")), list(by))
 
 
 def first_picks(seeds: DataFrame, cum: DataFrame, slot: Column, by=("pool",)) -> DataFrame:
-    """seeds (seed, the columns ``by``, others) -> the same with filler, weight, cum_lo, total and buckets."""
-    totals = cum.select(*by, "total", "buckets").distinct()
-    one = seeds.join(totals, list(by)).withColumn("point", s.uniform(F.col("seed"), slot, 1, "a") * F.col("total"))
-    return pick(one, cum, by).drop("point", "cum_hi")
+    """seeds (seed, the columns ``by``, others) -> the same with filler, units, lo, total and width."""
+    one = _started(seeds, cum, by).withColumn("point", s.whole_uniform(F.col("total"), F.col("seed"), slot, 1, "a"))
+    return pick(one, cum, by).drop("point")
 
 
 def second_picks(first: DataFrame, cum: DataFrame, slot: Column, by=("pool",)) -> DataFrame:
     """``first_picks`` -> the same with ``filler2``: drawn from [0, T - w1) and moved past the first one's interval, which is exact."""
-    v = s.uniform(F.col("seed"), slot, 2, "b") * (F.col("total") - F.col("weight"))
-    again = first.withColumn("point", F.when(v >= F.col("cum_lo"), v + F.col("weight")).otherwise(v)).withColumnRenamed("filler", "first").drop("weight", "cum_lo")
-    return pick(again, cum, by).withColumnRenamed("filler", "filler2").withColumnRenamed("first", "filler").drop("point", "cum_hi")
+    v = s.whole_uniform(F.col("total") - F.col("units"), F.col("seed"), slot, 2, "b")
+    again = first.withColumn("point", F.when(v >= F.col("lo"), v + F.col("units")).otherwise(v)).withColumnRenamed("filler", "first").drop("units", "lo")
+    return pick(again, cum, by).withColumnRenamed("filler", "filler2").withColumnRenamed("first", "filler").drop("point")
 
 
 def draw_large(pool: DataFrame, seeds: DataFrame, two: bool = False, slot: str = "slot", by=("pool",)) -> DataFrame:
@@ -121,6 +127,27 @@ def draw_large(pool: DataFrame, seeds: DataFrame, two: bool = False, slot: str =
     return second_picks(got, cum, F.lit(slot), by).select("seed", *by, "filler", "filler2")
 
 
+def draw_without(pool: DataFrame, seeds: DataFrame, k: int, slot: str = "slot", by=("pool",)) -> DataFrame:
+    """seed, the columns ``by``, filler, rank: k of a pool without replacement for each seed, in the order drawn; pools and seeds of any size.
+
+    The j-th point is drawn from the units that are left and moved past the intervals taken before it, from left to right: each draw has the
+    law of weights among the fillers left, and costs one look into a bucket. A pool of fewer fillers gives what it has.
+    """
+    cum = materialise(cumulative(pool, by), "cumulated")
+    none = F.array().cast("array<struct<lo:bigint,units:bigint>>")
+    state, out = _started(seeds.select("seed", *by), cum, by).withColumn("taken", none), None
+    for rank in range(1, k + 1):
+        left = F.aggregate("taken", F.col("total"), lambda a, x: a - x["units"])
+        v = s.whole_uniform(left, F.col("seed"), slot, rank, "draw")
+        moved = F.aggregate(F.array_sort("taken"), v, lambda a, x: F.when(a >= x["lo"], a + x["units"]).otherwise(a))
+        got = pick(state.withColumn("left", left).where("left > 0").withColumn("point", moved), cum, by)
+        got = materialise(got.drop("left", "point"), "picks")
+        own = got.select("seed", *by, "filler", F.lit(rank).alias("rank"))
+        out = own if out is None else out.unionByName(own)
+        state = got.withColumn("taken", F.concat("taken", F.array(F.struct("lo", "units")))).drop("filler", "units", "lo")
+    return out
+
+
 def sample_per_group(df: DataFrame, group: str, key: str, k: int, seed: int) -> DataFrame:
     order = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key)))
     return df.withColumn("rn", F.row_number().over(W.partitionBy(group).orderBy(order, key))).where(F.col("rn") <= k).drop("rn")

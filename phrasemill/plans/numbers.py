@@ -74,7 +74,14 @@ sums as (select id, pos, sum(x) as x, count(*) as n from ex group by id, pos), v
 cen as (select list(x order by pos) as centroid from (select pos, avg(x / token_count) as x from sums s join (select id, token_count from vec) t using (id) group by pos) c)"""
 _SCAL = "scal as (select id, list_dot_product(vector, centroid) as centroid_dot, list_dot_product(vector, vector) as norm_sq, list_dot_product(vector, centroid) / sqrt(list_dot_product(vector, vector)) / sqrt(list_dot_product(centroid, centroid)) as similarity from vec, cen)"
 _EFF = f"eff as (select key, coalesce(try_cast(s.value as double), p.value) as value from params p left join stored s using (key))"
-_DRAW = f"select c_custkey as seed, filler, -ln({_U.format(chr(39).join(['c_custkey || ', '|slot|0|', ' || filler']))}) / sqrt(freq) as k from customer, signals"
+#: Draws without replacement: the first by its interval, the next from what is left, moved past the intervals taken.
+_DRAW = f"""c as (select filler, sqrt(freq) as w, sum(sqrt(freq)) over (order by filler) as hi, sum(sqrt(freq)) over (order by filler) - sqrt(freq) as lo, sum(sqrt(freq)) over () as t from signals),
+u as (select seed, {", ".join(f"{_U.format(f"seed || '|slot|{k}|draw'")} as u{k}" for k in (1, 2, 3))} from (select c_custkey as seed from customer) z),
+one as (select u.*, filler, lo as lo1, w as w1, t from u join c on u1 * t >= lo and u1 * t < hi),
+v2 as (select * exclude (filler), u2 * (t - w1) as v from one), two as (select v2.* exclude (t), c.filler, c.lo as lo2, c.w as w2, c.t from v2 join c on v + case when v >= lo1 then w1 else 0 end >= lo and v + case when v >= lo1 then w1 else 0 end < hi),
+v3 as (select seed, u3 * (t - w1 - w2) as v, least(lo1, lo2) as la, case when lo1 < lo2 then w1 else w2 end as wa, greatest(lo1, lo2) as lb, case when lo1 < lo2 then w2 else w1 end as wb from two),
+x3 as (select seed, case when v >= la then v + wa else v end as v, lb, wb from v3), y3 as (select seed, case when v >= lb then v + wb else v end as v from x3),
+three as (select seed, filler from y3 join c on v >= lo and v < hi)"""
 
 
 def with_vec(q, views=("token_words",)):
@@ -150,11 +157,15 @@ QUERIES = {
         select filler, round(sc, 6) as score, round(b, 6) as base, round(0.05 + 0.95 * exp(-pow((sc - 1.5) / 0.4, 2)), 6) as bias, case when sc > 1.0 then 'pop' when sc >= 0.5 then 'mainstream' else 'niche' end as tier, round(exp(-pow((sc - 0.25) / 0.5, 2)), 6) as niche_weight, round(0.3 * sc + 0.7 * b, 6) as composite from x"""),
     ),
     "e08_k03_draw_small": (
-        lambda sp, d: p.draw_small(pool(sp, d).drop("pool"), seeds(sp, d), 2),
-        fixtures.with_views(["signals"], f", x as ({_DRAW}) select seed, filler, cast(rank as int) as rank from (select seed, filler, row_number() over (partition by seed order by k, filler) as rank from x) y where rank <= 2"),
+        lambda sp, d: p.draw_without(pool(sp, d), seeds(sp, d).withColumn("pool", F.lit("all")), 2).drop("pool"),
+        fixtures.with_views(["signals"], f", {_DRAW} select seed, filler, 1 as rank from one union all select seed, filler, 2 from two"),
+    ),
+    "e08_draw_three": (
+        lambda sp, d: p.draw_without(pool(sp, d), fixtures.view(sp, d, "orders").select(F.col("o_orderkey").alias("seed"), F.lit("all").alias("pool")), 3).drop("pool"),
+        fixtures.with_views(["signals"], f", {_DRAW.replace('c_custkey as seed from customer', 'o_orderkey as seed from orders')} select seed, filler, 1 as rank from one union all select seed, filler, 2 from two union all select seed, filler, 3 from three"),
     ),
     "e09_cumulative": (
-        lambda sp, d: rounded(p.cumulative(pool(sp, d)).drop("weight", "buckets"), "cum_lo", "cum_hi", "total"),
+        lambda sp, d: p.cumulative(pool(sp, d)).select("pool", "filler", *(F.round(F.col(c) / F.col("scale"), 6).alias(k) for c, k in (("lo", "cum_lo"), ("hi", "cum_hi"), ("total", "total")))),
         fixtures.with_views(["signals"], "select 'all' as pool, filler, round(sum(sqrt(freq)) over (order by filler), 6) as cum_hi, round(sum(sqrt(freq)) over (order by filler) - sqrt(freq), 6) as cum_lo, round(sum(sqrt(freq)) over (), 6) as total from signals"),
     ),
     "c13_draw_large": (
