@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from phrasemill.functions import text as t
 from phrasemill.functions import words as lists
+from phrasemill.operators.search import first_holders
 
 #: A lexicon of at most so many words travels as one map; a larger one is joined.
 LEXICON_MAP_ROWS = 2000
@@ -245,35 +246,21 @@ def described(title: Column, subtitle: Column) -> Column:
     return F.concat_ws(": ", F.nullif(end(title), F.lit("")), F.nullif(end(subtitle), F.lit("")))
 
 
-def _tagged_source(subtitle: str = "subtitle") -> Column:
-    """title, subtitle_text and source_tag of a subtitle row."""
-    return F.struct("title", F.col(subtitle).alias("subtitle_text"), F.when(F.col("source_file") == "openlibrary", "OL").otherwise("LOC").alias("source_tag"))
-
-
-def _grams(words: Column, most: int = 3) -> Column:
-    """The distinct word n-grams of up to ``most`` words."""
-    none = F.array().cast("array<string>")
-    of = lambda k: F.transform(F.sequence(F.lit(1), F.size(words) - k + 1), lambda i: F.array_join(F.slice(words, i, k), " "))
-    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(most)), lambda k: F.when(F.size(words) >= k, of(k)).otherwise(none))))
-
-
 def find_sources(wanted: DataFrame, fillers: DataFrame, subtitles: DataFrame) -> DataFrame:
     """slot_type, filler -> description and source_tag: of the filler itself without case, else of a text that holds it, else null.
 
-    The second lookup is an equi join on the filler's first three words (or fewer), verified by ``contains``; of several texts the
-    least id counts.
+    The second lookup finds a filler anywhere in a text, inside words too (``search.first_holders``); of several texts the least id counts.
+    Only ids leave the search, titles are joined to the hits.
     """
     known = provenance(fillers, subtitles).select(F.col("slot_type").alias("st"), F.lower("filler").alias("k"), F.struct("filler", "title", "subtitle_text", "source_tag").alias("s"))
     known = known.groupBy("st", "k").agg(F.min("s").alias("s"))
     first = wanted.join(known, (F.col("slot_type") == F.col("st")) & (F.lower("filler") == F.col("k")), "left").drop("st", "k")
-    left = first.where("s is null").select("slot_type", "filler").distinct()
-    left = left.withColumn("gram", F.array_join(F.slice(t.words(F.lower("filler")), 1, 3), " ")).where("gram <> ''")
-    low = t.words(F.lower(F.regexp_replace("subtitle", r"[^\p{L}\p{N}\s.'-]", " ")))
-    own = subtitles.select("id", "title", "subtitle", "source_file", low.alias("w"))
-    hits = own.select("id", "title", "subtitle", "source_file", F.explode(_grams(F.col("w"))).alias("gram")).join(left, "gram")
-    hits = hits.where(F.contains(F.lower("subtitle"), F.lower("filler")))
-    hit = hits.groupBy("slot_type", "filler").agg(F.min_by(_tagged_source(), "id").alias("h"))
-    out = first.join(hit, ["slot_type", "filler"], "left")
+    left = first.where("s is null").select(F.lower("filler").alias("phrase"))
+    holders = first_holders(left, subtitles.select("id", F.lower("subtitle").alias("text")))
+    tag = F.when(F.col("source_file") == "openlibrary", "OL").otherwise("LOC").alias("source_tag")
+    texts = subtitles.select("id", F.struct("title", F.col("subtitle").alias("subtitle_text"), tag).alias("h"))
+    hit = holders.join(texts, "id").groupBy("phrase").agg(F.min("h").alias("h"))
+    out = first.join(hit, F.col("s").isNull() & (F.lower("filler") == F.col("phrase")), "left")
     told = lambda x: F.when(F.col(x).isNotNull(), described(F.col(f"{x}.title"), F.col(f"{x}.subtitle_text")))
     return out.select("slot_type", "filler", F.coalesce(told("s"), told("h")).alias("description"), F.coalesce("s.source_tag", "h.source_tag").alias("source_tag"))
 

@@ -80,6 +80,9 @@ def b_chosen(df, choice: str):
     return df.join(F.broadcast(own.select(F.concat(F.lit("part"), F.lpad(F.col("k").cast("string"), 2, "0")).alias("source_file")).distinct()), "source_file", "left_semi")
 
 
+#: Phrases that are no filler: words, parts of words, over punctuation, of other case, and one that no text holds.
+WANTED = ("the secret", "no such thing", "cret lif", "frica, and", "RISE OF", "merica", "d the ma", ", and a", "of the", "urope")
+
 QUERIES = {
     "a03_source_parts": (source_parts, chain("select source_file, count(*) as n from editions_raw where source_file in ('part01', 'part03', 'part05', 'part06', 'part07', 'part08', 'part09') group by 1")),
     "b01_b02_language": (
@@ -107,11 +110,11 @@ QUERIES = {
     ),
     "c04_provenance": (lambda s, d: b.provenance(pools(s, d), merged(s, d)), chain("select slot_type, filler, m.title, m.subtitle as subtitle_text, case when source_file = 'openlibrary' then 'OL' else 'LOC' end as source_tag from pools p join merged m on m.id = p.source_subtitle_id")),
     "c05_find_sources": (
-        lambda s, d: b.find_sources(pools(s, d).select("slot_type", F.upper("filler").alias("filler")).unionByName(s.createDataFrame([("of_object", "the secret"), ("of_object", "no such thing")], "slot_type string, filler string")), pools(s, d), merged(s, d)),
+        lambda s, d: b.find_sources(pools(s, d).select("slot_type", F.upper("filler").alias("filler")).unionByName(s.createDataFrame([("of_object", x) for x in WANTED], "slot_type string, filler string")), pools(s, d), merged(s, d)),
         chain(r"""select slot_type, filler, case when h is not null then concat_ws(': ', nullif(regexp_replace(trim(coalesce(h.title, '')), '[ /:]+$', ''), ''), nullif(regexp_replace(trim(coalesce(h.text, '')), '[ /:]+$', ''), '')) end as description, h.tag as source_tag from (
           select w.slot_type, w.filler, coalesce(k.s, c.s) as h from wa w left join kn k on k.slot_type = w.slot_type and k.k = lower(w.filler)
           left join (select w.slot_type, w.filler, arg_min({'filler': w.filler, 'title': m.title, 'text': m.subtitle, 'tag': case when source_file = 'openlibrary' then 'OL' else 'LOC' end}, m.id) as s from wa w join merged m on contains(lower(m.subtitle), lower(w.filler)) where not exists (select 1 from kn where kn.slot_type = w.slot_type and kn.k = lower(w.filler)) group by 1, 2) c on c.slot_type = w.slot_type and c.filler = w.filler) x""",
-          more="wa as (select slot_type, upper(filler) as filler from pools union all select * from (values ('of_object', 'the secret'), ('of_object', 'no such thing')) v(a, b)), kn as (select p.slot_type, lower(p.filler) as k, min({'filler': p.filler, 'title': m.title, 'text': m.subtitle, 'tag': case when source_file = 'openlibrary' then 'OL' else 'LOC' end}) as s from pools p join merged m on m.id = p.source_subtitle_id group by 1, 2)"),
+          more=f"wa as (select slot_type, upper(filler) as filler from pools union all select * from (values {', '.join(f"('of_object', '{x}')" for x in WANTED)}) v(a, b)), kn as (select p.slot_type, lower(p.filler) as k, min({{'filler': p.filler, 'title': m.title, 'text': m.subtitle, 'tag': case when source_file = 'openlibrary' then 'OL' else 'LOC' end}}) as s from pools p join merged m on m.id = p.source_subtitle_id group by 1, 2)"),
     ),
     "c08_e10_articles": (
         lambda s, d: b.article_for(pools(s, d).where("slot_type = 'of_object'").select(F.col("filler").alias("phrase")), b.majority_articles(articles(s, d))),

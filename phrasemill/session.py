@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _built: dict[tuple, str] = {}
+_shipped: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,6 +42,19 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors once a session, for those that don't have it installed."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        root = Path(__file__).resolve().parent
+        to = Path(tempfile.mkdtemp(prefix="spark-phrasemill-")) / f"{root.name}.zip"
+        with zipfile.ZipFile(to, "w") as z:
+            for f in sorted(root.rglob("*.py")):
+                z.write(f, f.relative_to(root.parent))
+        spark.sparkContext.addPyFile(str(to))
+        _shipped.add(app)
+
+
 def _version(spark: SparkSession, source: str) -> int:
     """A hash of the names, sizes and times of the source's files, so that a changed source is built anew."""
     top = spark._jvm.org.apache.hadoop.fs.Path(source)
