@@ -7,16 +7,22 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def counts_for(kind: str, severity: int = 3) -> Column:
+    """Whether a request counts for alerts of this kind: failure, error or browser."""
+    tests = {"failure": ~F.col("success"), "error": F.col("severity_level") >= severity, "browser": F.col("client_type") == "Browser"}
+    return F.coalesce(tests[kind], F.lit(False))
+
+
 def failures(log: DataFrame) -> DataFrame:
-    return log.where(~F.col("success"))
+    return log.where(counts_for("failure"))
 
 
 def errors(log: DataFrame, severity: int = 3) -> DataFrame:
-    return log.where(F.col("severity_level") >= severity)
+    return log.where(counts_for("error", severity))
 
 
 def browser_exceptions(log: DataFrame) -> DataFrame:
-    return log.where(F.col("client_type") == "Browser")
+    return log.where(counts_for("browser"))
 
 
 def joined_names(names: Column, most: int = 10, between: str = ", ") -> Column:
@@ -24,18 +30,12 @@ def joined_names(names: Column, most: int = 10, between: str = ", ") -> Column:
 
 
 def windowed(log: DataFrame, width: str, name: str = "name", code: str = "severity_level", between: str = ", ", most: int = 10) -> DataFrame:
-    """window_start, n, names (the least ``most`` distinct), code (least).
-
-    A batch counts each name first and keeps the least names by rank, however many there are. A stream, which has one
-    aggregation, keeps a window's names as a set until the watermark passes.
-    """
+    """window_start, n, names (the least ``most`` distinct), code (least): each name is counted first and the least names are kept by
+    rank, however many there are."""
     short, w = F.substring(name, 1, 200), F.window("timestamp", width).alias("w")
-    if log.isStreaming:
-        out = log.groupBy(w).agg(F.count(F.lit(1)).alias("n"), F.collect_set(short).alias("set"), F.min(code).alias("code"))
-    else:
-        per = log.groupBy(w, short.alias("name")).agg(F.count(F.lit(1)).alias("n"), F.min(code).alias("code"))
-        rank = F.row_number().over(W.partitionBy("w").orderBy(F.asc_nulls_last("name")))
-        out = per.withColumn("rank", rank).groupBy("w").agg(F.sum("n").alias("n"), F.collect_list(F.when(F.col("rank") <= most, F.col("name"))).alias("set"), F.min("code").alias("code"))
+    per = log.groupBy(w, short.alias("name")).agg(F.count(F.lit(1)).alias("n"), F.min(code).alias("code"))
+    rank = F.row_number().over(W.partitionBy("w").orderBy(F.asc_nulls_last("name")))
+    out = per.withColumn("rank", rank).groupBy("w").agg(F.sum("n").alias("n"), F.collect_list(F.when(F.col("rank") <= most, F.col("name"))).alias("set"), F.min("code").alias("code"))
     return out.select(F.col("w.start").alias("window_start"), "n", joined_names(F.col("set"), most, between).alias("names"), "code")
 
 

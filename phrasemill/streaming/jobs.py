@@ -6,18 +6,32 @@ Event times must be timestamps with a zone (cast TIMESTAMP_NTZ first). Watermark
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phrasemill.operators import feedback, telemetry
+from phrasemill.sources.keyed import KeyedTable
 
 LATE, RATING_KEYS = "10 minutes", "2 days"
+WIDTHS = {"failure": timedelta(minutes=5), "error": timedelta(minutes=15), "browser": timedelta(minutes=15)}
+#: Keyed state with timers needs this store.
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def alert_windows(log: DataFrame, kind: str, late: str = LATE) -> DataFrame:
-    """Windows of failures (5 minutes), errors or browser exceptions (15 minutes); the batch queries run the same plan."""
-    pick, width = {"failure": (telemetry.failures, "5 minutes"), "error": (telemetry.errors, "15 minutes"), "browser": (telemetry.browser_exceptions, "15 minutes")}[kind]
-    return telemetry.windowed(pick(log.withWatermark("timestamp", late)), width)
+    """kind, window, n, names, code of the windows with failures (5 minutes), errors or browser exceptions (15 minutes), each once, when the
+    watermark has passed its end; rows that are later than that are dropped.
+
+    All requests move the watermark, so a window closes though nothing fails after it: they are counted if they match, not filtered before. A
+    window's state is its counts and its set of names.
+    """
+    match, width = telemetry.counts_for(kind), WIDTHS[kind]
+    name = F.when(match, F.substring("name", 1, 200))
+    counted = log.withWatermark("timestamp", late).groupBy(F.window("timestamp", f"{int(width.total_seconds())} seconds"))
+    out = counted.agg(F.count_if(match).alias("n"), F.collect_set(name).alias("set"), F.min(F.when(match, F.col("severity_level"))).alias("code")).where("n > 0")
+    return out.select(F.lit(kind).alias("kind"), "window", "n", telemetry.joined_names(F.col("set")).alias("names"), "code")
 
 
 def checked_ratings(ratings: DataFrame, key: str = "row_key", late: str = RATING_KEYS) -> DataFrame:
@@ -48,13 +62,27 @@ def live_counters(ratings: DataFrame) -> DataFrame:
     return ratings.select(F.explode(rows).alias("r")).groupBy("r.kind", "r.value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def drain(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Runs a stream to the end of its input and returns what it put out; for results of bounded size."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+def counted_into(ratings: DataFrame, table: KeyedTable, checkpoint: str):
+    """The live counters, kept in a keyed table: each batch puts the counters that it has changed; a batch that is run again changes nothing."""
+
+    def put(batch: DataFrame, n: int) -> None:
+        table.upsert(batch, n)
+
+    return live_counters(ratings).writeStream.foreachBatch(put).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def counters_table(spark: SparkSession, path: str) -> KeyedTable:
+    return KeyedTable(spark, path, "kind string, value string, n long", ("kind", "value"), "n")
+
+
+def drained(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Runs a stream to the end of its input; what it puts out in append mode goes to files at ``path``, which are returned."""
+    spark = stream.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path).awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)
 
 
 def file_stream(spark: SparkSession, path: str, schema, files: int = 1) -> DataFrame:
-    """``files`` are read at a time; where they may land in another order than their times, as many as a watermark's span holds."""
+    """``files`` are read at a time, in the order of their landing."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
