@@ -6,22 +6,57 @@ import json
 from pyspark.sql import functions as F
 
 from phrasemill.operators import feedback
-from phrasemill.sources import readers
+from phrasemill.sources import readers, writers
 from phrasemill.streaming import jobs
 
 
-def marc_record(fields):
-    data = "".join(d + "\x1e" for _, d in fields)
-    directory = "".join(f"{tag}{len(d) + 1:04d}{0:05d}" for tag, d in fields)
-    return "0" * 24 + directory + "\x1e" + data + "\x1d"
+def marc_record(fields, order=None, coding="a", encoding="utf-8", length=None, base=None):
+    """A record by hand: ``order`` puts the fields' data into the data area in another order than the directory has."""
+    data = [d.encode(encoding) if isinstance(d, str) else d for _, d in fields]
+    starts, area = {}, b""
+    for k in order or range(len(data)):
+        starts[k] = len(area)
+        area += data[k] + b"\x1e"
+    directory = "".join(f"{tag}{len(d) + 1:04d}{starts[k]:05d}" for k, ((tag, _), d) in enumerate(zip(fields, data))).encode() + b"\x1e"
+    at = 24 + len(directory)
+    whole = at + len(area) + 1
+    leader = f"{whole if length is None else length:05d}nam {coding}22{at if base is None else base:05d} a 4500".encode()
+    return leader + directory + area + b"\x1d"
 
 
 def test_marc(spark, tmp_path):
-    good = [("008", "x" * 35 + "eng d"), ("010", "  \x1fa 89-83818 "), ("245", "10\x1faRace /\x1fbPower, Faith, and the rise of it /")]
-    (tmp_path / "part01.mrc").write_text(marc_record(good) + marc_record([("245", "00\x1faOnly a title")]) + "broken\x1d" + "0" * 24 + "245\x1e\x1d")
-    got = readers.marc_subtitles(readers.read_marc(spark, str(tmp_path))).orderBy(F.col("raw_subtitle").isNull()).collect()
-    assert [(r.source_file, r.title, r.raw_subtitle, r.lccn) for r in got] == [("part01", "Race /", "Power, Faith, and the rise of it /", "89-83818"), ("part01", "Only a title", None, None)]
-    assert got[0].fixed[35:38] == "eng"
+    title = "10\x1faRace é日 /\x1fbPower, Faith, and the rise of it /"
+    good = [("008", "x" * 35 + "eng d"), ("010", "  \x1fa 89-83818 "), ("245", title)]
+    old = [("245", b"10\x1faR\xe2ev\xe8olution, \xa1o\xe1\xe2a\x1fbplain")]
+    records = [
+        marc_record(good), marc_record(good, order=[2, 0, 1]), marc_record([("020", ""), *good, ("500", "")]), marc_record([("245", "00\x1faOnly a title")]), marc_record(old, coding=" "),
+        marc_record([("245", b"10\x1fabad \xff byte\x1fbx")]), marc_record([]),
+        # skipped: too short, of another length, data that begin elsewhere, a field outside the record
+        b"broken\x1d", marc_record(good, length=77), marc_record(good, base=99), marc_record(good, base=99998), marc_record(good)[:-30] + b"\x1d",
+    ]
+    (tmp_path / "part01.mrc").write_bytes(b"".join(records))
+    read = readers.read_marc(spark, str(tmp_path))
+    assert read.count() == 7 and sorted(len(r.fields) for r in read.collect()) == [0, 1, 1, 1, 3, 3, 5]
+    got = sorted((r.title or "", r.raw_subtitle, r.lccn, r.fixed[35:38] if r.fixed else None) for r in readers.marc_subtitles(read).collect())
+    whole = ("Race é日 /", "Power, Faith, and the rise of it /", "89-83818", "eng")
+    assert got == [("", None, None, None), ("Only a title", None, None, None), whole, whole, whole, ("Rév\u00f6lution, Ło\u00e0\u0301", "plain", None, None), ("bad \ufffd byte", "x", None, None)]
+
+
+def test_marc_of_many_splits(spark, tmp_path):
+    """A file read in pieces of a few hundred bytes has the records of the whole; what the writer writes has true lengths and starts."""
+    rows = [(i, "é" * (i % 50) + f"title {i}") for i in range(300)]
+    fields = F.array(F.struct(F.lit("001").alias("tag"), F.col("id").cast("string").alias("data")), F.struct(F.lit("245").alias("tag"), F.concat(F.lit("10\x1fa"), "t").alias("data")))
+    writers.write_marc(spark.createDataFrame(rows, "id long, t string").coalesce(1).select(fields.alias("fields")), str(tmp_path / "out"))
+    data = next((tmp_path / "out").glob("part*")).read_bytes()
+    assert data.split(b"\x1d")[:-1] == [marc_record([("001", str(i)), ("245", f"10\x1fa{t}")])[:-1].replace(b" a 4500", b"   4500") for i, t in rows]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 700)
+    try:
+        read = readers.read_marc(spark, str(tmp_path / "out"))
+        assert read.rdd.getNumPartitions() > 20
+        got = sorted((int(r.i), r.t) for r in read.select(readers.field("001").alias("i"), readers.subfield("245", "a").alias("t")).collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == rows
 
 
 def test_editions_dump(spark, tmp_path):
