@@ -7,6 +7,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from phrasemill.session import spread
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "labels", "embeddings")
 
 
@@ -30,7 +32,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name in TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     text = sql(name)
-    return spark.sql(_braced(text), **{t: view(spark, sf_dir, t) for t in base_tables(text)})
+    return spark.sql(_braced(text), **{t: spread(view(spark, sf_dir, t)) for t in base_tables(text)})
 
 
 def _braced(text: str) -> str:

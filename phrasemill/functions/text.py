@@ -160,15 +160,16 @@ def guessed_tag(word: Column) -> Column:
     )
 
 
-def is_valid_item(c: Column, tags: Column) -> Column:
-    own = F.filter(F.arrays_zip(tags.alias("tag"), tokens(c).alias("token")), lambda x: ~((x["tag"] == "PUNCT") & (x["token"] == "-")))
-    ok = F.forall(own, lambda x: x["tag"].isin(*lists.ITEM_TAGS)) & F.exists(tags, lambda t: t.isin(*lists.NOUN_TAGS))
+def is_valid_item(c: Column, tokens: Column) -> Column:
+    """``tokens``: array<struct<text, tag, ...>> of the phrase."""
+    own = F.filter(tokens, lambda x: ~((x["tag"] == "PUNCT") & (x["text"] == "-")))
+    ok = F.forall(own, lambda x: x["tag"].isin(*lists.ITEM_TAGS)) & F.exists(tokens, lambda x: x["tag"].isin(*lists.NOUN_TAGS))
     return word_count(c).between(1, 3) & ~c.rlike("[0-9]{4}") & ~shouts(c) & ok
 
 
-def is_valid_object(c: Column, tags: Column) -> Column:
-    own = F.filter(F.arrays_zip(tags.alias("tag"), tokens(c).alias("token")), lambda x: ~((x["tag"] == "PUNCT") & (x["token"] == "-")))
-    ok = F.forall(own, lambda x: ~x["tag"].isin("PUNCT", *lists.REJECTED_TAGS)) & F.exists(tags, lambda t: t.isin(*lists.NOUN_TAGS))
+def is_valid_object(c: Column, tokens: Column) -> Column:
+    own = F.filter(tokens, lambda x: ~((x["tag"] == "PUNCT") & (x["text"] == "-")))
+    ok = F.forall(own, lambda x: ~x["tag"].isin("PUNCT", *lists.REJECTED_TAGS)) & F.exists(tokens, lambda x: x["tag"].isin(*lists.NOUN_TAGS))
     return word_count(c).between(1, 5) & ~c.rlike("[0-9]{4}") & ~shouts(c) & ok
 
 

@@ -9,9 +9,7 @@ from pyspark.sql import functions as F
 from phrasemill.functions import text as t
 from phrasemill.functions import words as lists
 from phrasemill.operators.search import first_holders
-
-#: A lexicon of at most so many words travels as one map; a larger one is joined.
-LEXICON_MAP_ROWS = 2000
+from phrasemill.operators.tagging import Tagger, lexicon, once, part, tag_phrases, with_tagger  # noqa: F401
 
 
 def clean_records(raw: DataFrame) -> DataFrame:
@@ -69,8 +67,6 @@ def matches(subtitles: DataFrame) -> DataFrame:
     """subtitle_id, title, subtitle, list_items, action_noun, action_article, of_object, of_article of the texts that fit the pattern."""
     named = ~((F.col("source_file") == "openlibrary") & (F.coalesce("isbn", F.lit("")) == "") & (F.coalesce("lccn", F.lit("")) == ""))
     near = subtitles.where(t.may_match(F.col("subtitle"))).where(named & ~t.is_noise(F.col("subtitle")))
-    # generators of one element or none: what they hold is computed once, where a filter would compute it again
-    once = lambda df, name, c, test: df.select("*", F.explode(F.filter(F.array(c), test)).alias(name))
     parts = once(near.select("id", "title", "subtitle"), "p", t.pattern_parts(F.col("subtitle")), lambda x: F.size(x) == 4)
     parts = once(parts, "list_items", t.list_items(F.col("p")[0]), lambda x: F.size(x) >= 2)
     parts = parts.withColumn("object", t.strip_ending(F.col("p")[3]))
@@ -80,53 +76,17 @@ def matches(subtitles: DataFrame) -> DataFrame:
     )
 
 
-def lexicon(spark) -> DataFrame:
-    return spark.createDataFrame(list(lists.LEXICON), "word string, tag string, ent string")
-
-
-def with_lexicon(df: DataFrame, words: DataFrame, key: str, *phrases: Column) -> DataFrame:
-    """Adds a map column ``lexicon`` (lower-cased word -> (tag, ent)) that knows the words of the row's ``phrases``.
-
-    A lexicon of at most LEXICON_MAP_ROWS words is sent to all tasks whole; of a larger one each row gets its own words, by a join
-    of the rows' distinct tokens. ``key`` names the row. Of several entries of a word the least counts.
-    """
-    entry = words.groupBy("word").agg(F.min(F.struct("tag", "ent")).alias("entry"))
-    if words.count() <= LEXICON_MAP_ROWS:
-        return df.crossJoin(F.broadcast(entry.agg(F.map_from_entries(F.collect_list(F.struct("word", "entry"))).alias("lexicon"))))
-    own = F.array_distinct(F.flatten(F.array(*(F.transform(t.tokens(p), F.lower) for p in phrases))))
-    long = df.select(F.col(key).alias("_key"), F.explode(own).alias("word")).distinct().join(entry, "word")
-    maps = long.groupBy("_key").agg(F.map_from_entries(F.collect_list(F.struct("word", "entry"))).alias("lexicon"))
-    return df.join(maps, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
-
-
-def tags_of(phrase: Column, part: str = "tag") -> Column:
-    """Tag (or entity) of each token, by the column ``lexicon`` or else by its form."""
-
-    def one(w: Column) -> Column:
-        found = F.try_element_at(F.col("lexicon"), F.lower(w)).getField(part)
-        return F.coalesce(found, t.guessed_tag(w) if part == "tag" else F.lit(""))
-
-    return F.transform(t.tokens(phrase), one)
-
-
-def tag_phrases(phrases: DataFrame, words: DataFrame, id_col: str = "id", col: str = "phrase") -> DataFrame:
-    """-> id, tags: the same by a join, for a lexicon of any size; only tokens are dealt out."""
-    long = phrases.select(id_col, F.posexplode_outer(t.tokens(F.col(col))).alias("pos", "w"))
-    long = long.join(words.select("word", "tag"), F.lower("w") == F.col("word"), "left").withColumn("tag", F.coalesce("tag", t.guessed_tag(F.col("w"))))
-    rows = F.array_sort(F.collect_list(F.when(F.col("w").isNotNull(), F.struct("pos", "tag"))))
-    return long.groupBy(id_col).agg(F.transform(rows, lambda x: x["tag"]).alias("tags"))
-
-
-def validated(found: DataFrame, words: DataFrame) -> DataFrame:
+def validated(found: DataFrame, words: DataFrame, tagger: Tagger | None = None) -> DataFrame:
     """Matches whose action, object and at least two items are valid; invalid items leave the list."""
-    out = with_lexicon(found, words, "subtitle_id", F.col("of_object"), F.array_join("list_items", " ; ")).withColumns({
-        "action_noun": t.join_initials(F.col("action_noun")), "of_object": t.join_initials(F.col("of_object")),
-        "list_items": F.transform("list_items", lambda x: t.join_initials(t.strip_ending(x))),
-    })
-    out = out.where(t.is_clean(F.col("action_noun")) & t.is_valid_action(F.col("action_noun")))
-    out = out.where(t.is_clean(F.col("of_object")) & t.is_valid_object(F.col("of_object"), tags_of(F.col("of_object"))))
-    out = out.withColumn("list_items", F.filter("list_items", lambda x: t.is_clean(x) & t.is_valid_item(x, tags_of(x))))
-    return out.where(F.size("list_items") >= 2).drop("lexicon")
+    tidy = lambda x: t.join_initials(t.strip_ending(x))
+    out = once(found.withColumnRenamed("action_noun", "_action"), "action_noun", t.join_initials(F.col("_action")), lambda a: t.is_clean(a) & t.is_valid_action(a)).drop("_action")
+    out = once(out.withColumnRenamed("of_object", "_object"), "of_object", t.join_initials(F.col("_object")), t.is_clean).drop("_object")
+    out = once(out.withColumnRenamed("list_items", "_items"), "_clean", F.filter(F.transform("_items", tidy), t.is_clean), lambda x: F.size(x) >= 2).drop("_items")
+    out, of = with_tagger(out, words, "subtitle_id", F.array("of_object"), F.col("_clean"), tagger=tagger)
+    out = once(out, "_tokens", of(F.col("of_object")), lambda x: t.is_valid_object(F.col("of_object"), x)).drop("_tokens")
+    tagged = F.transform("_clean", lambda x: F.struct(x.alias("item"), of(x).alias("tokens")))
+    items = F.transform(F.filter(tagged, lambda x: t.is_valid_item(x["item"], x["tokens"])), lambda x: x["item"])
+    return once(out, "list_items", items, lambda x: F.size(x) >= 2).select(*found.columns)
 
 
 def slot_pools(valid: DataFrame) -> DataFrame:
@@ -181,13 +141,16 @@ def _is_noun(tag: Column) -> Column:
     return tag.isin(*lists.NOUN_TAGS)
 
 
-def split_parts(objects: DataFrame, words: DataFrame) -> DataFrame:
+def split_parts(objects: DataFrame, words: DataFrame, tagger: Tagger | None = None) -> DataFrame:
     """filler, freq, source_subtitle_id -> the same with ``prep_split`` and ``compound``, null where they don't apply.
 
     The prepositional split is at the first preposition with a noun on both sides; a compound of two or three words has its head
     last, holds no person, isn't a two-word place or noun and noun, and its head is no roman numeral.
     """
-    out = with_lexicon(objects, words, "filler", F.col("filler")).withColumns({"tok": t.tokens(F.col("filler")), "tags": tags_of(F.col("filler")), "ents": tags_of(F.col("filler"), "ent"), "wc": t.word_count(F.col("filler"))}).drop("lexicon")
+    out, of = with_tagger(objects, words, "filler", F.array("filler"), tagger=tagger)
+    out = once(out, "_tokens", of(F.col("filler"))).drop("_tags")
+    names = {"tok": "text", "tags": "tag", "ents": "ent"}
+    out = out.withColumns({k: part(F.col("_tokens"), v) for k, v in names.items()} | {"wc": t.word_count(F.col("filler"))}).drop("_tokens")
     out = out.withColumns({"at": F.array_position("tags", "ADP"), "n": F.size("tok")})
     side = lambda lo, k: F.array_join(F.slice("tok", lo, F.greatest(k, F.lit(0))), " ")
     tag = lambda lo, k: F.array_join(F.slice("tags", lo, F.greatest(k, F.lit(0))), "+")
@@ -265,30 +228,34 @@ def find_sources(wanted: DataFrame, fillers: DataFrame, subtitles: DataFrame) ->
     return out.select("slot_type", "filler", F.coalesce(told("s"), told("h")).alias("description"), F.coalesce("s.source_tag", "h.source_tag").alias("source_tag"))
 
 
-def templates(texts: DataFrame, words: DataFrame) -> DataFrame:
-    """id, phrase -> template (literals and tags, runs of a tag as ``TAG+``) and slot_data (pos, text, multi)."""
-    kind = "array<struct<p:string,w:array<string>,open:boolean>>"
-    out = with_lexicon(texts, words, "id", F.col("phrase")).withColumns({"tok": t.tokens(F.col("phrase")), "tags": tags_of(F.col("phrase"))}).drop("lexicon")
-
-    def part(x: Column) -> Column:
-        """A token with its place in the template: itself if it is literal, else its tag."""
-        mark = (x["tags"] == "PUNCT") & x["tok"].isin(*lists.LITERAL_PUNCTUATION)
-        literal = F.lower(x["tok"]).isin(*lists.LITERALS)
-        return F.struct(x["tok"].alias("w"), F.when(mark, x["tok"]).when(literal, F.lower(x["tok"])).otherwise(x["tags"]).alias("p"), (~literal & ~mark).alias("open"))
-
-    def merged(runs: Column, x: Column) -> Column:
-        """The runs with one more token, which joins the last run if both are open and of one tag."""
-        last = F.try_element_at(runs, F.lit(-1))
-        run = lambda w: F.array(F.struct(x["p"].alias("p"), w.alias("w"), x["open"].alias("open")))
-        longer = run(F.concat(F.coalesce(last["w"], F.array().cast("array<string>")), F.array(x["w"])))
-        joins = (F.size(runs) > 0) & x["open"] & F.coalesce(last["open"] & (last["p"] == x["p"]), F.lit(False))
-        return F.when(joins, F.concat(F.slice(runs, 1, F.greatest(F.size(runs) - 1, F.lit(0))), longer)).otherwise(F.concat(runs, run(F.array(x["w"])))).cast(kind)
-
-    out = out.withColumn("parts", F.transform(F.arrays_zip("tok", "tags"), part)).withColumn("runs", F.aggregate("parts", F.array().cast(kind), merged))
-    template = F.array_join(F.transform("runs", lambda r: F.concat(r["p"], F.when(F.size(r["w"]) > 1, "+").otherwise(""))), " ")
-    slot = lambda r: F.struct(r["p"].alias("pos"), F.array_join(r["w"], " ").alias("text"), (F.size(r["w"]) > 1).alias("multi"))
-    slots = F.transform(F.filter("runs", lambda r: r["open"]), slot)
-    return out.withColumns({"template": template, "slot_data": slots}).drop("tok", "tags", "parts", "runs")
+def templates(texts: DataFrame, words: DataFrame, tagger: Tagger | None = None) -> DataFrame:
+    """id, phrase -> template (literals and tags, runs of a tag as ``TAG+``) and slot_data (pos, text, multi).
+
+    A token is itself in the template if it is literal, else its tag. Runs are found by the places where one begins: work grows with a sentence's
+    length, however long.
+    """
+    out, of = with_tagger(texts, words, "id", F.array("phrase"), tagger=tagger)
+
+    def placed(x: Column) -> Column:
+        mark = (x["tag"] == "PUNCT") & x["text"].isin(*lists.LITERAL_PUNCTUATION)
+        low = F.lower(x["text"])
+        literal = low.isin(*lists.LITERALS)
+        return F.struct(x["text"].alias("w"), F.when(mark, x["text"]).when(literal, low).otherwise(x["tag"]).alias("p"), (~literal & ~mark).alias("open"))
+
+    out = once(out, "_parts", F.transform(of(F.col("phrase")), placed)).drop("_tags")
+
+    def begins(x: Column, i: Column) -> Column:
+        before = F.get("_parts", i - 1)
+        return F.when((i > 0) & x["open"] & before["open"] & (before["p"] == x["p"]), F.lit(None)).otherwise(i)
+
+    out = once(out, "_starts", F.array_compact(F.transform("_parts", begins)))
+    n = lambda k: F.coalesce(F.get("_starts", k + 1), F.size("_parts")) - F.get("_starts", k)
+    run = lambda s, k: F.struct(F.get("_parts", s)["p"].alias("p"), F.get("_parts", s)["open"].alias("open"), F.slice("_parts", s + 1, n(k)).alias("w"))
+    out = once(out, "_runs", F.transform("_starts", run))
+    template = F.array_join(F.transform("_runs", lambda r: F.concat(r["p"], F.when(F.size(r["w"]) > 1, "+").otherwise(""))), " ")
+    slot = lambda r: F.struct(r["p"].alias("pos"), F.array_join(F.transform(r["w"], lambda x: x["w"]), " ").alias("text"), (F.size(r["w"]) > 1).alias("multi"))
+    slots = F.transform(F.filter("_runs", lambda r: r["open"]), slot)
+    return out.select(*texts.columns, template.alias("template"), slots.alias("slot_data"))
 
 
 def pattern_index(analyzed: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from phrasemill.functions import words as lists
 from phrasemill.operators import bibliography as b
 from phrasemill.plans import duck
 from phrasemill.plans.duck import chain
-from phrasemill.session import build_table
+from phrasemill.session import build_table, spread
 
 
 def raw(spark, d):
@@ -26,11 +26,11 @@ def merged(spark, d):
 
 
 def found(spark, d):
-    return build_table(spark, d, "pattern_matches", lambda: b.matches(merged(spark, d)))
+    return build_table(spark, d, "pattern_matches", lambda: b.matches(spread(merged(spark, d))))
 
 
 def valid(spark, d):
-    return build_table(spark, d, "valid_matches", lambda: b.validated(found(spark, d), b.lexicon(spark)))
+    return build_table(spark, d, "valid_matches", lambda: b.validated(spread(found(spark, d)), b.lexicon(spark)))
 
 
 def pools(spark, d):
@@ -51,7 +51,7 @@ def parts(spark, d):
 
 def sentences(spark, d):
     """Every English sentence of ``documents``, however late or long; its id is the document's with the place in it."""
-    s = fixtures.view(spark, d, "documents").where("lang = 'en'").select("doc_id", F.posexplode(F.split("text", "[.\n]")).alias("pos", "s"))
+    s = spread(fixtures.view(spark, d, "documents")).where("lang = 'en'").select("doc_id", F.posexplode(F.split("text", "[.\n]")).alias("pos", "s"))
     return s.select(F.struct("doc_id", "pos").alias("id"), "doc_id", "pos", F.trim("s").alias("phrase")).where("phrase <> ''")
 
 

@@ -34,6 +34,15 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+def spread(df: DataFrame, least: int = 1 << 20) -> DataFrame:
+    """Deals the rows of a table over all cores where its size (by the plan, of ``least`` bytes or more) gives fewer partitions than there are
+    cores, for the sake of work that costs much a row; larger inputs have partitions enough and are left alone."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if least <= size < cores * (128 << 20) else df
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder and read back: a plan that is used several times runs once, and a lost executor
     costs a re-read."""

@@ -1,9 +1,12 @@
 """Tables of cases for text functions and article choice."""
 
+import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from phrasemill.functions import text as t
 from phrasemill.operators import bibliography as b
+from phrasemill.operators import tagging
 
 
 def column(spark, values, f):
@@ -56,12 +59,32 @@ def test_majority_and_backoff(spark):
     assert {r.phrase: r.article for r in b.article_for(phrases, b.majority_articles(counts)).collect()} == {"American Dream": "the", "Bad Dream": "a", "Dream": "a", "Science": "", "Nothing Else": ""}
 
 
-def test_both_taggers_agree(spark):
-    p = spark.createDataFrame([(i, x) for i, x in enumerate(("the small anvil of Africa", "", "U.S. money - 1984", "famous quickly"))], "id long, phrase string")
+def test_tags(spark):
+    p = spark.createDataFrame([(i, x) for i, x in enumerate(("the small anvil of Africa", "", "U.S. money - 1984", "famous quickly", None))], "id long, phrase string")
+    got = {r.id: r.tags for r in tagging.tag_phrases(p, b.lexicon(spark)).collect()}
+    assert got[0] == ["DET", "ADJ", "NOUN", "ADP", "PROPN"] and got[1] == [] and got[2] == ["PROPN", "NOUN", "PUNCT", "NUM"] and len(got) == 5
+
+
+@F.pandas_udf(ArrayType(StructType([StructField(k, StringType()) for k in ("text", "tag", "lemma", "ent")])))
+def model(texts: pd.Series) -> pd.Series:
+    """A stand-in for a model: capitals are names, ``of`` is a preposition, a hyphenated word is one token."""
+    tag = lambda w: "ADP" if w == "of" else "PROPN" if w[:1].isupper() else "PUNCT" if w in ",;" else "NOUN"
+    return texts.map(lambda x: [{"text": w, "tag": tag(w), "lemma": w.lower(), "ent": "PERSON" if w == "Ada" else ""} for w in x.replace(",", " ,").split()])
+
+
+def test_a_given_tagger(spark):
+    """Tags, validation, splits and templates all take the tagger's tokens; each distinct phrase is tagged once."""
     words = b.lexicon(spark)
-    one = {r.id: r.tags for r in b.tag_phrases(p, words).collect()}
-    two = {r.id: r.tags for r in b.with_lexicon(p, words, "id", F.col("phrase")).select("id", b.tags_of(F.col("phrase")).alias("tags")).collect()}
-    assert one == two and one[0] == ["DET", "ADJ", "NOUN", "ADP", "PROPN"] and one[2] == ["PROPN", "NOUN", "PUNCT", "NUM"]
+    p = spark.createDataFrame([(1, "state-of-the-art Art"), (2, "kings of Kings"), (3, "kings of Kings")], "id long, phrase string")
+    assert {r.id: r.tags for r in tagging.tag_phrases(p, words, tagger=model).collect()} == {1: ["NOUN", "PROPN"], 2: ["NOUN", "ADP", "PROPN"], 3: ["NOUN", "ADP", "PROPN"]}
+    got = {r.id: r.template for r in b.templates(p, words, model).collect()}
+    assert got == {1: "NOUN PROPN", 2: "NOUN of PROPN", 3: "NOUN of PROPN"}
+    rows = [(1, "t", "s", ["Race", "Power,", "x of y"], "rise", "the", "green Fields", "the"), (2, "t", "s", ["Race", "of"], "rise", "the", "Fields", "")]
+    found = spark.createDataFrame(rows, "subtitle_id long, title string, subtitle string, list_items array<string>, action_noun string, action_article string, of_object string, of_article string")
+    assert [(r.subtitle_id, r.list_items) for r in b.validated(found, words, model).collect()] == [(1, ["Race", "Power"])]
+    objects = spark.createDataFrame([("kings of Kings", 1, 1), ("Ada lovelace", 1, 2), ("Green fields", 1, 3)], "filler string, freq long, source_subtitle_id long")
+    split = {r.filler: r for r in b.split_parts(objects, words, model).collect()}
+    assert split["kings of Kings"].prep_split.topic == "kings" and split["Ada lovelace"].compound is None and split["Green fields"].compound.head == "fields"
 
 
 def test_lexicons_of_any_size_agree(spark, small, monkeypatch):
