@@ -41,9 +41,10 @@ def drop_known(editions: DataFrame, records: DataFrame, key: str, normal=lambda
 
 
 def one_per_key(df: DataFrame, key: str, order: str) -> DataFrame:
-    """The first row of each key; rows without a key all stay, each in a window of its own."""
-    own = W.partitionBy(_spread(F.col(key), F.col(order)), _keyed(F.col(key))).orderBy(order)
-    return df.withColumn("rn", F.row_number().over(own)).where(F.when(_keyed(F.col(key)), F.col("rn") == 1).otherwise(True)).drop("rn")
+    """The first row of each key, found by an aggregate that keeps one row a key before anything is dealt out; rows without a key all stay."""
+    keyed = _keyed(F.col(key))
+    first = df.where(keyed).groupBy(F.col(key).alias("_key")).agg(F.min_by(F.struct(*df.columns), order).alias("r")).select("r.*")
+    return first.unionByName(df.where(~keyed))
 
 
 def merge_sources(cleaned: DataFrame) -> DataFrame:

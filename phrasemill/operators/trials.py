@@ -97,6 +97,33 @@ def calibrate(seeds: DataFrame, generate, rate) -> DataFrame:
     return out
 
 
+#: The calibrated settings, with their values before any calibration.
+CALIBRATED = {"remix_calibrated_min_sim": 0.1, "remix_calibrated_remix_prob": 0.8}
+
+
+def results(calibrated: DataFrame, baseline: DataFrame) -> DataFrame:
+    """``calibrate`` and the baseline's one row -> key, value: the five entries that a calibration leaves in the config log, the best levels as numbers and
+    the baseline and the phases (by level: avg, dims, remix_rate) as JSON."""
+    c, phase = F.col, lambda k: F.col("phase") == k
+    told = F.struct(c("overall").alias("avg"), F.struct("coherence", "evocativeness", "surprise").alias("dims"), "remix_rate")
+    levels = lambda k, level: F.to_json(F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.when(phase(k), F.struct("level", c(level).cast("string").alias("name"), told.alias("told"))))), lambda x: F.struct(x["name"], x["told"]))))
+    best = lambda k, level: F.max(F.when(phase(k) & c("best"), c(level))).cast("string")
+    one = calibrated.agg(best(1, "min_sim").alias("a"), best(2, "remix_prob").alias("b"), levels(1, "min_sim").alias("c"), levels(2, "remix_prob").alias("d"))
+    one = one.crossJoin(baseline.select(F.to_json(F.struct("mean", "std", F.col("least").alias("min"), "p10")).alias("e")))
+    pair = lambda key, value: F.struct(F.lit(key).alias("key"), c(value).alias("value"))
+    rows = F.array(pair("remix_calibrated_min_sim", "a"), pair("remix_calibrated_remix_prob", "b"), pair("remix_baseline_sim", "e"), pair("remix_phase1_results", "c"), pair("remix_phase2_results", "d"))
+    return one.select(F.explode(rows).alias("r")).select("r.*")
+
+
+def with_calibrated(requests: DataFrame, stored: DataFrame) -> DataFrame:
+    """Requests without a remix_prob or min_sim of their own get the calibrated ones of the config table (key, value), or the
+    values before any calibration."""
+    got = stored.where(F.col("key").isin(*CALIBRATED)).groupBy().agg(*(F.max(F.when(F.col("key") == k, F.expr("try_cast(value as double)"))).alias(k) for k in CALIBRATED))
+    own = requests.crossJoin(F.broadcast(got))
+    fill = lambda c, k: F.coalesce(c, k, F.lit(CALIBRATED[k]))
+    return own.withColumns({"min_sim": fill("min_sim", "remix_calibrated_min_sim"), "remix_prob": fill("remix_prob", "remix_calibrated_remix_prob")}).drop(*CALIBRATED)
+
+
 def rated_by(text: Column, axis: str) -> Column:
     """A stand-in for a rater: 1 to 10 by a hash of the text."""
     return (1 + F.floor(10 * s.uniform(text, axis))).cast("int")

@@ -8,9 +8,10 @@ from phrasemill import fixtures
 from phrasemill.functions import text as t
 from phrasemill.functions import words as lists
 from phrasemill.operators import bibliography as b
+from phrasemill.operators.pattern_index import PatternIndex
 from phrasemill.plans import duck
 from phrasemill.plans.duck import chain
-from phrasemill.session import build_table, spread
+from phrasemill.session import build_table, scratch, spread
 
 
 def raw(spark, d):
@@ -59,6 +60,17 @@ def analyzed(spark, d):
     return build_table(spark, d, "analyzed", lambda: b.templates(sentences(spark, d), b.lexicon(spark)))
 
 
+def incremental_index(spark, d):
+    """The index after two increments, a removal and the texts' return."""
+    texts, words = sentences(spark, d).select("id", "doc_id", "phrase"), b.lexicon(spark)
+    index = PatternIndex(spark, scratch(spark, "pattern-index"), "struct<doc_id:bigint,pos:int>")
+    index.add(texts.where("doc_id % 3 = 0"), words, 0)
+    index.add(texts, words, 1)
+    index.remove(texts.where("doc_id % 4 = 1"), 2)
+    index.add(texts.where("doc_id % 2 = 1"), words, 3)
+    return index.index()
+
+
 PHRASES = ("U. S. Money", "D. C  Life", "Grit  and  Fil", "GOLFERS", "Things", "new bibliographies", "São Paulo", "Caf¿", "Independent Fi", "The X", "a 1984 rule", "secret life", "NBA")
 
 
@@ -148,6 +160,7 @@ QUERIES = {
     "e02_first_per_key": (lambda s, d: b.one_per_key(raw(s, d), "work_key", "id").select("id", "work_key"), chain("select id, work_key from (select *, row_number() over (partition by coalesce(nullif(work_key, ''), 'none' || id) order by id) as rn from editions_raw) x where rn = 1")),
     "e11_not_yet_analyzed": (lambda s, d: b.not_yet_analyzed(raw(s, d).select("id", "title"), raw(s, d).where("id % 3 = 0")), chain("select id, title from editions_raw where id % 3 <> 0")),
     "d08_pattern_index": (lambda s, d: b.pattern_index(analyzed(s, d)), f"with {duck.LEX}{duck.TEMPLATES} select template, count(*) as count, arg_min(phrase, id) as example from tpl group by 1"),
+    "d08_incremental_index": (incremental_index, f"with {duck.LEX}{duck.TEMPLATES} select template, count(*) as count, arg_min(phrase, id) as example from tpl group by 1"),
     "g01_all_pools": (
         lambda s, d: pools(s, d).unionByName(parts(s, d), allowMissingColumns=True),
         chain("select slot_type, filler, freq, source_subtitle_id, cast(null as varchar) as pos_tag, cast(null as varchar) as prep from pools union all select slot_type, filler, freq, source_subtitle_id, pos_tag, prep from parts"),

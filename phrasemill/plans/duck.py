@@ -173,8 +173,9 @@ _GENERATED = r"""
 {p}_pick as (select req_id, attempt, max(filler) filter (part = 'part1') as part1, max(filler) filter (part = 'part2') as part2 from {p}_pt x join {p}_cum c on c.pool = x.pool and u * t >= hi - w and u * t < hi group by 1, 2),
 {p}_made as (select t.*, part1 as one, case when kind = 'type1' then coalesce(lk_head, part2) else part2 end as two from {p}_try t left join {p}_pick using (req_id, attempt)),
 {p}_comp as (select *, case when kind = 'type1' then one || ' ' || two else one || ' ' || prep || ' ' || two end as composed from {p}_made where one is not null and two is not null),
-{p}_sc as (select case when slot_type in ('of_modifier', 'of_head') then 'type1' else 'type2' end as kind, slot_type in ('of_modifier', 'of_topic') as first, filler, length(filler) % 7 / 10 as d from parts),
-{p}_sim as (select c.*, case when min_sim > 0 or locked then (x.d + y.d) / sqrt(2.2) end as sim from {p}_comp c left join {p}_sc x on x.kind = c.kind and x.first and x.filler = one left join {p}_sc y on y.kind = c.kind and not y.first and y.filler = two where c.kind = 'type1' or locked or len({composed_words}) = words),
+{p}_sc as (select case when slot_type in ('of_modifier', 'of_head') then 'type1' else 'type2' end as kind, slot_type in ('of_modifier', 'of_topic') as first, filler, d, q from psc),
+{p}_sim as (select c.*, case when (min_sim > 0 or locked) and x.q + y.q + 2 * sqrt(x.q) * sqrt(y.q) * k.mean_cosine > 0 then (x.d + y.d) / (sqrt(x.q + y.q + 2 * sqrt(x.q) * sqrt(y.q) * k.mean_cosine) * norm) end as sim
+  from {p}_comp c left join {p}_sc x on x.kind = c.kind and x.first and x.filler = one left join {p}_sc y on y.kind = c.kind and not y.first and y.filler = two join rc k on k.kind = c.kind, cn where c.kind = 'type1' or locked or len({composed_words}) = words),
 {p}_mix as (select * from (select *, row_number() over (partition by req_id order by case when passes then 0 else 1 end, case when passes then attempt end, sim desc nulls last, attempt) as rn from (select *, min_sim <= 0 or sim is null or sim >= min_sim as passes from {p}_sim) z where passes or locked) y where rn = 1),
 {p}_best as (select slot_type, filler_lc, sum(n) as total, max(n) as n, arg_max(article, (n, length(article), article)) as article from arts group by 1, 2),
 {p}_all as (select d.req_id, d.trial, d.tone, item1, item2, action_noun, coalesce(m.composed, d.of_object) as of_object, m.req_id is not null as remixed, m.kind, m.one, m.two, m.prep, m.sim from {p}_drawn d left join (select req_id, composed, kind, one, two, prep, sim from {p}_mix) m using (req_id)),

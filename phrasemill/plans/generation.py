@@ -13,11 +13,13 @@ from phrasemill.operators import feedback as f
 from phrasemill.operators import generate as g
 from phrasemill.operators import sampling as p
 from phrasemill.operators import trials as u
+from phrasemill.operators import vectors as v
 from phrasemill.plans import bibliography as bib
-from phrasemill.plans import duck
+from phrasemill.plans import duck, numbers
 from phrasemill.plans.duck import chain
 from phrasemill.plans.numbers import rounded
-from phrasemill.session import build_table, materialise
+from phrasemill.session import build_table, materialise, scratch
+from phrasemill.sources.keyed import KeyedTable
 
 
 def pools(sp, d):
@@ -29,7 +31,20 @@ def parts(sp, d):
 
 
 def scalars(sp, d):
-    return bib.parts(sp, d).select("slot_type", "filler", (F.length("filler") % 7 / 10).alias("centroid_dot"), F.lit(1.0).alias("norm_sq"))
+    """centroid_dot and norm_sq of every sub-part that has a vector; the others have no similarity."""
+
+    def build():
+        own = v.scalars(numbers.part_vectors(sp, d), v.centroid(numbers.phrase_vectors(sp, d)), "slot_type")
+        return own.select("slot_type", F.col("id").alias("filler"), "centroid_dot", "norm_sq")
+
+    return build_table(sp, d, "part_scalars", build)
+
+
+def constants(sp, d):
+    """The centroid's norm and the mean cross similarities of the two remix types, three numbers."""
+    kinds = numbers.cross(sp, d, digits=None).groupBy().pivot("kind", ["type1", "type2"]).agg(F.first("mean_cosine"))
+    one = v.centroid(numbers.phrase_vectors(sp, d)).select("centroid_norm").crossJoin(kinds)
+    return tuple(build_table(sp, d, "remix_constants", lambda: one).first())
 
 
 def requests(sp, d):
@@ -42,7 +57,7 @@ def requests(sp, d):
 
 
 def made(sp, d, req, params=None, own_pools=None):
-    return g.generate(req, pools(sp, d) if own_pools is None else own_pools, parts(sp, d), bib.split(sp, d), bib.articles(sp, d), scalars(sp, d), p.defaults(sp) if params is None else params)
+    return g.generate(req, pools(sp, d) if own_pools is None else own_pools, parts(sp, d), bib.split(sp, d), bib.articles(sp, d), scalars(sp, d), p.defaults(sp) if params is None else params, constants(sp, d))
 
 
 def samples(sp, d):
@@ -84,6 +99,29 @@ def calibrated(sp, d):
     return rounded(out, *AXES, "overall", "quality", "remix_rate")
 
 
+def calibration_log(sp, d):
+    """The calibration's five results, put into the config table."""
+    made_of = build_table(sp, d, "calibration", lambda: u.calibrate(fixtures.view(sp, d, "customer").select(F.col("c_custkey").alias("n")), lambda req: made(sp, d, req), ratings_of))
+    vec = numbers.phrase_vectors(sp, d)
+    table = KeyedTable(sp, scratch(sp, "config"), "key string, value string", ("key",), "value")
+    table.upsert(sp.createDataFrame([("pop_tone_blend", "0.25"), ("remix_calibrated_min_sim", "9")], "key string, value string"), 0)
+    table.upsert(u.results(made_of, v.baseline(v.scalars(vec, v.centroid(vec)))), 1)
+    return table.read()
+
+
+def stored_results(sp, d):
+    """The stored results read back: the settings that requests get, the baseline's p10, the sums of the phases' levels."""
+    stored = calibration_log(sp, d).where("key like 'remix%'")
+    bare = sp.createDataFrame([(None, None)], "remix_prob double, min_sim double")
+    got = u.with_calibrated(bare, stored).select(F.explode(F.create_map(F.lit("remix_calibrated_min_sim"), "min_sim", F.lit("remix_calibrated_remix_prob"), "remix_prob")).alias("key", "x"))
+    phase = F.from_json("value", "map<string,struct<avg:double,dims:struct<coherence:double,evocativeness:double,surprise:double>,remix_rate:double>>")
+    levels = stored.where("key like 'remix_phase%'").select("key", F.map_values(phase).alias("l"))
+    levels = levels.select("key", F.aggregate("l", F.lit(0.0), lambda a, x: a + x["avg"]).alias("x"), F.concat(F.lit("/"), F.size("l").cast("string")).alias("n"))
+    p10 = stored.where("key = 'remix_baseline_sim'").select("key", F.get_json_object("value", "$.p10").cast("double").alias("x"))
+    rows = got.unionByName(p10).withColumn("n", F.lit("")).unionByName(levels)
+    return rows.select("key", F.concat(F.round("x", 6).cast("string"), F.col("n")).alias("value"))
+
+
 def sample_sources(sp, d):
     """C14: the sources of each plain sample's four fillers."""
     long = samples(sp, d).where("not remixed").unpivot("req_id", ["item1", "item2", "action_noun", "of_object"], "slot", "filler")
@@ -109,7 +147,10 @@ BOUNDS = {"pop_exponent": (0.2, 0.6), "pop_tone_blend": (0.0, 0.5), "weighted_sa
 _REQ = """r_req as (select c_custkey as req_id, 0 as trial, c_custkey + 1000 as seed, case c_custkey % 3 when 0 then '' when 1 then 'pop' else 'niche,pop' end as tone, 0.7 as remix_prob, 0.6 as min_sim,
   case when c_custkey % 5 = 0 then 'Race' end as lk_item1, case when c_custkey % 5 <> 0 and c_custkey % 7 = 0 then 'anvil' end as lk_head, case when c_custkey % 5 <> 0 and c_custkey % 7 <> 0 and c_custkey % 11 = 0 then 'the end' end as lk_object from customer),
 r_prm as (select 0 as trial, 0.0 as blend, 0.1 as missing, 0.4 as spread)"""
-_SAMPLES = f"{_REQ},\n{duck.generated('r')}"
+#: The vectors of the sub-parts, their scalars, the cross similarities and the centroid's norm.
+_PARTS_OF = f"{numbers.WORDS}, {numbers.VEC}, {numbers.PARTVEC},\nrc as ({numbers.CROSSED}), cn as (select sqrt(list_dot_product(centroid, centroid)) as norm from cen)"
+VIEWS = ("editions_raw", "token_words")
+_SAMPLES = f"{_PARTS_OF},\n{_REQ},\n{duck.generated('r')}"
 _PARTS = "case when kind = 'type1' then 'head=' || two || ';modifier=' || one when kind = 'type2' then 'complement=' || two || ';prep=' || {mid} || ';topic=' || one end"
 _MID = duck.title("mid")
 _RATED = "1 + cast(floor(10 * {0}) as int)"
@@ -130,16 +171,29 @@ def _sweep(p, base, levels):
 
 
 _LEVELS = lambda xs: ", ".join(f"({i}, {x})" for i, x in enumerate(xs))
-_T1 = chain(
-    " union all ".join(f"select {k} as phase, level, cast(remix_prob as double) as remix_prob, cast(min_sim as double) as min_sim, coherence, evocativeness, surprise, round(overall, 6) as overall, quality, n, remix_rate, level = (select level from c{k}_top) as best from c{k}_sum" for k in (1, 2)),
-    more=_sweep("c1", 3000, f"select level, 1.0 as remix_prob, x as min_sim from (values {_LEVELS(u.MIN_SIM_LEVELS)}) v(level, x)") + ",\n"
-    + _sweep("c2", 4000, f"select level, x as remix_prob, (select min_sim from c1_top) as min_sim from (values {_LEVELS(u.REMIX_PROB_LEVELS)}) v(level, x)"),
+_T1_WITH = (
+    f"{_PARTS_OF},\n" + _sweep("c1", 3000, f"select level, 1.0 as remix_prob, x as min_sim from (values {_LEVELS(u.MIN_SIM_LEVELS)}) v(level, x)") + ",\n"
+    + _sweep("c2", 4000, f"select level, x as remix_prob, (select min_sim from c1_top) as min_sim from (values {_LEVELS(u.REMIX_PROB_LEVELS)}) v(level, x)")
+)
+_T1_ROW = (
+    "select {k} as phase, level, cast(remix_prob as double) as remix_prob, cast(min_sim as double) as min_sim, coherence, evocativeness, surprise, round(overall, 6) as overall, quality, n, remix_rate,"
+    " level = (select level from c{k}_top) as best from c{k}_sum"
+)
+_T1 = chain(" union all ".join(_T1_ROW.format(k=k) for k in (1, 2)), VIEWS, _T1_WITH)
+_T1_RESULTS = chain(
+    f"""select key, case when key = 'remix_baseline_sim' then round(x, 6)::varchar else round(x, 6)::varchar || n end as value from (
+      select 'remix_calibrated_min_sim' as key, (select min_sim from c1_top)::double as x, '' as n union all
+      select 'remix_calibrated_remix_prob', (select remix_prob from c2_sum order by overall desc, level limit 1), '' union all
+      select 'remix_baseline_sim', (select quantile_cont(similarity, 0.1) from scal), '' union all
+      select 'remix_phase1_results', sum(overall), '/' || count(*) from c1_sum union all select 'remix_phase2_results', sum(overall), '/' || count(*) from c2_sum) x""",
+    VIEWS, f"{_T1_WITH}, {numbers.SCAL}",
 )
 _BOUNDS = ", ".join(f"('{k}', {lo}, {hi})" for k, (lo, hi) in BOUNDS.items())
 _T2 = chain(
     "select trial, param, value, round(quality, 6) as quality, round(separation, 6) as separation, round(composite, 6) as composite, case when composite > greatest((select composite from z_score where trial = 0), coalesce(max(composite) over (order by trial rows between unbounded preceding and 1 preceding), (select composite from z_score where trial = 0))) then 'keep' else 'discard' end as status from z_trials join z_score using (trial)",
-    ("editions_raw", "experiments"),
-    f"""z_trials as (select trial, param, greatest(coalesce(lo, value), least(coalesce(hi, value), value)) as value from (select param, new_value as value, 1 + min(iteration) as trial from experiments group by 1, 2) p left join (values {_BOUNDS}) b(param, lo, hi) using (param)),
+    (*VIEWS, "experiments"),
+    f"""{_PARTS_OF},
+z_trials as (select trial, param, greatest(coalesce(lo, value), least(coalesce(hi, value), value)) as value from (select param, new_value as value, 1 + min(iteration) as trial from experiments group by 1, 2) p left join (values {_BOUNDS}) b(param, lo, hi) using (param)),
 z_prm as (select trial, case when param = 'pop_tone_blend' then value else 0.0 end as blend, case when param = 'pop_missing_default' then value else 0.1 end as missing, case when param = 'weighted_sample_spread' then value else 0.4 end as spread from (select trial, param, value from z_trials union all select 0, '', 0) x),
 z_req as (select trial * 110 + i as req_id, trial, 1000 + 100 * trial + i as seed, case when i < 50 then '' when i < 80 then 'pop' else 'niche' end as tone, 0.0 as remix_prob, 0.0 as min_sim, null as lk_item1, null as lk_head, null as lk_object from z_prm, (select unnest(range(110)) as i) r),
 {duck.generated("z")},
@@ -159,7 +213,7 @@ _C14 = chain(
     f"""select req_id, cast(count(*) as int) as n, string_agg(slot || '=' || coalesce(h.tag, '?') || '=' || case when h is null then '?' else concat_ws(': ', {_ENDS.format("h.title")}, {_ENDS.format("h.text")}) end, ';' order by slot) as sources
     from (select req_id, unnest(['item1', 'item2', 'action_noun', 'of_object']) as slot, unnest(['list_item', 'list_item', 'action_noun', 'of_object']) as slot_type, unnest([item1, item2, action_noun, of_object]) as filler from r_fin where not remixed) w
     left join (select slot_type, k, s as h from kn) z on z.slot_type = w.slot_type and z.k = lower(w.filler) group by 1""",
-    more=f"{_SAMPLES},\n" + "kn as (select p.slot_type, lower(p.filler) as k, min({'filler': p.filler, 'title': m.title, 'text': m.subtitle, 'tag': case when source_file = 'openlibrary' then 'OL' else 'LOC' end}) as s from pools p join merged m on m.id = p.source_subtitle_id group by 1, 2)",
+    views=VIEWS, more=f"{_SAMPLES},\n" + "kn as (select p.slot_type, lower(p.filler) as k, min({'filler': p.filler, 'title': m.title, 'text': m.subtitle, 'tag': case when source_file = 'openlibrary' then 'OL' else 'LOC' end}) as s from pools p join merged m on m.id = p.source_subtitle_id group by 1, 2)",
 )
 
 QUERIES = {
@@ -191,13 +245,13 @@ QUERIES = {
     ),
     "k03_k06_generate": (
         lambda sp, d: flat(samples(sp, d)),
-        chain(f"select req_id, text, item1, item2, action_noun, of_object, remixed, {_PARTS.format(mid=_MID)} as remix_parts, round(sim, 6) as remix_similarity, of_article, action_article from r_fin", more=_SAMPLES),
+        chain(f"select req_id, text, item1, item2, action_noun, of_object, remixed, {_PARTS.format(mid=_MID)} as remix_parts, round(sim, 6) as remix_similarity, of_article, action_article from r_fin", VIEWS, _SAMPLES),
     ),
     "k04_remix_gate": (
         lambda sp, d: requests(sp, d).select("req_id", (s.uniform(F.col("seed"), "gate", 0, "") < F.col("remix_prob")).alias("passes")),
         "select c_custkey as req_id, ('0x' || substr(md5((c_custkey + 1000) || '|gate|0|'), 1, 13))::bigint / 4503599627370496.0 < 0.7 as passes from customer",
     ),
-    "h17_display_slots": (lambda sp, d: g.display_slots(samples(sp, d)), chain(_SHOWN, more=_SAMPLES)),
+    "h17_display_slots": (lambda sp, d: g.display_slots(samples(sp, d)), chain(_SHOWN, VIEWS, _SAMPLES)),
     "k08_spot_check_requests": (
         lambda sp, d: g.spot_check_requests(sp, fixtures.view(sp, d, "customer").count(), 77).select("req_id", "seed", "tone"),
         "select row_number() over (order by md5('77|' || seed), seed) as req_id, seed, tone from (select i * n + j + 77 as seed, tone from (values (0, 'pop'), (1, 'mainstream'), (2, 'niche')) t(i, tone), (select count(*) as n from customer) c, (select unnest(range((select count(*) from customer))) as j) r) x",
@@ -218,6 +272,7 @@ QUERIES = {
     ),
     "c14_sample_sources": (sample_sources, _C14),
     "t01_calibration": (calibrated, _T1),
+    "t01_stored_results": (stored_results, _T1_RESULTS),
     "t02_t03_trials": (trials, _T2),
     "t07_snapshot": (
         lambda sp, d: f.with_snapshot(fixtures.view(sp, d, "ratings").select("id", "system_tone"), p.effective_params(sp, sp.createDataFrame([("pop_tone_blend", "0.25")], "key string, value string")))

@@ -67,12 +67,12 @@ def rounded(df, *cols):
     return df.withColumns({c: F.round(c, 6) for c in cols})
 
 
-_WORDS = "words as (select word, e.embedding::double[] as v from token_words join embeddings e using (vec_id))"
-_VEC = """long as (select distinct p_name as id, p_name from part), tk as (select id, unnest(string_split(lower(p_name), ' ')) as word from long),
+WORDS = "words as (select word, e.embedding::double[] as v from token_words join embeddings e using (vec_id))"
+VEC = """long as (select distinct p_name as id, p_name from part), tk as (select id, unnest(string_split(lower(p_name), ' ')) as word from long),
 ex as (select id, generate_subscripts(v, 1) as pos, unnest(v) as x from tk join words using (word) where list_dot_product(v, v) > 0),
 sums as (select id, pos, sum(x) as x, count(*) as n from ex group by id, pos), vec as (select id, list(x order by pos) as vector, max(n) as token_count from sums group by id),
 cen as (select list(x order by pos) as centroid from (select pos, avg(x / token_count) as x from sums s join (select id, token_count from vec) t using (id) group by pos) c)"""
-_SCAL = "scal as (select id, list_dot_product(vector, centroid) as centroid_dot, list_dot_product(vector, vector) as norm_sq, list_dot_product(vector, centroid) / sqrt(list_dot_product(vector, vector)) / sqrt(list_dot_product(centroid, centroid)) as similarity from vec, cen)"
+SCAL = "scal as (select id, list_dot_product(vector, centroid) as centroid_dot, list_dot_product(vector, vector) as norm_sq, list_dot_product(vector, centroid) / sqrt(list_dot_product(vector, vector)) / sqrt(list_dot_product(centroid, centroid)) as similarity from vec, cen)"
 _EFF = f"eff as (select key, coalesce(try_cast(s.value as double), p.value) as value from params p left join stored s using (key))"
 #: Draws without replacement: the first by its interval, the next from what is left, moved past the intervals taken.
 _DRAW = f"""c as (select filler, sqrt(freq) as w, sum(sqrt(freq)) over (order by filler) as hi, sum(sqrt(freq)) over (order by filler) - sqrt(freq) as lo, sum(sqrt(freq)) over () as t from signals),
@@ -85,7 +85,7 @@ three as (select seed, filler from y3 join c on v >= lo and v < hi)"""
 
 
 def with_vec(q, views=("token_words",)):
-    return fixtures.with_views(list(views), f", {_WORDS}, {_VEC}, {_SCAL}\n{q}")
+    return fixtures.with_views(list(views), f", {WORDS}, {VEC}, {SCAL}\n{q}")
 
 
 def part_vectors(spark, d):
@@ -107,22 +107,23 @@ def approx(spark, d):
     return out.select("filler", F.round(s.approximate_cosine(F.array("d1", "d2"), F.array("q1", "q2"), F.col("centroid_norm"), F.lit(0.1)), 6).alias("sim"))
 
 
-def cross(spark, d):
+def cross(spark, d, digits=6):
     """C11: modifier x head and topic x complement, 3000 picks of each."""
     own = part_vectors(spark, d)
     num = lambda slot: running(own.where(F.col("slot_type") == slot), "count", F.lit(1), [F.col("id")], "n").select((F.col("n") - 1).alias("n"), "vector")
-    one = lambda kind, a, b: rounded(v.mean_cross_similarity(num(a), num(b)), "mean_cosine").withColumn("kind", F.lit(kind))
-    return one("type1", "of_modifier", "of_head").unionByName(one("type2", "of_topic", "of_complement"))
+    one = lambda kind, a, b: v.mean_cross_similarity(num(a), num(b)).withColumn("kind", F.lit(kind))
+    both = one("type1", "of_modifier", "of_head").unionByName(one("type2", "of_topic", "of_complement"))
+    return both if digits is None else rounded(both, "mean_cosine")
 
 
-_PARTVEC = """pl as (select distinct filler as id from parts), ptk as (select id, unnest(string_split(lower(id), ' ')) as word from pl),
+PARTVEC = """pl as (select distinct filler as id from parts), ptk as (select id, unnest(string_split(lower(id), ' ')) as word from pl),
 pex as (select id, generate_subscripts(v, 1) as pos, unnest(v) as x from ptk join words using (word) where list_dot_product(v, v) > 0),
 pvec as (select id, list(x order by pos) as vector from (select id, pos, sum(x) as x from pex group by id, pos) s group by id),
 psc as (select slot_type, filler, vector, list_dot_product(vector, centroid) as d, list_dot_product(vector, vector) as q from parts join pvec on pvec.id = filler, cen)"""
 
 
 def with_parts(q):
-    return duck.chain(q, ("editions_raw", "token_words"), f"{_WORDS}, {_VEC}, {_PARTVEC}")
+    return duck.chain(q, ("editions_raw", "token_words"), f"{WORDS}, {VEC}, {PARTVEC}")
 
 
 def _crossed(kind, a, b):
@@ -132,6 +133,8 @@ def _crossed(kind, a, b):
     from (select unnest(range(3000)) as id) r join {num(a)} a on a.n = cast(floor({u('a')} * a.size) as bigint) join {num(b)} b on b.n = cast(floor({u('b')} * b.size) as bigint) where id < a.size * b.size"""
 
 
+CROSSED = (_crossed("type1", "of_modifier", "of_head") + " union all " + _crossed("type2", "of_topic", "of_complement")).replace("round(coalesce(", "(coalesce(").replace(", 0), 6) as mean", ", 0)) as mean")
+
 QUERIES = {
     "a11_upsert": (
         lambda sp, d: p.upsert(fixtures.view(sp, d, "experiments").select(F.col("param").alias("key"), F.col("iteration").alias("version"), F.when(F.col("iteration") % 50 != 0, F.col("new_value")).alias("value"))),
