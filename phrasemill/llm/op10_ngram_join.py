@@ -2,8 +2,8 @@
 
 1. *Rare first.* A pass over all texts finds the shingles that are frequent in the corpus. Each block of
    ``BLOCK`` shingles reports those it saw ``BLOCK_LEAST`` times; the most frequent by their sums are kept, from the least
-   count that at most HEAVY_MOST shingles reach, which bounds the broadcast table. The class of a shingle (0, or
-   1 + log2 of that count) stands in the top six bits of its 64-bit key, so that sorted keys are in rare-first order. Any fixed order gives
+   count that at most HEAVY_MOST shingles reach, which bounds the broadcast table; shingles beyond it that would still fill
+   a bucket are told by a table of hashes, of bounded size too. The class of a shingle (0, or 1 + log2 of that count) stands in the top six bits of its 64-bit key, so that sorted keys are in rare-first order. Any fixed order gives
    the same links; the classes decide only how many candidates are read.
 2. *Classes.* Documents with the same set are one class (map-side minimum by fingerprint); only the class
    representative, its smallest id, goes on.
@@ -40,7 +40,7 @@ from phrasemill.llm.shared import materialise, parts
 from phrasemill.llm.textbytes import bounds, hashed_words, mix, slices
 
 WIDTH, SHARE = 5, 80
-BLOCK, BLOCK_LEAST, HEAVY_MOST = 1 << 22, 2, 1 << 19
+BLOCK, BLOCK_LEAST, HEAVY_MOST, SLOTS_MOST = 1 << 22, 2, 1 << 19, 1 << 22
 BUCKET_KEYS, PAIR_GROUP, GROUP_MOST, CELL_KEYS, BROADCAST_ROWS = 200_000, 64, 20_000, 4_000_000, 1_000_000
 #: A cluster is cut into cells of so many keys, into SPLIT_MOST at most while cells stay under CELL_KEYS.
 SPLIT_KEYS, SPLIT_MOST = 10_000, 64
@@ -104,27 +104,55 @@ def _heavy_in_blocks(width: int):
     return job
 
 
-def heavy_shingles(docs: DataFrame, text_col: str, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted 58-bit keys of the corpus's frequent shingles and their classes; HEAVY_MOST at most."""
+Heavy = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def _slot(keys: np.ndarray, slots: int) -> np.ndarray:
+    return (mix(keys) & np.uint64(max(1, slots) - 1)).astype(np.int64)
+
+
+def heavy_shingles(docs: DataFrame, text_col: str, width: int) -> Heavy:
+    """Sorted 58-bit keys of the corpus's frequent shingles and their classes, HEAVY_MOST at most; and for the keys beyond these that would still
+    fill a bucket the largest class by a hash of the key, SLOTS_MOST slots at most. Slots that several keys share only deal more than is needed.
+    """
     seen = materialise(docs.select(text_col).mapInArrow(_heavy_in_blocks(width), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n >= 4"), "shingle-counts")
     step = F.floor(4 * F.log2("n"))
-    total, least_step = 0, None
+    total, least_step, hot = 0, None, F.col("n") >= max(4, BUCKET_KEYS // 2)
     for k, n in sorted(seen.groupBy(step.alias("step")).count().collect(), reverse=True):  # 4 rows for each doubling
         total += n
         if total > HEAVY_MOST:
             break
         least_step = k
-    rows = seen.where(step >= (least_step if least_step is not None else 1 << 30)).select("key", "n").toPandas().sort_values("key")
-    return rows["key"].to_numpy(np.int64).view(np.uint64), np.minimum(63, 1 + np.log2(np.maximum(1, rows["n"].to_numpy(float)))).astype(np.uint64)
-
-
-def ranked(hashes: np.ndarray, heavy: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    kept = step >= (least_step if least_step is not None else 1 << 30)
+    rows = seen.where(kept).select("key", "n").toPandas().sort_values("key")
+    kind = lambda n: np.minimum(63, 1 + np.log2(np.maximum(1, n))).astype(np.uint64)
+    rest = seen.where(~kept & hot)
+    count = rest.count()
+    slots = np.zeros(min(SLOTS_MOST, 1 << (8 * count - 1).bit_length()) if count else 0, np.uint8)
+    if count:
+        size = len(slots)
+
+        def largest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                slot = _slot(b.column("key").to_numpy().view(np.uint64), size)
+                yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(kind(b.column("n").to_numpy().astype(float)).astype(np.int64))], ["slot", "kind"])
+
+        found = rest.select("key", "n").mapInArrow(largest, "slot long, kind long").groupBy("slot").agg(F.max("kind").alias("kind")).toArrow()
+        slots[found.column("slot").to_numpy()] = found.column("kind").to_numpy()
+    return rows["key"].to_numpy(np.int64).view(np.uint64), kind(rows["n"].to_numpy(float)), slots
+
+
+def ranked(hashes: np.ndarray, heavy: Heavy) -> np.ndarray:
     """Keys whose order is rare first."""
     keys = hashes & np.uint64((1 << 58) - 1)
-    if len(heavy[0]) and len(keys):
-        found = np.minimum(np.searchsorted(heavy[0], keys), len(heavy[0]) - 1)
-        keys = keys | (np.where(heavy[0][found] == keys, heavy[1][found], np.uint64(0)) << _CLASS)
-    return keys
+    known, kinds, slots = heavy
+    if not len(keys):
+        return keys
+    kind = slots[_slot(keys, len(slots))].astype(np.uint64) if len(slots) else np.zeros(len(keys), np.uint64)
+    if len(known):
+        found = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+        kind = np.where(known[found] == keys, kinds[found], kind)
+    return keys | (kind << _CLASS)
 
 
 def _sets(width: int, share: int, heavy, whole: bool):

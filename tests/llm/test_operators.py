@@ -114,6 +114,29 @@ def test_ngram_join_of_dealt_keys(spark, docs, monkeypatch):
     assert [got[i].component_id for i in range(len(hot))] == brute_components(shingle_sets(hot)) == [i // 40 * 40 for i in range(len(hot))]
 
 
+def test_ngram_join_of_hot_keys_outside_the_table(spark, docs, monkeypatch):
+    """With a table of four shingles the others that fill a bucket are told by their slots and dealt as well, shared slots or not."""
+    monkeypatch.setattr(op10_ngram_join, "HEAVY_MOST", 4)
+    monkeypatch.setattr(op10_ngram_join, "BUCKET_KEYS", 8)
+    hot = [" ".join([*BASE[k].split(), f"own{k}x{i}"]) for k in range(3) for i in range(40)]
+    df = spark.createDataFrame(list(enumerate(hot)), "doc_id long, text string")
+    for most in (1 << 22, 8):
+        monkeypatch.setattr(op10_ngram_join, "SLOTS_MOST", most)
+        heavy = op10_ngram_join.heavy_shingles(df, "text", 5)
+        keys = op10_ngram_join.ranked(np.unique(np.concatenate([op10_ngram_join.shingles(*arrow_text([t]), 5)[0] for t in BASE[:3]])), heavy)
+        assert len(heavy[0]) <= 4 and 8 <= len(heavy[2]) <= most and (op10_ngram_join.spread(keys, 8) > 1).all()
+        got = by_id(op10_ngram_join.ngram_join(df))
+        assert [got[i].component_id for i in range(len(hot))] == brute_components(shingle_sets(hot))
+    got = by_id(op10_ngram_join.ngram_join(docs))
+    assert [got[i].component_id for i in range(len(TEXTS))] == brute_components(shingle_sets(TEXTS))
+
+
+def arrow_text(texts):
+    """Bytes and offsets of texts."""
+    raw = [t.encode() for t in texts]
+    return np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+
+
 def test_components_of_a_long_path(spark):
     ids = list(range(200))
     random.Random(1).shuffle(ids)
@@ -320,7 +343,7 @@ def test_very_long_texts_in_every_text_operator(spark, monkeypatch):
     batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([1], pa.int32()), column], ["doc_id", "y", "text"])
     few = {c: batch.column(c) for c in ("doc_id", "text")}
     short = pa.RecordBatch.from_arrays(list(few.values()), list(few))
-    none = (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+    none = (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.uint8))
     shared = lambda x: type("Shared", (), {"value": x})
     model = op2_toxicity.Model(np.ones(1 << op2_toxicity.BITS, np.float32), 0.0)
     tree = op4_quality.Trees(np.zeros((0, 15), int), np.zeros((0, 15)), np.zeros((0, 16)), 0.0)
