@@ -1,13 +1,15 @@
 """Samples in bulk: requests to finished texts.
 
-Pools are slot tables (slot_type, filler, freq, popularity, ...). Requests may carry a ``trial`` and parameters then differ by
-trial: weights are made once for each (trial, slot, tone set) and cumulated. Draws are seeded hashes found by a bucketed range
-join, all slots in one; remix attempts are rows of a join and not a loop; articles are left joins. What is used several
-times (requests, cumulated weights, draws, attempts) is written once, so plans stay small.
+Pools are slot tables (slot_type, filler, freq, popularity, ...). Requests may carry a ``trial`` and parameters then differ by trial: all
+draw from pools that are cumulated once, under a weight that no trial exceeds, and accept in proportion to their own weight. Draws are seeded
+hashes found by a bucketed range join, all slots in one; remix attempts are rows of a join and not a loop; articles are left joins. What
+is used several times (requests, cumulated weights, draws, attempts) is written once, so plans stay small.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,9 @@ from phrasemill.operators.bibliography import best_articles
 from phrasemill.session import materialise
 
 ATTEMPTS, LOCKED_ATTEMPTS = 5, 20
+#: Tries of a draw in two rounds, the parameters that weights depend on.
+TRIES = ((1, 4), (5, 64))
+WEIGHT_PARAMS = ("pop_base_weight_blend", "pop_missing_default", "pop_tone_blend", "weighted_sample_spread", "weighted_sample_bias_floor")
 NOT_ENOUGH = "(not enough fillers)"
 REQUEST = "req_id long, seed long, tone string, remix_prob double, min_sim double, locks map<string,string>"
 
@@ -53,18 +58,71 @@ def pool_weights(pools: DataFrame, targets: DataFrame, params: DataFrame) -> Dat
     return own.select("trial", "slot_type", "tone", "filler", weight.alias("weight"), *(x for x in ("pos_tag", "prep") if x in pools.columns))
 
 
-def _pool(slot: Column, trial: Column, tone: Column, rest: Column | None = None) -> Column:
-    return F.concat_ws("|", trial.cast("string"), slot, tone, *([] if rest is None else [rest.cast("string")]))
+def _pool(slot: Column, rest: Column | None = None) -> Column:
+    return F.concat_ws("|", slot, *([] if rest is None else [rest.cast("string")]))
+
+
+def draw_terms(req: DataFrame, params: DataFrame) -> DataFrame:
+    """trial, tone, slot -> target and the parameters that a draw's weights need; sub-part slots share the object's target."""
+    named = F.when(F.col("slot_type") == "of_object", F.array(*map(F.lit, ("of_object", *lists.PART_SLOTS)))).otherwise(F.array("slot_type"))
+    own = tone_targets(req, params).select("trial", "tone", "target", F.explode(named).alias("slot"))
+    return own.join(p.as_row(params.where(F.col("key").isin(*WEIGHT_PARAMS)), "trial").select("trial", *WEIGHT_PARAMS), "trial")
 
 
-def _cumulated(pools: DataFrame, parts: DataFrame, req: DataFrame, params: DataFrame) -> DataFrame:
-    """All pools that requests may draw from; modifiers are pooled by words, topics and complements by preposition."""
+def _weight() -> Column:
+    """A filler's weight (freq, popularity) with the terms of a draw, as in ``pool_weights``."""
+    c = F.col
+    score = s.filler_score(c("freq"), c("popularity"), c("pop_tone_blend"), c("pop_missing_default"))
+    base = s.base_weight(c("freq"), c("popularity"), c("pop_base_weight_blend"), c("pop_missing_default"))
+    return base * s.tone_bias(score, c("target"), c("weighted_sample_spread"), c("weighted_sample_bias_floor"))
+
+
+def _cumulated(pools: DataFrame, parts: DataFrame, params: DataFrame) -> DataFrame:
+    """The pools that requests draw from, cumulated once for all trials and tones under a weight that no trial exceeds: the largest base weight of
+    any trial (a tone only lowers it). Modifiers are pooled by words, topics and complements by preposition; a filler stands once in a pool."""
     both = pools.select("slot_type", "filler", "freq", "popularity", F.lit(None).cast("string").alias("prep")).unionByName(parts.select("slot_type", "filler", "freq", "popularity", "prep"))
-    weights = pool_weights(both, tone_targets(req, params), params)
     slot = F.col("slot_type")
     rest = F.when(slot == "of_modifier", t.word_count(F.col("filler")).cast("string")).when(slot.isin("of_topic", "of_complement"), F.col("prep"))
-    pool = weights.select(_pool(slot, F.col("trial"), F.col("tone"), rest).alias("pool"), "filler", "weight")
-    return materialise(p.cumulative(pool.groupBy("pool", "filler").agg(F.sum("weight").alias("weight"))), "cumulated")
+    pool = both.groupBy(_pool(slot, rest).alias("pool"), "filler").agg(F.sum("freq").alias("freq"), F.max("popularity").alias("popularity"))
+    bases = p.as_row(params.where("key in ('pop_base_weight_blend', 'pop_missing_default')"), "trial").agg(F.collect_set(F.struct("pop_base_weight_blend", "pop_missing_default")).alias("bases"))
+    most = F.array_max(F.transform("bases", lambda b: s.base_weight(F.col("freq"), F.col("popularity"), b["pop_base_weight_blend"], b["pop_missing_default"])))
+    return materialise(p.cumulative(pool.crossJoin(F.broadcast(bases)).withColumn("weight", most).drop("bases")), "cumulated")
+
+
+def accepted(draws: DataFrame, cum: DataFrame, key: tuple[str, ...], number: int = 1) -> DataFrame:
+    """draws (the columns ``key``, seed, slot, pool, the terms; for a second one also first, first_lo, first_units) -> key, filler, units, lo.
+
+    A filler is drawn from the shared pool and accepted in proportion to the weight that the draw gives it, so the accepted ones have just that weight; the
+    second of a pair is drawn from what the first leaves. What is written grows with the draws, not with trials times fillers. Draws that no try
+    of TRIES serves get their filler from their own weights, cumulated for them alone.
+    """
+    letter, second = " ab"[number], number == 2
+    rows = p.started(draws, cum).withColumn("room", F.col("total") - (F.col("first_units") if second else F.lit(0))).where("room > 0")
+    past = lambda v: F.when(v >= F.col("first_lo"), v + F.col("first_units")).otherwise(v) if second else v
+    found = []
+    for lo, hi in TRIES:
+        k = F.col("try")
+        last = F.when(F.col("target").isNull(), F.lit(lo)).otherwise(F.lit(hi)) if lo == 1 else F.lit(hi)  # without a tone the first one mostly serves
+        tries = rows.withColumn("try", F.explode(F.sequence(F.lit(lo), last)))
+        name = F.when(k == 1, letter).otherwise(F.concat(F.lit(letter), k.cast("string")))
+        got = p.pick(tries.withColumn("point", past(s.whole_uniform(F.col("room"), F.col("seed"), F.col("slot"), number, name))), cum, more=("freq", "popularity", "weight"))
+        luck = s.uniform(F.col("seed"), F.col("slot"), number, F.concat(F.lit("accept"), k.cast("string")))
+        hit = got.where(luck * F.col("weight") < _weight()).groupBy(*key).agg(F.min_by(F.struct("filler", "units", "lo"), "try").alias("hit"))
+        found.append(materialise(hit.select(*key, "hit.*"), "accepted"))
+        rows = materialise(rows.join(found[-1].select(*key), list(key), "left_anti"), "open")
+        if rows.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+    own = rows.select("pool", "trial", "tone", "slot", "target", *WEIGHT_PARAMS).distinct().withColumn("own", F.concat_ws("|", "trial", "tone", "pool"))
+    weights = own.join(cum.select("pool", "filler", "freq", "popularity"), "pool").select("own", "filler", _weight().alias("weight"))
+    exact = materialise(p.cumulative(weights, ("own",)), "exact")
+    rest = p.started(rows.drop("total", "width").withColumn("own", F.concat_ws("|", "trial", "tone", "pool")), exact, ("own",))
+    if second:
+        taken = exact.select("own", F.col("filler").alias("first"), F.col("lo").alias("_lo"), F.col("units").alias("_units"))
+        rest = rest.drop("first_lo", "first_units").join(taken, ["own", "first"]).withColumnsRenamed({"_lo": "first_lo", "_units": "first_units"})
+    rest = rest.withColumn("room", F.col("total") - (F.col("first_units") if second else F.lit(0))).where("room > 0")
+    rest = rest.withColumn("point", past(s.whole_uniform(F.col("room"), F.col("seed"), F.col("slot"), number, letter + "x")))
+    served = p.pick(rest, exact, ("own",)).select(*key, "pool", "filler").join(cum.select("pool", "filler", "units", "lo"), ["pool", "filler"])  # in the shared pool
+    return reduce(DataFrame.unionByName, [*found, served.select(*key, "filler", "units", "lo")])
 
 
 def generate(requests: DataFrame, pools: DataFrame, parts: DataFrame, splits: DataFrame, counts: DataFrame, scalars: DataFrame, params: DataFrame, constants=(1.0, 0.1, 0.1)) -> DataFrame:
@@ -80,26 +138,27 @@ def generate(requests: DataFrame, pools: DataFrame, parts: DataFrame, splits: Da
     no_locks = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
     req = _tried(requests).withColumns({"tone": F.array_join(F.array_sort(F.array_distinct(tones)), ","), "locks": F.coalesce("locks", no_locks)})
     req, params = materialise(req, "requests"), _tried(params)
-    cum = _cumulated(pools, parts, req, params)
+    cum, terms = _cumulated(pools, parts, params), materialise(draw_terms(req, params), "terms")
     slots = F.explode(F.array(*map(F.lit, lists.SLOTS))).alias("slot")
-    draws = req.select("req_id", "seed", "trial", "tone", slots).withColumn("pool", _pool(F.col("slot"), F.col("trial"), F.col("tone")))
-    first = materialise(p.first_picks(draws, cum, F.col("slot")), "draws")
-    second = p.second_picks(first.where("slot = 'list_item'"), cum, F.col("slot"))
-    both = first.select("req_id", "slot", "filler").unionByName(second.select("req_id", F.lit("second").alias("slot"), F.col("filler2").alias("filler")))
+    draws = req.select("req_id", "seed", "trial", "tone", slots).join(terms, ["trial", "tone", "slot"]).withColumn("pool", _pool(F.col("slot")))
+    first = accepted(draws, cum, ("req_id", "slot"))
+    pairs = draws.where("slot = 'list_item'").join(first.where("slot = 'list_item'").select("req_id", F.col("filler").alias("first"), F.col("lo").alias("first_lo"), F.col("units").alias("first_units")), "req_id")
+    second = accepted(pairs, cum, ("req_id",), 2)
+    both = first.select("req_id", "slot", "filler").unionByName(second.select("req_id", F.lit("second").alias("slot"), "filler"))
     picked = both.groupBy("req_id").agg(*(F.max(F.when(F.col("slot") == k, F.col("filler"))).alias(v) for k, v in (("list_item", "i1"), ("second", "i2"), ("action_noun", "a"), ("of_object", "o"))))
     # one locked item: the drawn pair is distinct, so one of the two differs from it
     free1 = F.when(F.col("i1") == _lock("item2"), F.col("i2")).otherwise(F.col("i1"))
     free2 = F.when(_lock("item1").isNotNull(), F.when(F.col("i1") == _lock("item1"), F.col("i2")).otherwise(F.col("i1"))).otherwise(F.col("i2"))
     drawn = req.join(picked, "req_id", "left").withColumns({"item1": F.coalesce(_lock("item1"), free1), "item2": F.coalesce(_lock("item2"), free2), "action_noun": F.coalesce(_lock("action_noun"), "a"), "of_object": F.coalesce(_lock("of_object"), "o")})
     drawn = materialise(drawn.drop("i1", "i2", "a", "o"), "drawn")
-    mixed = remix(drawn, cum, parts, splits, scalars, params, constants)
+    mixed = remix(drawn, cum, terms, parts, splits, scalars, params, constants)
     out = drawn.join(mixed, "req_id", "left").withColumn("remixed", F.col("composed").isNotNull())
     out = out.withColumn("of_object", F.coalesce("composed", "of_object")).drop("composed")
     done = finish(out, counts, params)
     return done if "trial" in requests.columns else done.drop("trial")
 
 
-def remix(drawn: DataFrame, cum: DataFrame, parts: DataFrame, splits: DataFrame, scalars: DataFrame, params: DataFrame, constants) -> DataFrame:
+def remix(drawn: DataFrame, cum: DataFrame, terms: DataFrame, parts: DataFrame, splits: DataFrame, scalars: DataFrame, params: DataFrame, constants) -> DataFrame:
     """req_id, composed, remix_parts, remix_similarity of the requests that remix: the first valid attempt, or with locks the most similar.
 
     Only gated requests are exploded into attempts, and each attempt into the draws of its two parts from the pool needed (words
@@ -120,11 +179,13 @@ def remix(drawn: DataFrame, cum: DataFrame, parts: DataFrame, splits: DataFrame,
     most = F.when(c("locked"), LOCKED_ATTEMPTS).otherwise(ATTEMPTS)
     tries = materialise(own.select("req_id", "seed", "trial", "tone", "kind", "words", "prep", "locks", "locked", "min_sim", F.explode(F.sequence(F.lit(1), most)).alias("attempt")), "attempts")
     first = c("kind") == "type1"
-    pool1 = F.when(first, _pool(F.lit("of_modifier"), c("trial"), c("tone"), c("words") - 1)).otherwise(_pool(F.lit("of_topic"), c("trial"), c("tone"), c("prep")))
-    pool2 = F.when(first, _pool(F.lit("of_head"), c("trial"), c("tone"))).otherwise(_pool(F.lit("of_complement"), c("trial"), c("tone"), c("prep")))
-    rows = F.explode(F.array(F.struct(F.lit("part1").alias("part"), pool1.alias("pool")), F.struct(F.lit("part2").alias("part"), pool2.alias("pool"))))
-    draws = tries.select("req_id", "attempt", F.concat_ws("/", c("seed").cast("string"), c("attempt").cast("string")).alias("seed"), rows.alias("r")).select("req_id", "attempt", "seed", "r.*")
-    picks = p.first_picks(draws, cum, c("part")).groupBy("req_id", "attempt").agg(*(F.max(F.when(c("part") == k, c("filler"))).alias(k) for k in ("part1", "part2")))
+    pool1 = F.when(first, _pool(F.lit("of_modifier"), c("words") - 1)).otherwise(_pool(F.lit("of_topic"), c("prep")))
+    pool2 = F.when(first, _pool(F.lit("of_head"))).otherwise(_pool(F.lit("of_complement"), c("prep")))
+    rows = F.explode(F.array(F.struct(F.lit("part1").alias("slot"), pool1.alias("pool")), F.struct(F.lit("part2").alias("slot"), pool2.alias("pool"))))
+    seed = F.concat_ws("/", c("seed").cast("string"), c("attempt").cast("string")).alias("seed")
+    draws = tries.select("req_id", "attempt", "trial", "tone", seed, rows.alias("r")).select("req_id", "attempt", "trial", "tone", "seed", "r.*")
+    draws = draws.join(terms.where("slot = 'of_object'").drop("slot"), ["trial", "tone"])
+    picks = accepted(draws, cum, ("req_id", "attempt", "slot")).groupBy("req_id", "attempt").agg(*(F.max(F.when(c("slot") == k, c("filler"))).alias(k) for k in ("part1", "part2")))
     tries = tries.join(picks, ["req_id", "attempt"], "left")
     one = F.when(first, F.coalesce(_lock("of_modifier"), "part1")).otherwise(F.coalesce(_lock("of_topic"), "part1"))
     two = F.when(first, F.coalesce(_lock("of_head"), "part2")).otherwise(F.coalesce(_lock("of_complement"), "part2"))

@@ -86,28 +86,28 @@ def cumulative(pool: DataFrame, by=("pool",)) -> DataFrame:
     return own.join(totals.select(*by, "total", (F.call_function("div", "total", "buckets") + 1).alias("width")), by)
 
 
-def pick(draws: DataFrame, cum: DataFrame, by=("pool",), point: str = "point") -> DataFrame:
+def pick(draws: DataFrame, cum: DataFrame, by=("pool",), point: str = "point", more=()) -> DataFrame:
     """Joins each draw's point, a whole number in [0, total), to the filler whose interval holds it, which is always one; draws from a
     pool that isn't there or is empty leave.
 
-    ``draws`` has the pool's width. The range join is an equi join: every interval stands in the buckets that it touches, and a pool
+    ``draws`` has the pool's width; the filler's columns ``more`` come along. The range join is an equi join: every interval stands in the buckets that it touches, and a pool
     has so many that a bucket holds few fillers.
     """
     spot = lambda c: F.call_function("div", c, F.col("width"))
     reach = F.explode(F.sequence(spot(F.col("lo")), spot(F.col("hi") - 1))).alias("bucket")
-    wide = cum.where("units > 0").select(*by, "filler", "units", "lo", "hi", reach)
+    wide = cum.where("units > 0").select(*by, "filler", "units", "lo", "hi", *more, reach)
     own = draws.withColumn("bucket", spot(F.col(point)))
     return own.join(wide, [*by, "bucket"]).where((F.col(point) >= F.col("lo")) & (F.col(point) < F.col("hi"))).drop("bucket", "hi")
 
 
-def _started(seeds: DataFrame, cum: DataFrame, by) -> DataFrame:
+def started(seeds: DataFrame, cum: DataFrame, by=("pool",)) -> DataFrame:
     """The seeds with total and width of their pools."""
     return seeds.join(cum.groupBy(*by).agg(F.max("total").alias("total"), F.max("width").alias("width")), list(by))
 
 
 def first_picks(seeds: DataFrame, cum: DataFrame, slot: Column, by=("pool",)) -> DataFrame:
     """seeds (seed, the columns ``by``, others) -> the same with filler, units, lo, total and width."""
-    one = _started(seeds, cum, by).withColumn("point", s.whole_uniform(F.col("total"), F.col("seed"), slot, 1, "a"))
+    one = started(seeds, cum, by).withColumn("point", s.whole_uniform(F.col("total"), F.col("seed"), slot, 1, "a"))
     return pick(one, cum, by).drop("point")
 
 
@@ -135,7 +135,7 @@ def draw_without(pool: DataFrame, seeds: DataFrame, k: int, slot: str = "slot",
     """
     cum = materialise(cumulative(pool, by), "cumulated")
     none = F.array().cast("array<struct<lo:bigint,units:bigint>>")
-    state, out = _started(seeds.select("seed", *by), cum, by).withColumn("taken", none), None
+    state, out = started(seeds.select("seed", *by), cum, by).withColumn("taken", none), None
     for rank in range(1, k + 1):
         left = F.aggregate("taken", F.col("total"), lambda a, x: a - x["units"])
         v = s.whole_uniform(left, F.col("seed"), slot, rank, "draw")

@@ -157,20 +157,22 @@ _GENERATED = r"""
 {p}_slots as (select * from (values ('list_item'), ('action_noun'), ('of_object')) v(slot)),
 {p}_tgt as (select tone, slot, avg(value) as target from (select tone, unnest(string_split(tone, ',')) as one from (select distinct tone from {p}_req where tone <> '') a) b, {p}_slots join params on key = 'tone_target_' || one || '_' || slot group by 1, 2),
 {p}_fill as (select slot_type, filler, freq, case when length(filler) % 3 <> 0 then log10(1 + freq) / 2 end as popularity, null as prep from pools {where} union all select slot_type, filler, freq, null, prep from parts),
-{p}_w as (select x.*, q.trial, q.tone, sqrt(freq) * case when q.tone = '' then 1 else 0.05 + 0.95 * exp(-pow(((1 - blend) * log10(1 + freq) + blend * coalesce(popularity, missing) - target) / spread, 2)) end as w
-  from (select distinct trial, tone from {p}_req) q join {p}_prm using (trial) cross join {p}_fill x left join {p}_tgt g on g.tone = q.tone and g.slot = case when slot_type[1:3] = 'of_' then 'of_object' else slot_type end),
-{p}_pool as (select concat_ws('|', trial, slot_type, tone, case when slot_type = 'of_modifier' then cast(len({words}) as varchar) when slot_type in ('of_topic', 'of_complement') then prep end) as pool, filler, sum(w) as w from {p}_w group by 1, 2),
+{p}_terms as (select q.trial, q.tone, v.slot, target, blend, missing, spread from (select distinct trial, tone from {p}_req) q join {p}_prm using (trial) cross join {p}_slots v left join {p}_tgt g on g.tone = q.tone and g.slot = v.slot),
+{p}_pool as (select pool, filler, sum(freq) as freq, max(popularity) as popularity, sqrt(sum(freq)) as w from (select concat_ws('|', slot_type, case when slot_type = 'of_modifier' then cast(len({words}) as varchar) when slot_type in ('of_topic', 'of_complement') then prep end) as pool, filler, freq, popularity from {p}_fill) f group by 1, 2),
 {p}_cum as (select *, sum(w) over (partition by pool order by filler) as hi, sum(w) over (partition by pool) as t from {p}_pool),
-{p}_one as (select d.*, c.filler, c.hi - c.w as lo, c.w, c.t from (select *, concat_ws('|', trial, slot, tone) as pool, {u1} as u1, {u2} as u2 from {p}_req, {p}_slots) d join {p}_cum c on c.pool = d.pool and u1 * t >= hi - w and u1 * t < hi),
-{p}_two as (select o.req_id, c.filler from (select req_id, pool, case when u2 * (t - w) >= lo then u2 * (t - w) + w else u2 * (t - w) end as v from {p}_one where slot = 'list_item') o join {p}_cum c on c.pool = o.pool and v >= hi - w and v < hi),
+{p}_d as (select q.*, z.slot, z.slot as pool, target, blend, missing, spread from {p}_req q join {p}_terms z using (trial, tone)),
+{one},
+{p}_d2 as (select o.* exclude (filler, lo, w, t, k), o.filler as first, o.lo as first_lo, o.w as first_w from {p}_one o where slot = 'list_item'),
+{two},
 {p}_got as (select req_id, max(filler) filter (slot = 'list_item') as i1, max(filler) filter (slot = 'action_noun') as a, max(filler) filter (slot = 'of_object') as o from {p}_one group by 1),
-{p}_drawn as (select r.*, coalesce(lk_item1, i1) as item1, case when lk_item1 is not null then case when i1 = lk_item1 then s.filler else i1 end else s.filler end as item2, a as action_noun, coalesce(lk_object, o) as of_object from {p}_req r left join {p}_got using (req_id) left join {p}_two s using (req_id)),
+{p}_drawn as (select r.*, coalesce(lk_item1, i1) as item1, case when lk_item1 is not null then case when i1 = lk_item1 then s.filler else i1 end else s.filler end as item2, a as action_noun, coalesce(lk_object, o) as of_object from {p}_req r left join {p}_got using (req_id) left join (select req_id, filler from {p}_two) s using (req_id)),
 {p}_rx as (select d.*, lk_head is not null as locked, case when lk_head is not null then 'type1' else remix_type end as kind, case when remix_type = 'type1' then wc when lk_head is not null then 2 when remix_type is not null then wc end as words, case when lk_head is null and remix_type = 'type2' then remix_prep end as prep
   from {p}_drawn d left join cut on cut.filler = of_object where lk_object is null and (lk_head is not null or (len({object_words}) >= 2 and {gate} < remix_prob))),
 {p}_try as (select *, unnest(range(1, case when locked then 21 else 6 end)) as attempt from {p}_rx where kind = 'type1' or (kind = 'type2' and prep is not null and prep <> 'of')),
-{p}_pt as (select req_id, attempt, part, case when kind = 'type1' then case when part = 'part1' then concat_ws('|', trial, 'of_modifier', tone, words - 1) else concat_ws('|', trial, 'of_head', tone) end when part = 'part1' then concat_ws('|', trial, 'of_topic', tone, prep) else concat_ws('|', trial, 'of_complement', tone, prep) end as pool,
-  {up} as u from {p}_try, (values ('part1'), ('part2')) v(part)),
-{p}_pick as (select req_id, attempt, max(filler) filter (part = 'part1') as part1, max(filler) filter (part = 'part2') as part2 from {p}_pt x join {p}_cum c on c.pool = x.pool and u * t >= hi - w and u * t < hi group by 1, 2),
+{p}_pt as (select req_id, attempt, seed || '/' || attempt as seed, part as slot, trial, tone, case when kind = 'type1' then case when part = 'part1' then concat_ws('|', 'of_modifier', words - 1) else 'of_head' end when part = 'part1' then concat_ws('|', 'of_topic', prep) else concat_ws('|', 'of_complement', prep) end as pool,
+  target, blend, missing, spread from {p}_try join (select * exclude (slot) from {p}_terms where slot = 'of_object') z using (trial, tone), (values ('part1'), ('part2')) v(part)),
+{parts},
+{p}_pick as (select req_id, attempt, max(filler) filter (slot = 'part1') as part1, max(filler) filter (slot = 'part2') as part2 from {p}_ptone group by 1, 2),
 {p}_made as (select t.*, part1 as one, case when kind = 'type1' then coalesce(lk_head, part2) else part2 end as two from {p}_try t left join {p}_pick using (req_id, attempt)),
 {p}_comp as (select *, case when kind = 'type1' then one || ' ' || two else one || ' ' || prep || ' ' || two end as composed from {p}_made where one is not null and two is not null),
 {p}_sc as (select case when slot_type in ('of_modifier', 'of_head') then 'type1' else 'type2' end as kind, slot_type in ('of_modifier', 'of_topic') as first, filler, d, q from psc),
@@ -187,13 +189,34 @@ _GENERATED = r"""
 {p}_fin as (select req_id, trial, tone, coalesce({title_raw}, '(not enough fillers)') as text, {titled}, remixed, kind, case when remixed then {title_one} end as one, prep as mid, case when remixed then {title_two} end as two, sim, of_article, action_article from {p}_txt)"""
 
 
+#: Draws d -> one: tries from the shared pool, the first that is accepted, else one from the draw's own weights.
+_BIAS = "case when d.target is null then 1 else 0.05 + 0.95 * exp(-pow(((1 - d.blend) * log10(1 + c.freq) + d.blend * coalesce(c.popularity, d.missing) - d.target) / d.spread, 2)) end"
+_DRAWN = """{one}_try as (select *, unnest(range(1, case when target is null then 2 else 65 end)) as k from {d}),
+{one}_at as (select y.*, t.total, {u} * (t.total - {taken}) as v from {one}_try y join (select pool, max(t) as total from {cum} group by 1) t using (pool)),
+{one}_hit as (select d.* exclude (total, v), c.filler, c.hi - c.w as lo, c.w, c.t from {one}_at d join {cum} c on c.pool = d.pool and {v} >= c.hi - c.w and {v} < c.hi where {luck} < {bias}
+  qualify row_number() over (partition by {key} order by k) = 1),
+{one}_own as (select d.*, c.filler, c.hi - c.w as lo, c.w, c.t, sum(c.w * {bias}) over (partition by {key} order by c.filler) as own_hi, c.w * {bias} as own_w, sum(c.w * {bias}) over (partition by {key}) as own_t
+  from (select * from {d} where ({key}) not in (select ({key}) from {one}_hit)) d join {cum} c on c.pool = d.pool {without}),
+{one} as (select * from {one}_hit union all by name select * exclude (own_hi, own_w, own_t), 0 as k from {one}_own where {ux} * own_t >= own_hi - own_w and {ux} * own_t < own_hi)"""
+
+
+def _drawn(p: str, d: str, one: str, key: str, number: int) -> str:
+    letter, second = " ab"[number], number == 2
+    u = uniform(f"seed || '|' || slot || '|{number}|{letter}' || case when k = 1 then '' else k::varchar end")
+    moved = "(case when d.v >= d.first_lo then d.v + d.first_w else d.v end)" if second else "d.v"
+    return _DRAWN.format(
+        d=d, one=one, cum=f"{p}_cum", key=key, u=u, taken="first_w" if second else "0", v=moved, luck=uniform(f"seed || '|' || slot || '|{number}|accept' || k"), bias=_BIAS,
+        without="and c.filler <> d.first" if second else "", ux=uniform(f"seed || '|' || slot || '|{number}|{letter}x'"),
+    )
+
+
 def generated(p: str) -> str:
     """CTEs named with the prefix ``p``, after those of ``chain``, from the tables {p}_req and {p}_prm (trial, blend, missing, spread)."""
     clear = lambda k: f"case when remixed then {k}.n >= 0.6 * {k}.total else 2 * {k}.n > {k}.total end and {k}.total >= 1 and {k}.article <> ''"
     titled = ", ".join(f"case when raw is not null then {title(c)} else '' end as {c}" for c in ("item1", "item2", "action_noun", "of_object"))
     return _GENERATED.format(
-        p=p, where="", words=words("filler"), object_words=words("of_object"), composed_words=words("composed"), gate=uniform("seed || '|gate|0|'"), u1=uniform("seed || '|' || slot || '|1|a'"), u2=uniform("seed || '|' || slot || '|2|b'"),
-        up=uniform("seed || '/' || attempt || '|' || part || '|1|a'"), clear_w=clear("w"), clear_z=clear("z"), act=a_or_an("act0", "action_noun"), of=a_or_an("of0", "of_object"), title_raw=title("raw"), titled=titled, title_one=title("one"), title_two=title("two"),
+        p=p, where="", one=_drawn(p, f"{p}_d", f"{p}_one", "req_id, slot", 1), two=_drawn(p, f"{p}_d2", f"{p}_two", "req_id", 2), parts=_drawn(p, f"{p}_pt", f"{p}_ptone", "req_id, attempt, slot", 1), words=words("filler"), object_words=words("of_object"), composed_words=words("composed"), gate=uniform("seed || '|gate|0|'"),
+        clear_w=clear("w"), clear_z=clear("z"), act=a_or_an("act0", "action_noun"), of=a_or_an("of0", "of_object"), title_raw=title("raw"), titled=titled, title_one=title("one"), title_two=title("two"),
     ).strip()
 
 
