@@ -8,8 +8,10 @@ that differ are children read, level by level, down to the damaged, resized, mov
 
 from __future__ import annotations
 
+import operator
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +21,8 @@ from pyspark.sql import functions as F
 from phrasemill.llm.shared import materialise
 
 FILE_BITS, FANOUT = 12, 16
+#: Files with differences that a scan is told one by one.
+FEW_FILES = 64
 FILE_RECORDS = 1 << FILE_BITS
 KEYS = ("file_no", "record_no", "page_id")
 
@@ -87,10 +91,25 @@ def digests(replica: DataFrame, index: DataFrame | None = None) -> DataFrame:
     return materialise(held.select(*KEYS, "start", "length", "sha"), "digests")
 
 
+def _level(nodes: DataFrame, name: str) -> DataFrame:
+    """A level written in the order of files and nodes, so that a read of a few branches skips the rest by the files' and row groups' ranges."""
+    return materialise(nodes.repartitionByRange("file_no", "node").sortWithinPartitions("file_no", "node"), name)
+
+
+def _below(bad: DataFrame):
+    """What the scan of the next level is told of the branches that differ: the file and the nodes of each while these are few files, else the range
+    of the files. The semi join decides, this only skips."""
+    lo, hi = F.min("node").alias("lo"), F.max("node").alias("hi")
+    few = bad.groupBy("file_no").agg(lo, hi).limit(FEW_FILES + 1).collect()
+    if len(few) <= FEW_FILES:
+        return reduce(operator.or_, ((F.col("file_no") == r.file_no) & F.col("node").between(r.lo * FANOUT, r.hi * FANOUT + FANOUT - 1) for r in few))
+    return F.col("file_no").between(*bad.agg(F.min("file_no"), F.max("file_no")).first())
+
+
 def tree(leaves: DataFrame) -> list[DataFrame]:
     """Levels of (file_no, node, hash), leaves first, the root (node 0) last."""
     span = lambda *c: F.sha2(F.concat_ws(":", *(F.col(x).cast("string") for x in c)), 256)
-    level = materialise(leaves.select("file_no", F.col("record_no").alias("node"), "start", "length", span("start", "length", "sha").alias("hash")), "leaves")
+    level = _level(leaves.select("file_no", F.col("record_no").alias("node"), "start", "length", span("start", "length", "sha").alias("hash")), "leaves")
     levels, size = [level], FILE_RECORDS
     while size > 1:
         size = -(-size // FANOUT)
@@ -98,7 +117,7 @@ def tree(leaves: DataFrame) -> list[DataFrame]:
             F.min("start").alias("start"), (F.max(F.col("start") + F.col("length")) - F.min("start")).alias("length"),
             F.concat_ws(",", F.transform(F.array_sort(F.collect_list(F.struct("node", "hash"))), lambda x: x.getField("hash"))).alias("children"),
         )
-        level = materialise(group.select("file_no", "node", "start", "length", span("start", "length", "children").alias("hash")), "nodes")
+        level = _level(group.select("file_no", "node", "start", "length", span("start", "length", "children").alias("hash")), "nodes")
         levels.append(level)
     return levels
 
@@ -108,15 +127,17 @@ def audit(left: DataFrame, right: DataFrame) -> DataFrame:
 
     ``found`` is damaged (other bytes), resized (other bytes and another length), moved (the same bytes at another offset), or missing_left,
     missing_right for a record that one replica lacks; ``start`` and ``length`` are the left one's where it has the record. Equal
-    replicas and empty tables give an empty result.
+    replicas and empty tables give an empty result, for which only the roots are read. Bodies of any length are hashed where they are read.
     """
     a, b = tree(left), tree(right)
     bad = None
     for x, y in zip(reversed(a), reversed(b)):
         x, y = x.select("file_no", "node", "hash"), y.select("file_no", "node", F.col("hash").alias("other"))
         if bad is not None:
-            parent = bad.select("file_no", F.col("node").alias("parent"))
-            x, y = (t.withColumn("parent", F.floor(F.col("node") / FANOUT)).join(parent, ["file_no", "parent"], "left_semi").drop("parent") for t in (x, y))
+            if bad.isEmpty():
+                break
+            parent, here = bad.select("file_no", F.col("node").alias("parent")), _below(bad)
+            x, y = (t.where(here).withColumn("parent", F.floor(F.col("node") / FANOUT)).join(parent, ["file_no", "parent"], "left_semi").drop("parent") for t in (x, y))
         bad = materialise(x.join(y, ["file_no", "node"], "full").where(~F.col("hash").eqNullSafe(F.col("other"))).select("file_no", "node"), "differ")
     spots = bad.withColumnRenamed("node", "record_no")
     keys = ["file_no", "record_no"]

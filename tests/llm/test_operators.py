@@ -137,6 +137,25 @@ def arrow_text(texts):
     return np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
 
 
+def test_descent_reads_differing_branches_only(spark, monkeypatch):
+    """Equal replicas are told apart at the roots; of one damaged record the scans below ask for its branch, many files or few."""
+    pages = spark.range(3 * 4096).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.concat(F.lit("body "), F.col("id")).alias("html"))
+    whole = op9_warc_fixity.records(pages)
+    a = op9_warc_fixity.manifest(whole)
+    read = []
+    real = op9_warc_fixity.materialise
+    monkeypatch.setattr(op9_warc_fixity, "materialise", lambda df, name: (read.append((name, df._jdf.queryExecution().executedPlan().toString())), real(df, name))[1])
+    assert op9_warc_fixity.audit(a, a).count() == 0 and [n for n, _ in read].count("differ") == 1
+    hurt = whole.withColumn("payload", F.when(F.col("page_id") == 5000, F.concat("payload", F.lit("!"))).otherwise(F.col("payload")))
+    for few in (64, 0):
+        monkeypatch.setattr(op9_warc_fixity, "FEW_FILES", few)
+        read.clear()
+        assert [(r.file_no, r.page_id, r.found) for r in op9_warc_fixity.audit(a, op9_warc_fixity.digests(hurt, a)).collect()] == [(1, 5000, "resized")]
+        descents = [p for n, p in read if n == "differ"]
+        asked = "EqualTo(file_no,1)" if few else "GreaterThanOrEqual(file_no,1)"
+        assert len(descents) == 4 and "PushedFilters: []" in descents[0] and all(asked in p for p in descents[1:])
+
+
 def test_components_of_a_long_path(spark):
     ids = list(range(200))
     random.Random(1).shuffle(ids)
