@@ -58,10 +58,9 @@ def merge_sources(cleaned: DataFrame) -> DataFrame:
     return records.unionByName(one_per_key(editions, "work_key", "id"))
 
 
-def extract_counters(raw: DataFrame, cleaned: DataFrame, kept: DataFrame) -> DataFrame:
-    """scanned, cleaned, kept and duplicates_skipped of the three tables of an extraction."""
-    one = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
-    return one(raw, "scanned").crossJoin(one(cleaned, "cleaned")).crossJoin(one(kept, "kept")).withColumn("duplicates_skipped", F.col("cleaned") - F.col("kept"))
+def extract_counters(spark, scanned: int, cleaned: int, kept: int) -> DataFrame:
+    """scanned, cleaned, kept and duplicates_skipped, of the rows that an extraction's own writes observed."""
+    return spark.createDataFrame([(scanned, cleaned, kept, cleaned - kept)], "scanned long, cleaned long, kept long, duplicates_skipped long")
 
 
 def matches(subtitles: DataFrame) -> DataFrame:

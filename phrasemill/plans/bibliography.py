@@ -11,7 +11,7 @@ from phrasemill.operators import bibliography as b
 from phrasemill.operators.pattern_index import PatternIndex
 from phrasemill.plans import duck
 from phrasemill.plans.duck import chain
-from phrasemill.session import build_table, scratch, spread
+from phrasemill.session import build_table, rows_built, scratch, spread
 
 
 def raw(spark, d):
@@ -19,13 +19,20 @@ def raw(spark, d):
 
 
 def cleaned(spark, d):
-    return build_table(spark, d, "cleaned", lambda: b.clean_records(raw(spark, d)))
+    return build_table(spark, d, "cleaned", b.clean_records, lambda: raw(spark, d))
 
 
 def merged(spark, d):
     return build_table(spark, d, "subtitles", lambda: b.merge_sources(cleaned(spark, d)))
 
 
+def counters(spark, d):
+    """What the writes of an extraction observed."""
+    merged(spark, d)
+    kept, (rows, scanned) = rows_built(spark, d, "subtitles")[0], rows_built(spark, d, "cleaned")
+    return b.extract_counters(spark, scanned, rows, kept)
+
+
 def found(spark, d):
     return build_table(spark, d, "pattern_matches", lambda: b.matches(spread(merged(spark, d))))
 
@@ -152,7 +159,7 @@ QUERIES = {
         chain("select kind, words, pos_tag, cast(sum(freq) as bigint) as freq from (select 'modifier' as kind, cast(len(string_split(filler, ' ')) + 1 as int) as words, pos_tag, freq from parts where slot_type = 'of_modifier' union all select 'head', 1, pos_tag, freq from parts where slot_type = 'of_head') x where words in (1, 2, 3) group by all"),
     ),
     "d07_prep_groups": (lambda s, d: b.prep_groups(parts(s, d)), chain("select prep, count(*) as n from parts where slot_type = 'of_topic' group by 1")),
-    "d10_extract_counters": (lambda s, d: b.extract_counters(raw(s, d), cleaned(s, d), merged(s, d)), chain("select *, cleaned - kept as duplicates_skipped from (select (select count(*) from editions_raw) as scanned, (select count(*) from cleaned) as cleaned, (select count(*) from merged) as kept) x")),
+    "d10_extract_counters": (counters, chain("select *, cleaned - kept as duplicates_skipped from (select (select count(*) from editions_raw) as scanned, (select count(*) from cleaned) as cleaned, (select count(*) from merged) as kept) x")),
     "d30_distinct_keys": (
         lambda s, d: raw(s, d).agg(F.count_distinct(t.normalize_lccn(F.col("lccn"))).alias("lccns"), F.count_distinct("isbn").alias("isbns"), F.count_distinct("work_key").alias("works")),
         chain(r"select count(distinct regexp_replace(lccn, '[\s\-]', '', 'g')) as lccns, count(distinct isbn) as isbns, count(distinct work_key) as works from editions_raw"),

@@ -8,9 +8,11 @@ import zipfile
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _built: dict[tuple, str] = {}
+_rows: dict[tuple, tuple[int, int | None]] = {}
 _shipped: set[str] = set()
 
 
@@ -73,16 +75,25 @@ def _version(spark: SparkSession, source: str) -> int:
     return hash(tuple(sorted(found)))
 
 
-def build_table(spark: SparkSession, source: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """The table ``name`` derived from ``source``, built on first use in this application and after a change of the source."""
+def build_table(spark: SparkSession, source: str, name: str, build: Callable[[], DataFrame], reads: Callable[[], DataFrame] | None = None) -> DataFrame:
+    """The table ``name`` derived from ``source``, built on first use in this application and after a change of the source; how many rows it has (and
+    how many ``reads`` had, the input that ``build`` then takes) is observed by the write itself."""
     key = (spark.sparkContext.applicationId, source, _version(spark, source), name)
     if key not in _built:
-        path = scratch(spark, name)
-        build().write.parquet(path)
+        path, n, seen = scratch(spark, name), Observation(), Observation()
+        one = F.count(F.lit(1)).alias("rows")
+        made = build() if reads is None else build(reads().observe(seen, one))
+        made.observe(n, one).write.parquet(path)
         _built[key] = path
+        _rows[key] = (n.get["rows"], None if reads is None else seen.get["rows"])
     return spark.read.parquet(_built[key])
 
 
+def rows_built(spark: SparkSession, source: str, name: str) -> tuple[int, int | None]:
+    """The rows of a built table, and of its observed input."""
+    return _rows[(spark.sparkContext.applicationId, source, _version(spark, source), name)]
+
+
 def forget_tables() -> None:
     """The next use of each table builds it anew."""
     _built.clear()
