@@ -32,9 +32,9 @@ _COLUMNS = ["ids", "copies", "homes", "v"]
 def spherical_kmeans(x: np.ndarray, k: int, steps: int = STEPS, seed: int = 7) -> np.ndarray:
     """k unit centroids of the unit rows of x; an emptied cell takes the row that fits its centroid worst."""
     rng = np.random.default_rng(seed)
-    c = x[rng.choice(len(x), k, replace=False)]
+    c, rows = x[rng.choice(len(x), k, replace=False)], max(16, (1 << 22) // k)  # products of 32 MB at a time
     for _ in range(steps):
-        near = np.concatenate([(x[i : i + 4096] @ c.T).argmax(1) for i in range(0, len(x), 4096)])
+        near = np.concatenate([(x[i : i + rows] @ c.T).argmax(1) for i in range(0, len(x), rows)])
         sums = np.zeros_like(c)
         np.add.at(sums, near, x)
         norm = np.linalg.norm(sums, axis=1)
