@@ -41,10 +41,10 @@ def drop_known(editions: DataFrame, records: DataFrame, key: str, normal=lambda
 
 
 def one_per_key(df: DataFrame, key: str, order: str) -> DataFrame:
-    """The first row of each key, found by an aggregate that keeps one row a key before anything is dealt out; rows without a key all stay."""
-    keyed = _keyed(F.col(key))
-    first = df.where(keyed).groupBy(F.col(key).alias("_key")).agg(F.min_by(F.struct(*df.columns), order).alias("r")).select("r.*")
-    return first.unionByName(df.where(~keyed))
+    """The first row of each key, found by an aggregate that keeps one row a key before anything is dealt out; rows without a key all stay,
+    each in a group of its own."""
+    own = df.groupBy(_spread(F.col(key), F.col(order)).alias("_key"), _keyed(F.col(key)).alias("_keyed"))
+    return own.agg(F.min_by(F.struct(*df.columns), F.struct(order)).alias("r")).select("r.*")
 
 
 def merge_sources(cleaned: DataFrame) -> DataFrame:
