@@ -18,11 +18,13 @@ from phrasemill.functions import text as t
 from phrasemill.functions import words as lists
 from phrasemill.operators import sampling as p
 from phrasemill.operators.bibliography import best_articles
-from phrasemill.session import materialise
+from phrasemill.session import materialise, spread
 
 ATTEMPTS, LOCKED_ATTEMPTS = 5, 20
-#: Tries of a draw in two rounds, the parameters that weights depend on.
-TRIES = ((1, 4), (5, 64))
+#: Tries of a draw in three rounds, the parameters that weights depend on.
+TRIES = ((1, 4), (5, 16), (17, 64))
+#: Rows that are exploded into tries are dealt over the cores from so many bytes on.
+SPREAD_BYTES = 1 << 14
 WEIGHT_PARAMS = ("pop_base_weight_blend", "pop_missing_default", "pop_tone_blend", "weighted_sample_spread", "weighted_sample_bias_floor")
 NOT_ENOUGH = "(not enough fillers)"
 REQUEST = "req_id long, seed long, tone string, remix_prob double, min_sim double, locks map<string,string>"
@@ -109,7 +111,7 @@ def accepted(draws: DataFrame, cum: DataFrame, key: tuple[str, ...], number: int
         luck = s.uniform(F.col("seed"), F.col("slot"), number, F.concat(F.lit("accept"), k.cast("string")))
         hit = got.where(luck * F.col("weight") < _weight()).groupBy(*key).agg(F.min_by(F.struct("filler", "units", "lo"), "try").alias("hit"))
         found.append(materialise(hit.select(*key, "hit.*"), "accepted"))
-        rows = materialise(rows.join(found[-1].select(*key), list(key), "left_anti"), "open")
+        rows = spread(materialise(rows.join(found[-1].select(*key), list(key), "left_anti"), "open"), SPREAD_BYTES)
         if rows.isEmpty():
             return reduce(DataFrame.unionByName, found)
     own = rows.select("pool", "trial", "tone", "slot", "target", *WEIGHT_PARAMS).distinct().withColumn("own", F.concat_ws("|", "trial", "tone", "pool"))
@@ -137,7 +139,7 @@ def generate(requests: DataFrame, pools: DataFrame, parts: DataFrame, splits: Da
     tones = F.filter(F.transform(F.split(F.coalesce("tone", F.lit("")), ","), lambda x: F.lower(F.trim(x))), lambda x: x != "")
     no_locks = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
     req = _tried(requests).withColumns({"tone": F.array_join(F.array_sort(F.array_distinct(tones)), ","), "locks": F.coalesce("locks", no_locks)})
-    req, params = materialise(req, "requests"), _tried(params)
+    req, params = spread(materialise(req, "requests"), SPREAD_BYTES), _tried(params)
     cum, terms = _cumulated(pools, parts, params), materialise(draw_terms(req, params), "terms")
     slots = F.explode(F.array(*map(F.lit, lists.SLOTS))).alias("slot")
     draws = req.select("req_id", "seed", "trial", "tone", slots).join(terms, ["trial", "tone", "slot"]).withColumn("pool", _pool(F.col("slot")))
@@ -178,6 +180,7 @@ def remix(drawn: DataFrame, cum: DataFrame, terms: DataFrame, parts: DataFrame,
     own = own.join(no_of, "trial").where("kind is not null and (kind = 'type1' or prep is not null)").where(~(c("no_of") & (c("kind") == "type2") & (c("prep") == "of")))
     most = F.when(c("locked"), LOCKED_ATTEMPTS).otherwise(ATTEMPTS)
     tries = materialise(own.select("req_id", "seed", "trial", "tone", "kind", "words", "prep", "locks", "locked", "min_sim", F.explode(F.sequence(F.lit(1), most)).alias("attempt")), "attempts")
+    tries = spread(tries, SPREAD_BYTES)
     first = c("kind") == "type1"
     pool1 = F.when(first, _pool(F.lit("of_modifier"), c("words") - 1)).otherwise(_pool(F.lit("of_topic"), c("prep")))
     pool2 = F.when(first, _pool(F.lit("of_head"))).otherwise(_pool(F.lit("of_complement"), c("prep")))
