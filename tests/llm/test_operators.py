@@ -203,6 +203,30 @@ def test_pii_learns_secrets(spark):
     assert sum(got[200 + i].n_secret == 1 for i in range(80)) >= 76
 
 
+def test_pii_learns_contacts(spark):
+    """Numbers to call are found in four languages, dates, years and page lists aren't, numbers inside base phones are no second span."""
+    r = random.Random(9)
+    n = lambda k: "".join(r.choice("23456789") for _ in range(k))
+    words = lambda: " ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(3, 9))) for _ in range(12))
+    calls = [f"phone: ({n(3)}) {n(3)}-{n(4)}", f"call me at {n(3)}-{n(3)}-{n(4)}", f"Teléfono {n(3)} {n(3)} {n(4)}", f"tél. (0{n(3)}) {n(4)}", f"Telefon: (0{n(3)}) {n(2)} {n(4)}"]
+    calls += [f"téléphone 0{n(1)} {n(2)} {n(2)} {n(2)} {n(2)}"]
+    calls = calls * 15
+    others = ["2021-03-04", "12.05.2019", "1990-1995", "1990 1995 2001", "pages 120-134", "ISBN 12-345-6789", "price $12 345 678", "lines 100 200 300", "since 1990/2001"] * 15
+    phones = [f"+1 ({n(3)}) {n(3)}-{n(4)}" for _ in range(30)]
+    texts = [f"{words()} {x} {words()}" for x in calls + others + phones]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = by_id(op3_pii.pii_spans(docs))
+    at = len(calls)
+    right = sum(got[i].n_contact == 1 for i in range(at))
+    wrong = [texts[i] for i in range(at, at + len(others)) if got[i].n_contact]
+    assert right >= 0.9 * at and not wrong, (right, at, wrong[:3])
+    assert all(got[i].n_phone == 1 and got[i].n_contact == 0 for i in range(at + len(others), len(texts)))
+    told = {(x.kind, x.labeler): x for x in op3_pii.labelers(docs).collect()}
+    assert told["contact", "international"].n_for == 30 and told["contact", "gazetteer"].agrees > 0.8
+    assert told["contact", "format"].n_for > 0 and told["contact", "format"].n_against > 0
+    assert told["secret", "key"].n_for == 0 and told["secret", "key"].agrees is None
+
+
 def fold_scores(rows, labels, label):
     y = {r.doc_id: r[label] for r in labels.collect()}
     own = [(r.score, r.predicted, y[r.doc_id]) for r in rows.collect() if r.held_out and r.doc_id in y]
