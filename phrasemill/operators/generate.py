@@ -139,20 +139,24 @@ def generate(requests: DataFrame, pools: DataFrame, parts: DataFrame, splits: Da
     tones = F.filter(F.transform(F.split(F.coalesce("tone", F.lit("")), ","), lambda x: F.lower(F.trim(x))), lambda x: x != "")
     no_locks = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
     req = _tried(requests).withColumns({"tone": F.array_join(F.array_sort(F.array_distinct(tones)), ","), "locks": F.coalesce("locks", no_locks)})
+    locked = F.to_json(F.array_sort(F.map_entries("locks")))
+    draw = F.concat_ws("|", F.coalesce(F.col("seed").cast("string"), F.lit("null")), "trial", "tone")
+    req = req.withColumn("draw", draw).withColumn("mix", F.concat_ws("\x1f", "draw", locked))
     req, params = spread(materialise(req, "requests"), SPREAD_BYTES), _tried(params)
     cum, terms = _cumulated(pools, parts, params), materialise(draw_terms(req, params), "terms")
     slots = F.explode(F.array(*map(F.lit, lists.SLOTS))).alias("slot")
-    draws = req.select("req_id", "seed", "trial", "tone", slots).join(terms, ["trial", "tone", "slot"]).withColumn("pool", _pool(F.col("slot")))
-    first = accepted(draws, cum, ("req_id", "slot"))
-    pairs = draws.where("slot = 'list_item'").join(first.where("slot = 'list_item'").select("req_id", F.col("filler").alias("first"), F.col("lo").alias("first_lo"), F.col("units").alias("first_units")), "req_id")
-    second = accepted(pairs, cum, ("req_id",), 2)
-    both = first.select("req_id", "slot", "filler").unionByName(second.select("req_id", F.lit("second").alias("slot"), "filler"))
-    picked = both.groupBy("req_id").agg(*(F.max(F.when(F.col("slot") == k, F.col("filler"))).alias(v) for k, v in (("list_item", "i1"), ("second", "i2"), ("action_noun", "a"), ("of_object", "o"))))
+    seeds = spread(materialise(req.select("draw", "seed", "trial", "tone").distinct(), "seeds"), SPREAD_BYTES)
+    draws = seeds.select("draw", "seed", "trial", "tone", slots).join(terms, ["trial", "tone", "slot"]).withColumn("pool", _pool(F.col("slot")))
+    first = accepted(draws, cum, ("draw", "slot"))
+    pairs = draws.where("slot = 'list_item'").join(first.where("slot = 'list_item'").select("draw", F.col("filler").alias("first"), F.col("lo").alias("first_lo"), F.col("units").alias("first_units")), "draw")
+    second = accepted(pairs, cum, ("draw",), 2)
+    both = first.select("draw", "slot", "filler").unionByName(second.select("draw", F.lit("second").alias("slot"), "filler"))
+    picked = both.groupBy("draw").agg(*(F.max(F.when(F.col("slot") == k, F.col("filler"))).alias(v) for k, v in (("list_item", "i1"), ("second", "i2"), ("action_noun", "a"), ("of_object", "o"))))
     # one locked item: the drawn pair is distinct, so one of the two differs from it
     free1 = F.when(F.col("i1") == _lock("item2"), F.col("i2")).otherwise(F.col("i1"))
     free2 = F.when(_lock("item1").isNotNull(), F.when(F.col("i1") == _lock("item1"), F.col("i2")).otherwise(F.col("i1"))).otherwise(F.col("i2"))
-    drawn = req.join(picked, "req_id", "left").withColumns({"item1": F.coalesce(_lock("item1"), free1), "item2": F.coalesce(_lock("item2"), free2), "action_noun": F.coalesce(_lock("action_noun"), "a"), "of_object": F.coalesce(_lock("of_object"), "o")})
-    drawn = materialise(drawn.drop("i1", "i2", "a", "o"), "drawn")
+    drawn = req.join(picked, "draw", "left").withColumns({"item1": F.coalesce(_lock("item1"), free1), "item2": F.coalesce(_lock("item2"), free2), "action_noun": F.coalesce(_lock("action_noun"), "a"), "of_object": F.coalesce(_lock("of_object"), "o")})
+    drawn = materialise(drawn.drop("i1", "i2", "a", "o", "draw"), "drawn")
     mixed = remix(drawn, cum, terms, parts, splits, scalars, params, constants)
     out = drawn.join(mixed, "req_id", "left").withColumn("remixed", F.col("composed").isNotNull())
     out = out.withColumn("of_object", F.coalesce("composed", "of_object")).drop("composed")
@@ -163,8 +167,9 @@ def generate(requests: DataFrame, pools: DataFrame, parts: DataFrame, splits: Da
 def remix(drawn: DataFrame, cum: DataFrame, terms: DataFrame, parts: DataFrame, splits: DataFrame, scalars: DataFrame, params: DataFrame, constants) -> DataFrame:
     """req_id, composed, remix_parts, remix_similarity of the requests that remix: the first valid attempt, or with locks the most similar.
 
-    Only gated requests are exploded into attempts, and each attempt into the draws of its two parts from the pool needed (words
-    of the modifier, or preposition).
+    Only gated requests remix. Those of one seed, trial, tone and locks (``mix``) have the same attempts, which are made once: exploded, and each into
+    the draws of its two parts from the pool needed (words of the modifier, or preposition). A request then takes of its mix's attempts, a short array
+    in order, the first that is similar enough for it.
     """
     c = F.col
     has = F.exists(F.map_keys("locks"), lambda k: k.isin(*lists.PART_SLOTS))
@@ -179,17 +184,19 @@ def remix(drawn: DataFrame, cum: DataFrame, terms: DataFrame, parts: DataFrame,
     no_of = params.where("key = 'remix_reject_double_of'").select("trial", (c("value") > 0).alias("no_of"))
     own = own.join(no_of, "trial").where("kind is not null and (kind = 'type1' or prep is not null)").where(~(c("no_of") & (c("kind") == "type2") & (c("prep") == "of")))
     most = F.when(c("locked"), LOCKED_ATTEMPTS).otherwise(ATTEMPTS)
-    tries = materialise(own.select("req_id", "seed", "trial", "tone", "kind", "words", "prep", "locks", "locked", "min_sim", F.explode(F.sequence(F.lit(1), most)).alias("attempt")), "attempts")
+    asked = materialise(own.select("req_id", "mix", "seed", "trial", "tone", "kind", "words", "prep", "locks", "locked", "min_sim"), "remixing")
+    mixes = asked.groupBy("mix").agg(F.first(F.struct("seed", "trial", "tone", "kind", "words", "prep", "locks", "locked")).alias("m")).select("mix", "m.*")
+    tries = materialise(mixes.select("*", F.explode(F.sequence(F.lit(1), most)).alias("attempt")), "attempts")
     tries = spread(tries, SPREAD_BYTES)
     first = c("kind") == "type1"
     pool1 = F.when(first, _pool(F.lit("of_modifier"), c("words") - 1)).otherwise(_pool(F.lit("of_topic"), c("prep")))
     pool2 = F.when(first, _pool(F.lit("of_head"))).otherwise(_pool(F.lit("of_complement"), c("prep")))
     rows = F.explode(F.array(F.struct(F.lit("part1").alias("slot"), pool1.alias("pool")), F.struct(F.lit("part2").alias("slot"), pool2.alias("pool"))))
     seed = F.concat_ws("/", c("seed").cast("string"), c("attempt").cast("string")).alias("seed")
-    draws = tries.select("req_id", "attempt", "trial", "tone", seed, rows.alias("r")).select("req_id", "attempt", "trial", "tone", "seed", "r.*")
+    draws = tries.select("mix", "attempt", "trial", "tone", seed, rows.alias("r")).select("mix", "attempt", "trial", "tone", "seed", "r.*")
     draws = draws.join(terms.where("slot = 'of_object'").drop("slot"), ["trial", "tone"])
-    picks = accepted(draws, cum, ("req_id", "attempt", "slot")).groupBy("req_id", "attempt").agg(*(F.max(F.when(c("slot") == k, c("filler"))).alias(k) for k in ("part1", "part2")))
-    tries = tries.join(picks, ["req_id", "attempt"], "left")
+    picks = accepted(draws, cum, ("mix", "attempt", "slot")).groupBy("mix", "attempt").agg(*(F.max(F.when(c("slot") == k, c("filler"))).alias(k) for k in ("part1", "part2")))
+    tries = tries.join(picks, ["mix", "attempt"], "left")
     one = F.when(first, F.coalesce(_lock("of_modifier"), "part1")).otherwise(F.coalesce(_lock("of_topic"), "part1"))
     two = F.when(first, F.coalesce(_lock("of_head"), "part2")).otherwise(F.coalesce(_lock("of_complement"), "part2"))
     tries = tries.withColumns({"one": one, "two": two}).where("one is not null and two is not null")
@@ -203,13 +210,17 @@ def remix(drawn: DataFrame, cum: DataFrame, terms: DataFrame, parts: DataFrame,
     tries = tries.join(side("one", ("of_modifier", "of_topic")), ["kind", "one"], "left").join(side("two", ("of_head", "of_complement")), ["kind", "two"], "left")
     norm, cross1, cross2 = constants
     sim = s.approximate_cosine(F.array("d_one", "d_two"), F.array("q_one", "q_two"), F.lit(norm), F.when(first, cross1).otherwise(cross2))
-    tries = tries.withColumn("sim", F.when((c("min_sim") > 0) | c("locked"), sim))
-    passes = (c("min_sim") <= 0) | c("sim").isNull() | (c("sim") >= c("min_sim"))
+    tries = tries.withColumn("sim", sim)
     named = lambda names, cols: F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*cols))
     remix_parts = F.when(first, named(("modifier", "head"), ("one", "two"))).otherwise(named(("topic", "prep", "complement"), ("one", "prep", "two")))
     made = F.struct("composed", remix_parts.alias("remix_parts"), c("sim").alias("remix_similarity"))
-    best = tries.groupBy("req_id").agg(F.min_by(F.when(passes, made), F.when(passes, c("attempt"))).alias("first"), F.max_by(F.when(c("locked"), made), F.when(c("locked"), F.struct("sim", -c("attempt")))).alias("fallback"))
-    return best.select("req_id", F.coalesce("first", "fallback").alias("m")).where("m is not null").select("req_id", "m.*")
+    listed = F.array_sort(F.collect_list(F.struct("attempt", made.alias("made"))), lambda x, y: (x["attempt"] - y["attempt"]).cast("int"))
+    best = tries.groupBy("mix").agg(listed.alias("made"), F.max_by(F.when(c("locked"), made), F.when(c("locked"), F.struct("sim", -c("attempt")))).alias("fallback"))
+    asks = (c("min_sim") > 0) | c("locked")
+    enough = lambda x: (c("min_sim") <= 0) | x.isNull() | (x >= c("min_sim"))
+    passing = F.filter("made", lambda x: enough(F.when(asks, x["made"]["remix_similarity"])))
+    out = asked.join(best, "mix").select("req_id", "min_sim", "locked", F.coalesce(F.get(passing, F.lit(0))["made"], "fallback").alias("m")).where("m is not null")
+    return out.select("req_id", "m.composed", "m.remix_parts", F.when(asks, c("m.remix_similarity")).alias("remix_similarity"))
 
 
 def finish(drawn: DataFrame, counts: DataFrame, params: DataFrame) -> DataFrame:

@@ -37,3 +37,34 @@ def test_text_fillers_match_the_pattern_once(spark):
     own = spark.createDataFrame([(x,) for x in texts], "x string").repartition(2)
     got = {r.x: r.f for r in own.select("x", t.text_fillers(F.col("x")).alias("f")).collect()}
     assert got == {texts[0]: ["Race", "Power", "Rise", "Home"], texts[1]: [], texts[2]: ["A", "B", "C", "D"], texts[3]: ["A\x1f", "B", "C", "D"], None: []}
+
+
+def test_requests_of_one_seed_are_drawn_once(spark, monkeypatch):
+    """Levels of a sweep repeat their seeds: as many draws and attempts are written for six levels as for one."""
+    from phrasemill.operators import generate as g
+    from phrasemill.operators import sampling as p
+
+    pools = spark.createDataFrame([(k, f"{k} {i}", i + 1, None) for k in ("list_item", "action_noun", "of_object") for i in range(9)], "slot_type string, filler string, freq long, popularity double")
+    parts = spark.createDataFrame([(k, f"{k[3:]}{i}", i + 1, None, None, None) for k in ("of_modifier", "of_head") for i in range(9)], "slot_type string, filler string, freq long, popularity double, pos_tag string, prep string")
+    splits = spark.createDataFrame([(f"of_object {i}", "type1", None, 2) for i in range(9)], "filler string, remix_type string, remix_prep string, remix_word_count int")
+    scalars = spark.createDataFrame([(k, f"{k[3:]}{i}", i / 10, 1.0) for k in ("of_modifier", "of_head") for i in range(9)], "slot_type string, filler string, centroid_dot double, norm_sq double")
+    counts = spark.createDataFrame([], "slot_type string, filler_lc string, article string, n long")
+    seen, write = {}, g.materialise
+
+    def counted(df, name):
+        out = write(df, name)
+        seen.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(g, "materialise", counted)
+
+    def run(levels):
+        seen.clear()
+        req = spark.range(20).crossJoin(spark.createDataFrame([(float(x),) for x in levels], "min_sim double"))
+        req = req.selectExpr("id * 100 + cast(min_sim * 10 as long) as req_id", "id as seed", "'' as tone", "1D as remix_prob", "min_sim", "cast(null as map<string,string>) as locks")
+        rows = {r.req_id: tuple(r) for r in g.generate(req, pools, parts, splits, counts, scalars, p.defaults(spark), (1.0, 0.1, 0.1)).collect()}
+        return rows, seen["accepted"], seen["attempts"]
+
+    six, one = run((0.0, 0.2, 0.4, 0.6, 0.8, 0.9)), run((0.6,))
+    assert six[1:] == one[1:]
+    assert len(six[0]) == 120 and one[0].items() <= six[0].items()
