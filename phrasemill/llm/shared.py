@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from phrasemill.session import ship  # noqa: F401
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; a temporary one only for an unset local session (tests)."""
@@ -46,22 +46,6 @@ def crc_of_id(col: str = "doc_id"):
     return F.crc32(F.col(col).cast("string").cast("binary"))
 
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once a session, for those that don't have it installed."""
-    app = spark.sparkContext.applicationId
-    if app not in _shipped:
-        root = Path(__file__).resolve().parents[1]
-        to = Path(tempfile.mkdtemp(prefix="spark-phrasemill-")) / f"{root.name}.zip"
-        with zipfile.ZipFile(to, "w") as z:
-            for f in sorted(root.rglob("*.py")):
-                z.write(f, f.relative_to(root.parent))
-        spark.sparkContext.addPyFile(str(to))
-        _shipped.add(app)
-
-
 def tokenizer_file(name: str) -> str:
     """Where the installed public vocabulary file is; the same on every machine that has the package."""
     import public_tokenizers

@@ -5,6 +5,8 @@ import json
 
 from pyspark.sql import functions as F
 
+from phrasemill import session
+from phrasemill.llm import shared
 from phrasemill.operators import feedback
 from phrasemill.sources import readers, writers
 from phrasemill.streaming import jobs
@@ -84,3 +86,16 @@ def test_summary_needs_ten(spark):
     one = feedback.summary(df).first()
     assert (one.total_ratings, one.thumbs_rated, one.tone_pairs, one.tone_accuracy) == (12, 12, 8, 0.5)
     assert feedback.summary(df.where("id < 9")).count() == 0
+
+
+def test_package_is_sent_once(spark, monkeypatch):
+    """Executors take a file name from one path only: engine and operators send one file a session, and one sent later has another name."""
+    sent = []
+    monkeypatch.setattr(type(spark.sparkContext), "addPyFile", lambda self, path: sent.append(path.rsplit("/", 1)[-1]))
+    monkeypatch.setattr(session, "_shipped", set())
+    shared.ship(spark)
+    session.ship(spark)
+    assert len(sent) == 1
+    session._shipped.clear()
+    session.ship(spark)
+    assert len(set(sent)) == 2
