@@ -23,6 +23,8 @@ from phrasemill.session import materialise, spread
 ATTEMPTS, LOCKED_ATTEMPTS = 5, 20
 #: Tries of a draw in three rounds, the parameters that weights depend on.
 TRIES = ((1, 4), (5, 16), (17, 64))
+#: Cells to one unit of log10(1 + freq), and of popularity, by which a pool's fillers are taken together.
+CELLS = 20
 #: Rows that are exploded into tries are dealt over the cores from so many bytes on.
 SPREAD_BYTES = 1 << 14
 WEIGHT_PARAMS = ("pop_base_weight_blend", "pop_missing_default", "pop_tone_blend", "weighted_sample_spread", "weighted_sample_bias_floor")
@@ -91,25 +93,49 @@ def _cumulated(pools: DataFrame, parts: DataFrame, params: DataFrame) -> DataFra
     return materialise(p.cumulative(pool.crossJoin(F.broadcast(bases)).withColumn("weight", most).drop("bases")), "cumulated")
 
 
+def _likeliest(rows: DataFrame, cum: DataFrame) -> DataFrame:
+    """trial, tone, slot, pool -> most: the largest share of its tries that any filler of the pool is accepted with under the terms of a tone, from above, as
+    digits (``scores.digits_to``).
+
+    Fillers are taken together in cells of log10(1 + freq) and popularity, so the work is a pool's cells for each of the terms, whatever the pool's size;
+    a cell's scores lie in an interval, and of a tone's bias over it the ends or the target itself are the largest.
+    """
+    c = F.col
+    cell = lambda x: F.floor(x * CELLS)
+    level = F.log10(1 + c("freq"))
+    ends = (F.min(level).alias("l1"), F.max(level).alias("l2"), F.min("popularity").alias("p1"), F.max("popularity").alias("p2"))
+    cells = cum.where("units > 0").groupBy("pool", cell(level), cell(c("popularity"))).agg(*ends).select("pool", "l1", "l2", "p1", "p2")
+    levels = [(1 - c("pop_tone_blend")) * c(x) for x in ("l1", "l2")]
+    pops = [c("pop_tone_blend") * F.coalesce(x, "pop_missing_default") for x in ("p1", "p2")]
+    lo, hi = F.least(*levels) + F.least(*pops), F.greatest(*levels) + F.greatest(*pops)
+    near, far = F.greatest(lo - c("target"), c("target") - hi, F.lit(0.0)), F.greatest(hi - c("target"), c("target") - lo)
+    bias = F.greatest(*(s.tone_bias(x, F.lit(0.0), c("weighted_sample_spread"), c("weighted_sample_bias_floor")) for x in (near, far)))
+    own = rows.where("target is not null").select("trial", "tone", "slot", "pool", "target", *WEIGHT_PARAMS).distinct()
+    return own.join(cells, "pool").groupBy("trial", "tone", "slot", "pool").agg(s.digits_to(F.max(bias) * (1 + 1e-9)).alias("most"))
+
+
 def accepted(draws: DataFrame, cum: DataFrame, key: tuple[str, ...], number: int = 1) -> DataFrame:
     """draws (the columns ``key``, seed, slot, pool, the terms; for a second one also first, first_lo, first_units) -> key, filler, units, lo.
 
     A filler is drawn from the shared pool and accepted in proportion to the weight that the draw gives it, so the accepted ones have just that weight; the
     second of a pair is drawn from what the first leaves. What is written grows with the draws, not with trials times fillers. Draws that no try
-    of TRIES serves get their filler from their own weights, cumulated for them alone.
+    of TRIES serves get their filler from their own weights, cumulated for them alone. A try whose luck no filler of the pool could meet (``_likeliest``) is
+    left out before its filler is looked up: where all fillers are far from a tone's target, that is nearly every try.
     """
     letter, second = " ab"[number], number == 2
     rows = p.started(draws, cum).withColumn("room", F.col("total") - (F.col("first_units") if second else F.lit(0))).where("room > 0")
+    likeliest = materialise(_likeliest(draws, cum), "likeliest")
+    rows = rows.join(likeliest, ["trial", "tone", "slot", "pool"], "left")
     past = lambda v: F.when(v >= F.col("first_lo"), v + F.col("first_units")).otherwise(v) if second else v
     found = []
     for lo, hi in TRIES:
         k = F.col("try")
         last = F.when(F.col("target").isNull(), F.lit(lo)).otherwise(F.lit(hi)) if lo == 1 else F.lit(hi)  # without a tone the first one mostly serves
-        tries = rows.withColumn("try", F.explode(F.sequence(F.lit(lo), last)))
+        luck = F.col("seed"), F.col("slot"), number, F.concat(F.lit("accept"), k.cast("string"))
+        tries = rows.withColumn("try", F.explode(F.sequence(F.lit(lo), last))).where(F.col("most").isNull() | (s.digits(*luck) <= F.col("most")))
         name = F.when(k == 1, letter).otherwise(F.concat(F.lit(letter), k.cast("string")))
         got = p.pick(tries.withColumn("point", past(s.whole_uniform(F.col("room"), F.col("seed"), F.col("slot"), number, name))), cum, more=("freq", "popularity", "weight"))
-        luck = s.uniform(F.col("seed"), F.col("slot"), number, F.concat(F.lit("accept"), k.cast("string")))
-        hit = got.where(luck * F.col("weight") < _weight()).groupBy(*key).agg(F.min_by(F.struct("filler", "units", "lo"), "try").alias("hit"))
+        hit = got.where(s.uniform(*luck) * F.col("weight") < _weight()).groupBy(*key).agg(F.min_by(F.struct("filler", "units", "lo"), "try").alias("hit"))
         found.append(materialise(hit.select(*key, "hit.*"), "accepted"))
         rows = spread(materialise(rows.join(found[-1].select(*key), list(key), "left_anti"), "open"), SPREAD_BYTES)
         if rows.isEmpty():
@@ -117,7 +143,7 @@ def accepted(draws: DataFrame, cum: DataFrame, key: tuple[str, ...], number: int
     own = rows.select("pool", "trial", "tone", "slot", "target", *WEIGHT_PARAMS).distinct().withColumn("own", F.concat_ws("|", "trial", "tone", "pool"))
     weights = own.join(cum.select("pool", "filler", "freq", "popularity"), "pool").select("own", "filler", _weight().alias("weight"))
     exact = materialise(p.cumulative(weights, ("own",)), "exact")
-    rest = p.started(rows.drop("total", "width").withColumn("own", F.concat_ws("|", "trial", "tone", "pool")), exact, ("own",))
+    rest = p.started(rows.drop("total", "width", "most").withColumn("own", F.concat_ws("|", "trial", "tone", "pool")), exact, ("own",))
     if second:
         taken = exact.select("own", F.col("filler").alias("first"), F.col("lo").alias("_lo"), F.col("units").alias("_units"))
         rest = rest.drop("first_lo", "first_units").join(taken, ["own", "first"]).withColumnsRenamed({"_lo": "first_lo", "_units": "first_units"})

@@ -4,6 +4,9 @@ from pyspark.sql import functions as F
 
 from phrasemill.functions import text as t
 from phrasemill.operators import bibliography as b
+from phrasemill.operators import generate as g
+from phrasemill.operators import sampling as p
+from phrasemill.session import materialise
 
 
 def told(df):
@@ -68,3 +71,27 @@ def test_requests_of_one_seed_are_drawn_once(spark, monkeypatch):
     six, one = run((0.0, 0.2, 0.4, 0.6, 0.8, 0.9)), run((0.6,))
     assert six[1:] == one[1:]
     assert len(six[0]) == 120 and one[0].items() <= six[0].items()
+
+
+def test_hopeless_tries_are_not_looked_up(spark, monkeypatch):
+    """Where all fillers are far from the tone's target, nearly every try is refused by its luck alone; the fillers drawn are those of all tries."""
+    pools = spark.createDataFrame([("action_noun", f"x{i}", 10**6 + i, [None, 0.5, 2.0][i % 3]) for i in range(60)] + [("of_object", f"y{i}", 1 + 40 * i, None) for i in range(60)], "slot_type string, filler string, freq long, popularity double")
+    parts = spark.createDataFrame([], "slot_type string, filler string, freq long, popularity double, prep string")
+    params = p.defaults(spark).withColumn("trial", F.lit(0).cast("long"))
+    req = spark.createDataFrame([(0, x, k) for k, x in enumerate(["pop", "niche", ""] * 40)], "trial long, tone string, seed long")
+    cum, terms = g._cumulated(pools, parts, params), g.draw_terms(req, params)
+    draws = req.withColumn("slot", F.explode(F.array(F.lit("action_noun"), F.lit("of_object")))).join(terms, ["trial", "tone", "slot"]).withColumns({"pool": F.col("slot"), "draw": F.col("seed")})
+    draws, asked, pick = materialise(draws, "draws"), [], p.pick
+
+    def counted(tries, *a, **b):
+        if a[0] is cum:
+            asked.append(tries.where("slot = 'action_noun' and tone <> ''").count())
+        return pick(tries, *a, **b)
+
+    monkeypatch.setattr(p, "pick", counted)
+    got = sorted(map(tuple, g.accepted(draws, cum, ("draw", "slot")).collect()))
+    few = sum(asked)
+    asked.clear()
+    monkeypatch.setattr(g, "_likeliest", lambda rows, cum: spark.createDataFrame([], "trial long, tone string, slot string, pool string, most string"))
+    assert got == sorted(map(tuple, g.accepted(draws, cum, ("draw", "slot")).collect())) and len(got) == 240
+    assert few * 5 < sum(asked)
