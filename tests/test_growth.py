@@ -95,3 +95,16 @@ def test_hopeless_tries_are_not_looked_up(spark, monkeypatch):
     monkeypatch.setattr(g, "_likeliest", lambda rows, cum: spark.createDataFrame([], "trial long, tone string, slot string, pool string, most string"))
     assert got == sorted(map(tuple, g.accepted(draws, cum, ("draw", "slot")).collect())) and len(got) == 240
     assert few * 5 < sum(asked)
+
+
+def test_templates_build_no_struct_for_each_token(spark):
+    """Tokens are arrays of strings; structs are built for the open runs alone, which are part of the result."""
+    texts = ["The rise of cold War; a furious attack, slowly", "Élan -- of ΑΣ İ 42 ½", "\x1f of \x1f", "of", "", None]
+    own = spark.createDataFrame(list(enumerate(texts)), "id long, phrase string").repartition(2)
+    out = b.templates(own, b.lexicon(spark))
+    got = {r.id: (r.template, [tuple(x) for x in r.slot_data or []]) for r in out.collect()}
+    assert got[0] == ("the NOUN of ADJ NOUN ; a ADJ NOUN , ADV", [("NOUN", "rise", False), ("ADJ", "cold", False), ("NOUN", "War", False), ("ADJ", "furious", False), ("NOUN", "attack", False), ("ADV", "slowly", False)])
+    assert got[1] == ("NOUN - - of NOUN+ NUM+", [("NOUN", "Élan", False), ("NOUN", "ΑΣ İ", True), ("NUM", "42 ½", True)])
+    assert got[2] == ("PUNCT of PUNCT", [("PUNCT", "\x1f", False)] * 2) and got[3] == ("of", []) and got[4] == ("", []) and got[5] == (None, [])
+    project = [x for x in told(out).split("\n") if "Project" in x or "Generate" in x]
+    assert sum(x.count("struct(") for x in project) == 1
