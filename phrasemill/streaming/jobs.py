@@ -76,10 +76,20 @@ def counters_table(spark: SparkSession, path: str) -> KeyedTable:
 
 
 def drained(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
-    """Runs a stream to the end of its input; what it puts out in append mode goes to files at ``path``, which are returned."""
+    """Runs a stream to the end of its input; what it puts out in append mode goes to files at ``path``, which are returned.
+
+    The state of alerts is small, a row for each open window, and each of its partitions is a store that every batch commits: it has as many as there are
+    cores, not as many as a shuffle has.
+    """
     spark = stream.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path).awaitTermination()
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", min(int(before), spark.sparkContext.defaultParallelism))
+    try:
+        query = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
 
 

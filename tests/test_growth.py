@@ -108,3 +108,16 @@ def test_templates_build_no_struct_for_each_token(spark):
     assert got[2] == ("PUNCT of PUNCT", [("PUNCT", "\x1f", False)] * 2) and got[3] == ("of", []) and got[4] == ("", []) and got[5] == (None, [])
     project = [x for x in told(out).split("\n") if "Project" in x or "Generate" in x]
     assert sum(x.count("struct(") for x in project) == 1
+
+
+def test_slices_of_a_stream_are_several_files(spark, small, monkeypatch):
+    """A large log lands as several files a batch, written by one job and dated in order of time; its windows are those of the batch query."""
+    from phrasemill.plans import logs, streams
+
+    monkeypatch.setattr(streams, "FILE", 1000)
+    path, each = streams._landed(spark, logs.telemetry(spark, small).select("timestamp"), "timestamp")
+    files = spark.read.parquet(path).groupBy(F.col("_metadata.file_modification_time").alias("at")).agg(F.min("timestamp").alias("lo"), F.max("timestamp").alias("hi"), F.count("timestamp").alias("n")).orderBy("at").collect()
+    assert each > 1 and len(files) > streams.SLICES and sum(f.n for f in files) == 1000
+    assert all(a.hi <= b.lo for a, b in zip(files, files[1:]))
+    assert sorted(map(tuple, streams.alerts("browser")(spark, small).collect())) == sorted(map(tuple, logs.QUERIES["s02_browser_windows"][0](spark, small).select("window_start", "n", "names", "code").collect()))
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "4"
