@@ -18,7 +18,7 @@ from phrasemill.plans import bibliography as bib
 from phrasemill.plans import duck, numbers
 from phrasemill.plans.duck import chain
 from phrasemill.plans.numbers import rounded
-from phrasemill.session import build_table, materialise, scratch
+from phrasemill.session import build_table, materialise, scratch, spread
 from phrasemill.sources.keyed import KeyedTable
 
 
@@ -137,7 +137,7 @@ TEXTS = "case p_partkey % 4 when 0 then 'Race, ' || p_name || ', and the Rise of
 
 
 def texts(sp, d):
-    return fixtures.view(sp, d, "part").selectExpr("p_partkey as id", f"{TEXTS} as text")
+    return spread(fixtures.view(sp, d, "part").select("p_partkey", "p_name"), 1 << 16).selectExpr("p_partkey as id", f"{TEXTS} as text")
 
 
 AXES = ("coherence", "evocativeness", "surprise")

@@ -121,3 +121,10 @@ def test_slices_of_a_stream_are_several_files(spark, small, monkeypatch):
     assert all(a.hi <= b.lo for a, b in zip(files, files[1:]))
     assert sorted(map(tuple, streams.alerts("browser")(spark, small).collect())) == sorted(map(tuple, logs.QUERIES["s02_browser_windows"][0](spark, small).select("window_start", "n", "names", "code").collect()))
     assert spark.conf.get("spark.sql.shuffle.partitions") == "4"
+
+
+def test_texts_to_score_are_dealt_over_the_cores(spark, small, tmp_path):
+    from phrasemill.plans import generation as gen
+
+    spark.range(200_000).selectExpr("id as p_partkey", "md5(cast(id as string)) as p_name").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    assert "RoundRobinPartitioning(4)" in gen.texts(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
