@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from phrasemill.session import materialise
+
 BUCKETS = 16
 
 
@@ -60,16 +62,13 @@ class KeyedTable:
         if order is not None:
             last = F.row_number().over(W.partitionBy(*self.keys).orderBy(F.desc(order)))
             rows = rows.withColumn("_rank", last).where("_rank = 1")
-        rows = rows.select(*self.schema.names).persist()
-        try:
-            touched = sorted(r[0] for r in rows.select(self._bucket().alias("b")).distinct().collect())
-            before = self.manifest()
-            same = [F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) for k in self.keys]
-            old = self._read({b: v for b, v in before.items() if b in touched}).alias("o").join(rows.alias("n"), same, "left_anti")
-            new = old.unionByName(rows.where(F.col(self.value).isNotNull())).withColumn("bucket", self._bucket())
-            new.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/data/version={version}")
-        finally:
-            rows.unpersist()
+        rows = materialise(rows.select(*self.schema.names), "upsert")
+        touched = sorted(r[0] for r in rows.select(self._bucket().alias("b")).distinct().collect())
+        before = self.manifest()
+        same = [F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) for k in self.keys]
+        old = self._read({b: v for b, v in before.items() if b in touched}).alias("o").join(rows.alias("n"), same, "left_anti")
+        new = old.unionByName(rows.where(F.col(self.value).isNotNull())).withColumn("bucket", self._bucket())
+        new.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/data/version={version}")
         held = {b: v for b, v in before.items() if b not in touched}
         held |= {b: version for b in touched if self._fs.exists(self._at(f"data/version={version}/bucket={b}"))}
         self._commit(version, held)

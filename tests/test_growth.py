@@ -128,3 +128,17 @@ def test_texts_to_score_are_dealt_over_the_cores(spark, small, tmp_path):
 
     spark.range(200_000).selectExpr("id as p_partkey", "md5(cast(id as string)) as p_name").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
     assert "RoundRobinPartitioning(4)" in gen.texts(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_an_upsert_works_on_written_rows(spark, tmp_path, monkeypatch):
+    """Rows that come out of a wide shuffle are written once: the merge has partitions by their size, and nothing is left in memory."""
+    from phrasemill.sources import keyed
+
+    seen = []
+    monkeypatch.setattr(keyed, "materialise", lambda df, name: seen.append(materialise(df, name)) or seen[-1])
+    table = keyed.KeyedTable(spark, f"file://{tmp_path}/table", "key string, n long", ("key",), "n")
+    wide = lambda rows: spark.createDataFrame(rows, "key string, n long").repartition(64, "key")
+    assert table.upsert(wide([(str(i), i) for i in range(200)]), 0)
+    assert table.upsert(wide([("3", None), ("4", 40)]), 1) and not table.upsert(wide([("5", 0)]), 1)
+    assert {r.key: r.n for r in table.read().collect()} == {str(i): i for i in range(200) if i != 3} | {"4": 40}
+    assert len(seen) == 2 and all(x.rdd.getNumPartitions() <= 8 for x in seen)
