@@ -2,6 +2,9 @@
 
 import gzip
 import json
+import subprocess
+import sys
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
@@ -99,3 +102,27 @@ def test_package_is_sent_once(spark, monkeypatch):
     session._shipped.clear()
     session.ship(spark)
     assert len(set(sent)) == 2
+
+
+TWO_JVMS = """
+import sys
+from pyspark import SparkContext
+from pyspark.sql import SparkSession
+sys.path.insert(0, sys.argv[1])
+from phrasemill.sources import readers
+for _ in range(2):
+    spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+    print([r.fields[0].data for r in readers.read_marc(spark, sys.argv[2]).collect()])
+    spark.stop()
+    SparkContext._gateway.shutdown()
+    SparkContext._gateway.proc.stdin.close()
+    SparkContext._gateway = SparkContext._jvm = None
+"""
+
+
+def test_marc_after_a_restart_of_the_jvm(tmp_path):
+    """Nothing that readers keep is bound to a JVM that has ended."""
+    (tmp_path / "one.mrc").write_bytes(marc_record([("245", b"10\x1faCaf\xe2e")], coding=" "))
+    root = str(Path(readers.__file__).resolve().parents[2])
+    ran = subprocess.run([sys.executable, "-c", TWO_JVMS, root, str(tmp_path / "one.mrc")], capture_output=True, text=True, timeout=120)
+    assert ran.stdout.splitlines() == [str(["10\x1faCafé"])] * 2, ran.stderr[-1000:]
