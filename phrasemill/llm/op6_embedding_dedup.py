@@ -1,11 +1,12 @@
 """Embedding near-dedup: spherical k-means cells, blocked cosine products inside them, one vector of a group kept.
 
 Equal vectors are one row with a count before anything else. Centroids are fitted on a bounded sample by Lloyd steps
-on the sphere, one cell for about ``CELL_ROWS`` vectors up to ``MOST_CELLS``. A vector has a home cell, and is a guest of each further cell from whose bisecting plane it lies at most d / 2
+on the sphere. How many, from one cell for about ``CELL_ROWS`` vectors (``MOST_CELLS`` at most) down to a single one, is what by held-out rows of the
+sample costs least: vectors that fill all dimensions are near most planes and would be copied to most cells. A vector has a home cell, and is a guest of each further cell from whose bisecting plane it lies at most d / 2
 away, d = sqrt(2 - 2 t): two vectors on either side of a plane and at most d apart can't both be farther from it, so every
 pair at the threshold meets in the home of one of them, whatever the data. It is counted where the vector nearer to the plane is
-the guest. Rows travel packed, one packet for each batch and cell. Cells of more
-than ``BLOCK_BYTES`` are compared block by block. Products are taken in single precision with a slack and those near the threshold again in double.
+the guest. Rows travel packed, and what a task holds of them is bounded, however many cells a row goes to. The rows at home in a cell and its
+guests are cut into blocks of ``BLOCK_BYTES`` at most, and each block of rows at home meets the later ones and the guests' in a task of its own. Products are taken in single precision with a slack and those near the threshold again in double.
 Tasks return sums of links per vector and a forest of links, never the pairs.
 """
 
@@ -25,6 +26,8 @@ from phrasemill.llm.op10_ngram_join import Forest
 from phrasemill.llm.shared import materialise
 
 THRESHOLD, CELL_ROWS, BLOCK_BYTES, SAMPLE_ROWS, MOST_CELLS, STEPS, ROUNDING, SLACK, PACKET_BYTES, SAMPLE_BYTES = 0.9, 1500, 12 << 20, 20_000, 16_384, 8, 1e-9, 1e-3, 1 << 16, 128 << 20
+#: Rows of the sample that tell the cost of cells; distances and packed bytes that a task holds at a time; nanoseconds to move a byte, to compare two rows, and for each dimension of these.
+HELD_OUT, DISTANCES, OUT_BYTES, MOVE_NS, PAIR_NS, DIM_NS = 2000, 1 << 21, 4 << 20, 20.0, 1.5, 0.07
 PACKET = "ids binary, copies binary, homes binary, v binary"
 _COLUMNS = ["ids", "copies", "homes", "v"]
 
@@ -83,31 +86,58 @@ def guests(x: np.ndarray, c: np.ndarray, margin: float) -> tuple[np.ndarray, np.
     return home, placed
 
 
+def centroids(x: np.ndarray, n: int, most: int, margin: float, row_bytes: int, block_bytes: int) -> np.ndarray:
+    """Of the unit sample x of n rows: centroids of the cells, ``most`` at most, that cost least to compare and to move, by rows that they weren't fitted on."""
+    test, fit = np.split(x, [min(HELD_OUT, len(x) // 5)])
+    best, k = None, min(most, len(fit))
+    while k > 1 and len(test):
+        c = spherical_kmeans(fit, k)
+        home, placed = zip(*(guests(test[i : i + max(1, DISTANCES // k)], c, margin) for i in range(0, len(test), max(1, DISTANCES // k))))
+        home, placed = np.concatenate(home), np.concatenate(placed)
+        at_home = np.bincount(home, minlength=k) * n / len(test)
+        visit = placed.sum(0) * n / len(test) - at_home
+        blocks, more = np.ceil(at_home * row_bytes / block_bytes), np.ceil(visit * row_bytes / block_bytes)
+        pairs, copies = (at_home * (at_home / 2 + visit)).sum(), (at_home * (blocks + more) + visit * (1 + blocks)).sum()
+        cost = pairs * (PAIR_NS + DIM_NS * x.shape[1]) + copies * row_bytes * MOVE_NS
+        if best is None or cost < best[0]:
+            best = (cost, c)
+        k = max(1, k // 4)
+    one = n * n / 2 * (PAIR_NS + DIM_NS * x.shape[1]) + n * math.ceil(n * row_bytes / block_bytes) * row_bytes * MOVE_NS
+    return spherical_kmeans(x, 1) if best is None or one <= best[0] else best[1]
+
+
+def _packets(raw: np.ndarray, ids: np.ndarray, copies: np.ndarray, home: np.ndarray, row: np.ndarray, cell: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows placed in cells as packets of PACKET_BYTES at most, in batches of about OUT_BYTES."""
+    key = 2 * cell + (home[row] != cell)
+    order = np.argsort(key, kind="stable")
+    key, row = key[order], row[order]
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    most = max(1, PACKET_BYTES // raw[0].nbytes)
+    cut = np.concatenate([np.arange(a, z, most) for a, z in zip(first, np.append(first[1:], len(row)))])
+    ends = np.append(cut[1:], len(row))
+    at = 0
+    while at < len(cut):
+        upto = max(at + 1, int(np.searchsorted(ends, cut[at] + OUT_BYTES // raw[0].nbytes, "right")))
+        rows = [row[a:z] for a, z in zip(cut[at:upto], ends[at:upto])]
+        keys = key[cut[at:upto]]
+        cols = [pa.array([x[r].tobytes() for r in rows], pa.binary()) for x in (ids, copies, home, raw)]
+        yield pa.RecordBatch.from_arrays([pa.array(keys // 2), pa.array(keys % 2 == 1), *cols], ["cell", "guest", *_COLUMNS])
+        at = upto
+
+
 def _place(shared, margin: float, kind: str):
-    """Packets of PACKET_BYTES at most for each cell of a batch, of the rows at home there and others of the guests."""
+    """Packets for each cell, of the rows at home there and others of the guests."""
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = shared.value
+        step = max(16, DISTANCES // len(c))  # distances to all centroids of so many rows at a time: 16 MB
         for b in batches:
-            raw = np.stack([np.frombuffer(v, kind) for v in b.column("v").to_pylist()])
-            ids, copies = b.column("vec_id").to_numpy(zero_copy_only=False), b.column("copies").to_numpy(zero_copy_only=False)
-            homes, rows, cells = [], [], []
-            step = max(16, (1 << 22) // len(c))  # distances to all centroids of so many rows at a time: 32 MB
-            for lo in range(0, len(raw), step):
-                home, placed = guests(_unit(raw[lo : lo + step].astype(np.float64)), c, margin)
-                row, cell = np.nonzero(placed)
-                homes.append(home), rows.append(row + lo), cells.append(cell)
-            home, row, cell = np.concatenate(homes), np.concatenate(rows), np.concatenate(cells)
-            key = 2 * cell + (home[row] != cell)
-            order = np.argsort(key, kind="stable")
-            key, row = key[order], row[order]
-            first = np.flatnonzero(np.diff(key, prepend=-1))
-            most = max(1, PACKET_BYTES // raw[0].nbytes)
-            cut = np.concatenate([np.arange(a, z, most) for a, z in zip(first, np.append(first[1:], len(row)))])
-            out = [(int(key[a]), ids[r].tobytes(), copies[r].tobytes(), home[r].astype(np.int32).tobytes(), raw[r].tobytes()) for a, z in zip(cut, np.append(cut[1:], len(row))) for r in [row[a:z]]]
-            keys = np.array([o[0] for o in out], np.int64)
-            cols = [pa.array([o[k] for o in out], pa.binary()) for k in range(1, 5)]
-            yield pa.RecordBatch.from_arrays([pa.array(keys // 2), pa.array(keys % 2 == 1), *cols], ["cell", "guest", *_COLUMNS])
+            for lo in range(0, b.num_rows, step):
+                part = b.slice(lo, step)
+                raw = np.stack([np.frombuffer(v, kind) for v in part.column("v").to_pylist()])
+                ids, copies = part.column("vec_id").to_numpy(zero_copy_only=False), part.column("copies").to_numpy(zero_copy_only=False)
+                home, placed = guests(_unit(raw.astype(np.float64)), c, margin)
+                yield from _packets(raw, ids, copies, home.astype(np.int32), *np.nonzero(placed))
 
     return job
 
@@ -147,6 +177,8 @@ def _compare(shared, threshold: float, kind: str, dim: int):
                 p, q = i[other], j[other]
                 keep[other] = _here(x[p], x[q], ids[p], ids[q], home[p], home[q], c)
                 i, j = i[keep], j[keep]
+                if not len(i):
+                    continue
                 extra += np.bincount(i, copies[j], len(ids)).astype(np.int64) + np.bincount(j, copies[i], len(ids)).astype(np.int64)
                 p, q = tree[i], tree[j]  # only links between different trees go on, each pair of trees once
                 for key in np.unique((np.minimum(p, q) * len(ids) + np.maximum(p, q))[p != q]).tolist():
@@ -179,19 +211,25 @@ def embedding_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     most = own.groupBy(F.octet_length("v").alias("size")).count().orderBy(F.desc("count"), F.desc("size")).first()
     if most is not None:
         n, dim, kept = most["count"], most["size"] // np.dtype(kind).itemsize, own.where(F.octet_length("v") == most["size"])
+        row_bytes = most["size"] + 20  # with id, count and home
+        side = math.ceil(math.sqrt(12 * spark.sparkContext.defaultParallelism))  # so many blocks at least: six tasks for each core
+        block_bytes = min(BLOCK_BYTES, max(PACKET_BYTES, n * row_bytes // side))
         k = min(MOST_CELLS, max(1, round(n / CELL_ROWS)), max(1, SAMPLE_BYTES // most["size"] // 4))
         rows_of = min(max(SAMPLE_ROWS, 4 * k), SAMPLE_BYTES // most["size"])  # bounded by bytes too: what the driver holds
         sample = kept.orderBy(F.xxhash64("v"), "vec_id").limit(max(1, rows_of)).select("v").toPandas()["v"]
         x = _unit(np.array([np.frombuffer(v, kind) for v in sample], np.float64))
-        k = min(k, len(x))
         margin = math.sqrt(2 - 2 * threshold) / 2
-        shared = spark.sparkContext.broadcast(spherical_kmeans(x, k))  # MOST_CELLS rows at most
+        shared = spark.sparkContext.broadcast(centroids(x, n, k, margin, row_bytes, block_bytes))  # MOST_CELLS rows at most
         placed = materialise(kept.select("vec_id", "copies", "v").mapInArrow(_place(shared, margin, kind), f"cell long, guest boolean, {PACKET}"), "placed")
-        blocks = placed.groupBy("cell").agg(F.ceil(F.sum(F.length("v")) / BLOCK_BYTES).alias("blocks"))  # a row per cell
-        at = placed.join(F.broadcast(blocks), "cell").withColumn("block", F.pmod(F.xxhash64("ids"), F.col("blocks")))
-        # rows at home stand on the left of their block's pairs, and on the right of earlier blocks'; guests on the right of all
-        right = F.transform(F.sequence(F.lit(0), F.when(F.col("guest"), F.col("blocks") - 1).otherwise(F.col("block"))), lambda o: F.struct(o.alias("x"), F.col("block").alias("y"), F.when(~F.col("guest") & (o == F.col("block")), "b").otherwise("r").alias("side")))
-        left = F.transform(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: ~F.col("guest") & (o != F.col("block"))), lambda o: F.struct(F.col("block").alias("x"), o.alias("y"), F.lit("l").alias("side")))
+        of = lambda here: F.ceil(F.coalesce(F.sum(F.when(here, F.length("v"))), F.lit(0)) / block_bytes)
+        blocks = placed.groupBy("cell").agg(of(~F.col("guest")).alias("own"), of(F.col("guest")).alias("more"))  # a row per cell
+        # rows at home are the first blocks of a cell, guests the others
+        block = F.when(F.col("guest"), F.col("own") + F.pmod(F.xxhash64("ids"), F.col("more"))).otherwise(F.pmod(F.xxhash64("ids"), F.col("own")))
+        at = placed.join(F.broadcast(blocks), "cell").where("own > 0").withColumn("block", block)
+        # a block of rows at home stands on the left of its pairs with itself and the later ones, guests among them; each later one on the right
+        upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<bigint>"))
+        right = F.transform(upto(F.when(F.col("guest"), F.col("own")).otherwise(F.col("block") + 1)), lambda o: F.struct(o.alias("x"), F.col("block").alias("y"), F.when(o == F.col("block"), "b").otherwise("r").alias("side")))
+        left = F.transform(F.filter(upto(F.when(F.col("guest"), 0).otherwise(F.col("own") + F.col("more"))), lambda o: o > F.col("block")), lambda o: F.struct(F.col("block").alias("x"), o.alias("y"), F.lit("l").alias("side")))
         pairs = at.select("cell", *_COLUMNS, F.explode(F.concat(right, left)).alias("p")).select("cell", "p.*", *_COLUMNS)
         found = materialise(pairs.groupBy("cell", "x", "y").applyInArrow(_compare(shared, threshold, kind, dim), "id long, links long, b long"), "links")
         near = found.where("b is null").groupBy("id").agg(F.sum("links").alias("links"))

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -575,6 +576,44 @@ def test_guests_of_many_cells_in_bounded_memory():
     assert (home == np.arange(1024)).all() and placed.shape == (1024, 4096) and peak < 1 << 28
 
 
+def test_embedding_blocks_of_homes_and_guests(spark, monkeypatch):
+    """Cells of several blocks of rows at home and of guests: every link is counted once."""
+    for name, value in (("CELL_ROWS", 100), ("BLOCK_BYTES", 40 * 276), ("PACKET_BYTES", 4 * 256), ("MOVE_NS", 0.0)):
+        monkeypatch.setattr(op6_embedding_dedup, name, value)
+    chosen, choose = [], op6_embedding_dedup.centroids
+    monkeypatch.setattr(op6_embedding_dedup, "centroids", lambda *a: chosen.append(choose(*a)) or chosen[-1])
+    rng = np.random.default_rng(5)
+    x = (np.tanh(rng.normal(size=(1500, 4)) @ rng.normal(size=(4, 64)) * 0.7)).astype("f4")
+    got = by_id(op6_embedding_dedup.embedding_dedup(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")), "vec_id")
+    u = x / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    assert len(chosen[0]) > 1 and [got[i].n_links for i in range(len(x))] == ((u @ u.T >= 0.9).sum(1) - 1).tolist()
+
+
+def test_embedding_cells_where_they_cost_less():
+    """Vectors that fill all dimensions, near most planes, aren't copied to many cells; far clusters are told apart."""
+    rng, margin = np.random.default_rng(6), np.sqrt(0.2) / 2
+    open_space = op6_embedding_dedup._unit(rng.normal(size=(4000, 64)))
+    assert len(op6_embedding_dedup.centroids(open_space, 600_000, 400, margin, 276, 12 << 20)) <= 4
+    clusters = op6_embedding_dedup._unit(open_space[:50][rng.integers(0, 50, 4000)] + 0.005 * rng.normal(size=(4000, 64)))
+    assert len(op6_embedding_dedup.centroids(clusters, 600_000, 400, margin, 276, 12 << 20)) > 20
+
+
+def test_embedding_guests_of_many_cells_leave_in_bounded_batches():
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    x, c = (op6_embedding_dedup._unit(rng.normal(size=(n, 64))) for n in (10_000, 410))
+    own = pa.RecordBatch.from_arrays([pa.array(range(10_000)), pa.array([1] * 10_000), pa.array([v.astype("f4").tobytes() for v in x], pa.binary())], ["vec_id", "copies", "v"])
+    rows = 0
+    tracemalloc.start()
+    for out in op6_embedding_dedup._place(SimpleNamespace(value=c), np.sqrt(0.2) / 2, "f4")(iter([own])):
+        assert out.nbytes < 8 << 20
+        rows += sum(len(v) // 8 for v in out.column("ids").to_pylist())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows > 100 * 10_000 and peak < 160 << 20
+
+
 def test_embeddings_of_mixed_lengths_and_repeated_ids(spark):
     rows = [(1, [1.0, 0.0]), (2, [1.0, 0.01]), (3, [1.0]), (4, [1.0]), (5, [1.0, 0.0, 0.0]), (6, [0.0, 1.0]), (6, [1.0, 0.02]), (7, [0.01, 1.0])]
     got = op6_embedding_dedup.embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
