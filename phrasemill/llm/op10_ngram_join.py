@@ -36,12 +36,14 @@ from pyspark.sql import functions as F
 
 from phrasemill.llm.components import components
 from phrasemill.llm.pretokens import gather
-from phrasemill.llm.shared import materialise, parts
+from phrasemill.llm.shared import BROADCAST_ROWS, counted, materialise, parts, unsent
 from phrasemill.llm.textbytes import bounds, hashed_words, mix, slices
 
 WIDTH, SHARE = 5, 80
 BLOCK, BLOCK_LEAST, HEAVY_MOST, SLOTS_MOST = 1 << 22, 2, 1 << 19, 1 << 22
-BUCKET_KEYS, PAIR_GROUP, GROUP_MOST, CELL_KEYS, BROADCAST_ROWS = 200_000, 64, 20_000, 4_000_000, 1_000_000
+BUCKET_KEYS, PAIR_GROUP, GROUP_MOST, CELL_KEYS = 200_000, 64, 20_000, 4_000_000
+#: Bits of the table that tells which documents have candidates: so many for each of these, and 8 MB at most.
+PRESENT_EACH, PRESENT_MOST = 16, 1 << 26
 #: A cluster is cut into cells of so many keys, into SPLIT_MOST at most while cells stay under CELL_KEYS.
 SPLIT_KEYS, SPLIT_MOST = 10_000, 64
 _CLASS = np.uint64(58)
@@ -155,11 +157,36 @@ def ranked(hashes: np.ndarray, heavy: Heavy) -> np.ndarray:
     return keys | (kind << _CLASS)
 
 
-def _sets(width: int, share: int, heavy, whole: bool):
-    """Per document: id, set size, fingerprint, and the prefix keys or the whole set as bytes."""
+def present_ids(ids: DataFrame, count: int) -> np.ndarray:
+    """A table of bits by a hash of the id: set for each of the ``count`` ids, and by chance for a few others."""
+    size = min(PRESENT_MOST, 1 << max(6, (PRESENT_EACH * count - 1).bit_length()))
+
+    def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            slot = _slot(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64), size)
+            word, at = np.unique(slot >> 6, return_inverse=True)
+            bits = np.zeros(len(word), np.int64)
+            np.bitwise_or.at(bits, at, np.int64(1) << (slot & 63))
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(bits)], ["word", "bits"])
+
+    found = ids.mapInArrow(job, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    table = np.zeros(size >> 6, np.int64)
+    table[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    return table
+
+
+def _among(ids: np.ndarray, table: np.ndarray) -> np.ndarray:
+    slot = _slot(ids.view(np.uint64), len(table) << 6)
+    return (table[slot >> 6] >> (slot & 63)) & 1 == 1
+
+
+def _sets(width: int, share: int, heavy, whole: bool, present=None):
+    """Per document, or per document that the table ``present`` may hold: id, set size, fingerprint, and the prefix keys or the whole set as bytes."""
 
     def job(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if present is not None:
+                batch = batch.filter(pa.array(_among(batch.column("doc_id").to_numpy(zero_copy_only=False), present.value)))
             for lo, hi, data, offsets in slices(batch.column("text")):
                 hashes, at = shingles(data, offsets, width)
                 keys = ranked(hashes, heavy.value)
@@ -415,14 +442,15 @@ def _cells(extent):
 def _side(small: DataFrame) -> DataFrame:
     """One side of a join: sent to all tasks only if a count finds it small, so that a hot cluster isn't dealt to one task; a larger
     one is dealt out, and skewed parts are split at run time."""
-    small = materialise(small, "side")
-    return F.broadcast(small) if small.count() <= BROADCAST_ROWS else small
+    small, rows = counted(small, "side")
+    return F.broadcast(small) if rows <= BROADCAST_ROWS else unsent(small, rows, BROADCAST_ROWS)
 
 
 def _in_cells(member: DataFrame, *group: str) -> DataFrame:
-    """id, n and the columns ``group`` -> the same with ``cells`` and ``cell`` of each group's rows, dealt by id."""
-    extent = member.groupBy(*group).agg(_cells(F.sum("n")).alias("cells"))
-    return materialise(member.join(_side(extent), list(group)).withColumn("cell", F.pmod(F.xxhash64("id"), F.col("cells"))), "cells")
+    """id, n and the columns ``group`` -> the same with ``cells`` and ``cell`` of each group's rows, dealt by id. Only groups of several cells, each of
+    more than SPLIT_KEYS keys, are joined with the rows."""
+    extent = member.groupBy(*group).agg(_cells(F.sum("n")).alias("cells")).where("cells > 1")
+    return member.join(_side(extent), list(group), "left").withColumn("cells", F.coalesce("cells", F.lit(1))).withColumn("cell", F.pmod(F.xxhash64("id"), F.col("cells")))
 
 
 def _verified(sets: DataFrame, share: int, tasks: int) -> DataFrame:
@@ -442,7 +470,7 @@ def _grid(held: DataFrame, wide: DataFrame, share: int) -> DataFrame:
     """Links of the sets outside a cluster's largest component with each other and with those inside."""
     tally = wide.groupBy("cluster", "label").agg(F.sum("n").alias("keys"))
     largest = tally.groupBy("cluster").agg(F.max_by("label", F.struct("keys", -F.col("label"))).alias("bulk"))
-    own = _in_cells(wide.join(_side(largest), "cluster").withColumn("rest", F.col("label") != F.col("bulk")).drop("bulk"), "cluster", "rest")
+    own = materialise(_in_cells(wide.join(_side(largest), "cluster").withColumn("rest", F.col("label") != F.col("bulk")).drop("bulk"), "cluster", "rest"), "cells")
     size = own.groupBy("cluster").agg(F.max(F.when(F.col("rest"), F.col("cells"))).alias("q"), F.max(F.when(~F.col("rest"), F.col("cells"))).alias("p"))
     upto = lambda k: F.sequence(F.lit(0), k - 1)
     spot = lambda i, j, both: F.struct(i.alias("i"), j.alias("j"), F.lit(both).alias("both"))
@@ -471,7 +499,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sets = materialise(docs.mapInArrow(_sets(width, share, heavy, False), "doc_id long, n long, print_a long, print_b long, prefix binary"), "prefixes")
     some = sets.where("n > 0 and doc_id is not null")
     prints = ["print_a", "print_b", "n"]
-    classes = materialise(some.groupBy(*prints).agg(F.min("doc_id").alias("id")), "classes")
+    classes, n_classes = counted(some.groupBy(*prints).agg(F.min("doc_id").alias("id")), "classes")
     keys = some.agg(F.sum(F.length("prefix")) / 8).first()[0] or 0
     buckets = max(parts(spark), math.ceil(keys / BUCKET_KEYS))
     one_each = some.groupBy(*prints).agg(F.min(F.struct("doc_id", "prefix")).alias("r")).select("n", "r.*")
@@ -480,26 +508,31 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     near = components(pairs.groupBy("bucket").applyInArrow(_counted(share), "a long, b long"))
 
     member = near.join(classes.select("id", "n"), "id").select("id", F.col("component").alias("cluster"), F.col("id").alias("label"), "n")
-    member = materialise(member, "members")
-    side = F.broadcast(member) if member.count() <= BROADCAST_ROWS else member
-    texts = docs.withColumnRenamed("doc_id", "id").join(side, "id").select("id", "cluster", "label", "n", F.col("id").alias("doc_id"), "text")
-    held = texts.mapInArrow(_sets(width, share, heavy, True), "id long, cluster long, label long, n long, doc_id long, keys binary").drop("doc_id")
+    member, count = counted(member, "members")
+    if count <= BROADCAST_ROWS:
+        texts = docs.withColumnRenamed("doc_id", "id").join(F.broadcast(member), "id").select("id", "cluster", "label", "n", F.col("id").alias("doc_id"), "text")
+        held = texts.mapInArrow(_sets(width, share, heavy, True), "id long, cluster long, label long, n long, doc_id long, keys binary").drop("doc_id")
+    else:  # a table of bits keeps most other texts out of the shuffle
+        present = spark.sparkContext.broadcast(present_ids(member.select("id"), count))
+        held = docs.where("doc_id is not null").mapInArrow(_sets(width, share, heavy, True, present), "doc_id long, keys binary")
+        held = unsent(member, count, BROADCAST_ROWS).join(held.withColumnRenamed("doc_id", "id"), "id").select(*member.columns, "keys")
     held = materialise(held, "sets")
-    first = _in_cells(held.drop("keys"), "cluster")
-    links = materialise(_verified(held.join(_side(first.select("id", "cells", "cell")), "id"), share, parts(spark)), "links")
+    first = _in_cells(held, "cluster")
+    links = materialise(_verified(first, share, parts(spark)), "links")
     linked = components(links)
-    wide = first.where("cells > 1").drop("cells", "cell")
+    wide = materialise(first.where("cells > 1").drop("cells", "cell", "keys"), "wide")
     for turn in ("representatives", "all"):
         wide = _relabelled(wide, linked)
         if wide.isEmpty():
             break
         if turn == "representatives":
-            one = _in_cells(wide.groupBy("cluster", "label").agg(F.min_by(F.struct("id", "n"), F.struct(-F.col("n"), "id")).alias("r")).select("r.*", "cluster", "label"), "cluster")
+            one = materialise(wide.groupBy("cluster", "label").agg(F.min_by(F.struct("id", "n"), F.struct(-F.col("n"), "id")).alias("r")).select("r.*", "cluster", "label"), "one")
+            one = _in_cells(one, "cluster")
             more = _verified(held.drop("label").join(_side(one.select("id", "label", "cells", "cell")), "id"), share, parts(spark))
         else:
             more = _grid(held.drop("label"), wide, share)
         links = links.unionByName(materialise(more, "links"))
         linked = components(links)
     owner = classes.join(linked, "id", "left").select(*prints, F.coalesce("component", "id").alias("component"))
-    out = some.join(owner, prints).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    out = some.join(unsent(owner, n_classes, BROADCAST_ROWS), prints).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
     return out.unionByName(sets.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))

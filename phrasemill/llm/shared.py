@@ -5,11 +5,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from phrasemill.session import ship  # noqa: F401
 
+#: A side of a join with more rows isn't sent through the driver, whatever its files' size.
+BROADCAST_ROWS = 100_000
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; a temporary one only for an unset local session (tests)."""
@@ -33,6 +36,18 @@ def materialise(df: DataFrame, name: str, compression: str | None = None) -> Dat
     return spark.read.schema(df.schema).parquet(path)
 
 
+def counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """``df`` written once and read back, and its rows as the write itself counts them."""
+    seen = Observation()
+    out = materialise(df.observe(seen, F.count(F.lit(1)).alias("rows")), name)
+    return out, seen.get["rows"]
+
+
+def unsent(df: DataFrame, rows: int, most: int | None = None) -> DataFrame:
+    """A side of a join: with more than ``most`` rows the join sorts and merges. Spark would go by bytes on disk, of which a relation in the driver takes many times as many."""
+    return df.hint("merge") if rows > (BROADCAST_ROWS if most is None else most) else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -11,7 +11,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from phrasemill.llm import op2_toxicity, op3_pii, op4_quality, op5_token_counts, op6_embedding_dedup, op7_best_fit_packing, op8_sentencepiece, op9_warc_fixity, op10_ngram_join
+from phrasemill.llm import components as components_module
+from phrasemill.llm import op2_toxicity, op3_pii, op4_quality, op5_token_counts, op6_embedding_dedup, op7_best_fit_packing, op8_sentencepiece, op9_warc_fixity, op10_ngram_join, shared
 from phrasemill.llm.components import components
 from phrasemill.llm.op1_exact_dedup import exact_dedup
 from phrasemill.llm.pretokens import encode_rows, tokenizer
@@ -92,6 +93,26 @@ def brute_components(sets, share=80):
     return [root(i) for i in range(len(sets))]
 
 
+def test_ngram_join_sends_no_table_of_many_rows_through_the_driver(spark, monkeypatch):
+    """With more members than BROADCAST_ROWS no plan holds a broadcast relation, though every table is small on disk, and the components are the same."""
+    for module in (shared, op10_ngram_join):
+        monkeypatch.setattr(module, "BROADCAST_ROWS", 20)
+    rng = np.random.default_rng(8)
+    texts = [[f"w{x}" for x in rng.integers(0, 1 << 20, 40)] for _ in range(60)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)] + [(100 + i, " ".join([*t[:-1], "z"])) for i, t in enumerate(texts)] + [(None, " ".join(texts[0]))]
+    joins, write = [], shared.materialise
+
+    def seen(df, name, *rest):
+        joins.append((name, re.findall(r"BroadcastHashJoin|BroadcastNestedLoopJoin", df._jdf.queryExecution().executedPlan().toString())))
+        return write(df, name, *rest)
+
+    for module in (shared, op10_ngram_join, components_module):
+        monkeypatch.setattr(module, "materialise", seen)
+    got = {r.doc_id: r.component_id for r in op10_ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {**{i: i for i in range(60)}, **{100 + i: i for i in range(60)}, None: None}
+    assert {"sets", "components", "members"} <= {n for n, _ in joins} and not any(found for name, found in joins if name in ("sets", "components", "members", "up"))
+
+
 @pytest.mark.parametrize("limits", [{}, {"PAIR_GROUP": 2}, {"PAIR_GROUP": 2, "GROUP_MOST": 3}, {"SPLIT_KEYS": 60}, {"SPLIT_KEYS": 60, "SPLIT_MOST": 2, "CELL_KEYS": 130}, {"BROADCAST_ROWS": 0, "BLOCK": 500}])
 def test_ngram_join(docs, empty, monkeypatch, limits):
     for k, v in limits.items():
